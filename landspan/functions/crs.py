@@ -15,7 +15,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ellipsoids as (semi-major axis in metres, inverse flattening).
@@ -31,15 +31,30 @@ NZTM = 2193
 _ARRAYS = SimpleNamespace(
     sin=np.sin, cos=np.cos, sinh=np.sinh, cosh=np.cosh, tanh=np.tanh, asin=np.arcsin,
     atanh=np.arctanh, atan2=np.arctan2, sqrt=np.sqrt, radians=np.radians, degrees=np.degrees,
-    where=np.where, nan=np.nan,
-)
-_COLUMNS = SimpleNamespace(
-    sin=F.sin, cos=F.cos, sinh=F.sinh, cosh=F.cosh, tanh=F.tanh, asin=F.asin,
-    atanh=F.atanh, atan2=F.atan2, sqrt=F.sqrt, radians=F.radians, degrees=F.degrees,
-    where=lambda test, yes, no: F.when(test, yes).otherwise(no), nan=F.lit(float("nan")),
+    where=np.where, let=lambda *values: values,
 )
 
 
+class _Stages:
+    """The same functions on columns; ``let`` computes values once, in a projection."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.names: list[str] = []
+
+    def __getattr__(self, name: str):
+        return getattr(F, name)
+
+    def where(self, test, yes, no) -> Column:
+        return F.when(test, yes).otherwise(no)
+
+    def let(self, *values: Column) -> tuple[Column, ...]:
+        new = [f"__crs{len(self.names) + i}" for i in range(len(values))]
+        self.df = self.df.withColumns(dict(zip(new, values)))
+        self.names += new
+        return tuple(F.col(name) for name in new)
+
+
 def _series(ellipsoid: tuple[float, float]) -> dict:
     """Krueger series to the fourth order in the third flattening n."""
     a, inv_f = ellipsoid
@@ -86,8 +101,8 @@ def _zone(epsg: int) -> SimpleNamespace:
     )
 
 
-def _zone_of_row(epsg: Column) -> SimpleNamespace:
-    """The same parameters when every row names its own code."""
+def _zone_of_row(stages: _Stages, epsg: Column, known: list[int]) -> SimpleNamespace:
+    """The same parameters when every row names its own code (or one of ``known``)."""
     grs, wgs = _series(GRS80), _series(WGS84)
     is_grs = epsg == NZTM
     is_north = epsg.between(32601, 32660)
@@ -95,23 +110,27 @@ def _zone_of_row(epsg: Column) -> SimpleNamespace:
     unknown = F.raise_error(
         F.concat(F.lit("no closed-form projection for EPSG:"), epsg.cast("string"))
     ).cast("double")
+    lon0 = (
+        F.when(is_grs, F.lit(173.0))
+        .when(is_north | is_south, (epsg % 100) * 6 - F.lit(183.0))
+        .when(epsg.isNull() | epsg.isin(known), F.lit(0.0))
+        .otherwise(unknown)
+    )
 
     def pick(a: float, b: float) -> Column:
         return F.when(is_grs, F.lit(a)).otherwise(F.lit(b))
 
+    series = ("inverse", "latitude")
+    values = [
+        lon0, pick(1_600_000.0, 500_000.0),
+        F.when(is_north, F.lit(0.0)).otherwise(F.lit(10_000_000.0)),
+        pick(grs["radius"], wgs["radius"]),
+        *[pick(a, b) for name in series for a, b in zip(grs[name], wgs[name])],
+    ]
+    lon0, east, north, radius, *terms = stages.let(*values)
     return SimpleNamespace(
-        lon0=F.when(is_grs, F.lit(173.0))
-        .when(is_north | is_south, (epsg % 100) * 6 - F.lit(183.0))
-        .otherwise(unknown),
-        k0=0.9996,
-        east=pick(1_600_000.0, 500_000.0),
-        north=F.when(is_north, F.lit(0.0)).otherwise(F.lit(10_000_000.0)),
-        ecc=pick(grs["ecc"], wgs["ecc"]),
-        radius=pick(grs["radius"], wgs["radius"]),
-        **{
-            name: [pick(a, b) for a, b in zip(grs[name], wgs[name])]
-            for name in ("forward", "inverse", "latitude")
-        },
+        lon0=lon0, k0=0.9996, east=east, north=north, radius=radius,
+        inverse=terms[:4], latitude=terms[4:],
     )
 
 
@@ -126,8 +145,8 @@ def _mercator_from_lonlat(m, x, y):
     r = WGS84[0]
     inside = (y >= -MERCATOR_MAX_LAT) & (y <= MERCATOR_MAX_LAT)
     return (
-        m.where(inside, m.radians(x) * r, m.nan),
-        m.where(inside, m.atanh(m.sin(m.radians(y))) * r, m.nan),
+        m.where(inside, m.radians(x) * r, float("nan")),
+        m.where(inside, m.atanh(m.sin(m.radians(y))) * r, float("nan")),
     )
 
 
@@ -137,11 +156,9 @@ def _mercator_to_lonlat(m, x, y):
 
 
 def _zone_from_lonlat(m, x, y, z):
-    sin_lat = m.sin(m.radians(y))
-    lam = m.radians(x - z.lon0)
-    t = m.sinh(m.atanh(sin_lat) - m.atanh(sin_lat * z.ecc) * z.ecc)
-    xi = m.atan2(t, m.cos(lam))
-    eta = m.atanh(m.sin(lam) / m.sqrt(t * t + 1.0))
+    sin_lat, lam = m.let(m.sin(m.radians(y)), m.radians(x - z.lon0))
+    (t,) = m.let(m.sinh(m.atanh(sin_lat) - m.atanh(sin_lat * z.ecc) * z.ecc))
+    xi, eta = m.let(m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(t * t + 1.0)))
     north, east = xi, eta
     for j, c in enumerate(z.forward, start=1):
         north = north + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * c
@@ -150,13 +167,13 @@ def _zone_from_lonlat(m, x, y, z):
 
 
 def _zone_to_lonlat(m, x, y, z):
-    north = (y - z.north) / (z.radius * z.k0)
-    east = (x - z.east) / (z.radius * z.k0)
+    north, east = m.let((y - z.north) / (z.radius * z.k0), (x - z.east) / (z.radius * z.k0))
     xi, eta = north, east
     for j, c in enumerate(z.inverse, start=1):
         xi = xi - m.sin(north * (2 * j)) * m.cosh(east * (2 * j)) * c
         eta = eta - m.cos(north * (2 * j)) * m.sinh(east * (2 * j)) * c
-    chi = m.asin(m.sin(xi) / m.cosh(eta))
+    xi, eta = m.let(xi, eta)
+    (chi,) = m.let(m.asin(m.sin(xi) / m.cosh(eta)))
     lat = chi
     for j, c in enumerate(z.latitude, start=1):
         lat = lat + m.sin(chi * (2 * j)) * c
@@ -187,17 +204,25 @@ def project_arrays(x: np.ndarray, y: np.ndarray, source: int, target: int):
         return _from_lonlat(_ARRAYS, *_to_lonlat(_ARRAYS, x, y, source), target)
 
 
-def project_columns(x: Column, y: Column, source: int | Column, target: int):
-    """Same on two DOUBLE columns; ``source`` may be a column of codes."""
-    m = _COLUMNS
+def project_columns(
+    df: DataFrame, x: str, y: str, source: int | Column, target: int
+) -> DataFrame:
+    """Same on two DOUBLE columns, in place; ``source`` may be a column of codes."""
+    m = _Stages(df)
+    px, py = F.col(x), F.col(y)
     if isinstance(source, int):
         if source == target:
-            return x, y
-        return _from_lonlat(m, *_to_lonlat(m, x, y, source), target)
-    mx, my = _mercator_to_lonlat(m, x, y)
-    zx, zy = _zone_to_lonlat(m, x, y, _zone_of_row(source))
-    lon = F.when(source == LONLAT, x).when(source == MERCATOR, mx).otherwise(zx)
-    lat = F.when(source == LONLAT, y).when(source == MERCATOR, my).otherwise(zy)
-    px, py = _from_lonlat(m, lon, lat, target)
-    same = source == target
-    return F.when(same, x).otherwise(px), F.when(same, y).otherwise(py)
+            return df
+        lon, lat = m.let(*_to_lonlat(m, px, py, source))
+        px, py = _from_lonlat(m, lon, lat, target)
+    else:
+        (code,) = m.let(source)
+        mx, my = _mercator_to_lonlat(m, px, py)
+        zx, zy = _zone_to_lonlat(m, px, py, _zone_of_row(m, code, [LONLAT, MERCATOR, target]))
+        lon, lat = m.let(
+            F.when(code == LONLAT, px).when(code == MERCATOR, mx).otherwise(zx),
+            F.when(code == LONLAT, py).when(code == MERCATOR, my).otherwise(zy),
+        )
+        tx, ty = _from_lonlat(m, lon, lat, target)
+        px, py = (F.when(code == target, a).otherwise(b) for a, b in ((px, tx), (py, ty)))
+    return m.df.withColumns({x: px, y: py}).drop(*m.names)

@@ -138,7 +138,6 @@ def reproject(
     geom, first = F.col(column), first_vertex(column)
     declared = F.coalesce(geom["srid"], F.lit(0))
     code = source if source is not None else F.when(declared == 0, target).otherwise(declared)
-    x, y = crs.project_columns(first["x"], first["y"], code, target)
     px, py = f"__{column}_x", f"__{column}_y"
     is_point = geom["kind"] == "Point"
     if points_only:
@@ -147,15 +146,15 @@ def reproject(
     else:
         mover = F.arrow_udf(_move_batch(source, target), GEOMETRY)
         others = mover(F.when(~is_point, geom))
-    moved_point = point(F.col(px), F.col(py), first["z"], target)
+    placed = df.withColumns({px: F.when(is_point, first["x"]), py: F.when(is_point, first["y"])})
     return (
-        df.withColumns({px: F.when(is_point, x), py: F.when(is_point, y)})
+        crs.project_columns(placed, px, py, code, target)
         .withColumn(
             column,
             F.when(geom.isNull(), None)
             .when(is_point & first.isNull(), geom.withField("srid", F.lit(target)))
             .when(is_point & (F.isnan(px) | F.isnan(py)), None)
-            .when(is_point, moved_point)
+            .when(is_point, point(F.col(px), F.col(py), first["z"], target))
             .otherwise(others),
         )
         .drop(px, py)
@@ -198,6 +197,59 @@ def area(column: str) -> Column:
     return F.expr(_AREA.format(g=f"`{column}`"))
 
 
+def _edges(ring: Column, value) -> Column:
+    """``value(a, b)`` of each pair of neighbouring vertices of a closed ring."""
+    return F.zip_with(ring, F.slice(ring, 2, F.size(ring)), value)
+
+
+def _turn(ring: Column) -> Column:
+    """Signed shoelace sum of a ring, negative when it runs clockwise."""
+    o = ring[0]
+
+    def term(a: Column, b: Column) -> Column:
+        cross = (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
+        return F.coalesce(cross, F.lit(0.0))
+
+    return F.aggregate(_edges(ring, term), F.lit(0.0), lambda s, t: s + t)
+
+
+def _is_inside(p: Column, ring: Column) -> Column:
+    """Whether a vertex lies inside a ring: parity of the edges a ray to the right crosses."""
+
+    def crossed(a: Column, b: Column) -> Column:
+        meets = (a["y"] > p["y"]) != (b["y"] > p["y"])
+        share = F.try_divide(p["y"] - a["y"], b["y"] - a["y"])
+        return F.coalesce(meets & (p["x"] < a["x"] + (b["x"] - a["x"]) * share), F.lit(False))
+
+    return F.aggregate(_edges(ring, crossed), F.lit(False), lambda odd, hit: odd != hit)
+
+
+def ring_parts(rings: Column) -> Column:
+    """Polygon parts from loose rings: clockwise rings are outer, the others holes.
+
+    A hole joins the smallest outer ring around its first vertex; one that lies in none
+    becomes a part of its own.
+    """
+    sized = F.transform(rings, lambda r: F.struct(r.alias("ring"), _turn(r).alias("turn")))
+    outers = F.filter(sized, lambda s: s["turn"] <= 0)
+    holes = F.filter(sized, lambda s: s["turn"] > 0)
+
+    def owner(hole: Column) -> Column:
+        around = F.transform(outers, lambda o, i: F.when(
+            _is_inside(hole["ring"][0], o["ring"]),
+            F.struct((-o["turn"]).alias("size"), i.alias("of")),
+        ))
+        return F.array_min(around)["of"]
+
+    owned = F.transform(holes, lambda h: F.struct(h["ring"].alias("ring"), owner(h).alias("of")))
+    parts = F.transform(outers, lambda o, i: F.concat(
+        F.array(o["ring"]),
+        F.transform(F.filter(owned, lambda h: h["of"] == i), lambda h: h["ring"]),
+    ))
+    loose = F.transform(F.filter(owned, lambda h: h["of"].isNull()), lambda h: F.array(h["ring"]))
+    return F.when(F.size(rings) == 1, F.array(rings)).otherwise(F.concat(parts, loose))
+
+
 def register_functions(spark: SparkSession) -> None:
     """Expose the scalar geometry functions to SQL scripts as inlined SQL functions."""
     bodies = {

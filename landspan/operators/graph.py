@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landspan.operators.recursion import recursive_union
 from landspan.workspace import Rounds, materialize, small
 
 OBJECT = ["schema", "name", "type"]
@@ -52,23 +53,14 @@ def missing_owners(deps: DataFrame, owns: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Distinct ``node_id`` reached from ``seeds`` along parent -> child, seeds included.
-
-    A recursive UNION: each round joins only the last frontier with the edges and keeps
-    what was not seen before, so cycles end too.
-    """
-    spark = seeds.sparkSession
+    """Distinct ``node_id`` reached from ``seeds`` along parent -> child, seeds included."""
     links = materialize(edges.select("child", "parent"), "links")
-    start = seeds.select("node_id").distinct()
-    found = Rounds(spark, "reach", start.schema)
-    frontier, rows = found.append(start)
-    while rows:
-        step = links.join(
-            small(frontier.withColumnRenamed("node_id", "parent"), rows), "parent"
-        ).select(F.col("child").alias("node_id"))
-        fresh = step.distinct().join(found.all(), "node_id", "left_anti")
-        frontier, rows = found.append(fresh)
-    return found.all()
+
+    def children(frontier: DataFrame) -> DataFrame:
+        parents = frontier.withColumnRenamed("node_id", "parent")
+        return links.join(parents, "parent").select(F.col("child").alias("node_id"))
+
+    return recursive_union(seeds.select("node_id"), children)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
