@@ -84,10 +84,17 @@ def promote_to_multi(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).withField("kind", multi))
 
 
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    """Offsets of a list array; one zero when it is empty, as its buffer may be unset."""
+    return lists.offsets.to_numpy() if len(lists) else np.zeros(1, "i4")
+
+
 def _move_batch(source: int | None, target: int):
     """Arrow function that projects the coordinate buffers of one batch."""
 
     def move(geoms: pa.Array) -> pa.Array:
+        if geoms.null_count == len(geoms):
+            return pa.nulls(len(geoms), geoms.type)
         parts = geoms.field("parts")
         rings = parts.values
         lines = rings.values
@@ -95,7 +102,7 @@ def _move_batch(source: int | None, target: int):
         x = points.field("x").to_numpy(zero_copy_only=False)
         y = points.field("y").to_numpy(zero_copy_only=False)
         # Row -> vertex range, by following the three offset buffers.
-        bounds = lines.offsets.to_numpy()[rings.offsets.to_numpy()[parts.offsets.to_numpy()]]
+        bounds = _offsets(lines)[_offsets(rings)[_offsets(parts)]]
         if source is None:
             declared = geoms.field("srid").fill_null(0).to_numpy(zero_copy_only=False)
             code = np.repeat(np.where(declared == 0, target, declared), np.diff(bounds))
@@ -111,7 +118,7 @@ def _move_batch(source: int | None, target: int):
             [pa.array(new_x), pa.array(new_y), points.field("z")], names=["x", "y", "z"]
         )
         for level in (lines, rings, parts):
-            moved = pa.ListArray.from_arrays(level.offsets, moved)
+            moved = pa.ListArray.from_arrays(pa.array(_offsets(level)), moved)
         gone = pa.array(bad | geoms.is_null().to_numpy(zero_copy_only=False))
         srid = pa.array(np.full(len(geoms), target, dtype="int32"))
         return pa.StructArray.from_arrays(

@@ -1,16 +1,11 @@
 """Inputs that Spark derives from the given tables, for the registered queries and tests.
 
 Graphs, journals, geometries, scripts and rasters are simple arithmetic on key columns, so
-that plain SQL can derive the same rows.  Files are written by tasks, one bounded group of
-keys per file, so their number grows with the data.
+that plain SQL can derive the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,29 +119,3 @@ def part_rectangles(part: DataFrame) -> DataFrame:
     hole = ring(x + 0.25, y + 0.25, x + 0.75, y + 0.75, False)
     rings = F.when(k % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer))
     return part.select("p_partkey", "p_brand", geo.polygon(rings, 2193).alias("geom"))
-
-
-# Files -----------------------------------------------------------------------------
-
-
-def write_files(groups: DataFrame, folder: str, content: Callable[[dict], dict[str, bytes]]) -> None:
-    """Write the files of every row of ``groups``; ``content`` gives name -> bytes.
-
-    Each row is one bounded group of keys and each task writes the files of its rows.
-    """
-    root = folder.removeprefix("file:")
-    uri = root if "://" in root else f"file://{root}"
-
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = pafs.FileSystem.from_uri(uri)
-        system.create_dir(base, recursive=True)
-        for frame in frames:
-            written = 0
-            for row in frame.to_dict("records"):
-                for name, data in content(row).items():
-                    with system.open_output_stream(f"{base}/{name}") as out:
-                        out.write(data)
-                    written += 1
-            yield pd.DataFrame({"written": [written]})
-
-    groups.mapInPandas(put, "written long").agg(F.sum("written")).collect()

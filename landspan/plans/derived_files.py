@@ -1,0 +1,269 @@
+"""Datasets in foreign formats, written by tasks from the given tables.
+
+Small writers of the formats the readers understand; one bounded group of keys per file, so
+the number of files grows with the data.
+"""
+
+from __future__ import annotations
+
+import os
+import struct
+import tempfile
+import zlib
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landspan.sources.files import write_files
+from landspan.workspace import scratch_path
+
+# Pixels of one derived raster: 60 across, 50 down.
+RASTER_WIDTH, RASTER_HEIGHT = 60, 50
+
+
+def tiff(
+    pixels: np.ndarray, left: float, top: float, scale: float, srid: int, deflate: bool = False,
+    order: str = "<", strip_rows: int = 16, block: int | None = None, nodata: str | None = None,
+    predictor: int = 1,
+) -> bytes:
+    """Classic TIFF of ``(bands, height, width)`` pixels, in strips or square blocks."""
+    bands, height, width = pixels.shape
+    chunky = pixels.transpose(1, 2, 0).astype(pixels.dtype.newbyteorder(order))
+    if predictor == 2:
+        chunky = np.concatenate([chunky[:, :1], chunky[:, 1:] - chunky[:, :-1]], axis=1)
+        chunky = chunky.astype(pixels.dtype.newbyteorder(order))
+    if block:
+        down, across = -(-height // block), -(-width // block)
+        padded = np.zeros((down * block, across * block, bands), chunky.dtype)
+        padded[:height, :width] = chunky
+        pieces = [padded[r * block : (r + 1) * block, c * block : (c + 1) * block]
+                  for r in range(down) for c in range(across)]
+    else:
+        pieces = [chunky[r : r + strip_rows] for r in range(0, height, strip_rows)]
+    data = [zlib.compress(p.tobytes()) if deflate else p.tobytes() for p in pieces]
+    starts = np.cumsum([8, *(len(d) for d in data)])
+    kind = {"u": 1, "i": 2, "f": 3}[pixels.dtype.kind]
+    key = 3072 if srid != 4326 else 2048
+    tags = {
+        256: ("I", [width]), 257: ("I", [height]), 258: ("H", [pixels.dtype.itemsize * 8] * bands),
+        259: ("H", [8 if deflate else 1]), 262: ("H", [1]), 277: ("H", [bands]), 284: ("H", [1]),
+        317: ("H", [predictor]), 339: ("H", [kind] * bands),
+        33550: ("d", [scale, scale, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, left, top, 0.0]),
+        34735: ("H", [1, 1, 0, 1, key, 0, 1, srid]),
+    }
+    sizes = [len(d) for d in data]
+    if block:
+        tags |= {322: ("I", [block]), 323: ("I", [block]), 324: ("I", starts[:-1]), 325: ("I", sizes)}
+    else:
+        tags |= {273: ("I", starts[:-1]), 278: ("I", [strip_rows]), 279: ("I", sizes)}
+    if nodata is not None:
+        tags[42113] = ("s", nodata)
+    codes = {"s": 2, "H": 3, "I": 4, "d": 12}
+    at, extra, entries = int(starts[-1]), b"", b""
+    for tag in sorted(tags):
+        code, values = tags[tag]
+        raw = (values.encode() + b"\0" if code == "s"
+               else struct.pack(f"{order}{len(values)}{code}", *(v for v in values)))
+        count = len(raw) if code == "s" else len(values)
+        if len(raw) > 4:
+            place = struct.pack(order + "I", at + len(extra))
+            extra += raw + b"\0" * (len(raw) % 2)
+        else:
+            place = raw.ljust(4, b"\0")
+        entries += struct.pack(order + "HHI", tag, codes[code], count) + place
+    directory = struct.pack(order + "H", len(tags)) + entries + b"\0" * 4
+    mark = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at + len(extra))
+    return mark + b"".join(data) + extra + directory
+
+
+def shapefile(code: int, shapes: list, fields: list[tuple], rows: list[list[str]],
+              deleted: tuple[int, ...] = ()) -> dict[str, bytes]:
+    """The .shp, .shx and .dbf content; a shape is a list of (n, 2 or 3) vertex arrays."""
+    records, index, at = b"", b"", 100
+    for number, lines in enumerate(shapes, start=1):
+        if lines is None:
+            body = struct.pack("<i", 0)
+        else:
+            xyz = np.concatenate(lines).astype("<f8")
+            box = struct.pack("<4d", *xyz[:, :2].min(0), *xyz[:, :2].max(0))
+            xy = np.ascontiguousarray(xyz[:, :2]).tobytes()
+            body = struct.pack("<i", code)
+            if code % 10 == 1:
+                body += xyz[0].tobytes() + (struct.pack("<d", 0.0) if code == 11 else b"")
+            elif code % 10 == 8:
+                body += box + struct.pack("<i", len(xyz)) + xy
+            else:
+                starts = np.cumsum([0, *(len(line) for line in lines)])[:-1]
+                body += box + struct.pack("<2i", len(lines), len(xyz))
+                body += starts.astype("<i4").tobytes() + xy
+            if 10 < code < 20 and code != 11:
+                body += struct.pack("<2d", xyz[:, 2].min(), xyz[:, 2].max()) + xyz[:, 2].tobytes()
+        index += struct.pack(">2i", at // 2, len(body) // 2)
+        records += struct.pack(">2i", number, len(body) // 2) + body
+        at += 8 + len(body)
+
+    def head(size: int) -> bytes:
+        return struct.pack(">i20xi", 9994, size // 2) + struct.pack("<2i8d", 1000, code, *[0.0] * 8)
+
+    width = 1 + sum(size for _, _, size, _ in fields)
+    table = struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(fields), width)
+    for name, kind, size, decimals in fields:
+        table += struct.pack("<11sc4xBB14x", name.encode(), kind.encode(), size, decimals)
+    table += b"\r"
+    for i, row in enumerate(rows):
+        cells = b"".join(t.encode().ljust(f[2])[: f[2]] for t, f in zip(row, fields))
+        table += (b"*" if i in deleted else b" ") + cells
+    return {"shp": head(at) + records, "shx": head(100 + len(index)) + index, "dbf": table + b"\x1a"}
+
+
+def duckdb_file(statements: list[str], rows: dict[str, list[tuple]]) -> bytes:
+    """Content of a DuckDB file after ``statements`` and inserts into the named tables."""
+    import duckdb
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "new.duckdb")
+        with duckdb.connect(path) as connection:
+            for statement in statements:
+                connection.execute(statement)
+            for target, values in rows.items():
+                marks = ", ".join("?" * len(values[0]))
+                connection.executemany(f"INSERT INTO {target} VALUES ({marks})", values)
+        with open(path, "rb") as handle:
+            return handle.read()
+
+
+# Derived datasets ------------------------------------------------------------------
+
+
+def raster_pixels(orders: DataFrame) -> DataFrame:
+    """``(raster, pos, value)``: order k is pixel k mod 3000 of raster k div 3000."""
+    size = RASTER_WIDTH * RASTER_HEIGHT
+    k = F.col("o_orderkey")
+    return orders.groupBy(k.alias("k")).agg(F.max(k * 31 % 251).alias("value")).select(
+        F.expr(f"k DIV {size}").alias("raster"), (F.col("k") % size).cast("int").alias("pos"),
+        F.col("value").cast("int").alias("value"),
+    )
+
+
+def raster_files(spark: SparkSession, orders: DataFrame) -> str:
+    """A folder with one GeoTIFF per raster; odd ones are deflated."""
+    folder = scratch_path(spark, "rasters")
+    groups = raster_pixels(orders).groupBy("raster").agg(
+        F.collect_list("pos").alias("pos"), F.collect_list("value").alias("value")
+    )
+
+    def content(row: dict) -> dict[str, bytes]:
+        pixels = np.zeros(RASTER_WIDTH * RASTER_HEIGHT, "u1")
+        pixels[np.asarray(row["pos"])] = np.asarray(row["value"])
+        grid = pixels.reshape(1, RASTER_HEIGHT, RASTER_WIDTH)
+        number = int(row["raster"])
+        image = tiff(grid, number * 600.0, 1000.0, 10.0, 2193, deflate=bool(number % 2))
+        return {f"raster-{number}.tif": image}
+
+    write_files(groups, folder, content)
+    return folder
+
+
+def rectangle_shapefiles(spark: SparkSession, part: DataFrame) -> str:
+    """A folder of polygon shapefiles, 500 part keys each."""
+    folder = scratch_path(spark, "shapes")
+    k = F.col("p_partkey")
+    groups = part.groupBy(F.expr("p_partkey DIV 500").alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct(k.alias("k"), "p_brand", "p_size"))).alias("rows")
+    )
+
+    def ring(x0, y0, x1, y1, clockwise):
+        corners = [(x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0)]
+        return np.array(corners if clockwise else corners[::-1])
+
+    def content(row: dict) -> dict[str, bytes]:
+        shapes, texts = [], []
+        for item in row["rows"]:
+            k, size = int(item["k"]), float(item["p_size"])
+            x, y = k % 1000 * 100.0, k // 1000 * 100.0
+            lines = [ring(x, y, x + size, y + k % 7 + 1, True)]
+            if k % 2 == 0:
+                lines.append(ring(x + 0.25, y + 0.25, x + 0.75, y + 0.75, False))
+            shapes.append(lines)
+            texts.append([str(k), item["p_brand"], f"{size / 4:.2f}"])
+        fields = [("PARTKEY", "N", 12, 0), ("Brand", "C", 20, 0), ("QUARTER", "N", 10, 2)]
+        files = shapefile(5, shapes, fields, texts)
+        return {f"parts-{int(row['file'])}.{suffix}": data for suffix, data in files.items()}
+
+    write_files(groups, folder, content)
+    return folder
+
+
+def customer_duckdb(spark: SparkSession, customer: DataFrame) -> str:
+    """A folder of DuckDB files with a table ``sales.customers``, 500 keys each."""
+    folder = scratch_path(spark, "duckdb")
+    groups = customer.groupBy(F.expr("c_custkey DIV 500").alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows")
+    )
+
+    def content(row: dict) -> dict[str, bytes]:
+        rows = []
+        for item in row["rows"]:
+            k = int(item["c_custkey"])
+            place = f"POINT({-180 + k * 37 % 36000 / 100} {-80 + k * 53 % 16000 / 100})"
+            rows.append((k, item["c_name"], float(item["c_acctbal"]), k, place))
+        statements = [
+            "CREATE SCHEMA sales",
+            'CREATE TABLE sales.customers ("Cust Key" BIGINT PRIMARY KEY, "Full Name" VARCHAR NOT NULL,'
+            ' "Balance$" DOUBLE DEFAULT 0, big HUGEINT, geom GEOMETRY)',
+        ]
+        data = duckdb_file(statements, {"sales.customers": rows})
+        return {f"customers-{int(row['file'])}.duckdb": data}
+
+    write_files(groups, folder, content)
+    return folder
+
+
+def feature_pages(customer: DataFrame, kind: str) -> DataFrame:
+    """``(page, text)``: 100 customer keys per page of a feature service."""
+    k = F.col("c_custkey")
+    lon = F.lit(-180.0) + (k * 37 % 36000) / 100.0
+    lat = F.lit(-80.0) + (k * 53 % 16000) / 100.0
+    attributes = F.struct(
+        k.alias("OBJECTID"), F.col("c_name").alias("Name"), F.col("c_acctbal").alias("Balance"),
+        (k * 86_400_000).alias("Edited"),
+    )
+    if kind == "pjson":
+        shape = F.struct(lon.alias("x"), lat.alias("y"))
+        feature = F.struct(attributes.alias("attributes"), shape.alias("geometry"))
+        head = ('{"spatialReference":{"wkid":4326},"fields":['
+                '{"name":"OBJECTID","type":"esriFieldTypeOID"},'
+                '{"name":"Name","type":"esriFieldTypeString"},'
+                '{"name":"Balance","type":"esriFieldTypeDouble"},'
+                '{"name":"Edited","type":"esriFieldTypeDate"}],"features":[')
+    else:
+        shape = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+        feature = F.struct(F.lit("Feature").alias("type"), attributes.alias("properties"),
+                           shape.alias("geometry"))
+        head = '{"type":"FeatureCollection","features":['
+    return customer.groupBy(F.expr("c_custkey DIV 100").alias("page")).agg(
+        F.concat(F.lit(head), F.concat_ws(",", F.collect_list(F.to_json(feature))), F.lit("]}")).alias("text")
+    )
+
+
+def wfs_files(spark: SparkSession, customer: DataFrame) -> str:
+    """A folder of GetFeature responses, 100 customer keys each."""
+    folder = scratch_path(spark, "wfs")
+    k = F.col("c_custkey")
+    place = F.concat_ws(" ", F.lit(-180.0) + (k * 37 % 36000) / 100.0,
+                        F.lit(-80.0) + (k * 53 % 16000) / 100.0)
+    member = F.concat(
+        F.lit('<wfs:member><shop:customer gml:id="customer.'), k, F.lit('"><shop:key>'), k,
+        F.lit("</shop:key><shop:name>"), F.col("c_name"), F.lit("</shop:name><shop:place>"),
+        F.lit('<gml:Point srsName="EPSG:4326"><gml:pos>'), place,
+        F.lit("</gml:pos></gml:Point></shop:place></shop:customer></wfs:member>"),
+    )
+    head = ('<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0"'
+            ' xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:shop="http://example.org/shop">')
+    pages = customer.groupBy(F.expr("c_custkey DIV 100").alias("page")).agg(
+        F.concat(F.lit(head), F.concat_ws("", F.collect_list(member)),
+                 F.lit("</wfs:FeatureCollection>")).alias("text")
+    )
+    write_files(pages, folder, lambda row: {f"page-{row['page']}.xml": row["text"].encode()})
+    return folder

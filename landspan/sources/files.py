@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,15 @@ from landspan.workspace import pinned
 MAX_TASKS = 50_000
 
 
+def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
+    local = re.sub(r"^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(local) if "://" in local else (pafs.LocalFileSystem(), local)
+
+
 def open_file(path: str):
     """Random-access handle on a local path or any URI Arrow knows."""
-    local = re.sub(r"^file:/*", "/", path)
-    if "://" in local:
-        system, inner = pafs.FileSystem.from_uri(local)
-        return system.open_input_file(inner)
-    return pafs.LocalFileSystem().open_input_file(local)
+    system, inner = _resolve(path)
+    return system.open_input_file(inner)
 
 
 def read_at(path: str, start: int, size: int) -> bytes:
@@ -58,3 +62,24 @@ def spread(pieces: DataFrame, *order: str) -> DataFrame:
     listed = pinned(pieces)
     tasks = max(1, min(listed.count(), MAX_TASKS))
     return listed.repartitionByRange(tasks, *order)
+
+
+def write_files(rows: DataFrame, folder: str, content: Callable[[dict], dict[str, bytes]]) -> int:
+    """Write the files of every row, as ``content`` names them (name -> bytes); their number.
+
+    Tasks write the files of their own rows; writing one again replaces it.
+    """
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _resolve(folder)
+        system.create_dir(base, recursive=True)
+        for frame in frames:
+            written = 0
+            for row in frame.to_dict("records"):
+                for name, data in content(row).items():
+                    with system.open_output_stream(f"{base}/{name}") as out:
+                        out.write(data)
+                    written += 1
+            yield pd.DataFrame({"written": [written]})
+
+    return rows.mapInPandas(put, "written long").agg(F.sum("written")).first()[0] or 0

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from landspan.functions import geometry as geo
 from landspan.sources.features import fetch_pages
+from landspan.sources.files import write_files
 from landspan.workspace import scratch_path
 
 _RING = "struct<`gml:LinearRing`:struct<`gml:posList`:string>>"
@@ -41,9 +42,9 @@ def fetch_wfs(
         return f"{query}&startIndex={page * page_size}&count={page_size}"
 
     pages = fetch_pages(spark, page_url, -(-int(hits.group(1)) // page_size), fetch)
-    # One line per page: the XML reader looks for the row tag, wherever lines end.
+    # The XML reader expects one document per file.
     path = scratch_path(spark, "wfs")
-    pages.select(F.regexp_replace("text", r"[\r\n]+", " ")).write.text(path)
+    write_files(pages, path, lambda row: {f"page-{row['page']}.xml": row["text"].encode()})
     return read_wfs(spark, path, layer)
 
 
