@@ -84,7 +84,7 @@ def promote_to_multi(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).withField("kind", multi))
 
 
-def _offsets(lists: pa.ListArray) -> np.ndarray:
+def offsets(lists: pa.ListArray) -> np.ndarray:
     """Offsets of a list array; one zero when it is empty, as its buffer may be unset."""
     return lists.offsets.to_numpy() if len(lists) else np.zeros(1, "i4")
 
@@ -102,7 +102,7 @@ def _move_batch(source: int | None, target: int):
         x = points.field("x").to_numpy(zero_copy_only=False)
         y = points.field("y").to_numpy(zero_copy_only=False)
         # Row -> vertex range, by following the three offset buffers.
-        bounds = _offsets(lines)[_offsets(rings)[_offsets(parts)]]
+        bounds = offsets(lines)[offsets(rings)[offsets(parts)]]
         if source is None:
             declared = geoms.field("srid").fill_null(0).to_numpy(zero_copy_only=False)
             code = np.repeat(np.where(declared == 0, target, declared), np.diff(bounds))
@@ -118,7 +118,7 @@ def _move_batch(source: int | None, target: int):
             [pa.array(new_x), pa.array(new_y), points.field("z")], names=["x", "y", "z"]
         )
         for level in (lines, rings, parts):
-            moved = pa.ListArray.from_arrays(pa.array(_offsets(level)), moved)
+            moved = pa.ListArray.from_arrays(pa.array(offsets(level)), moved)
         gone = pa.array(bad | geoms.is_null().to_numpy(zero_copy_only=False))
         srid = pa.array(np.full(len(geoms), target, dtype="int32"))
         return pa.StructArray.from_arrays(
@@ -258,15 +258,19 @@ def ring_parts(rings: Column) -> Column:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Expose the scalar geometry functions to SQL scripts as inlined SQL functions."""
+    """Expose the scalar geometry functions to SQL scripts as inlined SQL functions.
+
+    Spark reserves the names ``st_srid`` and ``st_setsrid`` for its own geometry type,
+    hence ``st_get_srid`` and ``st_set_srid``.
+    """
     bodies = {
         "st_area(g {t}) RETURNS DOUBLE": _AREA.format(g="g"),
         "st_x(g {t}) RETURNS DOUBLE": _FIRST.format(g="g") + ".x",
         "st_y(g {t}) RETURNS DOUBLE": _FIRST.format(g="g") + ".y",
-        "st_setsrid(g {t}, epsg INT) RETURNS {t}": (
+        "st_set_srid(g {t}, epsg INT) RETURNS {t}": (
             "if(g IS NULL, NULL, named_struct('srid', epsg, 'kind', g.kind, 'parts', g.parts))"
         ),
-        "st_srid(g {t}) RETURNS INT": "g.srid",
+        "st_get_srid(g {t}) RETURNS INT": "g.srid",
         "st_multi(g {t}) RETURNS {t}": (
             "if(g IS NULL, NULL, named_struct('srid', g.srid, 'kind',"
             " if(g.kind LIKE 'Multi%', g.kind, concat('Multi', g.kind)), 'parts', g.parts))"

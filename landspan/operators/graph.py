@@ -2,8 +2,7 @@
 
 ``nodes(node_id, kind)``, ``owns(node_id, schema, name, type)``, ``deps`` of the same
 shape, ``edges(child, parent)``.  Iterative operators keep one frontier per round, write
-it to the shared folder, and stop when a round is empty; a frontier is broadcast only
-when its counted rows are few.
+it to the shared folder, and stop when a round is empty.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.operators.recursion import recursive_union
-from landspan.workspace import Rounds, materialize, small
+from landspan.workspace import Rounds, materialize
 
 OBJECT = ["schema", "name", "type"]
 
@@ -74,38 +73,34 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     ids = nodes.select("node_id").distinct()
     links = materialize(edges.select("child", "parent").distinct(), "links")
-    need = links.groupBy("child").agg(F.count("*").alias("open"))
-    waiting = materialize(
-        ids.join(need, F.col("node_id") == F.col("child"), "left")
-        .select("node_id", F.coalesce("open", F.lit(0)).cast("long").alias("open")),
-        "waiting",
+    need = materialize(
+        links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("parents")), "need"
     )
-    settled = Rounds(spark, "levels", ids.select("node_id", F.lit(0).alias("level")).schema)
+    start = ids.join(need, "node_id", "left_anti").withColumn("level", F.lit(0))
+    settled = Rounds(spark, "levels", start.schema)
+    closings = Rounds(spark, "closings", need.withColumnRenamed("parents", "closed").schema)
     level = 0
-    frontier, rows = settled.append(
-        waiting.where("open = 0").select("node_id", F.lit(0).alias("level"))
-    )
-    waiting = waiting.where("open > 0")
-    while rows:
+    frontier = settled.append(start)
+    while not frontier.isEmpty():
         level += 1
-        parents = small(frontier.select(F.col("node_id").alias("parent")), rows)
-        closed = (
+        parents = frontier.select(F.col("node_id").alias("parent"))
+        touched = closings.append(
             links.join(parents, "parent", "left_semi")
-            .groupBy(F.col("child").alias("node_id"))
-            .agg(F.count("*").alias("closed"))
+            .groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("closed"))
         )
-        waiting = materialize(
-            waiting.join(closed, "node_id", "left").select(
-                "node_id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")
-            ),
-            "waiting",
+        # Only the children touched in this round can settle in it.
+        keys = touched.select("node_id")
+        so_far = (
+            closings.all().join(keys, "node_id", "left_semi")
+            .groupBy("node_id").agg(F.sum("closed").alias("closed"))
         )
-        frontier, rows = settled.append(
-            waiting.where("open = 0").select("node_id", F.lit(level).alias("level"))
+        ready = need.join(keys, "node_id", "left_semi").join(so_far, "node_id")
+        frontier = settled.append(
+            ready.where("closed = parents").select("node_id", F.lit(level).alias("level"))
         )
-        waiting = waiting.where("open > 0")
-    cyclic = waiting.select("node_id", F.lit(None).cast("int").alias("level"))
-    return settled.all().unionByName(cyclic)
+    done = settled.all()
+    cyclic = ids.join(done, "node_id", "left_anti").withColumn("level", F.lit(None).cast("int"))
+    return done.unionByName(cyclic)
 
 
 def require_acyclic(node_levels: DataFrame) -> None:

@@ -41,10 +41,15 @@ def morton(x: Column, y: Column, frame: tuple[float, float, float, float]) -> Co
     return _spread(cell(x, xmin, xmax)).bitwiseOR(F.shiftleft(_spread(cell(y, ymin, ymax)), 1))
 
 
-def frame_of(df: DataFrame) -> tuple[float, float, float, float] | None:
-    """Extent over the bounding box columns; None when there is no geometry."""
+def marker(column: str) -> str:
+    """Value of the layout property for a table laid out along ``column``."""
+    return f"{column}:morton"
+
+
+def frame_of(df: DataFrame) -> tuple[float, float, float, float]:
+    """Extent over the bounding box columns; all zero when there is no geometry."""
     row = df.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
-    return None if row[0] is None else tuple(row)
+    return (0.0, 0.0, 0.0, 0.0) if row[0] is None else tuple(row)
 
 
 def cluster(df: DataFrame, frame: tuple[float, float, float, float]) -> DataFrame:

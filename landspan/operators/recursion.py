@@ -7,22 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspan.workspace import Rounds, small
+from landspan.workspace import Rounds
 
 
 def recursive_union(base: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Distinct rows of ``base`` and of ``step`` applied over and over to new rows only.
 
     Ends when a round brings nothing new, so cycles end too.  Every round is written to
-    the shared folder; the frontier handed to ``step`` carries a broadcast hint only when
-    its counted rows are few.
+    the shared folder, which keeps the plan the same size in every round.
     """
     start = base.distinct()
     found = Rounds(base.sparkSession, "recursion", start.schema)
-    frontier, rows = found.append(start)
-    while rows:
+    frontier = found.append(start)
+    while not frontier.isEmpty():
         known = found.all().alias("known")
-        fresh = step(small(frontier, rows)).select(start.columns).distinct().alias("fresh")
+        fresh = step(frontier).select(start.columns).distinct().alias("fresh")
         same = [F.col(f"fresh.`{c}`").eqNullSafe(F.col(f"known.`{c}`")) for c in start.columns]
-        frontier, rows = found.append(fresh.join(known, same, "left_anti"))
+        frontier = found.append(fresh.join(known, same, "left_anti"))
     return found.all()

@@ -70,13 +70,12 @@ def publish(
 
 def index_geometry(spark: SparkSession, table: str, column: str) -> bool:
     """Lay a table out along ``column``; False when that was already done."""
-    wanted = f"{column}:morton"
+    wanted = layout.marker(column)
     if layout.layout_of(spark, sql_name(table)) == wanted:
         return False
     rows = spark.table(sql_name(table)).drop(*layout.BOX, "morton")
     boxed = layout.add_bounds(rows, column)
-    frame = layout.frame_of(boxed) or (0.0, 0.0, 0.0, 0.0)
-    replace_table(layout.cluster(boxed, frame), table, {layout.LAYOUT_PROPERTY: wanted})
+    replace_table(layout.cluster(boxed, layout.frame_of(boxed)), table, {layout.LAYOUT_PROPERTY: wanted})
     return True
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from landspan.functions import geometry as geo
 from landspan.operators import checks, columns, georef, layout, tables
 from landspan.sources import csv, duckdb, features, raster, shapefile, wfs
+from landspan.workspace import materialize
 
 
 @dataclass(frozen=True)
@@ -151,8 +152,9 @@ def _keys(df: DataFrame, source: Source) -> list[str]:
 def load(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
     """Read, check and publish one dataset; returns the new table.
 
-    The rows are written once, to a staging table.  Checks run on that copy, so the source
-    is read once and a violation leaves the old table in place.
+    Checks run on a written copy, so the source is read once and a violation leaves the
+    old table in place.  Without an index that copy is the staging table itself; with one,
+    the checked copy is written again in its spatial layout.
     """
     df = read(spark, source, dest)
     schema, name = tables.split_name(dest.table)
@@ -160,28 +162,38 @@ def load(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
     tables.ensure_schemas(spark, [schema])
     spark.sql(f"DROP TABLE IF EXISTS {tables.sql_name(staged)}")
     is_raster = isinstance(source, RasterSource)
-    properties, plan = {}, df
-    if is_raster and dest.raster_index:
-        # The bounds are plain columns of the tiles already, so no frame pass is needed here.
-        plan = df.repartitionByRange("path", "tile_row", "tile_col")
-    if is_raster:
-        packed = [c for c in plan.columns if c not in ("rid", *layout.BOX)]
-        box = [c for c in layout.BOX if dest.raster_index]
-        plan = plan.select(
-            "rid", F.struct(*packed, *layout.BOX).alias(dest.raster_column), *box
-        )
-    plan.write.mode("overwrite").saveAsTable(tables.sql_name(staged))
-    rows = spark.table(tables.sql_name(staged))
+    indexed = geo.geometry_columns(df) if dest.geom_index else []
+    if len(indexed) > 1:
+        raise ValueError(f"a table has one spatial layout, not one for each of {indexed}")
+    if indexed or (is_raster and dest.raster_index):
+        rows = materialize(df, "load")
+    else:
+        _packed(df, dest, is_raster).write.saveAsTable(tables.sql_name(staged))
+        rows = spark.table(tables.sql_name(staged))
     checks.require_not_null(rows, list(duckdb.declared(df, duckdb.NOT_NULL)))
     keys = _keys(df, source)
     if keys:
         checks.require_key(rows, keys)
     if is_raster and dest.raster_constraints:
-        checks.require_raster_constraints(rows.select(f"{dest.raster_column}.*"))
+        tiles = rows if dest.raster_index else rows.select(f"{dest.raster_column}.*")
+        checks.require_raster_constraints(tiles)
+    properties = {}
+    if indexed or (is_raster and dest.raster_index):
+        column = dest.raster_column if is_raster else indexed[0]
+        boxed = rows if is_raster else layout.add_bounds(rows, column)
+        laid_out = layout.cluster(boxed, layout.frame_of(boxed))
+        _packed(laid_out, dest, is_raster).write.saveAsTable(tables.sql_name(staged))
+        properties = {layout.LAYOUT_PROPERTY: layout.marker(column)}
     tables.publish(spark, staged, dest.table, properties)
-    if dest.geom_index and not dest.attributes_only:
-        for column in geo.geometry_columns(rows):
-            tables.index_geometry(spark, dest.table, column)
     for column, value in duckdb.declared(df, duckdb.DEFAULT).items():
         columns.set_default(spark, dest.table, column, str(value))
     return spark.table(tables.sql_name(dest.table))
+
+
+def _packed(df: DataFrame, dest: Destination, is_raster: bool) -> DataFrame:
+    """Raster tiles in one column, bounds and key beside it when indexed; vectors as is."""
+    if not is_raster:
+        return df
+    beside = [*layout.BOX, "morton"] if dest.raster_index else []
+    tile = [c for c in df.columns if c not in ("rid", "morton")]
+    return df.select("rid", F.struct(*tile).alias(dest.raster_column), *beside)

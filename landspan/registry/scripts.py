@@ -81,7 +81,7 @@ def e_spatial_functions(spark, folder):
     register_functions(spark)
     derived.part_rectangles(table(spark, folder, "part")).createOrReplaceTempView("rects")
     return _run(spark, folder, "spatial", """
-        select p_partkey, st_area(geom) as area, st_srid(st_setsrid(geom, 3857)) as srid,
+        select p_partkey, st_area(geom) as area, st_get_srid(st_set_srid(geom, 3857)) as srid,
             st_multi(geom).kind as kind, st_x(geom) as x, st_y(st_point(1, p_partkey)) as y
         from rects""")
 

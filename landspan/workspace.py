@@ -7,12 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A frame of a few narrow columns may be broadcast up to this many rows.
-BROADCAST_ROWS = 500_000
-
 
 @functools.cache
 def _one_machine_root() -> str:
@@ -66,19 +62,17 @@ class Rounds:
         self._schema = schema
         self._count = 0
 
-    def append(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """Write one round; returns it re-read together with its row count."""
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write one round and return it re-read.
+
+        A frame read from files has their true size as its statistic, so Catalyst
+        broadcasts a small round by itself and shuffles for a large one.
+        """
         path = f"{self._path}/round={self._count:06d}"
         df.select(self._schema.names).write.parquet(path)
         self._count += 1
-        batch = self._spark.read.schema(self._schema).parquet(path)
-        return batch, batch.count()
+        return self._spark.read.schema(self._schema).parquet(path)
 
     def all(self) -> DataFrame:
         """Rows of every round so far."""
         return self._spark.read.schema(self._schema).parquet(self._path).select(self._schema.names)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint when the counted rows stay below the limit, else the frame as is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
