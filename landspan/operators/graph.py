@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landspan.operators.recursion import recursive_union
 from landspan.workspace import Rounds, materialize
@@ -70,35 +71,34 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     never settle lie on or below a cycle.  Sorting by (level, node_id) is a topological
     order.
     """
-    spark = nodes.sparkSession
     ids = nodes.select("node_id").distinct()
     links = materialize(edges.select("child", "parent").distinct(), "links")
     need = materialize(
         links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("parents")), "need"
     )
-    start = ids.join(need, "node_id", "left_anti").withColumn("level", F.lit(0))
-    settled = Rounds(spark, "levels", start.schema)
-    closings = Rounds(spark, "closings", need.withColumnRenamed("parents", "closed").schema)
+    # One row per node and round that closed some of its parents; ``level`` once all are.
+    roots = ids.join(need, "node_id", "left_anti").select(
+        "node_id", F.lit(0).cast("long").alias("closed"), F.lit(0).alias("level")
+    )
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in roots.schema.fields])
+    seen = Rounds(nodes.sparkSession, "levels", schema)
     level = 0
-    frontier = settled.append(start)
+    frontier = seen.append(roots).where("level IS NOT NULL")
     while not frontier.isEmpty():
         level += 1
-        parents = frontier.select(F.col("node_id").alias("parent"))
-        touched = closings.append(
-            links.join(parents, "parent", "left_semi")
+        touched = (
+            links.join(frontier.select(F.col("node_id").alias("parent")), "parent", "left_semi")
             .groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("closed"))
         )
-        # Only the children touched in this round can settle in it.
-        keys = touched.select("node_id")
-        so_far = (
-            closings.all().join(keys, "node_id", "left_semi")
-            .groupBy("node_id").agg(F.sum("closed").alias("closed"))
-        )
-        ready = need.join(keys, "node_id", "left_semi").join(so_far, "node_id")
-        frontier = settled.append(
-            ready.where("closed = parents").select("node_id", F.lit(level).alias("level"))
+        before = (
+            seen.all().join(touched, "node_id", "left_semi")
+            .groupBy("node_id").agg(F.sum("closed").alias("before"))
         )
-    done = settled.all()
+        total = F.col("closed") + F.coalesce("before", F.lit(0))
+        ready = F.when(total == F.col("parents"), F.lit(level))
+        step = touched.join(before, "node_id", "left").join(need, "node_id")
+        frontier = seen.append(step.withColumn("level", ready)).where("level IS NOT NULL")
+    done = seen.all().where("level IS NOT NULL").select("node_id", "level")
     cyclic = ids.join(done, "node_id", "left_anti").withColumn("level", F.lit(None).cast("int"))
     return done.unionByName(cyclic)
 
