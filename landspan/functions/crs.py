@@ -7,7 +7,7 @@ shifts are out of scope (the WGS84 and GRS80 frames are taken as equal).
 
 Each formula is written once over a small set of math functions, so it runs both
 as a Catalyst expression (points, inside whole-stage codegen) and on whole numpy
-coordinate buffers (lines and polygons, one call per Arrow batch).
+coordinate buffers (any kind, one call per Arrow batch).
 """
 
 from __future__ import annotations

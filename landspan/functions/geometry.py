@@ -133,36 +133,37 @@ def reproject(
 ) -> DataFrame:
     """Coordinates and SRID of ``column`` in ``target``.
 
-    ``source`` None takes the SRID each row declares (0 means: assign only).
-    Points are moved by Catalyst expressions; other kinds by numpy on the flattened
-    coordinates of each Arrow batch.  ``points_only`` leaves the second way out of
-    the plan, and a row of another kind then raises.  A geometry with a vertex
-    outside the projection becomes NULL.
+    ``source`` None takes the SRID each row declares (0 means: assign only).  Geometries
+    are moved by numpy on the flattened coordinates of each Arrow batch; rows that are in
+    ``target`` already stay in the JVM.  ``points_only`` promises points: they are moved by
+    Catalyst expressions inside whole-stage codegen, and another kind raises.  A geometry
+    with a vertex outside the projection becomes NULL.
     """
     crs.check_supported(target)
     if source is not None:
         crs.check_supported(source)
     geom, first = F.col(column), first_vertex(column)
     declared = F.coalesce(geom["srid"], F.lit(0))
-    code = source if source is not None else F.when(declared == 0, target).otherwise(declared)
-    px, py = f"__{column}_x", f"__{column}_y"
-    is_point = geom["kind"] == "Point"
-    if points_only:
-        others = F.raise_error(F.lit(f"{column}: points_only, but another kind was found"))
-        others = others.cast(GEOMETRY)
-    else:
+    assigned = geom.withField("srid", F.lit(target))
+    stays = declared.isin(0, target) if source is None else F.lit(source == target)
+    if not points_only:
         mover = F.arrow_udf(_move_batch(source, target), GEOMETRY)
-        others = mover(F.when(~is_point, geom))
-    placed = df.withColumns({px: F.when(is_point, first["x"]), py: F.when(is_point, first["y"])})
+        return df.withColumn(
+            column, F.when(stays, assigned).otherwise(mover(F.when(~stays, geom)))
+        )
+    other = F.raise_error(F.lit(f"{column}: points_only, but another kind was found"))
+    code = source if source is not None else F.when(stays, F.lit(target)).otherwise(declared)
+    px, py = f"__{column}_x", f"__{column}_y"
+    placed = df.withColumns({px: first["x"], py: first["y"]})
     return (
         crs.project_columns(placed, px, py, code, target)
         .withColumn(
             column,
             F.when(geom.isNull(), None)
-            .when(is_point & first.isNull(), geom.withField("srid", F.lit(target)))
-            .when(is_point & (F.isnan(px) | F.isnan(py)), None)
-            .when(is_point, point(F.col(px), F.col(py), first["z"], target))
-            .otherwise(others),
+            .when(geom["kind"] != "Point", other.cast(GEOMETRY))
+            .when(first.isNull(), assigned)
+            .when(F.isnan(px) | F.isnan(py), None)
+            .otherwise(point(F.col(px), F.col(py), first["z"], target)),
         )
         .drop(px, py)
     )

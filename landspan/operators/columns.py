@@ -14,8 +14,8 @@ from landspan.workspace import pinned
 
 
 def quoted(name: str) -> str:
-    """Identifier in back quotes, dotted names part by part."""
-    return ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+    """One identifier in back quotes."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def laundered(name: str) -> str:
@@ -87,4 +87,5 @@ def add_feature_id(df: DataFrame, name: str = "gid", order_by: list[str] | None
 
 def set_default(spark: SparkSession, table: str, column: str, default: str) -> None:
     """Default (a SQL literal) for later inserts; existing rows keep their values."""
-    spark.sql(f"ALTER TABLE {quoted(table)} ALTER COLUMN {quoted(column)} SET DEFAULT {default}")
+    target = ".".join(quoted(part) for part in table.split(".", 1))
+    spark.sql(f"ALTER TABLE {target} ALTER COLUMN {quoted(column)} SET DEFAULT {default}")

@@ -1,10 +1,14 @@
 """Queries over the run journal, run logs and freshness."""
 
+from pyspark.sql import functions as F
+
 from landspan.operators import graph, tables
 from landspan.operators import journal as jrn
 from landspan.plans import derived, freshness
 from landspan.plans.derived import table
 from landspan.registry.common import published, scratch_schema
+from landspan.streaming.logs import classified, classify_stream
+from landspan.workspace import scratch_path
 
 
 def _events_graph(spark, folder):
@@ -40,6 +44,21 @@ def h_log_levels(spark, folder):
     )
 
 
+def h_log_stream(spark, folder):
+    """The same lines as a stream of files."""
+    source, target = scratch_path(spark, "log-source"), scratch_path(spark, "log-stream")
+    lines = derived.log_lines(table(spark, folder, "events"))
+    lines = lines.withColumn("line_no", F.unix_micros(F.col("ts").cast("timestamp")))
+    last = lines.agg(F.max("event_id")).first()[0] or 0
+    for quarter in range(4):
+        # The lines of the next quarter arrive; the stream goes on where it stopped.
+        part = lines.where(F.expr(f"event_id * 4 DIV {last + 1} = {quarter}"))
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lines.schema).parquet(source)
+        classify_stream(stream, "run_id", "line_no", "text", target).awaitTermination()
+    return classified(spark, target).select("run_id", "event_id", "level")
+
+
 def d_journal_append(spark, folder):
     schema = scratch_schema(spark, "journal")
     name = f"{schema}.run_journal"
@@ -52,7 +71,8 @@ def d_journal_append(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    h_manifest, h_local_time, h_outdated, h_worklist, h_log_levels, d_journal_append,
+    h_manifest, h_local_time, h_outdated, h_worklist, h_log_levels, h_log_stream,
+    d_journal_append,
 )}
 
 _GRAPH = """
@@ -113,3 +133,4 @@ ORACLES = {
         SELECT 'host-' || CAST(event_id % 8 AS VARCHAR) AS hostname, count(*) AS records
         FROM events WHERE user_id % 11 <> 5 GROUP BY 1""",
 }
+ORACLES["h_log_stream"] = ORACLES["h_log_levels"]

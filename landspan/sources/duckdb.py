@@ -120,7 +120,7 @@ def read_duckdb(
         arrow = _batches(connection, query, 1).schema
     # Plain types only: extension names of the file format do not travel to Spark.
     arrow = pa.schema([pa.field(f.name, getattr(f.type, "storage_type", f.type)) for f in arrow])
-    schema = from_arrow_schema(arrow)
+    schema = from_arrow_schema(arrow, prefer_timestamp_ntz=True)
     ranges = files.select("path").mapInArrow(
         _ranges(table, rows_per_task), "path string, low long, high long"
     )
