@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landspan.operators.script_text import BODY, CREATE, LITERAL, NAME, TEMP
-from landspan.workspace import materialize
+from landspan.operators.script_text import BODY, CREATE, IDENT, LITERAL, NAME, TEMP
+from landspan.operators.tables import replace_table
+from landspan.workspace import materialize, pinned
 
 _COMMENT = re.compile(rf"({LITERAL})|--[^\n]*|(?s:/\*.*?\*/)")
 _STATEMENT = re.compile(rf"(?:{LITERAL}|{BODY}|[^;'$]|[$'])+")
@@ -17,6 +19,14 @@ _TEMP_TABLE = re.compile(rf"(?is)^{CREATE}{TEMP}table\s+(?:if\s+not\s+exists\s+)
 _BLOCK = re.compile(r"(?is)^\s*begin\b(?!\s*(?:;|transaction)).*\bend\s*;?\s*$")
 
 
+_ALIAS = rf"(?:\s+(?:as\s+)?(?!set\b)({IDENT}))?"
+_UPDATE = re.compile(
+    rf"(?is)^update\s+(?:only\s+)?({NAME}){_ALIAS}\s+set\s+(.*?)"
+    r"(?:\s+from\s+(.*?))?(?:\s+where\s+(.*))?$"
+)
+_ASSIGNMENT = re.compile(rf"(?:[^,()']|{LITERAL}|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))+")
+
+
 def split_statements(sql: str) -> list[str]:
     """Statements of one script; comments are dropped, quoted text stays whole."""
     plain = _COMMENT.sub(lambda m: m.group(1) or " ", sql)
@@ -36,8 +46,8 @@ def run_script(spark: SparkSession, sql: str) -> DataFrame | None:
 
     ``BEGIN ... END`` blocks run natively.  ``CREATE TEMP TABLE ... AS`` becomes a
     snapshot.  ``begin`` and ``commit`` have no effect, since Spark publishes each
-    statement on its own; ``rollback`` and ``UPDATE`` raise (see ``update_from``).
-    Returns the result of the last statement.
+    statement on its own; ``rollback`` raises.  ``UPDATE`` rewrites its table, see
+    ``update_table``.  Returns the result of the last statement.
     """
     if _BLOCK.match(sql):
         return spark.sql(sql)
@@ -48,13 +58,53 @@ def run_script(spark: SparkSession, sql: str) -> DataFrame | None:
             result = snapshot(spark.sql(temp.group(2)), temp.group(1).strip('"'))
         elif re.fullmatch(r"(?is)(begin|start)(\s+transaction)?|commit", statement):
             continue
-        elif re.match(r"(?is)(rollback|update)\b", statement):
-            raise NotImplementedError(f"no Spark statement for: {statement[:80]}")
+        elif re.match(r"(?i)rollback\b", statement):
+            raise NotImplementedError("a statement that was published cannot be rolled back")
+        elif _UPDATE.match(statement):
+            result = update_table(spark, *_UPDATE.match(statement).groups())
         else:
             result = spark.sql(statement)
     return result
 
 
+def _agreed(low: str, high: str) -> Column:
+    """The one value of a group; several different ones are an error."""
+    clash = F.raise_error(F.lit("several different source rows match one row"))
+    return F.when(F.col(low) == F.col(high), F.col(low)).otherwise(clash)
+
+
+def update_table(
+    spark: SparkSession, table: str, alias: str | None, assignments: str,
+    source: str | None = None, condition: str | None = None,
+) -> DataFrame:
+    """``UPDATE table [alias] SET assignments [FROM source] [WHERE condition]``.
+
+    The clauses are Spark SQL text.  The new version of the table replaces the old one;
+    source rows that disagree about one target row are an error.
+    """
+    alias = alias or table.split(".")[-1]
+    pairs = [m.group(0).split("=", 1) for m in _ASSIGNMENT.finditer(assignments)]
+    assign = {column.strip().strip('`"'): value.strip() for column, value in pairs}
+    old = spark.table(table)
+    rows = pinned(old.withColumn("__row", F.monotonically_increasing_id()))
+    view = f"update_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    new = ", ".join(f"{value} AS `{column}`" for column, value in assign.items())
+    hits = spark.sql(
+        f"SELECT {alias}.__row, struct({new}) AS new FROM {view} AS {alias}"
+        + (f", {source}" if source else "") + (f" WHERE {condition}" if condition else "")
+    )
+    one = hits.groupBy("__row").agg(F.min("new").alias("lo"), F.max("new").alias("hi")).select(
+        "__row", _agreed("lo", "hi").alias("new")
+    )
+    columns = [
+        F.when(F.col("new").isNotNull(), F.col("new")[f.name].cast(f.dataType))
+        .otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in assign else F.col(f"`{f.name}`")
+        for f in old.schema.fields
+    ]
+    return replace_table(rows.join(one, "__row", "left").select(columns), table)
+
+
 def update_from(
     target: DataFrame, source: DataFrame, on: dict[str, str], assign: dict[str, str]
 ) -> DataFrame:
@@ -73,10 +123,7 @@ def update_from(
         .groupBy(*[F.col(f"`{k}`") for k in source_keys])
         .agg(F.min(values).alias("__lo"), F.max(values).alias("__hi"))
     )
-    agreed = F.when(
-        F.col("__lo") == F.col("__hi"), F.col("__lo")
-    ).otherwise(F.raise_error(F.lit("several different source rows match one key")))
-    one = one.withColumn("__row", agreed).select(*source_keys, "__row.*").alias("s")
+    one = one.withColumn("__row", _agreed("__lo", "__hi")).select(*source_keys, "__row.*").alias("s")
     match = [F.col(f"t.`{a}`") == F.col(f"s.`{b}`") for a, b in on.items()]
     columns = [
         F.when(F.col("s.__hit"), F.expr(assign[c]).cast(target.schema[c].dataType))

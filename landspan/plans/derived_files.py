@@ -7,11 +7,14 @@ the number of files grows with the data.
 from __future__ import annotations
 
 import os
+import re
 import struct
-import tempfile
+import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,20 +120,35 @@ def shapefile(code: int, shapes: list, fields: list[tuple], rows: list[list[str]
     return {"shp": head(at) + records, "shx": head(100 + len(index)) + index, "dbf": table + b"\x1a"}
 
 
-def duckdb_file(statements: list[str], rows: dict[str, list[tuple]]) -> bytes:
-    """Content of a DuckDB file after ``statements`` and inserts into the named tables."""
-    import duckdb
+def duckdb_files(
+    groups: DataFrame, folder: str, statements: list[str], target: str,
+    rows: Callable[[dict], list[tuple]],
+) -> None:
+    """A DuckDB file per row of ``groups(file, ...)``, built in place in the shared folder.
 
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "new.duckdb")
-        with duckdb.connect(path) as connection:
-            for statement in statements:
-                connection.execute(statement)
-            for target, values in rows.items():
-                marks = ", ".join("?" * len(values[0]))
-                connection.executemany(f"INSERT INTO {target} VALUES ({marks})", values)
-        with open(path, "rb") as handle:
-            return handle.read()
+    ``folder`` must be mounted, as DuckDB opens no remote files.  Each attempt has a name
+    of its own and is renamed at the end, so a retried task replaces what it left.
+    """
+    base = re.sub(r"^file:/*", "/", folder)
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import duckdb
+
+        os.makedirs(base, exist_ok=True)
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                path = f"{base}/part-{int(row['file'])}.duckdb"
+                attempt = f"{path}.{uuid.uuid4().hex}"
+                with duckdb.connect(attempt) as connection:
+                    for statement in statements:
+                        connection.execute(statement)
+                    values = rows(row)
+                    marks = ", ".join("?" * len(values[0]))
+                    connection.executemany(f"INSERT INTO {target} VALUES ({marks})", values)
+                os.replace(attempt, path)
+            yield pd.DataFrame({"written": [len(frame)]})
+
+    groups.mapInPandas(build, "written long").agg(F.sum("written")).collect()
 
 
 # Derived datasets ------------------------------------------------------------------
@@ -202,21 +220,20 @@ def customer_duckdb(spark: SparkSession, customer: DataFrame) -> str:
         F.sort_array(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows")
     )
 
-    def content(row: dict) -> dict[str, bytes]:
-        rows = []
+    def rows(row: dict) -> list[tuple]:
+        out = []
         for item in row["rows"]:
             k = int(item["c_custkey"])
             place = f"POINT({-180 + k * 37 % 36000 / 100} {-80 + k * 53 % 16000 / 100})"
-            rows.append((k, item["c_name"], float(item["c_acctbal"]), k, place))
-        statements = [
-            "CREATE SCHEMA sales",
-            'CREATE TABLE sales.customers ("Cust Key" BIGINT PRIMARY KEY, "Full Name" VARCHAR NOT NULL,'
-            ' "Balance$" DOUBLE DEFAULT 0, big HUGEINT, geom GEOMETRY)',
-        ]
-        data = duckdb_file(statements, {"sales.customers": rows})
-        return {f"customers-{int(row['file'])}.duckdb": data}
-
-    write_files(groups, folder, content)
+            out.append((k, item["c_name"], float(item["c_acctbal"]), k, place))
+        return out
+
+    statements = [
+        "CREATE SCHEMA sales",
+        'CREATE TABLE sales.customers ("Cust Key" BIGINT PRIMARY KEY, "Full Name" VARCHAR NOT NULL,'
+        ' "Balance$" DOUBLE DEFAULT 0, big HUGEINT, geom GEOMETRY)',
+    ]
+    duckdb_files(groups, folder, statements, "sales.customers", rows)
     return folder
 
 

@@ -96,6 +96,17 @@ def e_update_from(spark, folder):
     )
 
 
+def e_update_script(spark, folder):
+    return _run(spark, folder, "update", """
+        create table {s}.orders using parquet as
+            select o_orderkey, o_custkey, o_totalprice, o_orderstatus from {orders};
+        update {s}.orders o set o_totalprice = o.o_totalprice + coalesce(c.c_acctbal, 0),
+            o_orderstatus = c_mktsegment
+        from {customer} c where c.c_custkey = o.o_custkey and c_nationkey < 10;
+        update {s}.orders set o_orderstatus = 'none; at all' where o_totalprice < 1000;
+        select * from {s}.orders""")
+
+
 def e_drop_alter(spark, folder):
     return _run(spark, folder, "alter", """
         create table {s}.t using parquet as select n_nationkey, n_regionkey from {nation};
@@ -110,7 +121,7 @@ def e_drop_alter(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     e_script, e_block, e_ctas, e_cte, e_insert_select, e_counts, e_functions,
-    e_spatial_functions, e_update_from, e_drop_alter,
+    e_spatial_functions, e_update_from, e_update_script, e_drop_alter,
 )}
 
 ORACLES = {
@@ -137,6 +148,12 @@ ORACLES = {
             CASE WHEN c_custkey IS NULL THEN o_totalprice ELSE o_totalprice + c_acctbal END AS o_totalprice,
             coalesce(c_mktsegment, o_orderstatus) AS o_orderstatus
         FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 10""",
+    "e_update_script": """SELECT o_orderkey, o_custkey, price AS o_totalprice,
+            CASE WHEN price < 1000 THEN 'none; at all' ELSE status END AS o_orderstatus
+        FROM (SELECT o_orderkey, o_custkey,
+                CASE WHEN c_custkey IS NULL THEN o_totalprice ELSE o_totalprice + c_acctbal END AS price,
+                coalesce(c_mktsegment, o_orderstatus) AS status
+            FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 10)""",
     "e_drop_alter": """SELECT n_regionkey, count(*) AS every, count(note) AS noted FROM (
             SELECT n_regionkey, NULL AS note FROM nation
             UNION ALL SELECT c_nationkey, c_name FROM customer) GROUP BY 1""",

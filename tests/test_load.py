@@ -193,6 +193,21 @@ def test_update_from(spark):
         transforms.update_from(target, clash, {"k": "id"}, {"v": "s.w"}).collect()
 
 
+def test_update_statement(spark, schema):
+    name = f"{schema}.u"
+    tables.replace_table(spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, t string, v int"), name)
+    spark.createDataFrame([(1, 5), (1, 5), (9, 9)], "id int, w int").createOrReplaceTempView("src")
+    out = transforms.run_script(spark, f"update {name} set v = greatest(v, w, (1 + (2))), t = 'x, y' "
+                                       f"from src where src.id = u.id")
+    assert {tuple(r) for r in out.collect()} == {(1, "x, y", 5), (2, "b", 2)}
+    transforms.run_script(spark, f"update {name} set v = 0")
+    assert {r["v"] for r in spark.table(name).collect()} == {0}
+    spark.createDataFrame([(1, 5), (1, 6)], "id int, w int").createOrReplaceTempView("src")
+    with pytest.raises(Exception, match="several different source rows"):
+        transforms.run_script(spark, f"update {name} set v = w from src where src.id = u.id")
+    assert {r["v"] for r in spark.table(name).collect()} == {0}
+
+
 def test_default_applies_to_later_rows_only(spark, schema):
     name = f"{schema}.d"
     tables.replace_table(spark.createDataFrame([(1, None)], "k int, v string"), name)

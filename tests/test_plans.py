@@ -12,13 +12,28 @@ from landspan.operators import checks, columns, graph, journal, layout
 from landspan.plans import derived
 
 
+@pytest.fixture
+def conf(spark):
+    """Set session options for one test."""
+    old = {}
+
+    def put(key, value):
+        old[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+
+    yield put
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
-def test_box_filter_and_columns_reach_the_scan(spark, table, tmp_path):
+def test_box_filter_and_columns_reach_the_scan(spark, table, tmp_path, conf):
     boxed = layout.add_bounds(derived.part_rectangles(table("part")), "geom")
     boxed.write.parquet(str(tmp_path / "t"))
+    conf("spark.sql.maxMetadataStringLength", "100000")
     found = layout.in_box(columns.attributes_only(spark.read.parquet(str(tmp_path / "t"))), (0.0, 0.0, 9.0, 9.0))
     plan = plan_of(found.select("p_partkey"))
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
@@ -56,7 +71,8 @@ def hot(spark):
         (F.col("id") % 50).alias("v"))
 
 
-def test_hot_groups_stay_whole(spark, hot):
+def test_hot_groups_stay_whole(spark, hot, conf):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
     worst = checks.key_violations(hot, ["k"]).orderBy(F.desc("copies")).first()
     assert worst["k"] == 7 and worst["copies"] >= 10_000
     lines = hot.select("k", "id", F.when(F.col("id") == 15_000, "Traceback (most recent call last):")
