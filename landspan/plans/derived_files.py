@@ -1,7 +1,7 @@
 """Datasets in foreign formats, written by tasks from the given tables.
 
-Small writers of the formats the readers understand; one bounded group of keys per file, so
-the number of files grows with the data.
+Small writers of the formats the readers understand.  A file holds a bounded run of rows,
+whatever keys they have, so the number of files grows with the data and none gets large.
 """
 
 from __future__ import annotations
@@ -142,9 +142,8 @@ def duckdb_files(
                 with duckdb.connect(attempt) as connection:
                     for statement in statements:
                         connection.execute(statement)
-                    values = rows(row)
-                    marks = ", ".join("?" * len(values[0]))
-                    connection.executemany(f"INSERT INTO {target} VALUES ({marks})", values)
+                    connection.register("new_rows", pd.DataFrame(rows(row)))
+                    connection.execute(f"INSERT INTO {target} SELECT * FROM new_rows")
                 os.replace(attempt, path)
             yield pd.DataFrame({"written": [len(frame)]})
 
@@ -154,6 +153,14 @@ def duckdb_files(
 # Derived datasets ------------------------------------------------------------------
 
 
+def runs_of(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Add a number shared by up to ``rows`` neighbouring rows of one partition.
+
+    Unlike a key range, such a run stays bounded when one key fills much of the table.
+    """
+    return df.withColumn(name, F.floor(F.monotonically_increasing_id() / rows))
+
+
 def raster_pixels(orders: DataFrame) -> DataFrame:
     """``(raster, pos, value)``: order k is pixel k mod 3000 of raster k div 3000."""
     size = RASTER_WIDTH * RASTER_HEIGHT
@@ -184,10 +191,10 @@ def raster_files(spark: SparkSession, orders: DataFrame) -> str:
 
 
 def rectangle_shapefiles(spark: SparkSession, part: DataFrame) -> str:
-    """A folder of polygon shapefiles, 500 part keys each."""
+    """A folder of polygon shapefiles, up to 500 parts each."""
     folder = scratch_path(spark, "shapes")
     k = F.col("p_partkey")
-    groups = part.groupBy(F.expr("p_partkey DIV 500").alias("file")).agg(
+    groups = runs_of(part, "file", 500).groupBy("file").agg(
         F.sort_array(F.collect_list(F.struct(k.alias("k"), "p_brand", "p_size"))).alias("rows")
     )
 
@@ -214,9 +221,9 @@ def rectangle_shapefiles(spark: SparkSession, part: DataFrame) -> str:
 
 
 def customer_duckdb(spark: SparkSession, customer: DataFrame) -> str:
-    """A folder of DuckDB files with a table ``sales.customers``, 500 keys each."""
+    """A folder of DuckDB files with a table ``sales.customers``, up to 500 rows each."""
     folder = scratch_path(spark, "duckdb")
-    groups = customer.groupBy(F.expr("c_custkey DIV 500").alias("file")).agg(
+    groups = runs_of(customer, "file", 500).groupBy("file").agg(
         F.sort_array(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows")
     )
 
@@ -238,7 +245,7 @@ def customer_duckdb(spark: SparkSession, customer: DataFrame) -> str:
 
 
 def feature_pages(customer: DataFrame, kind: str) -> DataFrame:
-    """``(page, text)``: 100 customer keys per page of a feature service."""
+    """``(page, text)``: up to 100 customers per page of a feature service."""
     k = F.col("c_custkey")
     lon = F.lit(-180.0) + (k * 37 % 36000) / 100.0
     lat = F.lit(-80.0) + (k * 53 % 16000) / 100.0
@@ -259,13 +266,13 @@ def feature_pages(customer: DataFrame, kind: str) -> DataFrame:
         feature = F.struct(F.lit("Feature").alias("type"), attributes.alias("properties"),
                            shape.alias("geometry"))
         head = '{"type":"FeatureCollection","features":['
-    return customer.groupBy(F.expr("c_custkey DIV 100").alias("page")).agg(
+    return runs_of(customer, "page", 100).groupBy("page").agg(
         F.concat(F.lit(head), F.concat_ws(",", F.collect_list(F.to_json(feature))), F.lit("]}")).alias("text")
     )
 
 
 def wfs_files(spark: SparkSession, customer: DataFrame) -> str:
-    """A folder of GetFeature responses, 100 customer keys each."""
+    """A folder of GetFeature responses, up to 100 customers each."""
     folder = scratch_path(spark, "wfs")
     k = F.col("c_custkey")
     place = F.concat_ws(" ", F.lit(-180.0) + (k * 37 % 36000) / 100.0,
@@ -278,7 +285,7 @@ def wfs_files(spark: SparkSession, customer: DataFrame) -> str:
     )
     head = ('<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0"'
             ' xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:shop="http://example.org/shop">')
-    pages = customer.groupBy(F.expr("c_custkey DIV 100").alias("page")).agg(
+    pages = runs_of(customer, "page", 100).groupBy("page").agg(
         F.concat(F.lit(head), F.concat_ws("", F.collect_list(member)),
                  F.lit("</wfs:FeatureCollection>")).alias("text")
     )

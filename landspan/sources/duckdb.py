@@ -32,7 +32,8 @@ def _connect(path: str):
     local = re.sub(r"^file:/*", "/", path)
     if "://" in local:
         raise ValueError(f"DuckDB opens mounted files only, not {path}")
-    return duckdb.connect(local, read_only=True)
+    # Spark spreads the ranges over cores, so one task is one thread.
+    return duckdb.connect(local, read_only=True, config={"threads": 1})
 
 
 def _dotted(table: str) -> str:
