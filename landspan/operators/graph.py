@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from landspan.operators.recursion import recursive_union
 from landspan.workspace import Rounds, materialize
@@ -73,31 +72,27 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = nodes.select("node_id").distinct()
     links = materialize(edges.select("child", "parent").distinct(), "links")
-    need = materialize(
-        links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("parents")), "need"
+    need = links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("parents"))
+    # A node starts with minus its number of parents; each round that settles some of them
+    # adds a row.  It settles in the round that brings its sum to zero.
+    start = ids.join(need, "node_id", "left").select(
+        "node_id", (-F.coalesce("parents", F.lit(0))).cast("long").alias("closed"),
+        F.when(F.col("parents").isNull(), F.lit(0)).alias("level"),
     )
-    # One row per node and round that closed some of its parents; ``level`` once all are.
-    roots = ids.join(need, "node_id", "left_anti").select(
-        "node_id", F.lit(0).cast("long").alias("closed"), F.lit(0).alias("level")
-    )
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in roots.schema.fields])
-    seen = Rounds(nodes.sparkSession, "levels", schema)
+    seen = Rounds(nodes.sparkSession, "levels", start.schema)
     level = 0
-    frontier = seen.append(roots).where("level IS NOT NULL")
+    frontier = seen.append(start).where("level IS NOT NULL")
     while not frontier.isEmpty():
         level += 1
         touched = (
             links.join(frontier.select(F.col("node_id").alias("parent")), "parent", "left_semi")
             .groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("closed"))
         )
-        before = (
-            seen.all().join(touched, "node_id", "left_semi")
-            .groupBy("node_id").agg(F.sum("closed").alias("before"))
+        history = seen.all().select("node_id", F.col("closed").alias("before"))
+        step = touched.join(history, "node_id").groupBy("node_id", "closed").agg(
+            F.when(F.sum("before") + F.col("closed") == 0, F.lit(level)).alias("level")
         )
-        total = F.col("closed") + F.coalesce("before", F.lit(0))
-        ready = F.when(total == F.col("parents"), F.lit(level))
-        step = touched.join(before, "node_id", "left").join(need, "node_id")
-        frontier = seen.append(step.withColumn("level", ready)).where("level IS NOT NULL")
+        frontier = seen.append(step).where("level IS NOT NULL")
     done = seen.all().where("level IS NOT NULL").select("node_id", "level")
     cyclic = ids.join(done, "node_id", "left_anti").withColumn("level", F.lit(None).cast("int"))
     return done.unionByName(cyclic)
