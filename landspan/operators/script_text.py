@@ -62,9 +62,9 @@ DATABASE_BUILTINS = """
 
 
 def _clean(sql: Column) -> Column:
-    """Drop comments, then the content of string literals."""
+    """Drop comments, the content of string literals, and parameter numbers."""
     plain = F.regexp_replace(sql, rf"({LITERAL})|--[^\n]*+|(?s:/\*.*?\*/)", "$1 ")
-    return F.regexp_replace(plain, LITERAL, "''")
+    return F.regexp_replace(F.regexp_replace(plain, LITERAL, "''"), r"\$\d+", "?")
 
 
 def _unquoted(name: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from landspan.operators.journal import line_level, starts_traceback
 
@@ -23,23 +22,18 @@ def classify_stream(
     """
     heads_path, lines_path = f"{folder}/headers", f"{folder}/lines"
 
-    def known_heads(spark, schema, batch_id: int) -> DataFrame:
-        try:
-            heads = spark.read.schema(schema).parquet(heads_path)
-        except AnalysisException:
-            return spark.createDataFrame([], schema)
-        return heads.where(F.col("batch") < batch_id).drop("batch")
-
     def classify(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         fresh = (
             batch.where(starts_traceback(F.col(text)))
             .groupBy(F.col(run).alias("__run")).agg(F.min(order).alias("__first"))
         )
         fresh.write.mode("overwrite").parquet(f"{heads_path}/batch={batch_id}")
-        written = spark.read.schema(fresh.schema).parquet(f"{heads_path}/batch={batch_id}")
-        earlier = known_heads(spark, T.StructType([*fresh.schema.fields, T.StructField("batch", T.LongType())]), batch_id)
-        first = written.unionByName(earlier).groupBy("__run").agg(F.min("__first").alias("__first"))
+        schema = T.StructType([*fresh.schema.fields, T.StructField("batch", T.LongType())])
+        heads = batch.sparkSession.read.schema(schema).parquet(heads_path)
+        first = (
+            heads.where(F.col("batch") <= batch_id)
+            .groupBy("__run").agg(F.min("__first").alias("__first"))
+        )
         joined = batch.join(first, batch[run] == first["__run"], "left")
         inside = F.coalesce(F.col(order) > F.col("__first"), F.lit(False))
         levels = joined.withColumn("level", line_level(F.col(text), inside))

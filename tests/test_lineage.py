@@ -174,3 +174,24 @@ def test_script(name, result):
             found[row["role"]].add((row["schema"], row["name"], row["type"]))
     assert found["created"] == made
     assert found["dependency"] == needs
+
+
+def test_very_long_scripts(spark):
+    """Long literals, lists, parameters and many statements in one text."""
+    many = " ".join(f"create table t{i} as select * from raw.s{i % 7};" for i in range(5000))
+    listed = ", ".join(f"a{i} x{i}" for i in range(800))
+    texts = {
+        "many": many,
+        "literal": "create table t as select '" + "it''s; " * 100_000 + "' as x from d;",
+        "list": f"create table t as select * from {listed};",
+        "in": "create table t as select * from d where k in (" + ", ".join(map(str, range(50_000))) + ");",
+        "params": "create table t as select * from d where k in (" + ", ".join(["$1"] * 20_000) + ");",
+        "comment": "/* " + "x; " * 200_000 + "*/ create table t as select 1 from d;",
+    }
+    objects, errors = lineage(spark.createDataFrame(list(texts.items()), "script_id string, sql string"))
+    assert errors.isEmpty()
+    counts = {(r["script_id"], r["role"]): r["count"] for r in objects.groupBy("script_id", "role").count().collect()}
+    assert counts[("many", "created")] == 5000 and counts[("many", "dependency")] == 7
+    assert counts[("list", "dependency")] == 800
+    for name in ("literal", "in", "params", "comment"):
+        assert counts[(name, "created")] == counts[(name, "dependency")] == 1
