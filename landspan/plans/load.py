@@ -100,7 +100,18 @@ def _vector(df: DataFrame, source, dest: Destination, multi: bool) -> DataFrame:
         if multi:
             df = geo.promote_to_multi(df, column)
     df = columns.launder(columns.rename_geometry(df, dest.geom_column))
-    return columns.add_feature_id(df, source.pk or "gid")
+    return _identified(df, columns.laundered(source.pk or "gid"))
+
+
+def _identified(df: DataFrame, key: str) -> DataFrame:
+    """A feature id named ``key``: an integer attribute of that name, else a new one."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if key not in kinds:
+        return columns.add_feature_id(df, key)
+    if not isinstance(kinds[key], T.IntegralType):
+        raise ValueError(f"{key} exists and is no integer, so it cannot be the feature id")
+    flagged = F.col(key).alias(key, metadata={duckdb.KEY: True})
+    return df.select(flagged, *[F.col(columns.quoted(c)) for c in df.columns if c != key])
 
 
 def read(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:

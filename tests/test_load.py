@@ -81,6 +81,19 @@ def test_saved_pages_load(spark, schema, tmp_path):
     assert (row["gid"], row["n"], row["pt"]["kind"]) == (1, 5, "Point")
 
 
+def test_feature_id_from_an_attribute(spark, schema, tmp_path):
+    page = '{"features":[%s]}'
+    one = '{"properties":{"OBJECTID":%d,"t":"x"},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    (tmp_path / "p.json").write_text(page % ",".join(one % i for i in (40, 7)))
+    out = load(spark, EsriSource(str(tmp_path), pk="OBJECTID"), Destination(f"{schema}.f"))
+    assert out.columns == ["objectid", "t", "geom"] and {r["objectid"] for r in out.collect()} == {40, 7}
+    (tmp_path / "p.json").write_text(page % ",".join(one % i for i in (7, 7)))
+    with pytest.raises(checks.ConstraintViolation):
+        load(spark, EsriSource(str(tmp_path), pk="OBJECTID"), Destination(f"{schema}.f"))
+    with pytest.raises(ValueError, match="no integer"):
+        read(spark, EsriSource(str(tmp_path), pk="t"), Destination(f"{schema}.g"))
+
+
 def test_raster_load(spark, schema, tmp_path):
     (tmp_path / "a.tif").write_bytes(tiff(np.ones((1, 20, 30), "u1"), 0, 0, 1, 2193))
     out = load(spark, RasterSource(str(tmp_path), "4326:2193"), Destination(
