@@ -1,12 +1,27 @@
 """Registered queries of this subpackage and their SQL."""
 
-from landspan.llm import chat, sharding, suffix_dedup, url_filter
+from landspan.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    licenses,
+    quality,
+    sharding,
+    simhash,
+    suffix_dedup,
+    url_filter,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_quality_score": quality.op2_quality_score,
     "op3_url_reputation": url_filter.op3_url_reputation,
+    "op4_spaced_seed_overlaps": decontaminate.op4_spaced_seed_overlaps,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
+    "op8_simhash_components": simhash.op8_simhash_components,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLES = {
     "op3_url_reputation": url_filter.ORACLE_SQL,
