@@ -114,17 +114,22 @@ class Benchmark:
             yield item, first, length, matched
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, n_equal: document rows that hold benchmark passages."""
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    """Items of the benchmark in blocks of about so many words."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // (5 * block_words)) or 1
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(
-            Benchmark([(r["item_id"], r["text"]) for r in rows]))
+        yield [(r["item_id"], r["text"]) for r in rows]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, first_word, n_words, n_equal: document rows that hold benchmark passages."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = None
+    for items in _blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
         found = texts.mapInArrow(_scan(shared), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
@@ -147,10 +152,22 @@ def _scan(shared):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame,
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents that hold no benchmark passage, with all their columns."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaking_id"]), "left_anti")
+    for items in _blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
+        docs = docs.where(_clean(shared)(F.coalesce("text", F.lit(""))))
+    return docs
+
+
+def _clean(shared):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        known = shared.value
+        return pa.array([next(known.overlaps(x.as_py()), None) is None for x in texts], pa.bool_())
+
+    return clean
 
 
 def op4_spaced_seed_overlaps(spark, sf_dir: str) -> DataFrame:

@@ -143,11 +143,34 @@ def fit(labelled: DataFrame) -> Discriminant:
     return Discriminant(counts, sums, products)
 
 
+def fit_documents(found: DataFrame, labels: DataFrame) -> Discriminant:
+    """Discriminant of the labelled documents outside the held-out fold.
+
+    found: document_features of all documents.
+    """
+    known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
+    return fit(found.dropDuplicates(["doc_id"]).join(known, "doc_id"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents whose score is 0.5 or more, with all their columns."""
+    model = fit_documents(materialize(document_features(docs), "quality-features"), labels)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        out = []
+        for begin in range(0, len(texts), BATCH_ROWS):
+            part = texts.slice(begin, BATCH_ROWS).to_pylist()
+            out.extend((model.score(np.array([features(x) for x in part])) >= 0.5).tolist())
+        return pa.array(out, pa.bool_())
+
+    return docs.where(good(F.coalesce("text", F.lit(""))))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document row."""
     found = materialize(document_features(docs), "quality-features")
-    known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
-    model = fit(found.dropDuplicates(["doc_id"]).join(known, "doc_id"))
+    model = fit_documents(found, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,11 @@
 """Registered queries of this subpackage and their SQL."""
 
+import corpus_pipeline
 from landspan.llm import (
     bpe,
     chat,
     decontaminate,
+    fingerprints,
     licenses,
     quality,
     sharding,
@@ -19,9 +21,11 @@ QUERIES = {
     "op4_spaced_seed_overlaps": decontaminate.op4_spaced_seed_overlaps,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
+    "op7_iblt_fingerprints": fingerprints.op7_iblt_fingerprints,
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_chat_format": chat.op9_chat_format,
     "op10_license_scan": licenses.op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_url_reputation": url_filter.ORACLE_SQL,

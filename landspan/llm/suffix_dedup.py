@@ -355,6 +355,21 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
         .select(settled.columns))
 
 
+def _kept(text: bytes, found: pa.Scalar, width: int) -> tuple[list[bytes], int]:
+    """Pieces of a text outside its repeated windows, and how many runs were taken out."""
+    if not found.is_valid or len(found.values) == 0:
+        return [text], 0
+    first = found.values.field("first").to_numpy()
+    end = found.values.field("last").to_numpy() + width
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > end[:-1]
+    starts = first[new]
+    ends = end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
+    return [text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])], len(starts)
+
+
 def _remove(width: int):
     """Texts without the repeated bytes, with the removed runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,24 +380,11 @@ def _remove(width: int):
                 size, gone, runs, kept = [], [], [], []
                 for packed, found in zip(part.column(1), part.column(2), strict=True):
                     text = unpack(packed.as_py())
-                    size.append(len(text))
-                    if not found.is_valid:
-                        gone.append(0)
-                        runs.append(0)
-                        kept.append(text)
-                        continue
-                    first = found.values.field("first").to_numpy()
-                    end = found.values.field("last").to_numpy() + width
-                    order = np.argsort(first, kind="stable")
-                    first, end = first[order], np.maximum.accumulate(end[order])
-                    new = np.ones(len(first), bool)
-                    new[1:] = first[1:] > end[:-1]
-                    starts = first[new]
-                    ends = end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
-                    pieces = [text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])]
-                    gone.append(int((ends - starts).sum()))
-                    runs.append(len(starts))
+                    pieces, count = _kept(text, found, width)
                     kept.append(b"".join(pieces))
+                    size.append(len(text))
+                    gone.append(len(text) - len(kept[-1]))
+                    runs.append(count)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
                      pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
@@ -391,11 +393,36 @@ def _remove(width: int):
     return run
 
 
+def _spans_of_rows(docs: DataFrame, width: int, zone: int, max_group: int) -> DataFrame:
+    return repeated_spans(docs, width, zone, max_group).groupBy("key_id", "key_tag").agg(
+        F.collect_list(F.struct("first", "last")).alias("found"))
+
+
+def strip_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
+                  max_group: int = MAX_GROUP) -> DataFrame:
+    """Documents with shortened texts and their n_chars; all columns and rows stay.
+
+    A character goes when one of its bytes does. Null texts stay null.
+    """
+    @F.arrow_udf("string")
+    def shorten(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array(["".join(p.decode("utf-8", "ignore") for p in _kept(t.as_py(), s, width)[0])
+                         if t.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
+
+    spans = _spans_of_rows(docs, width, zone, max_group).select(
+        F.col("key_id").alias("_span_id"), F.col("key_tag").alias("_span_tag"),
+        F.col("found").alias("_span_found"))
+    key_id, key_tag = row_key()
+    joined = docs.join(spans, (key_id == spans["_span_id"]) & (key_tag == spans["_span_tag"]), "left")
+    text = shorten(F.col("text").cast("binary"), "_span_found")
+    out = joined.withColumn("text", text).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
                    max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes left), one row a document row."""
-    spans = repeated_spans(docs, width, zone, max_group).groupBy("key_id", "key_tag").agg(
-        F.collect_list(F.struct("first", "last")).alias("found"))
+    spans = _spans_of_rows(docs, width, zone, max_group)
     packed = docs.select(
         *row_key(), "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes")
     ).mapInArrow(_pack, "key_id long, key_tag int, doc_id long, bytes binary")
