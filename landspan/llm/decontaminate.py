@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from landspan.llm.hashing import Roller, mix
 
 WINDOW, SHARE = 13, 0.8
-MASKS = ("11010011", "1011101")
+MASKS = ("11010011", "1011101", "11111")
 BLOCK_WORDS = 1_000_000
 # Bits of the table that tells most other seeds apart before they are searched.
 TABLE_BITS = 22

@@ -127,27 +127,39 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, bits, component_id for each document row."""
+    """doc_id, bits, component_id, root (a fingerprint of the component) per document row."""
     rows = materialize(fingerprints(docs, shingle), "simhash")
     nodes = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
     roots = components(close_pairs(nodes.select("bits"))).withColumnRenamed("node", "bits")
     placed = materialize(nodes.join(roots, "bits", "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(named, "root").select("bits", "component_id"), "bits").select(
-        "doc_id", "bits", "component_id")
+    return rows.join(placed.join(named, "root").select("bits", "component_id", "root"), "bits").select(
+        "doc_id", "bits", "component_id", "root")
+
+
+def _bits(text: Column) -> Column:
+    @F.arrow_udf("long")
+    def bits(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(x.as_py()) for x in texts], np.uint64).view(np.int64))
+
+    return bits(text)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component the row of the least doc_id.
 
-    Of repeated rows one is kept. All columns stay. Rows with a null doc_id are kept only if
-    nothing else is in their component, one for each fingerprint group.
+    Of repeated rows one is kept. All columns stay. A component of null ids only keeps one row.
     """
-    found = near_duplicates(docs).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = near_duplicates(docs)
+    named = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    # One shuffle of the texts serves the join and the repeated rows.
+    kept = docs.join(named, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = found.where("component_id is null").select(
+        F.col("bits").alias("_bits"), F.col("root").alias("_root")).distinct()
+    rest = docs.where("doc_id is null").withColumn("_own", _bits(F.coalesce("text", F.lit("")))).join(
+        nameless, F.col("_own") == F.col("_bits")).dropDuplicates(["_root"])
+    return kept.unionByName(rest.select(*docs.columns))
 
 
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:
