@@ -133,24 +133,61 @@ def _scanned(stmts: DataFrame) -> DataFrame:
     return used.withColumn("scan", text)
 
 
+# Words after which a FROM list is over, at the depth of its brackets.
+LIST_ENDS = """
+    where group having order limit union intersect except window returning set values on
+    using fetch offset for select
+""".split()
+
+
+def _listed_names(text: Column) -> Column:
+    """Names in FROM lists, after JOIN, REFERENCES, LIKE and TABLE.
+
+    The text is cut to words, brackets and commas. A fold over them keeps one letter for each
+    open bracket: ``f`` while a relation may come next, ``a`` after one (a comma brings the next),
+    ``j`` the same within the condition of a join, ``r`` before the one name of a reference, ``x``
+    elsewhere.
+    """
+    words = F.regexp_extract_all(text, F.lit(rf"({NAME}|[(),]|\S)"), F.lit(1))
+    start = F.struct(F.lit("x").alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, word: Column) -> Column:
+        low = F.lower(word)
+        at, rest = F.right(state["open"], F.lit(1)), state["open"].substr(
+            F.lit(1), F.length(state["open"]) - 1)
+        named = at.isin("f", "r") & word.rlike(rf"^{NAME}$") & ~low.isin(KEYWORDS)
+        letter = (
+            F.when(low.isin("from", "join", "table"), "f")
+            .when((low == "references") | ((low == "like") & (state["before"] == "(")), "r")
+            .when(at == "r", "x")
+            .when((at.isin("f", "a", "j")) & low.isin("on", "using"), "j")
+            .when(low.isin(LIST_ENDS), "x")
+            .when(low.isin("only", "lateral"), at)
+            .when((word == ",") & at.isin("a", "j", "f"), "f")
+            .when(at == "f", "a").otherwise(at)
+        )
+        is_open = word == "("
+        return F.struct(
+            # A bracket after a place for a relation holds a subquery or relations; others don't.
+            F.when(is_open, F.concat(rest, F.when(at == "f", "a").otherwise(at),
+                                     F.when(at == "f", "f").otherwise("x")))
+            .when(word == ")", F.when(F.length(rest) > 0, rest).otherwise("x"))
+            .otherwise(F.concat(rest, letter)).alias("open"),
+            F.when(named, F.concat(state["found"], F.array(word)))
+            # What turns out to be a call is no relation.
+            .when(is_open & (at == "a") & state["called"], F.slice(
+                state["found"], F.lit(1), F.greatest(F.size(state["found"]) - 1, F.lit(0))))
+            .otherwise(state["found"]).alias("found"),
+            (named & (at == "f")).alias("called"), word.alias("before"))
+
+    begin = start.withField("called", F.lit(False)).withField("before", F.lit(""))
+    return F.aggregate(words, begin, step)["found"]
+
+
 def relation_references(stmts: DataFrame) -> DataFrame:
     """Relations a statement reads, minus its own target and its CTE names."""
     scanned = _scanned(stmts)
-    alias = rf"(?:\s+(?:as\s+)?(?!(?:{'|'.join(KEYWORDS)})\b){IDENT})?+"
-    item = rf"(?:only\s+)?{NAME}(?!\s*\(){alias}"
-    listed = F.regexp_extract_all(
-        "scan", F.lit(rf"(?i)\b(?:from|join)\s+({item}(?:\s*,\s*{item})*+)"), F.lit(1)
-    )
-    linked = F.regexp_extract_all(
-        "scan", F.lit(rf"(?i)(?:\breferences\s+|\(\s*like\s+)({NAME})"), F.lit(1)
-    )
-    names = F.flatten(F.transform(
-        F.concat(listed, linked),
-        lambda group: F.transform(
-            F.split(group, ","),
-            lambda one: F.regexp_extract(one, rf"(?i)^\s*(?:only\s+)?({NAME})", 1),
-        ),
-    ))
+    names = _listed_names(F.col("scan"))
     ctes = F.transform(
         F.regexp_extract_all("scan", F.lit(
             rf"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)({IDENT})\s*(?:\([^()]*\)\s*)?as\s*"
@@ -218,7 +255,12 @@ def object_events(stmts: DataFrame, builtins: list[str]) -> DataFrame:
     )
     kinds = [kind for kind, _, _ in FORMS if kind not in ("create_index", "set")]
     schema, name = _object(F.col("target"))
-    own = stmts.where(F.col("kind").isin(kinds)).select(
+    # DROP may list several objects; the first is the target, the others lead the rest.
+    more = F.regexp_extract("rest", rf"^((?:\s*,\s*{NAME})+)", 1)
+    each = F.when(F.col("kind") == "drop", F.concat(
+        F.array("target"), F.regexp_extract_all(more, F.lit(f"({NAME})"), F.lit(1)))).otherwise(F.array("target"))
+    stmts_own = stmts.withColumn("target", F.explode(each))
+    own = stmts_own.where(F.col("kind").isin(kinds)).select(
         "script_id", "stmt", action.alias("action"), schema.alias("schema"), name.alias("name"),
         F.when(F.col("kind").endswith("function"), "function")
         .when(F.col("target").isNotNull(), "relation").alias("type"),

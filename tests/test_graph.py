@@ -55,18 +55,22 @@ def test_acyclic_check(spark):
         tuple(TopologicalSorter({"a": {"b"}, "b": {"a"}}).static_order())
 
 
+SHELVES = ["attic.box", "cellar.rack.1", "cellar.rack.20", "cellar.wine", "hall.rack"]
+
+
 @pytest.mark.parametrize("pattern, want", [
-    ("raw.lake_a", ["raw.lake_a"]),
-    ("raw.lak*", ["raw.lake_a", "raw.lake_b"]),
-    ("raw.*_c", ["raw.road_c"]),
-    ("*.*ke_*", ["raw.lake_a", "raw.lake_b"]),
-    ("*", ["raw.lake_a", "raw.lake_b", "raw.road_c"]),
-    ("raw.lake", []),
-    ("raw?lake_a", []),
-    ("raw.lake_[ab]", []),
+    ("*rack", ["hall.rack"]),
+    ("cellar*1", ["cellar.rack.1"]),
+    ("*.rack*", ["cellar.rack.1", "cellar.rack.20", "hall.rack"]),
+    ("**", SHELVES),
+    ("hall.rack", ["hall.rack"]),
+    ("cellar", []),
+    ("hall?rack", []),
+    ("[ah]*", []),
+    ("", []),
 ])
 def test_select(spark, pattern, want):
-    nodes = _nodes(spark, ["raw.road_c", "raw.lake_b", "raw.lake_a"])
+    nodes = _nodes(spark, SHELVES[::-1])
     levels = graph.levels(nodes, spark.createDataFrame([], EDGES))
     picked = graph.in_order(graph.select_nodes(nodes, pattern), levels)
     assert [r["node_id"] for r in picked.collect()] == want

@@ -8,101 +8,72 @@ R, FN = "relation", "function"
 
 # script id -> (sql, created, dependencies); None stands for a script with a violation.
 CASES = {
-    "ctas": (
-        "create table core.roads as select * from raw.lines;",
-        {("core", "roads", R)}, {("raw", "lines", R)},
-    ),
-    "mixed": (
-        """
-        --create table core.ghost as select * from raw.ghost;
-        create table core.a as
-            select * from raw.a;
-        create temp table scratch_one as select * from raw.b;
-        create temporary table scratch_two as select * from raw.b;
-        begin;
-        create view kept_view as select * from core.a;
-        create view dropped_view as select * from core.a;
-        commit;
-        begin;
-        create view undone_view as select * from still_needed;
-        rollback;
-        drop view dropped_view;
-        """,
-        {("core", "a", R), ("", "kept_view", R)},
-        {("raw", "a", R), ("raw", "b", R), ("", "still_needed", R)},
-    ),
-    "table_with_cte": (
-        """create table core.b as
-        with step as (select * from raw.c), other (x, y) as (select 1, 2)
-        select * from step join other on true;""",
-        {("core", "b", R)}, {("raw", "c", R)},
-    ),
-    "view_with_cte": (
-        "create view core.v as with step as (\n select * from raw.c\n)\nselect * from step;",
-        {("core", "v", R)}, {("raw", "c", R)},
-    ),
-    "table_function": (
-        """create or replace function lib.plus(_n integer)
-        returns table(n integer) as $$ select _n + 1 $$ language sql immutable;""",
-        {("lib", "plus", FN)}, set(),
-    ),
-    "index_is_nothing": (
-        "-- no effect\ncreate index on some_table using gist(geom);", set(), set(),
-    ),
-    "alter_own": (
-        "create table t as select * from d; alter table t add primary key(id);",
-        {("", "t", R)}, {("", "d", R)},
-    ),
-    "alter_foreign": ("alter table t add primary key(id);", None, None),
-    "analyze": ("analyze raw.stats;", set(), {("raw", "stats", R)}),
-    "update_own": (
-        """create table t as select * from d;
-        update t set c = 0 from e where e.id = t.id;""",
-        {("", "t", R)}, {("", "d", R), ("", "e", R)},
-    ),
-    "update_foreign": ("update table t set c = 0;", None, None),
-    "drop_then_create": (
-        "drop table t; create table t as select * from d;", {("", "t", R)}, {("", "d", R)},
-    ),
-    "drop_then_create_committed": (
-        "begin; drop table t; create table t as select * from d; commit;",
-        {("", "t", R)}, {("", "d", R)},
-    ),
-    "drop_then_create_undone": (
-        "begin; drop table t; create table t as select * from d; rollback;",
-        set(), {("", "d", R)},
+    # One case for each rule, in the order of the rules, then some that combine them.
+    "f1_comments_and_quoted_marks": (
+        """/* drop table orders; */ create table ops.parcels as select ';' as mark, a.* from ops.inbox a
+        -- create table ops.never as select 1;
+        ;;""",
+        {("ops", "parcels", R)}, {("ops", "inbox", R)},
+    ),
+    "f2_joins_of_all_kinds": (
+        """create view ops.late as select p.id from ops.parcels p left join ops.routes using (route)
+        cross join lateral (select max(day) as day from ops.days) d where exists
+        (select 1 from depot.shift s where s.id = p.shift)""",
+        {("ops", "late", R)},
+        {("ops", "parcels", R), ("ops", "routes", R), ("ops", "days", R), ("depot", "shift", R)},
+    ),
+    "f2_from_lists": (
+        """create table ops.q as select * from (select 1 from depot.a) q, depot.b;
+        create table ops.r as select * from depot.c join depot.d using (id), depot.e;
+        create table ops.s as select * from depot.f join depot.g on f.x = (g.y + 1), depot.h;
+        create table ops.t as select * from generate_series(1, 3) n, depot.i;
+        create table ops.u as select * from depot.j as k (c1, c2), depot.l;
+        create table ops.v as select * from (depot.m join depot.n using (id)) where m.x in (1, 2);
+        create table ops.w as table depot.o;""",
+        {("ops", n, R) for n in "qrstuvw"}, {("depot", n, R) for n in "abcdefghijlmno"},
+    ),
+    "f3_cte_hides_only_bare_names": (
+        """create table ops.sums as with parcels as (select * from ops.parcels), k as (select 1)
+        select * from parcels, k, depot.k""",
+        {("ops", "sums", R)}, {("ops", "parcels", R), ("depot", "k", R)},
+    ),
+    "f4_calls": (
+        """create table ops.cost as select tariff.price(weight, zone_of(to_depot)), round(x, 2),
+        st_length(path), "ST_Odd"(path) from ops.parcels""",
+        {("ops", "cost", R)},
+        {("ops", "parcels", R), ("tariff", "price", FN), ("", "zone_of", FN), ("", "ST_Odd", FN)},
+    ),
+    "f5_two_transactions": (
+        """begin; create table ops.kept as select 1 from depot.a; commit;
+        start transaction; create table ops.lost as select 1 from depot.b; rollback""",
+        {("ops", "kept", R)}, {("depot", "a", R), ("depot", "b", R)},
+    ),
+    "f6_drop_of_two": (
+        """create table ops.x as select 1 from depot.a; create view ops.y as select 1 from depot.b;
+        create view ops.z as select 1 from ops.y; drop view if exists ops.z, ops.y cascade""",
+        {("ops", "x", R)}, {("depot", "a", R), ("depot", "b", R)},
+    ),
+    "f7_read_before_written": (
+        """create temporary view recent as select * from ops.days; create table ops.b as select * from
+        ops.a, recent; create table ops.a as select * from depot.c""",
+        {("ops", "b", R), ("ops", "a", R)}, {("ops", "days", R), ("depot", "c", R)},
+    ),
+    "f8_statistics_and_settings": (
+        "set work_mem to '1GB'; analyze ops.parcels; create unique index on ops.parcels (id)",
+        set(), {("ops", "parcels", R)},
+    ),
+    "f8_alter_of_a_temporary": (
+        "create temp table t as select 1 from depot.a; alter table t add column n int", None, None,
+    ),
+    "f8_update_of_another": ("update ops.parcels set day = null where id = 4", None, None),
+    "function_over_own_table": (
+        """create table ops.legs (parcel int, stop int);
+        create function ops.stops(p int) returns bigint as $body$
+          select count(*) from ops.legs join depot.stop on stop.id = legs.stop
+          where parcel = p $body$ language sql;
+        update ops.legs set stop = d.id from depot.alias d where d.old = stop""",
+        {("ops", "legs", R), ("ops", "stops", FN)}, {("depot", "stop", R), ("depot", "alias", R)},
     ),
-    "recursive_function": (
-        """create or replace function lib.upstream(_id integer)
-        returns table(id integer) as
-        $$
-        with recursive walk(id, nxt) as (
-            select _id, s.nxt from raw.net s where s.id = _id
-            union
-            select s.id, s.nxt from raw.net s join walk on walk.nxt = s.id
-        )
-        select id from walk
-        $$
-        language sql immutable;""",
-        {("lib", "upstream", FN)}, {("raw", "net", R)},
-    ),
-    "create_then_insert": (
-        """create table core.t (id integer primary key, title text not null);
-        insert into core.t (id, title)
-        select fid, name from d;""",
-        {("core", "t", R)}, {("", "d", R)},
-    ),
-    "builtin_calls": (
-        """create view v as
-        select id, count(id) as ids, count(*) as every from d group by 1;""",
-        {("", "v", R)}, {("", "d", R)},
-    ),
-    "spatial_calls": (
-        """create view v as select id, sum(public.st_area(geom)) as a, st_union(geom) as g
-        from d group by 1;""",
-        {("", "v", R)}, {("", "d", R)},
-    ),
-    # Beyond the plain cases.
     "insert_foreign": (
         "insert into core.t (id) select id from d;", set(), {("core", "t", R), ("", "d", R)},
     ),
