@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,18 +14,73 @@ from landspan.operators.script_text import BODY, CREATE, IDENT, LITERAL, NAME, T
 from landspan.operators.tables import replace_table
 from landspan.workspace import materialize, pinned
 
-_COMMENT = re.compile(rf"({LITERAL})|--[^\n]*|(?s:/\*.*?\*/)")
-_STATEMENT = re.compile(rf"(?:{LITERAL}|{BODY}|[^;'$]|[$'])+")
+_QUOTED = r'"[^"]*"|`[^`]*`'
+_COMMENT = re.compile(rf"({LITERAL}|{_QUOTED})|--[^\n]*|(?s:/\*.*?\*/)")
+_STATEMENT = re.compile(rf"(?:{LITERAL}|{_QUOTED}|{BODY}|[^;'$\"`]|[$'\"`])+")
 _TEMP_TABLE = re.compile(rf"(?is)^{CREATE}{TEMP}table\s+(?:if\s+not\s+exists\s+)?({NAME})\s+as\s+(.*)$")
 _BLOCK = re.compile(r"(?is)^\s*begin\b(?!\s*(?:;|transaction)).*\bend\s*;?\s*$")
 
 
-_ALIAS = rf"(?:\s+(?:as\s+)?(?!set\b)({IDENT}))?"
+_ANY_NAME = rf"(?:{IDENT}|`[^`]+`)"
 _UPDATE = re.compile(
-    rf"(?is)^update\s+(?:only\s+)?({NAME}){_ALIAS}\s+set\s+(.*?)"
-    r"(?:\s+from\s+(.*?))?(?:\s+where\s+(.*))?$"
-)
-_ASSIGNMENT = re.compile(rf"(?:[^,()']|{LITERAL}|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))+")
+    rf"(?is)^update\s+(?:only\s+)?({_ANY_NAME}(?:\s*\.\s*{_ANY_NAME})*+)"
+    rf"(?:\s+(?:as\s+)?(?!set\b)({_ANY_NAME}))?\s+(?=set\b)")
+_TOKEN = re.compile(rf"(?s){LITERAL}|{_QUOTED}|\w+|.")
+
+
+def _outside(text: str) -> Iterator[re.Match]:
+    """Tokens that stand in no quotes and no brackets."""
+    depth = 0
+    for token in _TOKEN.finditer(text):
+        depth -= token.group() in (")", "]")
+        if depth == 0:
+            yield token
+        depth += token.group() in ("(", "[")
+
+
+def parse_update(statement: str) -> tuple[str, str | None, str, str | None, str | None] | None:
+    """(table, alias, assignments, source, condition) of an UPDATE, None for other statements."""
+    head = _UPDATE.match(statement)
+    if head is None:
+        return None
+    text = statement[head.end():]
+    cuts: dict[str, re.Match] = {}
+    before = ""
+    for token in _outside(text):
+        word = token.group().lower()
+        # IS DISTINCT FROM is no clause.
+        if word in ("set", "from", "where") and word not in cuts and before != "distinct" and "where" not in cuts:
+            cuts[word] = token
+        before = word if word.strip() else before
+    order = sorted(cuts.items(), key=lambda c: c[1].start())
+    ends = [cut.start() for _, cut in order[1:]] + [len(text)]
+    clauses = {word: text[cut.end():end].strip() for (word, cut), end in zip(order, ends)}
+    return head.group(1), head.group(2), clauses["set"], clauses.get("from"), clauses.get("where")
+
+
+def _split(text: str, mark: str, most: int = 0) -> list[str]:
+    """Pieces between marks outside quotes and brackets."""
+    at = [t.start() for t in _outside(text) if t.group() == mark][:most or None]
+    return [text[a:b].strip() for a, b in zip([0, *[x + 1 for x in at]], [*at, len(text)])]
+
+
+def _bare(name: str) -> str:
+    return name.strip().strip('`"')
+
+
+def _targets(assignments: str, columns: list[str], qualifiers: set[str], exact: bool) -> dict[str, str]:
+    """Column of the table to new value; names as Spark resolves them, unknown ones raise."""
+    same = (lambda x: x) if exact else str.lower
+    known = {same(c): c for c in columns}
+    out = {}
+    for pair in _split(assignments, ","):
+        name, *value = _split(pair, "=", 1)
+        *owner, column = [_bare(part) for part in _split(name, ".")]
+        if not value or same(column) not in known or (
+                owner and same(owner[-1]) not in map(same, qualifiers)):
+            raise ValueError(f"UPDATE sets {name!r}, which is no column of the table")
+        out[known[same(column)]] = value[0]
+    return out
 
 
 def split_statements(sql: str) -> list[str]:
@@ -60,8 +116,8 @@ def run_script(spark: SparkSession, sql: str) -> DataFrame | None:
             continue
         elif re.match(r"(?i)rollback\b", statement):
             raise NotImplementedError("a statement that was published cannot be rolled back")
-        elif _UPDATE.match(statement):
-            result = update_table(spark, *_UPDATE.match(statement).groups())
+        elif update := parse_update(statement):
+            result = update_table(spark, *update)
         else:
             result = spark.sql(statement)
     return result
@@ -82,16 +138,18 @@ def update_table(
     The clauses are Spark SQL text.  The new version of the table replaces the old one;
     source rows that disagree about one target row are an error.
     """
-    alias = alias or table.split(".")[-1]
-    pairs = [m.group(0).split("=", 1) for m in _ASSIGNMENT.finditer(assignments)]
-    assign = {column.strip().strip('`"'): value.strip() for column, value in pairs}
-    old = spark.table(table)
+    parts = [_bare(part) for part in _split(table, ".")]
+    table = ".".join(parts)
+    alias = _bare(alias or parts[-1])
+    old = spark.table(".".join(f"`{part}`" for part in parts))
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+    assign = _targets(assignments, old.columns, {alias}, exact)
     rows = pinned(old.withColumn("__row", F.monotonically_increasing_id()))
     view = f"update_{uuid.uuid4().hex}"
     rows.createOrReplaceTempView(view)
     new = ", ".join(f"{value} AS `{column}`" for column, value in assign.items())
     hits = spark.sql(
-        f"SELECT {alias}.__row, struct({new}) AS new FROM {view} AS {alias}"
+        f"SELECT `{alias}`.__row, struct({new}) AS new FROM {view} AS `{alias}`"
         + (f", {source}" if source else "") + (f" WHERE {condition}" if condition else "")
     )
     one = hits.groupBy("__row").agg(F.min("new").alias("lo"), F.max("new").alias("hi")).select(
