@@ -287,42 +287,31 @@ def register_functions(spark: SparkSession) -> None:
         )
 
 
-def union_points(
-    df: DataFrame, keys: list[str], column: str, max_points: int = 100_000
-) -> DataFrame:
-    """Union of point geometries per group, as MultiPoints of distinct, sorted vertices.
+def distinct_points(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Union of point geometries per group, one row per distinct vertex: keys, srid, x, y, z.
 
-    A MultiPoint is one value in one row, so a group with more than ``max_points``
-    distinct vertices comes back as several rows (``piece`` 0, 1, ...) whose union is
-    the result; every vertex is in exactly one of them.
+    NULL geometries add nothing; any kind but points is an error.
     """
-    spots = (
-        df.where(F.col(column)["kind"].isin("Point", "MultiPoint"))
-        .select(*keys, F.col(column)["srid"].alias("__srid"), F.explode(vertices(column)).alias("v"))
-        .select(*keys, "__srid", "v.x", "v.y", "v.z")
-        .distinct()
-    )
-    group = [*keys, "__srid"]
-    sizes = spots.groupBy(group).agg(F.ceil(F.count("*") / max_points).alias("__pieces"))
-    joined = spots.alias("p").join(
-        sizes.alias("s"), [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in group]
-    )
-    piece = F.pmod(F.xxhash64("p.x", "p.y", "p.z"), F.col("s.__pieces")).cast("int")
+    kind = F.col(column)["kind"]
+    spots = F.when(kind.isin("Point", "MultiPoint") | kind.isNull(), vertices(column)).otherwise(
+        F.raise_error(F.concat(F.lit("a union of points holds a "), kind)))
     return (
-        joined.select(
-            *[F.col(f"p.{k}").alias(k) for k in group], piece.alias("piece"),
-            F.struct("p.x", "p.y", "p.z").alias("v"),
-        )
-        .groupBy(*group, "piece")
-        .agg(F.array_sort(F.collect_list("v")).alias("__points"))
-        .select(
-            *keys, "piece",
-            geometry(
-                "MultiPoint",
-                F.transform("__points", lambda v: F.array(F.array(v))),
-                F.col("__srid"),
-            ).alias(column),
-        )
+        df.select(*keys, F.col(column)["srid"].alias("srid"), F.explode(spots).alias("v"))
+        .select(*keys, "srid", "v.x", "v.y", "v.z").distinct()
+    )
+
+
+def union_points(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Union of point geometries per group, one MultiPoint of distinct, sorted vertices each.
+
+    A MultiPoint is one value in one row; ``distinct_points`` has no such bound.
+    """
+    return distinct_points(df, keys, column).groupBy(*keys, "srid").agg(
+        F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("__points")
+    ).select(
+        *keys,
+        geometry("MultiPoint", F.transform("__points", lambda v: F.array(F.array(v))),
+                 F.col("srid")).alias(column),
     )
 
 

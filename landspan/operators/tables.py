@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from landspan.operators import layout
+from landspan.operators import checks, layout
 from landspan.operators.columns import quoted
 
 JOURNAL_SCHEMA = T.StructType(
@@ -90,6 +90,10 @@ def init_journal(spark: SparkSession, table: str) -> None:
 
 
 def append_journal(records: DataFrame, table: str) -> None:
-    """Append a batch of run records, one write for the whole batch."""
+    """Append a batch of run records, one write for the whole batch.
+
+    A NULL in a column that must have a value is an error, and nothing is appended.
+    """
     init_journal(records.sparkSession, table)
+    checks.require_not_null(records, [f.name for f in JOURNAL_SCHEMA.fields if not f.nullable])
     records.select(JOURNAL_SCHEMA.names).write.mode("append").insertInto(sql_name(table))

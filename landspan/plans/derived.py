@@ -35,10 +35,15 @@ def halving_edges(ids: DataFrame, key: str) -> DataFrame:
     ).distinct()
 
 
+def ran(events: DataFrame) -> DataFrame:
+    """Events without the users who never ran, those with key mod 11 = 5."""
+    return events.where("user_id % 11 <> 5")
+
+
 def user_journal(events: DataFrame) -> DataFrame:
-    """One run record per event; users with key mod 11 = 5 never ran."""
+    """One run record per event."""
     ts = F.col("ts").cast("timestamp")
-    return events.where("user_id % 11 <> 5").select(
+    return events.select(
         F.col("user_id").cast("string").alias("node_id"),
         (ts - F.expr("INTERVAL 1 MINUTE")).alias("started"), ts.alias("completed"),
         F.lit("loader").alias("db_user"), F.concat(F.lit("host-"), F.col("event_id") % 8).alias("hostname"),

@@ -143,7 +143,7 @@ def read(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
                 df = wfs.read_wfs(spark, source.url, source.layer)
             return _vector(df, source, dest, multi=False)
         case FileSource():
-            if PurePosixPath(source.path).suffix != ".shp":
+            if PurePosixPath(source.path).suffix.lower() != ".shp":
                 raise NotImplementedError(f"no reader for {source.path}")
             return _vector(shapefile.read_shapefile(spark, source.path), source, dest, multi=True)
         case RasterSource():

@@ -123,7 +123,7 @@ def e_union_points(spark, folder):
     merged = geo.union_points(coarse, ["c_nationkey"], "geom")
     spots = F.transform(geo.vertices("geom"), lambda p: F.concat_ws(
         " ", p["x"].cast("int"), p["y"].cast("int")))
-    return merged.select("c_nationkey", "piece", F.col("geom.kind").alias("kind"),
+    return merged.select("c_nationkey", F.col("geom.kind").alias("kind"),
                          F.array_join(spots, ",").alias("spots"))
 
 
@@ -230,7 +230,7 @@ ORACLES = {
     "e_union_points": f"""WITH {_POINTS},
         spots AS (SELECT DISTINCT c_nationkey, CAST(floor(lon / 4) AS INTEGER) AS x,
             CAST(floor(lat / 4) AS INTEGER) AS y FROM pts)
-        SELECT c_nationkey, 0 AS piece, 'MultiPoint' AS kind,
+        SELECT c_nationkey, 'MultiPoint' AS kind,
             string_agg(x || ' ' || y, ',' ORDER BY x, y) AS spots FROM spots GROUP BY 1""",
     "e_extent": f"""WITH {_RECTS} SELECT p_brand, min(x) AS xmin, min(y) AS ymin,
         max(x + w) AS xmax, max(y + h) AS ymax FROM rects GROUP BY 1""",

@@ -14,7 +14,8 @@ from landspan.workspace import scratch_path
 def _events_graph(spark, folder):
     events = table(spark, folder, "events")
     nodes = derived.user_nodes(events)
-    return nodes, derived.halving_edges(events.select("user_id"), "user_id"), derived.user_journal(events)
+    journal = derived.user_journal(derived.ran(events))
+    return nodes, derived.halving_edges(events.select("user_id"), "user_id"), journal
 
 
 def h_manifest(spark, folder):
@@ -94,11 +95,11 @@ _GRAPH = """
 ORACLES = {
     "h_manifest": """
         SELECT CAST(user_id AS VARCHAR) AS node_id, max(ts) AS completed
-        FROM events WHERE user_id % 11 <> 5 GROUP BY 1""",
+        FROM events GROUP BY 1""",
     "h_local_time": """
         SELECT CAST(user_id AS VARCHAR) AS node_id,
             max(ts) + INTERVAL 330 MINUTE AS completed
-        FROM events WHERE user_id % 11 <> 5 GROUP BY 1""",
+        FROM events GROUP BY 1""",
     "h_outdated": f"WITH RECURSIVE {_GRAPH} SELECT CAST(n AS VARCHAR) AS node_id FROM stale",
     "h_worklist": f"""
         WITH RECURSIVE {_GRAPH},
@@ -131,6 +132,6 @@ ORACLES = {
         FROM flagged""",
     "d_journal_append": """
         SELECT 'host-' || CAST(event_id % 8 AS VARCHAR) AS hostname, count(*) AS records
-        FROM events WHERE user_id % 11 <> 5 GROUP BY 1""",
+        FROM events GROUP BY 1""",
 }
 ORACLES["h_log_stream"] = ORACLES["h_log_levels"]

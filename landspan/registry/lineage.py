@@ -65,7 +65,7 @@ def f_transaction_errors(spark, folder):
     """Orders open or close at random: nested, unopened and unclosed transactions."""
     k = F.col("o_orderkey")
     action = F.when(k % 3 == 0, "begin").when(k % 3 == 1, "commit").otherwise("rollback")
-    events = table(spark, folder, "orders").where(k % 7 < 5).select(
+    events = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("script_id"), k.alias("stmt"), action.alias("action")
     )
     return script_events.transaction_errors(events)
@@ -174,7 +174,7 @@ ORACLES = {
     "f_transaction_errors": """
         WITH ctl AS (SELECT o_custkey AS script_id, o_orderkey AS stmt,
             CASE o_orderkey % 3 WHEN 0 THEN 'begin' WHEN 1 THEN 'commit' ELSE 'rollback' END AS action
-            FROM orders WHERE o_orderkey % 7 < 5),
+            FROM orders),
         near AS (SELECT *, lag(action) OVER w AS before, lead(action) OVER w AS after FROM ctl
             WINDOW w AS (PARTITION BY script_id ORDER BY stmt))
         SELECT script_id, stmt, 'begin inside a transaction' AS reason FROM near

@@ -88,11 +88,13 @@ def e_spatial_functions(spark, folder):
 
 def e_update_from(spark, folder):
     """Add the balance of their customer to the orders of some nations."""
-    customer = table(spark, folder, "customer").where("c_nationkey < 10")
+    customer = table(spark, folder, "customer")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     return transforms.update_from(
-        orders, customer.select("c_custkey", "c_acctbal", "c_mktsegment"), {"o_custkey": "c_custkey"},
-        {"o_totalprice": "t.o_totalprice + s.c_acctbal", "o_orderstatus": "s.c_mktsegment"},
+        orders, customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"),
+        {"o_custkey": "c_custkey"},
+        {"o_totalprice": "t.o_totalprice + if(s.c_nationkey < 10, s.c_acctbal, 0)",
+         "o_orderstatus": "if(s.c_nationkey < 10, s.c_mktsegment, t.o_orderstatus)"},
     )
 
 

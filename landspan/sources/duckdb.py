@@ -112,7 +112,7 @@ def read_duckdb(
     Every file is cut into row-id ranges and every range is one task.  Not-null, default
     and key flags are kept as field metadata; GEOMETRY columns arrive as geometry structs.
     """
-    files = listing(spark, path, "*.duckdb")
+    files = listing(spark, path, "duckdb", "ddb", "db")
     info = _describe(first_path(files, path), table)
     wanted = [c for c in info if columns is None or c[1] in columns]
     select = ", ".join(_selected(name, kind) for _, name, kind, *_ in wanted)

@@ -46,6 +46,13 @@ def fetch_pages(
     return materialize(numbers.mapInPandas(pull, "page long, text string"), "pages")
 
 
+def require_complete(pages: DataFrame, got: Column, total: int, url: str) -> None:
+    """Raise unless the landed pages hold as many features as the service has counted."""
+    found = pages.agg(F.sum(got)).first()[0] or 0
+    if found != total:
+        raise ValueError(f"{url} counts {total} features but its pages hold {found}")
+
+
 def saved_pages(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages, one per file."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
@@ -59,13 +66,16 @@ def fetch_features(
     query = f"{url}/query?where=1=1"
     total = int(json.loads(fetch(f"{query}&returnCountOnly=true&f=json"))["count"])
 
-    def page_url(page: int) -> str:
-        return (
-            f"{query}&outFields=*&f={kind}"
-            f"&resultOffset={page * page_size}&resultRecordCount={page_size}"
-        )
+    def page_url(page: int, size: int) -> str:
+        return f"{query}&outFields=*&f={kind}&resultOffset={page * size}&resultRecordCount={size}"
 
-    return parse_pages(fetch_pages(spark, page_url, -(-total // page_size), fetch), kind)
+    # A service may give less than it is asked for: pages follow the size of the first one.
+    served = len(json.loads(fetch(page_url(0, page_size)))["features"]) if total else 0
+    size = min(page_size, served) or page_size
+    pages = fetch_pages(spark, lambda page: page_url(page, size), -(-total // size), fetch)
+    got = F.size(F.from_json("text", "struct<features:array<string>>")["features"])
+    require_complete(pages, got, total, url)
+    return parse_pages(pages, kind)
 
 
 def _spark_type(variant_type: str) -> str:

@@ -34,15 +34,16 @@ def read_at(path: str, start: int, size: int) -> bytes:
         return handle.read(size)
 
 
-def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(path, length)`` of a file, or of the matching files below a folder.
+def listing(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
+    """``(path, length)`` of a file, or of the files below a folder with one of the suffixes.
 
+    Suffixes match in any case; a file that is named itself is taken whatever its suffix.
     Only names and sizes are read: the content column is pruned.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if not path.endswith(pattern.lstrip("*")):
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = "/" + re.sub(r"^\w+:/*(?:[^/]*(?<=:\d)\d*/)?", "", path).strip("/")
+    fits = F.lower("path").rlike(rf"\.(?:{'|'.join(suffixes)})$")
+    return files.select("path", "length").where(fits | F.col("path").endswith(named))
 
 
 def first_path(files: DataFrame, path: str) -> str:

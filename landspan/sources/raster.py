@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landspan.operators.columns import add_feature_id
-from landspan.sources.files import listing, open_file, spread
+from landspan.sources.files import first_path, listing, open_file, spread
 
 # TIFF field types as (struct code, size).
 FIELD_TYPES = {
@@ -169,7 +169,8 @@ def read_raster(
     """
     if tile_size < 1:
         raise ValueError("tile_size must be positive")
-    files = listing(spark, path, "*.tif").select("path")
+    files = listing(spark, path, "tif", "tiff", "gtiff").select("path")
+    first_path(files, path)
     sizes = files.mapInPandas(_sizes, "path string, raster_width int, raster_height int")
     per_piece = max(1, pixels_per_piece // tile_size)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landspan.functions import geometry as geo
-from landspan.sources.files import first_path, listing, read_at, spread
+from landspan.sources.files import first_path, listing, open_file, read_at, spread
 
 # Shape types by geometry; +10 carries z, +20 a measure.
 SHAPES = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
@@ -20,12 +20,13 @@ SHAPES = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
 INDEX_HEADER, INDEX_ENTRY = 100, 8
 RAW = pa.schema([
     ("record", pa.int64()),
+    ("srid", pa.int32()),
     ("kind", pa.string()),
     ("lines", pa.list_(pa.list_(pa.struct(
         [("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])))),
     ("fields", pa.list_(pa.string())),
 ])
-RAW_DDL = """record long, kind string, lines array<array<struct<x:double,y:double,z:double>>>,
+RAW_DDL = """record long, srid int, kind string, lines array<array<struct<x:double,y:double,z:double>>>,
     fields array<string>"""
 
 
@@ -63,7 +64,19 @@ def _lines(raw: bytes, at: int, code: int) -> list[np.ndarray]:
     return np.split(xyz, starts[1:])
 
 
-def _batch(records: list, kinds: list, shapes: list, fields: list) -> pa.RecordBatch:
+def _beside(index: str, suffix: str) -> str:
+    """File next to an index file, its suffix in the same case."""
+    return index[:-3] + (suffix.upper() if index[-3:].isupper() else suffix)
+
+
+def _shape_kind(code: int) -> str | None:
+    """Geometry kind of a shape type, None for the null shape; other types are an error."""
+    if code and (code % 10 not in SHAPES or code > 28):
+        raise ValueError(f"shape type {code} cannot be read")
+    return SHAPES[code % 10] if code else None
+
+
+def _batch(records: list, srid: int, kinds: list, shapes: list, fields: list) -> pa.RecordBatch:
     lines = [line for shape in shapes for line in shape]
     xyz = np.concatenate(lines) if lines else np.empty((0, 3))
     nested = pa.StructArray.from_arrays(
@@ -72,7 +85,7 @@ def _batch(records: list, kinds: list, shapes: list, fields: list) -> pa.RecordB
     )
     for sizes in ([len(line) for line in lines], [len(shape) for shape in shapes]):
         nested = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), nested)
-    arrays = [pa.array(records, pa.int64()), pa.array(kinds, pa.string()), nested,
+    arrays = [pa.array(records, pa.int64()), pa.array([srid] * len(records), pa.int32()), pa.array(kinds, pa.string()), nested,
               pa.array(fields, RAW.field("fields").type)]
     return pa.RecordBatch.from_arrays(arrays, schema=RAW)
 
@@ -83,16 +96,17 @@ def _reader(expected: list, encoding: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in batch.to_pylist():
-                stem, low, count = piece["stem"], piece["low"], piece["high"] - piece["low"] + 1
-                head, width, fields = _table_header(f"{stem}.dbf")
+                at_index, low, count = piece["index"], piece["low"], piece["high"] - piece["low"] + 1
+                records = _beside(at_index, "dbf")
+                head, width, fields = _table_header(records)
                 if fields != expected:
-                    raise ValueError(f"{stem}.dbf has other fields than the first file")
-                index = read_at(f"{stem}.shx", INDEX_HEADER + INDEX_ENTRY * low, INDEX_ENTRY * count)
+                    raise ValueError(f"{records} has other fields than the first file")
+                index = read_at(at_index, INDEX_HEADER + INDEX_ENTRY * low, INDEX_ENTRY * count)
                 # Offsets and lengths count 16-bit words.
                 entries = np.frombuffer(index, ">i4").reshape(-1, 2).astype("i8") * 2
                 first, last = entries[:, 0].min(), (entries[:, 0] + entries[:, 1] + 8).max()
-                shapes = read_at(f"{stem}.shp", int(first), int(last - first))
-                table = read_at(f"{stem}.dbf", head + width * low, width * count)
+                shapes = read_at(_beside(at_index, "shp"), int(first), int(last - first))
+                table = read_at(records, head + width * low, width * count)
                 out = ([], [], [], [])
                 for i, start in enumerate(entries[:, 0] - first + 8):
                     row = table[i * width : (i + 1) * width]
@@ -104,10 +118,10 @@ def _reader(expected: list, encoding: str):
                         texts.append(row[at : at + size].decode(encoding).strip(" \0"))
                         at += size
                     out[0].append(low + i)
-                    out[1].append(SHAPES[code % 10] if code else None)
+                    out[1].append(_shape_kind(code))
                     out[2].append(_lines(shapes, start + 4, code) if code else [])
                     out[3].append(texts)
-                yield _batch(*out)
+                yield _batch(out[0], _declared_srid(at_index), *out[1:])
 
     return read
 
@@ -126,10 +140,11 @@ def _attribute(text: Column, kind: str, width: int, decimals: int) -> Column:
     return filled
 
 
-def _declared_srid(stem: str) -> int:
+def _declared_srid(index: str) -> int:
     """EPSG code named by the .prj file, 0 when there is none."""
     try:
-        text = read_at(f"{stem}.prj", 0, 1 << 16).decode("latin-1")
+        with open_file(_beside(index, "prj")) as handle:
+            text = handle.read().decode("latin-1")
     except FileNotFoundError:
         return 0
     codes = re.findall(r'(?:AUTHORITY|ID)\["EPSG",\s*"?(\d+)"?\]', text)
@@ -145,19 +160,19 @@ def read_shapefile(
     The number of records follows from the size of each index file, so ranges are planned
     from the listing alone; every range reads its own bytes of the three files.
     """
-    where = re.sub(r"\.shp$", ".shx", path)
-    files = listing(spark, where, "*.shx").select(
-        F.regexp_replace("path", r"\.shx$", "").alias("stem"),
+    where = _beside(path, "shx") if path[-4:].lower() == ".shp" else path
+    files = listing(spark, where, "shx").select(
+        F.col("path").alias("index"),
         F.floor((F.col("length") - INDEX_HEADER) / INDEX_ENTRY).alias("records"),
     )
-    first = first_path(files.withColumnRenamed("stem", "path"), path)
-    _, _, fields = _table_header(f"{first}.dbf")
+    first = first_path(files.withColumnRenamed("index", "path"), path)
+    _, _, fields = _table_header(_beside(first, "dbf"))
     lows = F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(rows_per_task).cast("long"))
-    ranges = files.where("records > 0").select("stem", "records", F.explode(lows).alias("low"))
+    ranges = files.where("records > 0").select("index", "records", F.explode(lows).alias("low"))
     ranges = ranges.select(
-        "stem", "low", F.least(F.col("low") + rows_per_task, F.col("records")) .alias("end")
-    ).select("stem", "low", (F.col("end") - 1).alias("high"))
-    raw = spread(ranges, "stem", "low").mapInArrow(_reader(fields, encoding), RAW_DDL)
+        "index", "low", F.least(F.col("low") + rows_per_task, F.col("records")) .alias("end")
+    ).select("index", "low", (F.col("end") - 1).alias("high"))
+    raw = spread(ranges, "index", "low").mapInArrow(_reader(fields, encoding), RAW_DDL)
     lines = F.col("lines")
     parts = (
         F.when(F.col("kind") == "Polygon", geo.ring_parts(lines))
@@ -169,7 +184,7 @@ def read_shapefile(
     shaped = raw.withColumn("__parts", parts)
     many = (F.size("__parts") > 1) & F.col("kind").isin("Polygon", "LineString")
     kind = F.when(many, F.concat(F.lit("Multi"), "kind")).otherwise(F.col("kind"))
-    shape = geo.geometry(kind, F.col("__parts"), _declared_srid(first))
+    shape = geo.geometry(kind, F.col("__parts"), F.col("srid"))
     return shaped.select(
         *[
             _attribute(F.col("fields")[i], *kind_width).alias(name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landspan.functions import geometry as geo
-from landspan.sources.features import fetch_pages
+from landspan.sources.features import fetch_pages, require_complete
 from landspan.sources.files import write_files
 from landspan.workspace import scratch_path
 
@@ -28,6 +28,9 @@ GML = f"""struct<
         `gml:surfaceMember`:array<struct<`gml:Polygon`:{_POLYGON}>>>>"""
 
 
+_MEMBER = r"<wfs:member[\s>]"
+
+
 def fetch_wfs(
     spark: SparkSession, url: str, layer: str, fetch: Callable[[str], str], page_size: int = 1000
 ) -> DataFrame:
@@ -38,10 +41,16 @@ def fetch_wfs(
     if hits is None:
         raise ValueError(f"{url} does not tell how many features match")
 
-    def page_url(page: int) -> str:
-        return f"{query}&startIndex={page * page_size}&count={page_size}"
+    total = int(hits.group(1))
+
+    def page_url(page: int, size: int) -> str:
+        return f"{query}&startIndex={page * size}&count={size}"
 
-    pages = fetch_pages(spark, page_url, -(-int(hits.group(1)) // page_size), fetch)
+    # A service may give less than it is asked for: pages follow the size of the first one.
+    served = len(re.findall(_MEMBER, fetch(page_url(0, page_size)))) if total else 0
+    size = min(page_size, served) or page_size
+    pages = fetch_pages(spark, lambda page: page_url(page, size), -(-total // size), fetch)
+    require_complete(pages, F.regexp_count("text", F.lit(_MEMBER)), total, url)
     # The XML reader expects one document per file.
     path = scratch_path(spark, "wfs")
     write_files(pages, path, lambda row: {f"page-{row['page']}.xml": row["text"].encode()})

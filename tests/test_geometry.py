@@ -191,15 +191,20 @@ def test_ring_parts_nest_holes_and_islands(spark):
     assert len(single) == 1
 
 
-def test_union_points_in_pieces_keeps_every_vertex(spark):
+def test_union_points_keeps_every_vertex(spark):
     df = spark.range(5000).select(
         (F.col("id") % 3 == 0).cast("int").alias("k"),
         geo.point(F.col("id") % 700, F.col("id") % 11).alias("geom"))
-    whole = geo.union_points(df, ["k"], "geom").collect()
-    assert [r["piece"] for r in whole] == [0, 0]
-    pieces = geo.union_points(df, ["k"], "geom", max_points=100).collect()
-    assert max(len(r["geom"]["parts"]) for r in pieces) < 200 and len(pieces) > 20
+    whole = {r["k"]: r["geom"]["parts"] for r in geo.union_points(df, ["k"], "geom").collect()}
+    rows = geo.distinct_points(df, ["k"], "geom").collect()
     for key in (0, 1):
-        spots = [tuple(p[0][0]) for r in pieces if r["k"] == key for p in r["geom"]["parts"]]
         want = {(float(i % 700), float(i % 11), None) for i in range(5000) if (i % 3 == 0) == bool(key)}
-        assert len(spots) == len(set(spots)) and set(spots) == want
+        assert sorted(tuple(p[0][0]) for p in whole[key]) == sorted(want)
+        assert sorted((r["x"], r["y"], r["z"]) for r in rows if r["k"] == key) == sorted(want)
+
+
+def test_union_of_other_kinds_raises(spark):
+    line = geo.geometry("LineString", F.array(F.array(F.array(geo.vertex(F.lit(0.0), F.lit(0.0), F.lit(None))))), 0)
+    df = spark.range(1).select(F.lit(1).alias("k"), line.alias("geom"))
+    with pytest.raises(Exception, match="union of points holds a LineString"):
+        geo.union_points(df, ["k"], "geom").collect()
\ No newline at end of file
