@@ -16,7 +16,7 @@ def parse_epsg(option: int | str | None) -> tuple[int | None, int | None]:
     if isinstance(option, (int, str)) and len(codes) <= 2:
         source = int(codes[0]) if len(codes) == 2 else None
         return source, int(codes[-1])
-    raise ValueError("epsg is an integer or text of the form <int>:<int>")
+    raise ValueError(f"cannot read {option!r} as one code or as two codes around a colon")
 
 
 def apply_epsg(

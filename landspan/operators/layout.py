@@ -17,6 +17,14 @@ BOX = ("xmin", "ymin", "xmax", "ymax")
 LAYOUT_PROPERTY = "spatial.layout"
 
 
+def prefix_for(names: list[str], column: str) -> str:
+    """Prefix for the bounds and key of a geometry column that hides no attribute."""
+    prefix = ""
+    while any(f"{prefix}{n}" in names for n in (*BOX, "morton")):
+        prefix = f"{column}_{prefix}"
+    return prefix
+
+
 def add_bounds(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """Bounding box columns of a geometry column."""
     return df.withColumns({f"{prefix}{n}": c for n, c in geo.bounds(column).items()})
@@ -41,28 +49,32 @@ def morton(x: Column, y: Column, frame: tuple[float, float, float, float]) -> Co
     return _spread(cell(x, xmin, xmax)).bitwiseOR(F.shiftleft(_spread(cell(y, ymin, ymax)), 1))
 
 
-def marker(column: str) -> str:
+def marker(column: str, prefix: str = "") -> str:
     """Value of the layout property for a table laid out along ``column``."""
-    return f"{column}:morton"
+    return f"{column}:{prefix}morton"
 
 
-def frame_of(df: DataFrame) -> tuple[float, float, float, float]:
+def frame_of(df: DataFrame, prefix: str = "") -> tuple[float, float, float, float]:
     """Extent over the bounding box columns; all zero when there is no geometry."""
-    row = df.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    row = df.agg(*[f(f"{prefix}{n}") for f, n in zip((F.min, F.min, F.max, F.max), BOX)]).first()
     return (0.0, 0.0, 0.0, 0.0) if row[0] is None else tuple(row)
 
 
-def cluster(df: DataFrame, frame: tuple[float, float, float, float]) -> DataFrame:
+def cluster(
+    df: DataFrame, frame: tuple[float, float, float, float], prefix: str = ""
+) -> DataFrame:
     """Range-partition and sort rows by the Morton key of their box centre.
 
     The row number is the last range column: many rows on one spot still spread over
     several partitions.
     """
-    centre = [(F.col(a) + F.col(b)) / 2 for a, b in (("xmin", "xmax"), ("ymin", "ymax"))]
-    keyed = df.withColumn("morton", morton(*centre, frame))
+    centre = [(F.col(f"{prefix}{a}") + F.col(f"{prefix}{b}")) / 2
+              for a, b in (("xmin", "xmax"), ("ymin", "ymax"))]
+    key = f"{prefix}morton"
+    keyed = df.withColumn(key, morton(*centre, frame))
     keyed = keyed.withColumn("__tie", F.monotonically_increasing_id())
     return (
-        keyed.repartitionByRange("morton", "__tie").sortWithinPartitions("morton").drop("__tie")
+        keyed.repartitionByRange(key, "__tie").sortWithinPartitions(key).drop("__tie")
     )
 
 
@@ -72,10 +84,10 @@ def layout_of(spark: SparkSession, table: str) -> str | None:
     return {row["key"]: row["value"] for row in rows}.get(LAYOUT_PROPERTY)
 
 
-def in_box(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+def in_box(
+    df: DataFrame, box: tuple[float, float, float, float], prefix: str = ""
+) -> DataFrame:
     """Rows whose bounding box meets ``box``; the four comparisons reach the scan."""
     xmin, ymin, xmax, ymax = box
-    return df.where(
-        (F.col("xmin") <= xmax) & (F.col("xmax") >= xmin)
-        & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin)
-    )
+    low_x, low_y, high_x, high_y = (F.col(f"{prefix}{n}") for n in BOX)
+    return df.where((low_x <= xmax) & (high_x >= xmin) & (low_y <= ymax) & (high_y >= ymin))

@@ -69,13 +69,23 @@ def publish(
 
 
 def index_geometry(spark: SparkSession, table: str, column: str) -> bool:
-    """Lay a table out along ``column``; False when that was already done."""
-    wanted = layout.marker(column)
-    if layout.layout_of(spark, sql_name(table)) == wanted:
-        return False
-    rows = spark.table(sql_name(table)).drop(*layout.BOX, "morton")
-    boxed = layout.add_bounds(rows, column)
-    replace_table(layout.cluster(boxed, layout.frame_of(boxed)), table, {layout.LAYOUT_PROPERTY: wanted})
+    """Lay a table out along ``column``; False when that was already done.
+
+    Bounds and key of an earlier layout go; attributes of the same names stay, and the new
+    columns get the name of the geometry as a prefix.
+    """
+    rows = spark.table(sql_name(table))
+    done = layout.layout_of(spark, sql_name(table))
+    if done:
+        old, _, key = done.partition(":")
+        if old == column:
+            return False
+        prefix = key.removesuffix("morton")
+        rows = rows.drop(*[f"{prefix}{n}" for n in (*layout.BOX, "morton")])
+    prefix = layout.prefix_for(rows.columns, column)
+    boxed = layout.add_bounds(rows, column, prefix)
+    clustered = layout.cluster(boxed, layout.frame_of(boxed, prefix), prefix)
+    replace_table(clustered, table, {layout.LAYOUT_PROPERTY: layout.marker(column, prefix)})
     return True
 
 

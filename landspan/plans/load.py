@@ -191,10 +191,11 @@ def load(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
     properties = {}
     if indexed or (is_raster and dest.raster_index):
         column = dest.raster_column if is_raster else indexed[0]
-        boxed = rows if is_raster else layout.add_bounds(rows, column)
-        laid_out = layout.cluster(boxed, layout.frame_of(boxed))
+        prefix = "" if is_raster else layout.prefix_for(rows.columns, column)
+        boxed = rows if is_raster else layout.add_bounds(rows, column, prefix)
+        laid_out = layout.cluster(boxed, layout.frame_of(boxed, prefix), prefix)
         _packed(laid_out, dest, is_raster).write.saveAsTable(tables.sql_name(staged))
-        properties = {layout.LAYOUT_PROPERTY: layout.marker(column)}
+        properties = {layout.LAYOUT_PROPERTY: layout.marker(column, prefix)}
     tables.publish(spark, staged, dest.table, properties)
     for column, value in duckdb.declared(df, duckdb.DEFAULT).items():
         columns.set_default(spark, dest.table, column, str(value))
