@@ -17,8 +17,11 @@ A byte goes when a string of ``width`` bytes that covers it also starts anywhere
    the parse), each with the lengths of common prefixes. A window is repeated if it is equal
    to another in both orders.
 
-A core that more than ``MAX_GROUP`` different contexts share is not sorted in one task; its
-windows are counted by 128-bit hashes instead, in an aggregation.
+A core that very many contexts share, such as a line of boilerplate between other words, meets
+in no single task. Tasks that read two or more of its contexts report them; a core with more than
+``HOT_ROWS`` reported contexts and ``HOT_SHARE`` of all phrases is dealt by context, and there are
+no more than 1 / ``HOT_SHARE`` of them to broadcast. Its windows, and those of a core with more
+than ``MAX_GROUP`` contexts, are counted by 128-bit hashes in an aggregation.
 
 Null and empty texts are empty; texts shorter than ``width`` keep all. Repeated rows are
 copies of each other. Extra columns are ignored.
@@ -26,6 +29,7 @@ copies of each other. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,8 @@ ZONE = 128
 GRAM = 16
 # Rows of one core that one task sorts; beyond, its windows are counted by hash.
 MAX_GROUP = 50_000
+# A core is dealt by context if more rows are reported of it, and a larger share of all phrases.
+HOT_ROWS, HOT_SHARE = 1000, 1e-6
 # Rows sorted together.
 CHUNK = 4096
 
@@ -81,12 +87,12 @@ def phrases(data: np.ndarray, width: int = WIDTH, zone: int = ZONE):
 
 
 _PARSED = pa.schema([
-    ("spread", pa.int64()), ("core", pa.int64()), ("context", pa.int64()), ("key_id", pa.int64()),
-    ("key_tag", pa.int32()), ("trigger", pa.int32()), ("first", pa.int32()), ("last", pa.int32()),
-    ("copies", pa.int32()),
+    ("core", pa.int64()), ("context", pa.int64()), ("key_id", pa.int64()), ("key_tag", pa.int32()),
+    ("trigger", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int32()),
+    ("near", pa.int32()),
 ])
-_PARSED_DDL = ("spread long, core long, context long, key_id long, key_tag int, trigger int, "
-               "first int, last int, copies int")
+_PARSED_DDL = ("core long, context long, key_id long, key_tag int, trigger int, first int, last int, "
+               "copies int, near int")
 
 
 def _table(schema: pa.Schema, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -98,22 +104,24 @@ def _parse(width: int, zone: int):
     """Phrases of the documents of a task; copies within it are settled at once.
 
     A row with copies = 0 is a phrase known to repeat. The others go to their core: of a
-    context the task has read several times, one row with copies = 2.
+    context the task has read several times, one row with copies = 2. Their ``near`` is the
+    number of contexts of the core read together.
     """
     def settle(parts: list[tuple]) -> pa.RecordBatch:
         key_id, key_tag, at, first, last, core, context = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((context, core))
-        new = np.ones(len(order), bool)
-        new[1:] = (core[order][1:] != core[order][:-1]) | (context[order][1:] != context[order][:-1])
-        group = np.cumsum(new) - 1
+        new_core, new = np.ones(len(order), bool), np.ones(len(order), bool)
+        new_core[1:] = core[order][1:] != core[order][:-1]
+        new[1:] = new_core[1:] | (context[order][1:] != context[order][:-1])
+        group, outer = np.cumsum(new) - 1, (np.cumsum(new_core) - 1)[new]
         many = np.bincount(group)[group] > 1
         sent, known = order[new], order[many]
         rows = np.concatenate([sent, known])
-        copies = np.concatenate([1 + many[new], np.zeros(len(known), np.int64)])
-        spread = np.where(copies > 0, core[rows].view(np.int64), key_id[rows] * 31 + key_tag[rows])
+        none = np.zeros(len(known), np.int64)
         return _table(_PARSED, [
-            spread, core[rows].view(np.int64), context[rows].view(np.int64), key_id[rows],
-            key_tag[rows], at[rows], first[rows], last[rows], copies])
+            core[rows].view(np.int64), context[rows].view(np.int64), key_id[rows], key_tag[rows],
+            at[rows], first[rows], last[rows], np.concatenate([1 + many[new], none]),
+            np.concatenate([np.bincount(outer)[outer], none])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -166,33 +174,33 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: int, least: int
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(max_group: int):
     """Phrases with one core: copies = 0 for those that repeat, others when still open."""
-    for batch in _whole_groups(batches, 0, 20_000):
-        spread, core, context, key_id, key_tag, at, first, last, copies = (
-            batch.column(k).to_numpy() for k in range(9))
-        known = np.flatnonzero(copies == 0)
-        order = np.flatnonzero(copies > 0)
-        order = order[np.lexsort((context[order], core[order]))]
-        c, x, n = core[order], context[order], copies[order]
-        new_core, new = np.ones(len(order), bool), np.ones(len(order), bool)
-        new_core[1:] = c[1:] != c[:-1]
-        new[1:] = new_core[1:] | (x[1:] != x[:-1])
-        group, outer = np.cumsum(new) - 1, np.cumsum(new_core) - 1
-        total = np.bincount(group, n)[group]
-        contexts = np.bincount(outer, new)[outer]
-        repeated, open_core = total > 1, contexts > 1
-        # A core whose contexts all repeat needs no sorting.
-        unsettled = (np.bincount(outer, new & ~repeated)[outer] > 0) & open_core
-        settled = np.concatenate([known, order[repeated]])
-        opened = order[unsettled & new]
-        rows = np.concatenate([settled, opened])
-        yield _table(_MET, [
-            core[rows], key_id[rows], key_tag[rows], at[rows], first[rows], last[rows],
-            np.concatenate([np.zeros(len(settled), np.int64),
-                            np.minimum(total[unsettled & new], 2).astype(np.int64)]),
-            np.concatenate([np.zeros(len(settled), np.int64),
-                            contexts[unsettled & new].astype(np.int64)])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, 0, 20_000):
+            _, core, context, key_id, key_tag, at, first, last, copies, hot = (
+                batch.column(k).to_numpy() for k in range(10))
+            order = np.lexsort((context, core))
+            c, x, n, h = core[order], context[order], copies[order], hot[order] > 0
+            new_core, new = np.ones(len(order), bool), np.ones(len(order), bool)
+            new_core[1:] = c[1:] != c[:-1]
+            new[1:] = new_core[1:] | (x[1:] != x[:-1])
+            group, outer = np.cumsum(new) - 1, np.cumsum(new_core) - 1
+            total = np.bincount(group, n)[group]
+            # The contexts of a hot core are in many tasks.
+            contexts = np.where(h, max_group + 1, np.bincount(outer, new)[outer])
+            repeated = total > 1
+            # A core whose contexts all repeat needs no sorting.
+            unsettled = h | ((np.bincount(outer, new & ~repeated)[outer] > 0) & (contexts > 1))
+            opened = unsettled & new
+            rows = np.concatenate([order[repeated], order[opened]])
+            none = np.zeros(int(repeated.sum()), np.int64)
+            yield _table(_MET, [
+                core[rows], key_id[rows], key_tag[rows], at[rows], first[rows], last[rows],
+                np.concatenate([none, np.minimum(total[opened], 2).astype(np.int64)]),
+                np.concatenate([none, contexts[opened].astype(np.int64)])])
+
+    return run
 
 
 _BYTES = pa.schema([*(_MET.field(k) for k in range(8)), ("bytes", pa.binary())])
@@ -272,15 +280,19 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sort_out(width: int, zone: int, max_group: int):
-    """Repeated windows of open phrases, whole cores together."""
-    def large(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of open phrases: the large cores' rows first, then whole cores together."""
+    def large(batch: pa.RecordBatch) -> pa.RecordBatch:
         # One row a window; they are counted by hash afterwards.
-        for k in range(batch.num_rows):
-            data = np.frombuffer(batch.column(8)[k].as_buffer(), np.uint8)
-            a, b = (_roller(s).grams(_roller(s).sums(data), width).view(np.int64) for s in (2, 3))
-            first = batch.column(4)[k].as_py() + np.arange(len(a))
-            same = [np.full(len(a), batch.column(c)[k].as_py()) for c in (1, 2, 6)]
-            yield _table(_SPANS, [same[0], same[1], first, first, a, b, same[2]])
+        hashes: tuple[list, list] = ([], [])
+        for text in batch.column(8):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            for seed, out in zip((2, 3), hashes):
+                out.append(_roller(seed).grams(_roller(seed).sums(data), width).view(np.int64))
+        size = np.array([len(x) for x in hashes[0]])
+        key_id, key_tag, first, copies = (
+            np.repeat(batch.column(c).to_numpy(), size) for c in (1, 2, 4, 6))
+        start = first + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return _table(_SPANS, [key_id, key_tag, start, start, *map(np.concatenate, hashes), copies])
 
     def small(batch: pa.RecordBatch) -> pa.RecordBatch:
         core, key_id, key_tag, at, first, last, copies = (
@@ -296,20 +308,17 @@ def _sort_out(width: int, zone: int, max_group: int):
             schema=_SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def kept() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                many = batch.column(7).to_numpy() > max_group
-                if many.any():
-                    spilled.append(batch.filter(pa.array(many)))
-                yield batch.filter(pa.array(~many))
-
-        spilled: list[pa.RecordBatch] = []
-        for batch in _whole_groups(kept(), 0, CHUNK):
+        rest = []
+        for batch in batches:
+            many = batch.column(7).to_numpy() > max_group
+            crowd = batch.filter(pa.array(many))
+            for begin in range(0, crowd.num_rows, BATCH_ROWS):
+                yield large(crowd.slice(begin, BATCH_ROWS))
+            if not many.all():
+                rest = [batch.filter(pa.array(~many))]
+                break
+        for batch in _whole_groups(itertools.chain(rest, batches), 0, CHUNK):
             yield small(batch)
-            while spilled:
-                yield from large(spilled.pop())
-        while spilled:
-            yield from large(spilled.pop())
 
     return run
 
@@ -327,25 +336,39 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=part.schema.names)
 
 
+def _hot_cores(parsed: DataFrame, hot_rows: int) -> DataFrame:
+    """core, hot = 1: at most 1 / HOT_SHARE rows."""
+    limit = max(hot_rows, HOT_SHARE * parsed.count())
+    return parsed.where("near > 1").groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > limit).select("core", F.lit(1).alias("hot"))
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
-                   max_group: int = MAX_GROUP) -> DataFrame:
+                   max_group: int = MAX_GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Runs of windows that repeat: key_id, key_tag, first and last start of a window."""
     rows = docs.select(*row_key(), F.col("text").cast("binary").alias("bytes"))
     texts = rows.where(F.octet_length("bytes") >= width)
-    met = materialize(
-        texts.mapInArrow(_parse(width, zone), _PARSED_DDL)
-        .repartition("spread").sortWithinPartitions("spread")
-        .mapInArrow(_meet, _MET_DDL), "phrases")
-    settled = met.where("copies = 0").select("key_id", "key_tag", "first", "last")
+    parsed = materialize(texts.mapInArrow(_parse(width, zone), _PARSED_DDL), "phrases")
+    sent = parsed.where("copies > 0").join(
+        F.broadcast(_hot_cores(parsed, hot_rows)), "core", "left").select(
+        F.when(F.col("hot") == 1, F.xxhash64("core", "context")).otherwise(F.col("core")).alias("spread"),
+        "core", "context", "key_id", "key_tag", "trigger", "first", "last", "copies",
+        F.coalesce("hot", F.lit(0)).alias("hot"))
+    met = materialize(sent.repartition("spread").sortWithinPartitions("spread").mapInArrow(
+        _meet(max_group), _MET_DDL), "phrases-met")
+    settled = parsed.where("copies = 0").select("key_id", "key_tag", "first", "last").unionByName(
+        met.where("copies = 0").select("key_id", "key_tag", "first", "last"))
     opened = met.where("copies > 0").groupBy("key_id", "key_tag").agg(F.collect_list(F.struct(
         "core", "trigger", "first", "last", "copies", "group_rows")).alias("found"))
     packed = texts.mapInArrow(_pack, "key_id long, key_tag int, bytes binary")
+    large = F.col("group_rows") > max_group
     # Rows with one key are copies of each other: cut from one of them.
     spans = materialize(
         packed.join(opened, ["key_id", "key_tag"]).dropDuplicates(["key_id", "key_tag"])
         .select("key_id", "key_tag", "bytes", "found")
         .mapInArrow(_cut_out(width), _BYTES_DDL)
-        .repartition("core").sortWithinPartitions("core")
+        .repartition(F.when(large, F.xxhash64("key_id", "key_tag", "first")).otherwise(F.col("core")))
+        .sortWithinPartitions(~large, "core")
         .mapInArrow(_sort_out(width, zone, max_group), _SPANS_DDL), "phrase-spans")
     windows = spans.where("hash_a is not null")
     counted = windows.groupBy("hash_a", "hash_b").agg(F.sum("copies").alias("n")).where("n > 1")
@@ -393,13 +416,13 @@ def _remove(width: int):
     return run
 
 
-def _spans_of_rows(docs: DataFrame, width: int, zone: int, max_group: int) -> DataFrame:
-    return repeated_spans(docs, width, zone, max_group).groupBy("key_id", "key_tag").agg(
+def _spans_of_rows(docs: DataFrame, width: int, zone: int, max_group: int, hot_rows: int) -> DataFrame:
+    return repeated_spans(docs, width, zone, max_group, hot_rows).groupBy("key_id", "key_tag").agg(
         F.collect_list(F.struct("first", "last")).alias("found"))
 
 
 def strip_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
-                  max_group: int = MAX_GROUP) -> DataFrame:
+                  max_group: int = MAX_GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Documents with shortened texts and their n_chars; all columns and rows stay.
 
     A character goes when one of its bytes does. Null texts stay null.
@@ -409,7 +432,7 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
         return pa.array(["".join(p.decode("utf-8", "ignore") for p in _kept(t.as_py(), s, width)[0])
                          if t.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
 
-    spans = _spans_of_rows(docs, width, zone, max_group).select(
+    spans = _spans_of_rows(docs, width, zone, max_group, hot_rows).select(
         F.col("key_id").alias("_span_id"), F.col("key_tag").alias("_span_tag"),
         F.col("found").alias("_span_found"))
     key_id, key_tag = row_key()
@@ -420,9 +443,9 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
-                   max_group: int = MAX_GROUP) -> DataFrame:
+                   max_group: int = MAX_GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes left), one row a document row."""
-    spans = _spans_of_rows(docs, width, zone, max_group)
+    spans = _spans_of_rows(docs, width, zone, max_group, hot_rows)
     packed = docs.select(
         *row_key(), "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes")
     ).mapInArrow(_pack, "key_id long, key_tag int, doc_id long, bytes binary")

@@ -60,9 +60,9 @@ def rows(request):
     return {"odd": odd_rows(), "empty": [], "one": [(5, "one\ntext")]}[request.param]
 
 
-@pytest.mark.parametrize("max_group", [50_000, 3])
-def test_repeats(spark, rows, max_group):
-    got = suffix_dedup.remove_repeats(docs_of(spark, rows), 40, 20, max_group).collect()
+@pytest.mark.parametrize("max_group, hot_rows", [(50_000, 1000), (3, 1000), (50_000, 1), (3, 5)])
+def test_repeats(spark, rows, max_group, hot_rows):
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows), 40, 20, max_group, hot_rows).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in got), key=repr)
     assert got == brute.repeats(rows, 40)
 
