@@ -23,6 +23,9 @@ class CSVSource:
     path: str
     pk: str | None = None
     schema: T.StructType | str | None = None
+    separator: str = ","
+    multi_line: bool = False
+    encoding: str = "UTF-8"
 
 
 @dataclass(frozen=True)
@@ -120,13 +123,13 @@ def read(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
         case CSVSource():
             if dest.geom_column or dest.geom_index or dest.attributes_only:
                 raise ValueError("a CSV has no geometry to name, index or leave out")
-            return csv.read_csv(spark, source.path, source.schema)
+            return csv.read_csv(spark, source.path, source.schema, source.separator,
+                                source.multi_line, source.encoding)
         case DuckDBSource():
             if source.pk is not None:
                 raise NotImplementedError("a DuckDB source brings its own primary key")
-            df = duckdb.read_duckdb(spark, source.path, source.table)
-            if dest.attributes_only:
-                df = columns.attributes_only(df)
+            df = duckdb.read_duckdb(spark, source.path, source.table,
+                                    with_geometry=not dest.attributes_only)
             for column in geo.geometry_columns(df):
                 df = georef.apply_epsg(df, column, source.epsg)
             return columns.launder(columns.rename_geometry(df, dest.geom_column))

@@ -7,13 +7,16 @@ from pyspark.sql import types as T
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, separator: str = ","
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, separator: str = ",",
+    multi_line: bool = False, encoding: str = "UTF-8",
 ) -> DataFrame:
     """Rows of CSV files with a header; types are inferred unless a schema is given.
 
     Inference reads the data once more, so a known schema halves the scan.
+    With ``multi_line`` quoted values may hold line breaks; a file is then read by one task.
     """
     reader = spark.read.option("header", "true").option("sep", separator).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("encoding", encoding)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", "true").csv(path)

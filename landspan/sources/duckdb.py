@@ -105,16 +105,18 @@ def _rows(table: str, select: str, schema: pa.Schema):
 
 def read_duckdb(
     spark: SparkSession, path: str, table: str, columns: list[str] | None = None,
-    rows_per_task: int = 1_000_000,
+    rows_per_task: int = 1_000_000, with_geometry: bool = True,
 ) -> DataFrame:
     """All columns (or the wanted ones) of a table, from one file or a folder of files.
 
     Every file is cut into row-id ranges and every range is one task.  Not-null, default
-    and key flags are kept as field metadata; GEOMETRY columns arrive as geometry structs.
+    and key flags are kept as field metadata; GEOMETRY columns arrive as geometry structs, or are not
+    read at all without ``with_geometry``.
     """
     files = listing(spark, path, "duckdb", "ddb", "db")
     info = _describe(first_path(files, path), table)
-    wanted = [c for c in info if columns is None or c[1] in columns]
+    wanted = [c for c in info if (columns is None or c[1] in columns)
+              and (with_geometry or not c[2].startswith("GEOMETRY"))]
     select = ", ".join(_selected(name, kind) for _, name, kind, *_ in wanted)
     with _connect(first_path(files, path)) as connection:
         query = f"SELECT {select} FROM {_dotted(table)} LIMIT 0"

@@ -14,17 +14,21 @@ from landspan.sources.features import fetch_pages, require_complete
 from landspan.sources.files import write_files
 from landspan.workspace import scratch_path
 
+# Codes of systems whose official axis order is latitude or northing first.
+NORTH_FIRST = (4326, 2193)
+
 _RING = "struct<`gml:LinearRing`:struct<`gml:posList`:string>>"
-_POLYGON = f"struct<_srsName:string,`gml:exterior`:{_RING},`gml:interior`:array<{_RING}>>"
-_LINE = "struct<_srsName:string,`gml:posList`:string>"
-_POINT = "struct<_srsName:string,`gml:pos`:string>"
+_POLYGON = f"struct<_srsName:string,_srsDimension:int,`gml:exterior`:{_RING},`gml:interior`:array<{_RING}>>"
+_LINE = "struct<_srsName:string,_srsDimension:int,`gml:posList`:string>"
+_POINT = "struct<_srsName:string,_srsDimension:int,`gml:pos`:string>"
 # The GML geometry kinds that are read; all optional.
 GML = f"""struct<
     `gml:Point`:{_POINT}, `gml:LineString`:{_LINE}, `gml:Polygon`:{_POLYGON},
-    `gml:MultiPoint`:struct<_srsName:string,`gml:pointMember`:array<struct<`gml:Point`:{_POINT}>>>,
-    `gml:MultiCurve`:struct<_srsName:string,
+    `gml:MultiPoint`:struct<_srsName:string,_srsDimension:int,
+        `gml:pointMember`:array<struct<`gml:Point`:{_POINT}>>>,
+    `gml:MultiCurve`:struct<_srsName:string,_srsDimension:int,
         `gml:curveMember`:array<struct<`gml:LineString`:{_LINE}>>>,
-    `gml:MultiSurface`:struct<_srsName:string,
+    `gml:MultiSurface`:struct<_srsName:string,_srsDimension:int,
         `gml:surfaceMember`:array<struct<`gml:Polygon`:{_POLYGON}>>>>"""
 
 
@@ -58,24 +62,28 @@ def fetch_wfs(
 
 
 def _numbers(text: Column) -> Column:
-    return F.transform(F.split(F.trim(text), r"\s+"), lambda t: t.cast("double"))
+    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.transform(words, lambda t: t.cast("double"))
 
 
-def _vertices(text: Column, swap: Column) -> Column:
-    """Vertices of a 2-D coordinate list; ``swap`` for systems that put latitude first."""
+def _vertices(text: Column, swap: Column, size: Column) -> Column:
+    """Vertices of a list of ``size`` numbers each; ``swap`` where northing comes first."""
     values = _numbers(text)
-    places = F.sequence(F.lit(0), (F.size(values) / 2).cast("int") - 1)
+    places = F.when(F.size(values) >= size, F.sequence(
+        F.lit(0), F.floor(F.size(values) / size).cast("int") - 1)).otherwise(
+        F.array().cast("array<int>"))
 
     def at(i: Column) -> Column:
-        a, b = F.get(values, 2 * i), F.get(values, 2 * i + 1)
-        return geo.vertex(F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b))
+        a, b = F.get(values, size * i), F.get(values, size * i + 1)
+        return geo.vertex(F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b),
+                          F.when(size > 2, F.get(values, size * i + 2)))
 
     return F.transform(places, at)
 
 
-def _polygon_rings(shape: Column, swap: Column) -> Column:
+def _polygon_rings(shape: Column, swap: Column, size: Column) -> Column:
     def ring(node: Column) -> Column:
-        return _vertices(node["gml:LinearRing"]["gml:posList"], swap)
+        return _vertices(node["gml:LinearRing"]["gml:posList"], swap, size)
 
     holes = F.coalesce(F.transform(shape["gml:interior"], ring), F.array())
     return F.concat(F.array(ring(shape["gml:exterior"])), holes)
@@ -83,19 +91,19 @@ def _polygon_rings(shape: Column, swap: Column) -> Column:
 
 def _geometry(node: Column) -> Column:
     """Geometry struct of one GML element; axis order follows the srsName form."""
-    names = [node[f"gml:{k}"]["_srsName"] for k in
-             ("Point", "LineString", "Polygon", "MultiPoint", "MultiCurve", "MultiSurface")]
-    srs = F.coalesce(*names)
+    kinds = ("Point", "LineString", "Polygon", "MultiPoint", "MultiCurve", "MultiSurface")
+    srs = F.coalesce(*[node[f"gml:{k}"]["_srsName"] for k in kinds])
+    size = F.coalesce(*[node[f"gml:{k}"]["_srsDimension"] for k in kinds], F.lit(2))
     srid = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(srs, r"(\d+)$", 1), F.lit("")),
                                       F.lit("999999")).cast("int"), F.lit(0))
-    # urn: and http: names promise the official axis order, which is latitude first for 4326.
-    swap = F.coalesce(srs.rlike("^(urn:|http)") & (srid == 4326), F.lit(False))
+    # urn: and http: names promise the official axis order.
+    swap = F.coalesce(srs.rlike("^(urn:|http)") & srid.isin(*NORTH_FIRST), F.lit(False))
     point, line, area = node["gml:Point"], node["gml:LineString"], node["gml:Polygon"]
     points, lines = node["gml:MultiPoint"], node["gml:MultiCurve"]
     areas = node["gml:MultiSurface"]
 
     def one(text: Column) -> Column:
-        return F.array(_vertices(text, swap))
+        return F.array(_vertices(text, swap, size))
 
     return (
         F.when(point["gml:pos"].isNotNull(),
@@ -103,13 +111,13 @@ def _geometry(node: Column) -> Column:
         .when(line["gml:posList"].isNotNull(),
               geo.geometry("LineString", F.array(one(line["gml:posList"])), srid))
         .when(area["gml:exterior"].isNotNull(),
-              geo.geometry("Polygon", F.array(_polygon_rings(area, swap)), srid))
+              geo.geometry("Polygon", F.array(_polygon_rings(area, swap, size)), srid))
         .when(points.isNotNull(), geo.geometry("MultiPoint", F.transform(
             points["gml:pointMember"], lambda m: one(m["gml:Point"]["gml:pos"])), srid))
         .when(lines.isNotNull(), geo.geometry("MultiLineString", F.transform(
             lines["gml:curveMember"], lambda m: one(m["gml:LineString"]["gml:posList"])), srid))
         .when(areas.isNotNull(), geo.geometry("MultiPolygon", F.transform(
-            areas["gml:surfaceMember"], lambda m: _polygon_rings(m["gml:Polygon"], swap)), srid))
+            areas["gml:surfaceMember"], lambda m: _polygon_rings(m["gml:Polygon"], swap, size)), srid))
     )
 
 

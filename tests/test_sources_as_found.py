@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landspan.operators import tables
-from landspan.sources import features, files, shapefile, wfs
+from landspan.sources import csv, features, files, shapefile, wfs
 
 
 def capped_features(most, total=7, lost=0):
@@ -72,3 +72,28 @@ def test_journal_refuses_nulls(spark):
     with pytest.raises(ValueError):
         tables.append_journal(row, table)
     assert spark.table(table).count() == 0
+
+
+def test_wfs_northing_first_and_heights(spark, tmp_path):
+    shapes = [
+        '<gml:Point srsName="urn:ogc:def:crs:EPSG::2193"><gml:pos>5400000 1600000</gml:pos></gml:Point>',
+        '<gml:LineString srsName="EPSG:2193" srsDimension="3"><gml:posList>1 2 3 4 5 6</gml:posList>'
+        "</gml:LineString>",
+        '<gml:LineString srsName="EPSG:2193"><gml:posList> </gml:posList></gml:LineString>',
+    ]
+    (tmp_path / "a.xml").write_text(
+        '<wfs:FeatureCollection xmlns:wfs="http://w" xmlns:a="http://a" xmlns:gml="http://g">'
+        + "".join(f"<wfs:member><a:site><a:n>{n}</a:n><a:g>{shape}</a:g></a:site></wfs:member>"
+                  for n, shape in enumerate(shapes)) + "</wfs:FeatureCollection>")
+    got = {r["n"]: [[tuple(v) for v in ring] for part in r["g"]["parts"] for ring in part]
+           for r in wfs.read_wfs(spark, str(tmp_path), "a:site").collect() if r["g"]}
+    assert got[0] == [[(1600000.0, 5400000.0, None)]]
+    assert got[1] == [[(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]]
+    assert got.get(2, [[]]) == [[]]
+
+
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id;note\n1;"two\nlines"\n2;x\n', encoding="latin-1")
+    rows = csv.read_csv(spark, str(tmp_path / "a.csv"), separator=";", multi_line=True,
+                        encoding="iso-8859-1").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "x")]
