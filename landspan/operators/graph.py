@@ -16,6 +16,8 @@ from landspan.operators.recursion import recursive_union
 from landspan.workspace import Rounds, materialize
 
 OBJECT = ["schema", "name", "type"]
+# Rounds after which settled nodes are left behind, and after which the end is looked for.
+COMPACT, LOOK = 8, 4
 
 
 def duplicate_nodes(nodes: DataFrame) -> DataFrame:
@@ -62,40 +64,98 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return recursive_union(seeds.select("node_id"), children)
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """Nearest ancestor with no or several parents: ``(node_id, anchor, steps, open)``.
+
+    ``single(node_id, parent)`` are the nodes with one parent.  Pointers double their reach
+    in each round, so a chain costs the logarithm of its length.  When a round closes no
+    pointer, those still open run in a cycle.
+    """
+    names = single.select(F.col("node_id").alias("anchor"), F.lit(True).alias("more"))
+    chains = materialize(
+        single.withColumnRenamed("parent", "anchor").join(names, "anchor", "left").select(
+            "node_id", "anchor", F.lit(1).alias("steps"), F.coalesce("more", F.lit(False)).alias("open")),
+        "chains")
+    before, left = None, chains.where("open").count()
+    while left and left != before:
+        reach = chains.select(F.col("node_id").alias("anchor"), F.col("anchor").alias("far"),
+                              F.col("steps").alias("far_steps"), F.col("open").alias("far_open"))
+        jumped = chains.where("open").join(reach, "anchor").select(
+            "node_id", F.col("far").alias("anchor"), (F.col("steps") + F.col("far_steps")).alias("steps"),
+            F.col("far_open").alias("open"))
+        chains = materialize(chains.where("NOT open").unionByName(jumped), "chains")
+        before, left = left, chains.where("open").count()
+    return chains
+
+
+def _peel(start: DataFrame, links: DataFrame) -> DataFrame:
+    """Settled nodes ``(node_id, level)`` of a graph with weighted links.
+
+    ``start(node_id, closed, reach, level)``: minus the number of parents; the level where
+    there are none.  ``links(child, parent, weight)``.  A round adds a row for each node some
+    of whose parents it settles; the node settles in the round that brings its sum to zero.
+    After ``COMPACT`` rounds only nodes that are still open are carried on, one row each.
+    """
+    spark = start.sparkSession
+    settled = Rounds(spark, "levels", start.select("node_id", "level").schema)
+    frontier = None
+    while True:
+        seen = Rounds(spark, "open-nodes", start.schema)
+        opened = seen.append(start)
+        frontier = opened.where("level IS NOT NULL") if frontier is None else frontier
+        for done in range(COMPACT):
+            # A round with nothing to settle is harmless and costs little more than the look.
+            if done % LOOK == 0 and frontier.isEmpty():
+                settled.append(seen.all().where("level IS NOT NULL"))
+                return settled.all()
+            parents = frontier.select(F.col("node_id").alias("parent"), "level")
+            touched = links.join(parents, "parent").groupBy(F.col("child").alias("node_id")).agg(
+                F.count("*").alias("now"), F.max(F.col("level") + F.col("weight")).alias("best"))
+            step = touched.join(seen.all().select("node_id", "closed", "reach"), "node_id").groupBy(
+                "node_id", "now", "best").agg(F.sum("closed").alias("before"), F.max("reach").alias("high"))
+            reach = F.greatest("best", "high")
+            frontier = seen.append(step.select(
+                "node_id", F.col("now").alias("closed"), reach.alias("reach"),
+                F.when(F.col("before") + F.col("now") == 0, reach).alias("level"),
+            )).where("level IS NOT NULL")
+        settled.append(seen.all().where("level IS NOT NULL"))
+        start = seen.all().groupBy("node_id").agg(
+            F.sum("closed").alias("closed"), F.max("reach").alias("reach"),
+            F.max("level").alias("level")).where("level IS NULL")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological level per node: ``(node_id, level)``; level is NULL on cycles.
 
-    Level 0 has no parent, every other node is one above its highest parent.  A round
-    settles the nodes whose last open parent was settled by the round before; nodes that
-    never settle lie on or below a cycle.  Sorting by (level, node_id) is a topological
-    order.
+    Level 0 has no parent, every other node is one above its highest parent; nodes that
+    never settle lie on or below a cycle, or a parent is no node.  Runs of nodes with one
+    parent each are contracted first; the rest is settled round by round.  Sorting by
+    (level, node_id) is a topological order.
     """
     ids = nodes.select("node_id").distinct()
     links = materialize(edges.select("child", "parent").distinct(), "links")
-    need = links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("parents"))
-    # A node starts with minus its number of parents; each round that settles some of them
-    # adds a row.  It settles in the round that brings its sum to zero.
-    start = ids.join(need, "node_id", "left").select(
-        "node_id", (-F.coalesce("parents", F.lit(0))).cast("long").alias("closed"),
-        F.when(F.col("parents").isNull(), F.lit(0)).alias("level"),
-    )
-    seen = Rounds(nodes.sparkSession, "levels", start.schema)
-    level = 0
-    frontier = seen.append(start).where("level IS NOT NULL")
-    while not frontier.isEmpty():
-        level += 1
-        touched = (
-            links.join(frontier.select(F.col("node_id").alias("parent")), "parent", "left_semi")
-            .groupBy(F.col("child").alias("node_id")).agg(F.count("*").alias("closed"))
-        )
-        history = seen.all().select("node_id", F.col("closed").alias("before"))
-        step = touched.join(history, "node_id").groupBy("node_id", "closed").agg(
-            F.when(F.sum("before") + F.col("closed") == 0, F.lit(level)).alias("level")
-        )
-        frontier = seen.append(step).where("level IS NOT NULL")
-    done = seen.all().where("level IS NOT NULL").select("node_id", "level")
-    cyclic = ids.join(done, "node_id", "left_anti").withColumn("level", F.lit(None).cast("int"))
-    return done.unionByName(cyclic)
+    need = ids.join(links.withColumnRenamed("child", "node_id"), "node_id", "left").groupBy("node_id").agg(
+        F.count("parent").alias("parents"), F.min("parent").alias("parent"))
+    need = materialize(need, "parents")
+    chains = _chains(need.where("parents = 1").select("node_id", "parent"))
+    through = chains.select(F.col("node_id").alias("parent"), "anchor", "steps")
+    # A parent within a chain stands for the anchor above it.
+    short = materialize(
+        need.where("parents > 1").select(F.col("node_id").alias("child")).join(links, "child")
+        .join(through, "parent", "left")
+        .groupBy("child", F.coalesce("anchor", "parent").alias("parent"))
+        .agg((F.max(F.coalesce("steps", F.lit(0))) + 1).alias("weight")),
+        "short-links")
+    several = short.groupBy(F.col("child").alias("node_id")).agg((-F.count("*")).alias("closed"))
+    none = need.where("parents = 0").select(
+        "node_id", F.lit(0).cast("long").alias("closed"), F.lit(0).alias("reach"), F.lit(0).alias("level"))
+    start = none.unionByName(several.select(
+        "node_id", "closed", F.lit(0).alias("reach"), F.lit(None).cast("int").alias("level")))
+    top = _peel(start, short)
+    below = chains.join(top.withColumnRenamed("node_id", "anchor"), "anchor").select(
+        "node_id", (F.col("level") + F.col("steps")).alias("level"))
+    done = top.unionByName(below)
+    return ids.join(done, "node_id", "left").select("node_id", "level")
 
 
 def require_acyclic(node_levels: DataFrame) -> None:

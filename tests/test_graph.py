@@ -47,6 +47,39 @@ def test_levels_are_a_topological_order_of_a_random_graph(spark):
     assert set(sorter.static_order()) == set(order)
 
 
+def _brute_levels(ids, edges):
+    """Longest way from above by repeated relaxation; None where it never ends."""
+    parents = {i: {p for c, p in edges if c == i} for i in ids}
+    found = {}
+    while True:
+        more = {i: 1 + max((found[p] for p in ps), default=-1) for i, ps in parents.items()
+                if i not in found and all(p in found for p in ps)}
+        if not more:
+            return {i: found.get(i) for i in ids}
+        found |= more
+
+
+@pytest.mark.parametrize("seed, parents, span", [(1, 1, 3), (2, 2, 2), (3, 3, 40), (4, 2, 6)])
+def test_levels_with_chains_cycles_and_unknown_parents(spark, seed, parents, span):
+    rng = random.Random(seed)
+    ids = [str(i) for i in range(90)]
+    edges = [(str(i), str(max(0, i - rng.randint(1, span))))
+             for i in range(1, 90) for _ in range(rng.randint(0 if rng.random() < 0.1 else 1, parents))]
+    # A cycle of single parents with a tail, a cycle through a node of several, a parent that is no node.
+    more = ["u", "v", "w", "tail", "m", "n", "orphan", "below"]
+    edges += [("u", "v"), ("v", "w"), ("w", "u"), ("tail", "u"), ("m", "n"), ("n", "m"), ("n", "5"),
+              ("orphan", "nobody"), ("below", "orphan"), ("below", "3"), ("stranger", "3")]
+    assert _levels(spark, ids + more, edges) == _brute_levels(ids + more, edges)
+
+
+def test_levels_of_a_long_chain(spark):
+    nodes = spark.range(600).select(F.col("id").cast("string").alias("node_id"), F.lit("source").alias("kind"))
+    edges = spark.range(1, 600).select(
+        F.col("id").cast("string").alias("child"), (F.col("id") - 1).cast("string").alias("parent"))
+    found = graph.levels(nodes, edges)
+    assert found.count() == found.where("level = int(node_id)").count() == 600
+
+
 def test_acyclic_check(spark):
     looped = graph.levels(_nodes(spark, ["a", "b"]), spark.createDataFrame([("a", "b"), ("b", "a")], EDGES))
     with pytest.raises(ValueError, match="cycle"):
