@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landspan.operators import checks, layout
@@ -99,6 +100,19 @@ def init_journal(spark: SparkSession, table: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {sql_name(table)} ({fields}) USING parquet")
 
 
+def run_records(
+    runs: DataFrame, user: str, host: str, version: str, revision: str | None = None
+) -> DataFrame:
+    """Journal records of finished runs ``(node_id, started, completed)``, all by one process.
+
+    Other columns are ignored.  ``revision`` is NULL outside a working copy.
+    """
+    given = {"db_user": user, "hostname": host, "engine_version": version, "repo_revision": revision}
+    return runs.select("node_id", "started", "completed").select(
+        "*", *[F.lit(v).cast("string").alias(n) for n, v in given.items()]
+    ).select(JOURNAL_SCHEMA.names)
+
+
 def append_journal(records: DataFrame, table: str) -> None:
     """Append a batch of run records, one write for the whole batch.
 

@@ -26,6 +26,16 @@ def g_levels(spark, folder):
     return graph.levels(*_parts(spark, folder))
 
 
+def g_chain(spark, folder):
+    """All parts in one chain in order of their keys, broken only where a key is missing."""
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("k"))
+    ids = part.select(F.col("k").cast("string").alias("node_id"), F.lit("source").alias("kind"))
+    links = part.select("k", (F.col("k") - 1).alias("above")).join(
+        part.select(F.col("k").alias("above")), "above", "left_semi").select(
+        F.col("k").cast("string").alias("child"), F.col("above").cast("string").alias("parent"))
+    return graph.levels(ids, links)
+
+
 def g_cycles(spark, folder):
     nodes, edges = _parts(spark, folder)
     # Every key that is 7 mod 50 also waits for a node below itself.
@@ -99,7 +109,7 @@ def _render_inputs(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    g_levels, g_cycles, e_recursive, g_edges, g_missing_owner, g_duplicates,
+    g_levels, g_chain, g_cycles, e_recursive, g_edges, g_missing_owner, g_duplicates,
     g_owner_conflicts, g_select, g_schemas, g_render,
 )}
 
@@ -130,6 +140,10 @@ ORACLES = {
         )
         SELECT CAST(k AS VARCHAR) AS node_id, CAST(max(level) AS INTEGER) AS level
         FROM walk GROUP BY k""",
+    "g_chain": """
+        WITH runs AS (SELECT p_partkey AS k, p_partkey - row_number() OVER (ORDER BY p_partkey) AS run FROM part)
+        SELECT CAST(k AS VARCHAR) AS node_id, CAST(k - min(k) OVER (PARTITION BY run) AS INTEGER) AS level
+        FROM runs""",
     "g_cycles": f"""
         WITH RECURSIVE {_PARTS}, links AS (
             SELECT child, parent FROM edges

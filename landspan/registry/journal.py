@@ -23,7 +23,10 @@ def h_manifest(spark, folder):
 
 
 def h_local_time(spark, folder):
-    return jrn.local_time(h_manifest(spark, folder), "completed", "Asia/Kolkata")
+    """Wall time in a zone with summer time; completions are spread beyond its change."""
+    spread = h_manifest(spark, folder).withColumn(
+        "completed", F.expr("completed + make_dt_interval(CAST(node_id AS INT) % 365)"))
+    return jrn.local_time(spread, "completed", "Pacific/Auckland")
 
 
 def h_outdated(spark, folder):
@@ -98,8 +101,9 @@ ORACLES = {
         FROM events GROUP BY 1""",
     "h_local_time": """
         SELECT CAST(user_id AS VARCHAR) AS node_id,
-            max(ts) + INTERVAL 330 MINUTE AS completed
-        FROM events GROUP BY 1""",
+            timezone('Pacific/Auckland',
+                timezone('UTC', max(ts) + to_days(CAST(user_id % 365 AS INTEGER)))) AS completed
+        FROM events GROUP BY user_id""",
     "h_outdated": f"WITH RECURSIVE {_GRAPH} SELECT CAST(n AS VARCHAR) AS node_id FROM stale",
     "h_worklist": f"""
         WITH RECURSIVE {_GRAPH},

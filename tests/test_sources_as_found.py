@@ -74,6 +74,19 @@ def test_journal_refuses_nulls(spark):
     assert spark.table(table).count() == 0
 
 
+def test_run_records_fill_the_journal(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS journal_records")
+    runs = spark.sql("SELECT 'extra' AS hostname, t AS completed, t - INTERVAL 1 HOUR AS started, id AS node_id "
+                     "FROM VALUES ('a', TIMESTAMP '2024-03-01'), ('b', TIMESTAMP '2024-03-02') AS v(id, t)")
+    records = tables.run_records(runs, "loader", "h1", "2.0")
+    assert records.columns == tables.JOURNAL_SCHEMA.names
+    tables.append_journal(records, "journal_records.runs")
+    tables.append_journal(tables.run_records(runs.limit(0), "loader", "h1", "2.0", "abc"), "journal_records.runs")
+    found = spark.table("journal_records.runs").orderBy("node_id").collect()
+    assert [(r["node_id"], r["hostname"], r["engine_version"], r["repo_revision"]) for r in found] == [
+        ("a", "h1", "2.0", None), ("b", "h1", "2.0", None)]
+
+
 def test_wfs_northing_first_and_heights(spark, tmp_path):
     shapes = [
         '<gml:Point srsName="urn:ogc:def:crs:EPSG::2193"><gml:pos>5400000 1600000</gml:pos></gml:Point>',
