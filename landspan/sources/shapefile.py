@@ -18,6 +18,15 @@ from landspan.sources.files import first_path, listing, open_file, read_at, spre
 SHAPES = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
 # Sizes of the index header and of one index entry, in bytes.
 INDEX_HEADER, INDEX_ENTRY = 100, 8
+# Bytes of shapes and attributes that are decoded together.
+BATCH_BYTES = 32 << 20
+# Names by which a .prj file without a code calls the systems known here; UTM by rule.
+NAMED_SYSTEMS = {
+    "GCS_WGS_1984": 4326,
+    "WGS_1984_Web_Mercator_Auxiliary_Sphere": 3857,
+    "NZGD_2000_New_Zealand_Transverse_Mercator": 2193,
+    "NZGD2000_New_Zealand_Transverse_Mercator_2000": 2193,
+}
 RAW = pa.schema([
     ("record", pa.int64()),
     ("srid", pa.int32()),
@@ -104,24 +113,29 @@ def _reader(expected: list, encoding: str):
                 index = read_at(at_index, INDEX_HEADER + INDEX_ENTRY * low, INDEX_ENTRY * count)
                 # Offsets and lengths count 16-bit words.
                 entries = np.frombuffer(index, ">i4").reshape(-1, 2).astype("i8") * 2
-                first, last = entries[:, 0].min(), (entries[:, 0] + entries[:, 1] + 8).max()
-                shapes = read_at(_beside(at_index, "shp"), int(first), int(last - first))
-                table = read_at(records, head + width * low, width * count)
-                out = ([], [], [], [])
-                for i, start in enumerate(entries[:, 0] - first + 8):
-                    row = table[i * width : (i + 1) * width]
-                    if row[:1] == b"*":
-                        continue
-                    (code,) = struct.unpack_from("<i", shapes, start)
-                    at, texts = 1, []
-                    for _, _, size, _ in fields:
-                        texts.append(row[at : at + size].decode(encoding).strip(" \0"))
-                        at += size
-                    out[0].append(low + i)
-                    out[1].append(_shape_kind(code))
-                    out[2].append(_lines(shapes, start + 4, code) if code else [])
-                    out[3].append(texts)
-                yield _batch(out[0], _declared_srid(at_index), *out[1:])
+                srid = _declared_srid(at_index)
+                # Large shapes come in several batches of a bounded number of bytes.
+                filled = np.cumsum(entries[:, 1] + 8 + width) // BATCH_BYTES
+                for rows in np.split(np.arange(count), np.flatnonzero(np.diff(filled)) + 1):
+                    some, begin = entries[rows], low + int(rows[0])
+                    first, last = some[:, 0].min(), (some[:, 0] + some[:, 1] + 8).max()
+                    shapes = read_at(_beside(at_index, "shp"), int(first), int(last - first))
+                    table = read_at(records, head + width * begin, width * len(rows))
+                    out = ([], [], [], [])
+                    for i, start in enumerate(some[:, 0] - first + 8):
+                        row = table[i * width : (i + 1) * width]
+                        if row[:1] == b"*":
+                            continue
+                        (code,) = struct.unpack_from("<i", shapes, start)
+                        at, texts = 1, []
+                        for _, _, size, _ in fields:
+                            texts.append(row[at : at + size].decode(encoding).strip(" \0"))
+                            at += size
+                        out[0].append(begin + i)
+                        out[1].append(_shape_kind(code))
+                        out[2].append(_lines(shapes, start + 4, code) if code else [])
+                        out[3].append(texts)
+                    yield _batch(out[0], srid, *out[1:])
 
     return read
 
@@ -141,14 +155,20 @@ def _attribute(text: Column, kind: str, width: int, decimals: int) -> Column:
 
 
 def _declared_srid(index: str) -> int:
-    """EPSG code named by the .prj file, 0 when there is none."""
+    """EPSG code named by the .prj file, else the code of its system's name, else 0."""
     try:
         with open_file(_beside(index, "prj")) as handle:
             text = handle.read().decode("latin-1")
     except FileNotFoundError:
         return 0
     codes = re.findall(r'(?:AUTHORITY|ID)\["EPSG",\s*"?(\d+)"?\]', text)
-    return int(codes[-1]) if codes else 0
+    if codes:
+        return int(codes[-1])
+    name = (re.findall(r'^\s*(?:PROJCS|GEOGCS)\["([^"]*)"', text) or [""])[0]
+    zone = re.fullmatch(r"WGS_1984_UTM_Zone_(\d{1,2})([NS])", name)
+    if zone:
+        return (32600 if zone[2] == "N" else 32700) + int(zone[1])
+    return NAMED_SYSTEMS.get(name, 0)
 
 
 def read_shapefile(

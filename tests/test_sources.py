@@ -212,6 +212,33 @@ def test_shapefile_points_deleted_and_null(spark, tmp_path):
     assert got[4]["geom"] is None and got[4]["ok"] is False
 
 
+@pytest.mark.parametrize("text, srid", [
+    ('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]', 4326),
+    ('PROJCS["WGS_1984_UTM_Zone_33N",GEOGCS["GCS_WGS_1984"]]', 32633),
+    ('PROJCS["WGS_1984_UTM_Zone_7S",GEOGCS["GCS_WGS_1984"]]', 32707),
+    ('PROJCS["Somewhere",GEOGCS["GCS_WGS_1984"]]', 0),
+])
+def test_shapefile_system_by_name(tmp_path, text, srid):
+    (tmp_path / "p.prj").write_text(text)
+    assert shapefile._declared_srid(str(tmp_path / "p.shx")) == srid
+
+
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_shapefile_in_batches_of_bytes(tmp_path, monkeypatch, size):
+    monkeypatch.setattr(shapefile, "BATCH_BYTES", size)
+    rows = [[str(i), "n", "", "T", "1"] for i in range(20)]
+    shapes = [[np.full((1 + i % 3, 2), float(i))] for i in range(20)]
+    path = _save(tmp_path, "b", shp_bytes(3, shapes, FIELDS, rows, deleted=(4, 19)))
+    fields = shapefile._table_header(path[:-3] + "dbf")[2]
+    import pyarrow as pa
+    piece = pa.RecordBatch.from_pylist([{"index": path[:-3] + "shx", "low": 2, "high": 19}])
+    got = list(shapefile._reader(fields, "utf-8")([piece]))
+    want = [i for i in range(2, 20) if i not in (4, 19)]
+    assert [int(f[0]) for b in got for f in b.column("fields").to_pylist()] == want
+    assert [r for b in got for r in b.column("record").to_pylist()] == want
+    assert [s[0][0]["x"] for b in got for s in b.column("lines").to_pylist()] == [float(i) for i in want]
+
+
 @pytest.mark.parametrize("code, lines, kind, parts", [
     (3, [[[0, 0], [1, 1]], [[5, 5], [6, 6], [7, 5]]], "MultiLineString", [[2], [3]]),
     (3, [[[0, 0], [1, 1]]], "LineString", [[2]]),
