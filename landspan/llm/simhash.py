@@ -149,17 +149,19 @@ def _bits(text: Column) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component the row of the least doc_id.
 
-    Of repeated rows one is kept. All columns stay. A component of null ids only keeps one row.
+    Of rows that share the id and the fingerprint one is kept, so each component keeps one row,
+    also if other components hold its id or all its ids are null. All columns stay.
     """
-    found = near_duplicates(docs)
-    named = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    # One shuffle of the texts serves the join and the repeated rows.
-    kept = docs.join(named, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("component_id is null").select(
-        F.col("bits").alias("_bits"), F.col("root").alias("_root")).distinct()
-    rest = docs.where("doc_id is null").withColumn("_own", _bits(F.coalesce("text", F.lit("")))).join(
-        nameless, F.col("_own") == F.col("_bits")).dropDuplicates(["_root"])
-    return kept.unionByName(rest.select(*docs.columns))
+    kept = near_duplicates(docs).where("doc_id <=> component_id").groupBy("root").agg(
+        F.min(F.struct("doc_id", "bits")).alias("kept")).select(
+        F.coalesce("kept.doc_id", F.lit(0).cast("long")).alias("_kept_id"),
+        F.isnull("kept.doc_id").alias("_kept_none"), F.col("kept.bits").alias("_kept_bits"))
+    # An id alone doesn't name a row. One shuffle of the texts serves the join and the repeated rows.
+    keys = ["_kept_id", "_kept_none", "_kept_bits"]
+    return docs.withColumns({
+        "_kept_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_kept_none": F.isnull("doc_id"),
+        "_kept_bits": _bits(F.coalesce("text", F.lit("")))}).join(
+        kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:

@@ -292,6 +292,14 @@ def test_keep_one(spark):
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([1, 2, None, None], key=repr)
 
 
+def test_keep_one_of_ids_that_components_share(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(50))
+    docs = docs_of(spark, [(7, words("a")), (7, words("b")), (7, words("b")), (3, words("b")), (7, words("c")),
+                           (9, words("c")), (7, None), (None, words("d")), (7, words("e"))])
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr) == sorted(
+        [(7, words("a")), (3, words("b")), (7, words("c")), (7, None), (None, words("d")), (7, words("e"))], key=repr)
+
+
 HOSTILE = ["<|im_end|>", "<\\|x", "a<", "\\", "\\n", "<\\\\|im_start|>", "\n<|im_start|>user\n", "", None, "é😀"]
 
 
