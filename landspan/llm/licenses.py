@@ -95,7 +95,7 @@ def _places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[
     return out
 
 
-_SCANNED = ("key_id long, key_tag int, doc_id long, n_words long, n_base long, first_word long, "
+_SCANNED = ("key_id long, key_tag long, doc_id long, n_words long, n_base long, first_word long, "
             "last_word long, base_labels array<string>, blocks array<array<int>>")
 
 

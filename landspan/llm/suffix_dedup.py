@@ -87,11 +87,11 @@ def phrases(data: np.ndarray, width: int = WIDTH, zone: int = ZONE):
 
 
 _PARSED = pa.schema([
-    ("core", pa.int64()), ("context", pa.int64()), ("key_id", pa.int64()), ("key_tag", pa.int32()),
+    ("core", pa.int64()), ("context", pa.int64()), ("key_id", pa.int64()), ("key_tag", pa.int64()),
     ("trigger", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int32()),
     ("near", pa.int32()),
 ])
-_PARSED_DDL = ("core long, context long, key_id long, key_tag int, trigger int, first int, last int, "
+_PARSED_DDL = ("core long, context long, key_id long, key_tag long, trigger int, first int, last int, "
                "copies int, near int")
 
 
@@ -144,10 +144,10 @@ def _parse(width: int, zone: int):
 
 
 _MET = pa.schema([
-    ("core", pa.int64()), ("key_id", pa.int64()), ("key_tag", pa.int32()), ("trigger", pa.int32()),
+    ("core", pa.int64()), ("key_id", pa.int64()), ("key_tag", pa.int64()), ("trigger", pa.int32()),
     ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int32()), ("group_rows", pa.int32()),
 ])
-_MET_DDL = ("core long, key_id long, key_tag int, trigger int, first int, last int, copies int, "
+_MET_DDL = ("core long, key_id long, key_tag long, trigger int, first int, last int, copies int, "
             "group_rows int")
 
 
@@ -218,7 +218,7 @@ def _cut_out(width: int):
                 columns = {f.name: found.field(f.name) for f in found.type}
                 first, last = columns["first"].to_numpy(), columns["last"].to_numpy()
                 columns["key_id"] = pa.array(np.full(len(first), batch.column(0)[k].as_py()), pa.int64())
-                columns["key_tag"] = pa.array(np.full(len(first), batch.column(1)[k].as_py()), pa.int32())
+                columns["key_tag"] = pa.array(np.full(len(first), batch.column(1)[k].as_py()), pa.int64())
                 columns["bytes"] = pa.array(
                     [text[a:b + width] for a, b in zip(first, last)], pa.binary())
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in _BYTES], schema=_BYTES)
@@ -265,10 +265,10 @@ def repeated_windows(texts: list[bytes], group: np.ndarray, left: np.ndarray, le
 
 
 _SPANS = pa.schema([
-    ("key_id", pa.int64()), ("key_tag", pa.int32()), ("first", pa.int32()), ("last", pa.int32()),
+    ("key_id", pa.int64()), ("key_tag", pa.int64()), ("first", pa.int32()), ("last", pa.int32()),
     ("hash_a", pa.int64()), ("hash_b", pa.int64()), ("copies", pa.int32()),
 ])
-_SPANS_DDL = ("key_id long, key_tag int, first int, last int, hash_a long, hash_b long, "
+_SPANS_DDL = ("key_id long, key_tag long, first int, last int, hash_a long, hash_b long, "
               "copies int")
 
 
@@ -360,7 +360,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
         met.where("copies = 0").select("key_id", "key_tag", "first", "last"))
     opened = met.where("copies > 0").groupBy("key_id", "key_tag").agg(F.collect_list(F.struct(
         "core", "trigger", "first", "last", "copies", "group_rows")).alias("found"))
-    packed = texts.mapInArrow(_pack, "key_id long, key_tag int, bytes binary")
+    packed = texts.mapInArrow(_pack, "key_id long, key_tag long, bytes binary")
     large = F.col("group_rows") > max_group
     # Rows with one key are copies of each other: cut from one of them.
     spans = materialize(
@@ -448,7 +448,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
     spans = _spans_of_rows(docs, width, zone, max_group, hot_rows)
     packed = docs.select(
         *row_key(), "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes")
-    ).mapInArrow(_pack, "key_id long, key_tag int, doc_id long, bytes binary")
+    ).mapInArrow(_pack, "key_id long, key_tag long, doc_id long, bytes binary")
     return packed.join(spans, ["key_id", "key_tag"], "left").select(
         "doc_id", "bytes", "found").mapInArrow(
         _remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

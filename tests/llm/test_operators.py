@@ -67,6 +67,20 @@ def test_repeats(spark, rows, max_group, hot_rows):
     assert got == brute.repeats(rows, 40)
 
 
+def test_rows_of_one_id_whose_short_hashes_agree(spark):
+    """Two texts under one id, and two under null, with the same 32-bit Murmur hash."""
+    base = "ahcmjuuhiybsyryudamlyapskpiqlusdcqrgkbg" * 2 + "ahcmjuuhiybsyryudamlya"
+    grant = (" Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+             " and associated documentation files")
+    for doc in (1, None):
+        rows = [(doc, "--427373" + base), (doc, "-----465092" + base)]
+        got = suffix_dedup.remove_repeats(docs_of(spark, rows), 40, 20).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in got),
+                      key=repr) == brute.repeats(rows, 40)
+    got = licenses.scan_licenses(docs_of(spark, [(1, "---42262" + grant), (1, "----239355")])).collect()
+    assert sorted((r.n_words, r.labels) for r in got) == [(1, ""), (21, "mit")]
+
+
 def test_strip_keeps_columns_and_whole_characters(spark):
     passage = "é" * 60
     docs = docs_of(spark, [(1, "x" + passage + "y"), (2, "zz" + passage), (3, None), (None, "")])
