@@ -2,8 +2,11 @@
 
 *Base.* Places where the words of a phrase stand one after the other.
 
-*Method.* A text block is a line, a template a license text; both are sets of words. A block
-matches a template when it holds ``CONTAINMENT`` of the template's words. Words are put in one
+*Method.* A template is a license text of k words. Text blocks are the lines of a document and,
+whatever its line breaks, all its windows of k / ``CONTAINMENT`` words; blocks and templates are
+sets of words. A block matches a template when it holds ``CONTAINMENT`` of the template's words.
+Of the windows, those around a prefix word with enough words of the template go to the join,
+each for its template only. Words are put in one
 global order, rare ones first by the number of blocks of all documents that hold them. A template
 of n words, a of which are needed, has a match only among blocks that hold one of its n - a + 1
 rarest words (prefix), that hold enough words of templates at all (length), and in which enough
@@ -19,6 +22,7 @@ are scanned each. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -96,13 +100,39 @@ def _places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[
 
 
 _SCANNED = ("key_id long, key_tag long, doc_id long, n_words long, n_base long, first_word long, "
-            "last_word long, base_labels array<string>, blocks array<array<int>>")
+            "last_word long, base_labels array<string>, "
+            "blocks array<struct<template: int, ranks: array<int>>>")
 
 
-def _scan(phrases: list[tuple[list[bytes], str]], order: dict[bytes, int], heads: frozenset[bytes]):
-    """Places of phrases, and the lines that hold a word of a template's prefix.
+def _windows(places: list[int], ranks: list[int], held: frozenset[int], heads: frozenset[int],
+             needed: int, width: int) -> set[tuple[int, ...]]:
+    """Ranks of a template in each window of so many words that could match it.
 
-    Of such a line, the places in the global order of the template words it holds.
+    places, ranks: where words of templates stand, ascending, and which. Windows that begin at a
+    word of the template are enough: moved there, a window loses none of its words.
+    """
+    own = [(p, r) for p, r in zip(places, ranks, strict=True) if r in held]
+    found, done = set(), 0
+    for k, (place, rank) in enumerate(own):
+        if rank not in heads:
+            continue
+        first = k
+        while first > done and own[first - 1][0] > place - width:
+            first -= 1
+        for begin in range(first, k + 1):
+            end = bisect_left(own, (own[begin][0] + width,), begin)
+            if end - begin >= needed and len(window := {r for _, r in own[begin:end]}) >= needed:
+                found.add(tuple(sorted(window)))
+        done = k + 1
+    return found
+
+
+def _scan(phrases: list[tuple[list[bytes], str]], order: dict[bytes, int], heads: frozenset[bytes],
+          templates: list[tuple[int, frozenset[int], frozenset[int], int, int]]):
+    """Places of phrases, and the lines and windows that hold a word of a template's prefix.
+
+    Of such a block, the places in the global order of the template words it holds; of a window
+    also the template it is for. templates: id, ranks, ranks of the prefix, needed, width.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +146,21 @@ def _scan(phrases: list[tuple[list[bytes], str]], order: dict[bytes, int], heads
                     for line in plain.split(b"\n"):
                         held = set(line.split())
                         if not heads.isdisjoint(held):
-                            blocks.append(sorted(order[w] for w in held if w in order))
+                            blocks.append((None, sorted(order[w] for w in held if w in order)))
+                    met = [(k, order[w]) for k, w in enumerate(words) if w in order]
+                    at, ranks = [k for k, _ in met], [r for _, r in met]
+                    present = frozenset(ranks)
+                    for template, held, first, needed, width in templates:
+                        if not first.isdisjoint(present) and len(held & present) >= needed:
+                            blocks += [(template, list(x)) for x in _windows(
+                                at, ranks, held, first, needed, width)]
                 row = (len(words), len(places), min((p[0] for p in places), default=None),
                        max((p[0] for p in places), default=None),
-                       sorted({p[2] for p in places}), blocks)
+                       sorted({p[2] for p in places}), [{"template": k, "ranks": r} for k, r in blocks])
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.list_(pa.int32()))]
+            types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct(
+                [("template", pa.int32()), ("ranks", pa.list_(pa.int32()))]))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *map(pa.array, columns, types)],
                 names=["key_id", "key_tag", "doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -165,11 +203,15 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
     heads = frozenset(in_order[r] for _, _, ranks, needed in ranked
                       for r in ranks[:len(ranks) - needed + 1])
     wanted = [([w.encode() for w in words_of(text)], label) for text, label in phrases]
-    scanned = materialize(rows.mapInArrow(_scan(wanted, order, heads), _SCANNED), "licenses")
+    sized = [(k, frozenset(ranks), frozenset(ranks[:len(ranks) - needed + 1]), needed,
+              math.ceil(len(words_of(text)) / containment))
+             for (k, _, ranks, needed), (_, text) in zip(ranked, templates, strict=True) if ranks]
+    scanned = materialize(rows.mapInArrow(_scan(wanted, order, heads, sized), _SCANNED), "licenses")
     table = spark.createDataFrame(ranked, "template_id int, label string, ranks array<int>, needed int")
     found = set_join(
-        scanned.select("key_id", "key_tag", F.explode("blocks").alias("ranks")).distinct(),
-        table.drop("label"))
+        scanned.select("key_id", "key_tag", F.explode("blocks").alias("block")).select(
+            "key_id", "key_tag", F.col("block.template").alias("only"), "block.ranks").distinct(),
+        table.drop("label")).where("only is null or only = template_id")
     own = found.join(F.broadcast(table.select("template_id", "label")), "template_id").groupBy(
         "key_id", "key_tag").agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("own", F.array().cast("array<string>"))))

@@ -363,6 +363,43 @@ def test_licenses(spark, rows):
     assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in got)
 
 
+def test_licenses_wrapped(spark):
+    """Standard license texts with their own line breaks, and the same words far from each other."""
+    texts = {
+        "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+            of this software and associated documentation files (the "Software"), to deal
+            in the Software without restriction""",
+        "bsd": """// Redistribution and use in source and binary forms, with or without
+            // modification, are permitted provided that the following conditions are
+            // met:""",
+        "gpl": """ * This program is free software: you can redistribute it and/or modify
+             * it under the terms of the GNU General Public License as published by
+             * the Free Software Foundation, either version 3 of the License""",
+        "mpl-2": """# This Source Code Form is subject to the terms of the Mozilla Public
+            # License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    }
+    filler = " ".join(f"w{i}" for i in range(200))
+    rows = [(label, f"{filler}\n{text}\n{filler}") for label, text in texts.items()]
+    rows += [(label, text.replace(" ", "\n")) for label, text in texts.items()]
+    rows += [("", "\n".join(f"{w} a b c" for w in text.split())) for text in texts.values()]
+    got = licenses.scan_licenses(docs_of(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: label for i, (label, _) in enumerate(rows)}
+
+
+def test_license_windows():
+    """Every window of a text against the windows around prefix words."""
+    rng = random.Random(3)
+    for _ in range(300):
+        held = frozenset(range(rng.randrange(2, 7)))
+        needed, width = rng.randrange(1, len(held) + 1), rng.randrange(3, 9)
+        heads = frozenset(sorted(held)[:len(held) - needed + 1])
+        text = [rng.choice([*range(9), None]) for _ in range(rng.randrange(30))]
+        met = [(k, r) for k, r in enumerate(text) if r is not None]
+        got = licenses._windows([k for k, _ in met], [r for _, r in met], held, heads, needed, width)
+        every = [held.intersection(text[k:k + width]) for k in range(len(text))]
+        assert max(map(len, got), default=0) == max((len(w) for w in every if len(w) >= needed), default=0)
+
+
 def test_queries_on_small_table(spark, sf):
     """Queries without SQL against plain versions on the whole of the smallest table."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
