@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landspan.llm import bpe, decontaminate, quality, simhash, suffix_dedup
+from landspan.llm import bpe, decontaminate, near_copies, quality, suffix_dedup
 from landspan.workspace import materialize
 
 # No SQL expresses a classifier fitted on the rows.
@@ -24,7 +24,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

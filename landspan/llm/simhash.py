@@ -146,14 +146,15 @@ def _bits(text: Column) -> Column:
     return bits(text)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each component the row of the least doc_id.
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the row of the least doc_id. found: doc_id, bits, root of each row.
 
     Of rows that share the id and the fingerprint one is kept, so each component keeps one row,
     also if other components hold its id or all its ids are null. All columns stay.
     """
-    kept = near_duplicates(docs).where("doc_id <=> component_id").groupBy("root").agg(
-        F.min(F.struct("doc_id", "bits")).alias("kept")).select(
+    row = F.struct("doc_id", "bits")
+    kept = found.groupBy("root").agg(F.coalesce(
+        F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row)).alias("kept")).select(
         F.coalesce("kept.doc_id", F.lit(0).cast("long")).alias("_kept_id"),
         F.isnull("kept.doc_id").alias("_kept_none"), F.col("kept.bits").alias("_kept_bits"))
     # An id alone doesn't name a row. One shuffle of the texts serves the join and the repeated rows.
@@ -164,6 +165,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Documents without near-duplicates as operator 8 finds them."""
+    return keep_rows(docs, near_duplicates(docs))
+
+
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(

@@ -1,9 +1,16 @@
 """The pipeline stage by stage: what goes, what stays, and that columns and rows survive."""
 
+import random
+import sys
+from pathlib import Path
+
 import pytest
 
-import corpus_pipeline
-from landspan.llm import decontaminate, simhash
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from landspan.llm import decontaminate, near_copies, simhash  # noqa: E402
 from landspan.workspace import materialize
 
 
@@ -42,3 +49,29 @@ def test_stages_on_odd_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, sf), name)
         assert docs.count() <= len(table)
+
+
+@pytest.mark.parametrize("bucket, common", [(2, 3), (32, 20)])
+def test_near_dedup_finds_all_near_copies(spark, sf, monkeypatch, bucket, common):
+    """Texts with substituted words against all pairs of them."""
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    rng = random.Random(1)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 8, 60, 200]))]
+        words += ["one", "line", "that", "very", "many", "texts", "hold"] * (i % 2)
+        for _ in range(6):
+            own = list(words)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    runs = {d: {tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} for d, t in rows}
+    plain = {d: brute.simhash(t) for d, t in rows}
+    near = lambda a, b: (10 * len(runs[a] & runs[b]) >= 8 * len(runs[a] | runs[b])
+                         or (plain[a] ^ plain[b]).bit_count() <= 2)
+    expected = brute.groups({d: d for d in runs}, near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf)
+    assert {r.doc_id for r in out.collect()} == set(expected.values())
+    assert len(set(expected.values())) < simhash.keep_one(docs).count()
