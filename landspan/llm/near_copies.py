@@ -4,7 +4,8 @@ A text is the set of hashes of its runs of ``SHINGLE`` lower-case (A-Z) words. T
 copies when their sets share ``SHARE`` of their union. The search loses no such pair: hashes are put in one
 order, those that many sets of a sample hold last, and two such sets of n hashes agree in one of
 their first n - ceil(SHARE * n) + 1 (prefix). Where prefixes meet, sizes and what can still follow
-(length, position) are looked at, then the sets themselves are compared.
+(length, position) are looked at, then parities of the hashes by ``FOLDS`` x 64 places, which differ in no
+more places than the sets in hashes, then the sets themselves.
 
 Where more than ``BUCKET`` sets meet, each is first compared with one of them only; afterwards the
 pairs that are not in one component yet are.
@@ -34,6 +35,9 @@ SHARE = 8
 BUCKET = 32
 # Texts of the sample that tells common hashes, and in how many of them a common one stands.
 SAMPLE, COMMON = 20_000, 20
+FOLDS = 8
+# Bits of the table that tells most sets that are not compared from the others.
+TABLE_BITS = 24
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -50,6 +54,12 @@ def _mark(held: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(held.tobytes(), 1) - (1 << 63)
 
 
+def _folded(held: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes at each place."""
+    places = np.bincount((held % np.uint64(64 * FOLDS)).astype(np.int64), minlength=64 * FOLDS)
+    return np.packbits((places & 1).astype(bool)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -69,14 +79,20 @@ def _mapped(frame: DataFrame, rows_of, schema: str, types: list[pa.DataType]) ->
     return frame.mapInArrow(run, schema)
 
 
+_FOLDED = [f"fold{k}" for k in range(FOLDS)]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, bits (operator 8's fingerprint), mark (of the set) of each row."""
+    """doc_id, bits (operator 8's fingerprint), mark, size and folds (of the set) of each row."""
     def rows_of(part, seen):
         texts = part.column(1).to_pylist()
+        sets = [shingle_set(x) for x in texts]
+        folds = np.array([_folded(x) for x in sets]).reshape(-1, FOLDS)
         return (part.column(0), np.array([simhash.fingerprint(x) for x in texts], np.uint64).view(np.int64),
-                [_mark(shingle_set(x)) for x in texts])
+                [_mark(x) for x in sets], [len(x) for x in sets], *np.ascontiguousarray(folds.T))
 
-    return _mapped(_texts(docs), rows_of, "doc_id long, bits long, mark long", [pa.int64()] * 3)
+    names = ["doc_id", "bits", "mark", "size", *_FOLDED]
+    return _mapped(_texts(docs), rows_of, ", ".join(f"{n} long" for n in names), [pa.int64()] * len(names))
 
 
 def _common(docs: DataFrame, n_rows: int) -> dict[int, int]:
@@ -175,18 +191,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _alike(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs u, v of marks whose sets are near copies."""
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(),
-                        "near-pairs")
+    def of(end: str) -> DataFrame:
+        return marks.select(F.col("mark").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ["size", *_FOLDED]))
+
+    differ = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in _FOLDED), F.lit(0))
+    pairs = materialize(
+        pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        .join(of("u"), "u").join(of("v"), "v")
+        .where((10 + SHARE) * differ <= (10 - SHARE) * (F.col("u_size") + F.col("v_size")))
+        .select("u", "v"), "near-pairs")
     wanted = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
+    slots = wanted.select(F.shiftrightunsigned("mark", 64 - TABLE_BITS).cast("int").alias("slot")).distinct().toArrow()
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[slots.column(0).to_numpy()] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
 
     def marks_of(part, seen):
-        texts = part.column(1).to_pylist()
+        held_in = packed.value
         marks, kept = [], []
-        for text in texts:
+        for text in part.column(1).to_pylist():
             mark = _mark(held := shingle_set(text))
-            if mark not in seen:
+            slot = mark % (1 << 64) >> 64 - TABLE_BITS
+            if held_in[slot >> 3] >> (7 - slot % 8) & 1 and mark not in seen:
                 seen.add(mark)
                 marks.append(mark)
                 kept.append(held.view(np.int64))
@@ -204,21 +232,23 @@ def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, bits, root (a fingerprint of the component) per document row."""
     rows = materialize(_rows(docs), "near-rows")
-    marks = materialize(rows.groupBy("mark").agg(F.min("bits").alias("node")), "near-marks")
-    same = rows.join(marks, "mark").where("bits != node").select(F.col("bits").alias("u"), F.col("node").alias("v"))
+    marks = materialize(rows.groupBy("mark").agg(
+        F.min("bits").alias("node"), *(F.min(c).alias(c) for c in ["size", *_FOLDED])), "near-marks")
+    named = marks.select("mark", "node")
+    same = rows.join(named, "mark").where("bits != node").select(F.col("bits").alias("u"), F.col("node").alias("v"))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, rows.count()))
     met = materialize(_entries(docs, common).repartition("token").sortWithinPartitions("token", "mark").mapInArrow(
         _meet, _MET), "near-met")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return _alike(docs, pairs).join(marks.toDF("u", "a"), "u").join(marks.toDF("v", "b"), "v").select(
+        return _alike(docs, marks, pairs).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(
             F.col("a").alias("u"), F.col("b").alias("v"))
 
     edges = materialize(
         simhash.close_pairs(rows.select("bits").distinct()).unionByName(same).unionByName(
             links(met.where("v is not null"))).distinct(), "near-edges")
     roots = components(edges)
-    crowd = met.where("v is null").join(marks, F.col("u") == F.col("mark")).join(
+    crowd = met.where("v is null").join(named, F.col("u") == F.col("mark")).join(
         roots, "node", "left").select("token", "mark", "size", "place", F.coalesce("root", "node").alias("root"))
     split = crowd.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s")
     open_ = materialize(crowd.join(split.select("token"), "token", "left_semi"), "near-crowds")
