@@ -2,11 +2,14 @@
 
 import corpus_pipeline
 from landspan.llm import (
+    alignment,
     bpe,
     chat,
     decontaminate,
     fingerprints,
     licenses,
+    mixing,
+    prefix_trie,
     quality,
     sharding,
     simhash,
@@ -25,9 +28,14 @@ QUERIES = {
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_chat_format": chat.op9_chat_format,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_source_mix": mixing.op13_source_mix,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_url_reputation": url_filter.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_source_mix": mixing.ORACLE_SQL,
 }
