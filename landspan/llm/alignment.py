@@ -43,24 +43,51 @@ FAN = 16
 TEXTS = 64
 
 
+# How byte-level pre-tokenizers split a text (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level(file: bytes, letters: dict[str, int]):
+    """ids(text) and bytes(ids) of a byte-level BPE file.
+
+    If ids are numbered in the order of merges, they are ranks, and the faster of two equal
+    encoders can be used.
+    """
+    from tokenizers import Tokenizer
+
+    described = json.loads(file)
+    model, split = described["model"], described["pre_tokenizer"]
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    plain = (split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+             and not described["normalizer"] and not model.get("ignore_merges"))
+    if plain and all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merges)):
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in entry): i for entry, i in model["vocab"].items() if i < 256 + len(merges)}
+        fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return fast.encode_ordinary, fast.decode_bytes
+    slow = Tokenizer.from_str(file.decode())
+    slow.encode_special_tokens = True
+    return lambda text: slow.encode(text, add_special_tokens=False).ids, None
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of their tokens."""
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         """What the files of the two hold."""
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_str(byte_level.decode())
-        self._a.encode_special_tokens = True
+        letters = _byte_letters()
+        self._a, self._a_text = _byte_level(byte_level, letters)
         self._b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         entries = json.loads(byte_level)["model"]["vocab"]
-        letters = _byte_letters()
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
             if all(c in letters for c in entry):
                 self.a_bytes[number] = bytes(letters[c] for c in entry)
         self.b_bytes = [self._piece_bytes(i) for i in range(self._b.get_piece_size())]
+        self._a_text = self._a_text or (lambda ids: b"".join(map(self.a_bytes.__getitem__, ids)))
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
 
@@ -74,14 +101,11 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both, or None where the tokens of one don't spell a space and the text."""
-        a_ids = [e.ids for e in self._a.encode_batch_fast(
-            [" " + t for t in texts], add_special_tokens=False)]
-        b_ids = self._b.encode(texts, num_threads=1)
         out = []
-        for text, a, b in zip(texts, a_ids, b_ids):
+        for text, b in zip(texts, self._b.encode(texts, num_threads=1)):
+            a = self._a(" " + text)
             data = b" " + text.encode()
-            spelled = (b"".join(map(self.a_bytes.__getitem__, a)) == data
-                       and b"".join(map(self.b_bytes.__getitem__, b)) == data)
+            spelled = self._a_text(a) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
             # A token without bytes (the unknown piece) has no place in the text.
             whole = spelled and self.a_size[a].all() and self.b_size[b].all()
             out.append((np.array(a, np.int64), np.array(b, np.int64)) if whole else None)
@@ -148,25 +172,25 @@ def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a << 32 | b
 
 
-def links(run: Run) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and b of each linked pair of a run whose two sides end together.
-
-    The ends of both sides cut the bytes into intervals; each is the overlap of one link.
-    """
-    ends = np.union1d(run.a_end, run.b_end)
-    return np.searchsorted(run.a_end, ends), np.searchsorted(run.b_end, ends)
+def ends_and_cuts(run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """Where a token ends, and where tokens of both sides do."""
+    ends = np.concatenate([run.a_end, run.b_end])
+    ends.sort(kind="stable")  # two sorted runs are merged
+    same = ends[1:] == ends[:-1]
+    return ends[np.append(~same, True)] if len(ends) else ends, ends[1:][same]
 
 
 def group_text(run: Run, cuts: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3;`` of a run that the cuts (its last end among them) divide."""
-    side = np.concatenate([2 * np.searchsorted(cuts, run.a_end), 2 * np.searchsorted(cuts, run.b_end) + 1])
-    order = np.argsort(side, kind="stable")
-    side = side[order]
-    last = np.append(side[1:] != side[:-1], True)
-    kind = np.where(last, 1 + side % 2, 0)
+    a_stop, b_stop = (np.searchsorted(end, cuts, "right") for end in (run.a_end, run.b_end))
     names = _names()
-    ids = np.concatenate([run.a, run.b])[order]
-    return b"".join(names[kind, ids].tolist())
+    said = np.empty(len(run.a) + len(run.b), object)
+    # A token stands behind those of its side and those of the other side in the groups before.
+    for ids, own, other, mark in ((run.a, a_stop, np.append(0, b_stop[:-1]), 1), (run.b, b_stop, a_stop, 2)):
+        kind = np.zeros(len(ids), np.int64)
+        kind[own - 1] = mark
+        said[np.arange(len(ids)) + np.repeat(other, np.diff(own, prepend=0))] = names[kind, ids]
+    return b"".join(said.tolist())
 
 
 _NAMES: list[np.ndarray] = []
@@ -181,7 +205,7 @@ def _names(n: int = 1 << 16) -> np.ndarray:
 
 def fragment(run: Run) -> Fragment:
     """Prefix, closed groups and suffix of the tokens of one chunk."""
-    cuts = np.intersect1d(run.a_end, run.b_end, assume_unique=True)
+    _, cuts = ends_and_cuts(run)
     if not len(cuts):
         return Fragment(False, run)
     prefix, rest = run.split(cuts[0])
@@ -192,8 +216,17 @@ def fragment(run: Run) -> Fragment:
 def _closed(run: Run, cuts: np.ndarray) -> tuple[int, bytes, np.ndarray, np.ndarray]:
     if not len(cuts):
         return 0, b"", np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = links(run)
-    return len(cuts), group_text(run, cuts), *np.unique(pair_of(run.a[i], run.b[j]), return_counts=True)
+    # Each interval between ends is the overlap of one link.
+    ends, _ = ends_and_cuts(run)
+    pairs = pair_of(run.a[np.searchsorted(run.a_end, ends)], run.b[np.searchsorted(run.b_end, ends)])
+    return len(cuts), group_text(run, cuts), *_counted(pairs)
+
+
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each stands."""
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    return pairs[first], np.diff(first, append=len(pairs))
 
 
 def _added(*counted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +253,11 @@ def times(left: Fragment, right: Fragment) -> Fragment:
                     left.groups + text + right.groups, pairs, number)
 
 
+def whole(run: Run) -> Fragment:
+    """The alignment of a whole text at once."""
+    return Fragment(True, _NOTHING, _NOTHING, *_closed(run, ends_and_cuts(run)[1]))
+
+
 def closed(whole: Fragment) -> Fragment:
     """The fragment of a whole text, whose prefix begins at its start, with nothing left open."""
     return times(Fragment(True, _NOTHING), whole)
@@ -338,7 +376,7 @@ def _tokenize(files: Broadcast, chunk_bytes: int, block_bytes: int):
                         for chunk in _chunks(run, chunk_bytes):
                             yield row | chunk | {"block": first + number}
                         continue
-                    block.add(row, closed(fragment(run)), size)
+                    block.add(row, whole(run), size)
                     if block.bytes >= block_bytes:
                         yield from block.rows(first + number)
                         block = _Block()

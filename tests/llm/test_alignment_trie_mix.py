@@ -127,9 +127,26 @@ def test_products_of_fragments_are_associative():
             k = int(rng.integers(1, len(parts)))
             return alignment.times(tree(parts[:k]), tree(parts[k:]))
 
-        one, other = (alignment.closed(x) for x in (tree(runs), alignment.fragment(whole)))
-        assert one.groups == other.groups and one.n_groups == other.n_groups
-        assert one.pairs.tolist() == other.pairs.tolist() and one.times.tolist() == other.times.tolist()
+        one = alignment.whole(whole)
+        for other in (alignment.closed(tree(runs)), alignment.closed(alignment.fragment(whole))):
+            assert one.groups == other.groups and one.n_groups == other.n_groups
+            assert one.pairs.tolist() == other.pairs.tolist() and one.times.tolist() == other.times.tolist()
+
+
+def test_both_byte_level_encoders_agree():
+    """The slower one is taken when ids are not numbered by merges."""
+    import json
+
+    with open(A_PATH, "rb") as file:
+        described = json.loads(file.read())
+    described["model"]["ignore_merges"] = True  # makes the file look unlike one of ranks
+    letters = alignment._byte_letters()
+    with open(A_PATH, "rb") as file:
+        fast, spell = alignment._byte_level(file.read(), letters)
+    slow, none = alignment._byte_level(json.dumps(described).encode(), letters)
+    assert spell and none is None
+    for _, text, _ in odd_documents(9, 200):
+        assert fast(" " + (text or "")) == slow(" " + (text or ""))
 
 
 # Trie
