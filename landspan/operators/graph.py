@@ -64,7 +64,7 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return recursive_union(seeds.select("node_id"), children)
 
 
-def _chains(single: DataFrame) -> DataFrame:
+def chains(single: DataFrame) -> DataFrame:
     """Nearest ancestor with no or several parents: ``(node_id, anchor, steps, open)``.
 
     ``single(node_id, parent)`` are the nodes with one parent.  Pointers double their reach
@@ -72,20 +72,20 @@ def _chains(single: DataFrame) -> DataFrame:
     pointer, those still open run in a cycle.
     """
     names = single.select(F.col("node_id").alias("anchor"), F.lit(True).alias("more"))
-    chains = materialize(
+    runs = materialize(
         single.withColumnRenamed("parent", "anchor").join(names, "anchor", "left").select(
             "node_id", "anchor", F.lit(1).alias("steps"), F.coalesce("more", F.lit(False)).alias("open")),
         "chains")
-    before, left = None, chains.where("open").count()
+    before, left = None, runs.where("open").count()
     while left and left != before:
-        reach = chains.select(F.col("node_id").alias("anchor"), F.col("anchor").alias("far"),
+        reach = runs.select(F.col("node_id").alias("anchor"), F.col("anchor").alias("far"),
                               F.col("steps").alias("far_steps"), F.col("open").alias("far_open"))
-        jumped = chains.where("open").join(reach, "anchor").select(
+        jumped = runs.where("open").join(reach, "anchor").select(
             "node_id", F.col("far").alias("anchor"), (F.col("steps") + F.col("far_steps")).alias("steps"),
             F.col("far_open").alias("open"))
-        chains = materialize(chains.where("NOT open").unionByName(jumped), "chains")
-        before, left = left, chains.where("open").count()
-    return chains
+        runs = materialize(runs.where("NOT open").unionByName(jumped), "chains")
+        before, left = left, runs.where("open").count()
+    return runs
 
 
 def _peel(start: DataFrame, links: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     need = ids.join(links.withColumnRenamed("child", "node_id"), "node_id", "left").groupBy("node_id").agg(
         F.count("parent").alias("parents"), F.min("parent").alias("parent"))
     need = materialize(need, "parents")
-    chains = _chains(need.where("parents = 1").select("node_id", "parent"))
-    through = chains.select(F.col("node_id").alias("parent"), "anchor", "steps")
+    through_one = chains(need.where("parents = 1").select("node_id", "parent"))
+    through = through_one.select(F.col("node_id").alias("parent"), "anchor", "steps")
     # A parent within a chain stands for the anchor above it.
     short = materialize(
         need.where("parents > 1").select(F.col("node_id").alias("child")).join(links, "child")
@@ -152,17 +152,23 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     start = none.unionByName(several.select(
         "node_id", "closed", F.lit(0).alias("reach"), F.lit(None).cast("int").alias("level")))
     top = _peel(start, short)
-    below = chains.join(top.withColumnRenamed("node_id", "anchor"), "anchor").select(
+    below = through_one.join(top.withColumnRenamed("node_id", "anchor"), "anchor").select(
         "node_id", (F.col("level") + F.col("steps")).alias("level"))
     done = top.unionByName(below)
     return ids.join(done, "node_id", "left").select("node_id", "level")
 
 
-def require_acyclic(node_levels: DataFrame) -> None:
-    """Raise when some node has no level."""
-    stuck = [row["node_id"] for row in node_levels.where("level IS NULL").take(5)]
-    if stuck:
-        raise ValueError(f"nodes on or below a cycle, for example {stuck}")
+def require_acyclic(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None = None) -> None:
+    """Raise when some node has no level, and name a cycle or what such nodes wait for."""
+    from landspan.operators import cycles
+
+    node_levels = levels(nodes, edges) if node_levels is None else node_levels
+    stuck = [row["node_id"] for row in node_levels.where("level IS NULL").orderBy("node_id").take(5)]
+    if not stuck:
+        return
+    if names := cycles.name_cycle(cycles.on_cycles(nodes, edges, node_levels), edges):
+        raise ValueError(f"nodes are in a cycle: {' <- '.join(names)}")
+    raise ValueError(f"nodes wait for a parent that is no node, for example {stuck}")
 
 
 def select_nodes(nodes: DataFrame, pattern: str) -> DataFrame:

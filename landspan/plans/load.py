@@ -18,13 +18,17 @@ from landspan.workspace import materialize
 
 @dataclass(frozen=True)
 class CSVSource:
-    """CSV file or folder; ``pk`` declares existing columns, comma separated."""
+    """CSV file or folder; ``pk`` declares existing columns, comma separated.
+
+    Separator, quote and header are found out unless they are given.
+    """
 
     path: str
     pk: str | None = None
     schema: T.StructType | str | None = None
-    separator: str = ","
-    multi_line: bool = False
+    separator: str | None = None
+    quote: str | None = None
+    header: bool | None = None
     encoding: str = "UTF-8"
 
 
@@ -123,8 +127,8 @@ def read(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
         case CSVSource():
             if dest.geom_column or dest.geom_index or dest.attributes_only:
                 raise ValueError("a CSV has no geometry to name, index or leave out")
-            return csv.read_csv(spark, source.path, source.schema, source.separator,
-                                source.multi_line, source.encoding)
+            return csv.read_csv_as_found(spark, source.path, source.schema, source.separator, source.quote,
+                                         source.header, source.encoding)
         case DuckDBSource():
             if source.pk is not None:
                 raise NotImplementedError("a DuckDB source brings its own primary key")

@@ -28,9 +28,12 @@ RASTER_WIDTH, RASTER_HEIGHT = 60, 50
 def tiff(
     pixels: np.ndarray, left: float, top: float, scale: float, srid: int, deflate: bool = False,
     order: str = "<", strip_rows: int = 16, block: int | None = None, nodata: str | None = None,
-    predictor: int = 1,
+    predictor: int = 1, skew: tuple[float, float] | None = None, centered: bool = False,
 ) -> bytes:
-    """Classic TIFF of ``(bands, height, width)`` pixels, in strips or square blocks."""
+    """Classic TIFF of ``(bands, height, width)`` pixels, in strips or square blocks.
+
+    With a skew, its place is a matrix. ``centered``: coordinates name the centers of pixels.
+    """
     bands, height, width = pixels.shape
     chunky = pixels.transpose(1, 2, 0).astype(pixels.dtype.newbyteorder(order))
     if predictor == 2:
@@ -52,9 +55,12 @@ def tiff(
         256: ("I", [width]), 257: ("I", [height]), 258: ("H", [pixels.dtype.itemsize * 8] * bands),
         259: ("H", [8 if deflate else 1]), 262: ("H", [1]), 277: ("H", [bands]), 284: ("H", [1]),
         317: ("H", [predictor]), 339: ("H", [kind] * bands),
-        33550: ("d", [scale, scale, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, left, top, 0.0]),
-        34735: ("H", [1, 1, 0, 1, key, 0, 1, srid]),
+        34735: ("H", [1, 1, 0, 2, 1025, 0, 1, 2 if centered else 1, key, 0, 1, srid]),
     }
+    if skew:
+        tags[34264] = ("d", [scale, skew[0], 0.0, left, skew[1], -scale, 0.0, top, *[0.0] * 7, 1.0])
+    else:
+        tags |= {33550: ("d", [scale, scale, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, left, top, 0.0])}
     sizes = [len(d) for d in data]
     if block:
         tags |= {322: ("I", [block]), 323: ("I", [block]), 324: ("I", starts[:-1]), 325: ("I", sizes)}
@@ -171,8 +177,11 @@ def raster_pixels(orders: DataFrame) -> DataFrame:
     )
 
 
-def raster_files(spark: SparkSession, orders: DataFrame) -> str:
-    """A folder with one GeoTIFF per raster; odd ones are deflated."""
+def raster_files(spark: SparkSession, orders: DataFrame, turned: bool = False) -> str:
+    """A folder with one GeoTIFF per raster; odd ones are deflated.
+
+    Each fifth one names the centers of its pixels, and, if asked for, another fifth is turned.
+    """
     folder = scratch_path(spark, "rasters")
     groups = raster_pixels(orders).groupBy("raster").agg(
         F.collect_list("pos").alias("pos"), F.collect_list("value").alias("value")
@@ -183,7 +192,10 @@ def raster_files(spark: SparkSession, orders: DataFrame) -> str:
         pixels[np.asarray(row["pos"])] = np.asarray(row["value"])
         grid = pixels.reshape(1, RASTER_HEIGHT, RASTER_WIDTH)
         number = int(row["raster"])
-        image = tiff(grid, number * 600.0, 1000.0, 10.0, 2193, deflate=bool(number % 2))
+        centered = number % 5 == 4
+        image = tiff(
+            grid, number * 600.0 + 5 * centered, 1000.0 - 5 * centered, 10.0, 2193, deflate=bool(number % 2),
+            skew=(2.0, 1.0) if turned and number % 5 == 3 else None, centered=centered)
         return {f"raster-{number}.tif": image}
 
     write_files(groups, folder, content)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from landspan.operators import graph
+from landspan.operators import cycles, graph
 from landspan.operators.recursion import recursive_union
 from landspan.plans import derived
 from landspan.plans.derived import table
@@ -37,13 +37,17 @@ def g_chain(spark, folder):
 
 
 def g_cycles(spark, folder):
+    """Nodes on or below a cycle; component where they are on one."""
     nodes, edges = _parts(spark, folder)
     # Every key that is 7 mod 50 also waits for a node below itself.
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("k"))
     back = part.where("k % 50 = 7").select(
         F.expr("CAST(k DIV 2 AS STRING)").alias("child"), F.col("k").cast("string").alias("parent")
     )
-    return graph.levels(nodes, edges.union(back)).where("level IS NULL").select("node_id")
+    links = edges.union(back)
+    found = graph.levels(nodes, links)
+    return found.where("level IS NULL").select("node_id").join(
+        cycles.on_cycles(nodes, links, found), "node_id", "left")
 
 
 def e_recursive(spark, folder):
@@ -151,9 +155,14 @@ ORACLES = {
         ), reach AS (
             SELECT child AS k, parent AS above FROM links
             UNION SELECT r.k, l.parent FROM reach r JOIN links l ON l.child = r.above
-        ), loops AS (SELECT k FROM reach WHERE k = above)
-        SELECT DISTINCT CAST(k AS VARCHAR) AS node_id
-        FROM reach WHERE k IN (SELECT k FROM loops) OR above IN (SELECT k FROM loops)""",
+        ), loops AS (SELECT k FROM reach WHERE k = above
+        ), components AS (
+            SELECT a.k, min(CAST(a.above AS VARCHAR)) AS component
+            FROM reach a JOIN reach b ON b.k = a.above AND b.above = a.k GROUP BY a.k
+        ), stuck AS (
+            SELECT DISTINCT k FROM reach WHERE k IN (SELECT k FROM loops) OR above IN (SELECT k FROM loops)
+        )
+        SELECT CAST(k AS VARCHAR) AS node_id, component FROM stuck LEFT JOIN components USING (k)""",
     "e_recursive": """
         WITH RECURSIVE users AS (SELECT DISTINCT user_id AS n FROM events),
         edges AS (SELECT n AS child, n // 2 AS parent FROM users WHERE n % 3 <> 0 AND n > 1),

@@ -28,14 +28,43 @@ FIELD_TYPES = {
 WIDTH, HEIGHT, BITS, COMPRESSION = 256, 257, 258, 259
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, BLOCK_WIDTH, BLOCK_HEIGHT, BLOCK_OFFSETS, BLOCK_SIZES = 317, 322, 323, 324, 325
-FORMAT, PIXEL_SCALE, TIE_POINT, GEO_KEYS, NODATA = 339, 33550, 33922, 34735, 42113
+FORMAT, PIXEL_SCALE, TIE_POINT, MATRIX, GEO_KEYS, NODATA = 339, 33550, 33922, 34264, 34735, 42113
 # Compression codes, and the geo keys of a projected / geographic system.
 PLAIN, DEFLATE = 1, (8, 32946)
 PROJECTED_KEY, GEOGRAPHIC_KEY = 3072, 2048
+# The geo key of what a coordinate stands for, and its value for a pixel's center.
+RASTER_TYPE_KEY, PIXEL_IS_POINT = 1025, 2
 
+# left and top are the corner of the tile's first pixel; the box holds the whole tile, also a turned one.
 TILE_DDL = """rid long, path string, tile_col int, tile_row int, srid int, xmin double,
     ymin double, xmax double, ymax double, scale_x double, scale_y double, width int,
-    height int, nodata double, bands array<array<double>>"""
+    height int, nodata double, bands array<array<double>>, left double, top double,
+    skew_x double, skew_y double, pixel_type string"""
+
+
+_TILE_COLUMNS = [column.split()[0] for column in TILE_DDL.split(",")]
+
+
+def _placement(path: str, tags: dict, centered: bool) -> tuple[float, ...]:
+    """left, scale_x, skew_x, top, skew_y, scale_y: x = left + scale_x * column + skew_x * row,
+    y = top + skew_y * column + scale_y * row, for the corner of a pixel.
+    """
+    if MATRIX in tags:
+        m = tags[MATRIX]
+        place = m[3], m[0], m[1], m[7], m[4], m[5]
+    elif PIXEL_SCALE in tags:
+        tie, (across, down, *_) = tags.get(TIE_POINT, (0.0,) * 6), tags[PIXEL_SCALE]
+        place = tie[3] - tie[0] * across, across, 0.0, tie[4] + tie[1] * down, 0.0, -down
+    elif len(tags.get(TIE_POINT, ())) > 6:
+        raise ValueError(f"{path}: control points without a pixel size are not supported")
+    else:
+        place = 0.0, 1.0, 0.0, 0.0, 0.0, -1.0
+    left, scale_x, skew_x, top, skew_y, scale_y = place
+    if scale_x * scale_y == skew_x * skew_y:
+        raise ValueError(f"{path}: its pixels have no area")
+    if centered:  # coordinates name the center of a pixel
+        left, top = left - (scale_x + skew_x) / 2, top - (skew_y + scale_y) / 2
+    return left, scale_x, skew_x, top, skew_y, scale_y
 
 
 def _header(path: str) -> SimpleNamespace:
@@ -69,9 +98,10 @@ def _header(path: str) -> SimpleNamespace:
     if bits % 8 or one(PREDICTOR, 1) not in (1, 2) or one(COMPRESSION, PLAIN) not in (PLAIN, *DEFLATE):
         raise ValueError(f"{path}: unsupported bit depth, predictor or compression")
     blocks = BLOCK_OFFSETS in tags
-    tie, scale = tags.get(TIE_POINT, (0.0,) * 6), tags.get(PIXEL_SCALE, (1.0, 1.0, 0.0))
     keys = np.array(tags.get(GEO_KEYS, ()), int).reshape(-1, 4)[1:]
     srids = {int(k): int(v) for k, where, _, v in keys if where == 0}
+    left, scale_x, skew_x, top, skew_y, scale_y = _placement(
+        path, tags, srids.get(RASTER_TYPE_KEY) == PIXEL_IS_POINT)
     return SimpleNamespace(
         width=width, height=height, bands=one(SAMPLES, 1), dtype=f"{order}{kind}{bits // 8}",
         deflate=one(COMPRESSION, PLAIN) in DEFLATE, predictor=one(PREDICTOR, 1),
@@ -81,8 +111,8 @@ def _header(path: str) -> SimpleNamespace:
         whole_blocks=blocks,
         offsets=tags[BLOCK_OFFSETS if blocks else STRIP_OFFSETS],
         sizes=tags[BLOCK_SIZES if blocks else STRIP_SIZES],
-        scale_x=scale[0], scale_y=-scale[1],
-        left=tie[3] - tie[0] * scale[0], top=tie[4] + tie[1] * scale[1],
+        scale_x=scale_x, scale_y=scale_y, skew_x=skew_x, skew_y=skew_y, left=left, top=top,
+        pixel_type=f"{bits}B{ {'u': 'UI', 'i': 'SI', 'f': 'F'}[kind]}",
         srid=srids.get(PROJECTED_KEY) or srids.get(GEOGRAPHIC_KEY) or 0,
         nodata=float(tags[NODATA]) if NODATA in tags else None,
     )
@@ -147,15 +177,18 @@ def _piece(handle, head: SimpleNamespace, piece, tile: int) -> Iterator[pd.DataF
     for col in range(piece.first_col, piece.last_col + 1):
         left, right = col * tile, min((col + 1) * tile, head.width)
         bands = pixels[:, :, left - x0 : right - x0].reshape(head.bands, -1).astype("f8")
+        corners = [(head.left + c * head.scale_x + r * head.skew_x, head.top + c * head.skew_y + r * head.scale_y)
+                   for c in (left, right) for r in (y0, y1)]
+        xs, ys = zip(*corners)
         yield pd.DataFrame([{
             "rid": piece.rid + col - piece.first_col, "path": piece.path,
             "tile_col": col, "tile_row": piece.tile_row, "srid": head.srid,
-            "xmin": head.left + left * head.scale_x, "xmax": head.left + right * head.scale_x,
-            "ymin": head.top + y1 * head.scale_y, "ymax": head.top + y0 * head.scale_y,
-            "scale_x": head.scale_x, "scale_y": head.scale_y,
+            "xmin": min(xs), "xmax": max(xs), "ymin": min(ys), "ymax": max(ys),
+            "left": corners[0][0], "top": corners[0][1], "scale_x": head.scale_x, "scale_y": head.scale_y,
+            "skew_x": head.skew_x, "skew_y": head.skew_y, "pixel_type": head.pixel_type,
             "width": right - left, "height": y1 - y0, "nodata": head.nodata,
             "bands": list(bands),
-        }])
+        }], columns=_TILE_COLUMNS)
 
 
 def read_raster(

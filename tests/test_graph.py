@@ -4,7 +4,7 @@ from graphlib import CycleError, TopologicalSorter
 import pytest
 from pyspark.sql import functions as F
 
-from landspan.operators import graph
+from landspan.operators import cycles, graph
 from landspan.operators.recursion import recursive_union
 from landspan.plans import freshness
 
@@ -81,13 +81,53 @@ def test_levels_of_a_long_chain(spark):
 
 
 def test_acyclic_check(spark):
-    looped = graph.levels(_nodes(spark, ["a", "b"]), spark.createDataFrame([("a", "b"), ("b", "a")], EDGES))
-    with pytest.raises(ValueError, match="cycle"):
-        graph.require_acyclic(looped)
+    nodes = _nodes(spark, ["a", "b", "c"])
+    with pytest.raises(ValueError, match="a <- b <- a"):
+        graph.require_acyclic(nodes, spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b")], EDGES))
+    with pytest.raises(ValueError, match="no node, for example \\['b', 'c'\\]"):
+        graph.require_acyclic(nodes, spark.createDataFrame([("b", "z"), ("c", "b")], EDGES))
+    graph.require_acyclic(nodes, spark.createDataFrame([("b", "a"), ("c", "b")], EDGES))
     with pytest.raises(CycleError):
         tuple(TopologicalSorter({"a": {"b"}, "b": {"a"}}).static_order())
 
 
+def _brute_components(edges):
+    reach = {(p, c) for c, p in edges}
+    while True:
+        more = {(a, d) for a, b in reach for c, d in edges_of(reach, b)} - reach
+        if not more:
+            break
+        reach |= more
+    on = {a for a, b in reach if a == b}
+    return {a: min(b for b in on if (a, b) in reach and (b, a) in reach) for a in on}
+
+
+def edges_of(reach, node):
+    return [(a, b) for a, b in reach if a == node]
+
+
+@pytest.mark.parametrize("seed, n, share", [(1, 30, 1.2), (2, 40, 1.0), (3, 25, 2.0), (4, 50, 0.9)])
+def test_components_of_random_graphs(spark, seed, n, share):
+    rng = random.Random(seed)
+    ids = [f"n{i}" for i in range(n)]
+    edges = [(rng.choice(ids), rng.choice([*ids, "missing"])) for _ in range(int(n * share))]
+    found = cycles.on_cycles(_nodes(spark, ids), spark.createDataFrame(edges, EDGES)).collect()
+    assert {r.node_id: r.component for r in found} == _brute_components(
+        [(c, p) for c, p in edges if p != "missing"])
+    assert len(found) == len({r.node_id for r in found})
+
+
+def test_a_long_cycle_with_tails_is_one_component(spark):
+    ring = [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)]
+    tail = [("t0", "r007"), ("t1", "t0"), ("r009", "u0"), ("u0", "u1")]
+    ids = [c for c, _ in ring] + ["t0", "t1", "u0", "u1"]
+    nodes, edges = _nodes(spark, ids), spark.createDataFrame(ring + tail, EDGES)
+    members = cycles.on_cycles(nodes, edges)
+    assert {(r.node_id, r.component) for r in members.collect()} == {(c, "r000") for c, _ in ring}
+    named = cycles.name_cycle(members, edges)
+    assert named == [f"r{i:03}" for i in range(cycles.SHOWN + 1)] + ["..."]
+
+
 SHELVES = ["attic.box", "cellar.rack.1", "cellar.rack.20", "cellar.wine", "hall.rack"]
 
 

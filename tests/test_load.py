@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from landspan.functions import geometry as geo
 from landspan.operators import checks, columns, layout, tables, transforms
-from landspan.plans.derived_files import shapefile as shp_bytes
-from landspan.plans.derived_files import tiff
+from landspan.registry.fixtures import shapefile as shp_bytes
+from landspan.registry.fixtures import tiff
 from landspan.plans.load import (
     CSVSource, Destination, DuckDBSource, EsriSource, FileSource, RasterSource, WFSSource, load, read,
 )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from landspan.functions import geometry as geo
 from landspan.operators import columns
-from landspan.plans.derived_files import shapefile as shp_bytes
-from landspan.plans.derived_files import tiff
+from landspan.registry.fixtures import shapefile as shp_bytes
+from landspan.registry.fixtures import tiff
 from landspan.sources import csv, duckdb, features, raster, shapefile, wfs
 
 
