@@ -290,10 +290,11 @@ def _one_level(pieces: DataFrame) -> DataFrame:
     # As small as the splitters, so one task.
     skeleton = materialize(added.withColumns(gaps).select(_SCHEMA.names).repartition(1).sortWithinPartitions(
         F.desc("depth")).mapInArrow(_finish_skeleton, _NODES), "trie-skeleton").drop("ends_sha256")
+    # Read back from files, so its size is known: a small one is broadcast to the many children of a node.
+    above = skeleton.select(F.col("node").alias("above"), F.col("conv_id").alias("above_conv"))
     ends = parts.where("ids IS NOT NULL").repartition("node").sortWithinPartitions("node", "first").mapInArrow(
         _hash_ids, _NODES).select("node", F.col("ends_sha256").alias("digest"))
     skeleton = skeleton.join(ends, "node", "left").withColumn("ends_sha256", F.coalesce("digest", F.lit(_NO_IDS)))
-    above = skeleton.select(F.col("node").alias("above"), F.col("conv_id").alias("above_conv"))
     local = parts.where("node IS NULL").join(above, F.col("parent") == F.col("above"), "left").withColumn(
         "parent_conv_id", F.coalesce("parent_conv_id", "above_conv"))
     return materialize(local.select(_RESULT).unionByName(skeleton.select(_RESULT)), "trie-nodes")
