@@ -303,3 +303,46 @@ def wfs_files(spark: SparkSession, customer: DataFrame) -> str:
     )
     write_files(pages, folder, lambda row: {f"page-{row['page']}.xml": row["text"].encode()})
     return folder
+
+
+def wfs_shape_files(spark: SparkSession, customer: DataFrame) -> str:
+    """A folder of responses whose geometries are, in turn, a curve of a straight and a bent segment, an arc
+    string, a composite curve, a surface of two patches and a multi-surface of surfaces.
+
+    Each has a size r = 1 + k mod 9 and stands at (k, 10 r).
+    """
+    folder = scratch_path(spark, "wfs")
+    k = F.col("c_custkey")
+    x, y, r = k.cast("double"), (1 + k % 9) * 10.0, (1 + k % 9).cast("double")
+
+    def places(*pairs):
+        return F.concat(F.lit("<gml:posList>"), F.concat_ws(" ", *[c for a, b in pairs for c in (x + r * a, y + r * b)]),
+                        F.lit("</gml:posList>"))
+
+    def within(*names_and_body):
+        *names, body = names_and_body
+        return F.concat(*[F.lit(f"<gml:{n}>") for n in names], body, *[F.lit(f"</gml:{n}>") for n in names[::-1]])
+
+    arc, two_arcs = places((-1, 0), (0, 1), (1, 0)), places((-1, 0), (0, 1), (1, 0), (2, -1), (3, 0))
+    tail = within("LineStringSegment", places((1, 0), (4, 0)))
+    square = within("PolygonPatch", "exterior", "LinearRing", places((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))
+    beside = within("PolygonPatch", "exterior", "LinearRing", places((2, 0), (3, 0), (3, 1), (2, 1), (2, 0)))
+    both = within("Surface", "patches", F.concat(square, beside))
+    shapes = [
+        within("Curve", "segments", F.concat(within("Arc", arc), tail)),
+        within("Curve", "segments", within("ArcString", two_arcs)),
+        within("CompositeCurve", F.concat(
+            within("curveMember", "LineString", places((-2, 0), (-1, 0))),
+            within("curveMember", "Curve", "segments", within("Arc", arc)))),
+        both,
+        within("MultiSurface", "surfaceMember", within("CompositeSurface", "surfaceMember", both)),
+    ]
+    shape = F.element_at(F.array(*shapes), (k % 5 + 1).cast("int"))
+    member = F.concat(F.lit('<wfs:member><shop:area gml:id="area.'), k, F.lit('"><shop:key>'), k,
+                      F.lit("</shop:key><shop:shape>"), shape, F.lit("</shop:shape></shop:area></wfs:member>"))
+    head = ('<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0"'
+            ' xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:shop="http://example.org/shop">')
+    pages = runs_of(customer, "page", 100).groupBy("page").agg(
+        F.concat(F.lit(head), F.concat_ws("", F.collect_list(member)), F.lit("</wfs:FeatureCollection>")).alias("text"))
+    write_files(pages, folder, lambda row: {f"page-{row['page']}.xml": row["text"].encode()})
+    return folder

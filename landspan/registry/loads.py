@@ -94,6 +94,20 @@ def a_wfs(spark, folder):
                        v["x"].alias("x"), v["y"].alias("y"))
 
 
+def a_wfs_shapes(spark, folder):
+    """Curves with arcs, composite curves and surfaces: kind, parts, vertices, box and length."""
+    path = files.wfs_shape_files(spark, table(spark, folder, "customer"))
+    rows = wfs.read_wfs(spark, path, "shop:area")
+    lines = F.flatten(F.col("shape.parts"))
+    length = F.aggregate(F.transform(lines, lambda line: F.aggregate(
+        F.sequence(F.lit(1), F.size(line) - 1), F.lit(0.0),
+        lambda s, i: s + F.hypot(F.get(line, i)["x"] - F.get(line, i - 1)["x"],
+                                 F.get(line, i)["y"] - F.get(line, i - 1)["y"]))), F.lit(0.0), lambda s, v: s + v)
+    box = {n: F.round(c, 6).alias(n) for n, c in geo.bounds("shape").items()}
+    return rows.select("key", F.col("shape.kind").alias("kind"), F.size("shape.parts").alias("parts"),
+                       F.size(geo.vertices("shape")).alias("vertices"), F.round(length, 5).alias("length"), *box.values())
+
+
 def a_shapefile(spark, folder):
     path = files.rectangle_shapefiles(spark, table(spark, folder, "part"))
     rows = shapefile.read_shapefile(spark, path, rows_per_task=150)
@@ -177,7 +191,7 @@ def a_load(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    a_csv, a_csv_inferred, a_csv_dialects, a_duckdb, b_launder, a_esri_json, a_geojson, a_wfs, a_shapefile,
+    a_csv, a_csv_inferred, a_csv_dialects, a_duckdb, b_launder, a_esri_json, a_geojson, a_wfs, a_wfs_shapes, a_shapefile,
     a_raster_tiles, c_raster_constraints, c_raster_bounds, a_load,
 )}
 
@@ -228,6 +242,17 @@ ORACLES = {
         4326 AS srid, lon AS x, lat AS y FROM pts""",
     "a_wfs": f"""WITH {_POINTS} SELECT 'customer.' || c_custkey AS gml_id, c_custkey AS key,
         c_name AS name, 4326 AS srid, lon AS x, lat AS y FROM pts""",
+    "a_wfs_shapes": """WITH shapes AS (
+            SELECT c_custkey AS key, c_custkey::DOUBLE AS x, (1 + c_custkey % 9) * 10.0::DOUBLE AS y,
+                (1 + c_custkey % 9)::DOUBLE AS r, c_custkey % 5 AS k,
+                -- Two quarters of 23 chords.
+                46 * 2 * (1 + c_custkey % 9) * sin(pi() / 4 / 23) AS arc FROM customer)
+        SELECT key, CASE WHEN k < 3 THEN 'LineString' ELSE 'MultiPolygon' END AS kind,
+            CASE WHEN k < 3 THEN 1 ELSE 2 END AS parts,
+            [48, 93, 48, 10, 10][k + 1] AS vertices,
+            round([arc + 3 * r, 2 * arc, arc + r, 8 * r, 8 * r][k + 1], 5) AS length,
+            x + r * [-1, -1, -2, 0, 0][k + 1] AS xmin, y + r * [0, -1, 0, 0, 0][k + 1] AS ymin,
+            x + r * [4, 3, 1, 3, 3][k + 1] AS xmax, y + r AS ymax FROM shapes""",
     "a_shapefile": """SELECT p_partkey AS partkey, p_brand AS brand, p_size / 4.0::DOUBLE AS quarter,
         'Polygon' AS kind,
         p_size::DOUBLE * (p_partkey % 7 + 1) - CASE WHEN p_partkey % 2 = 0 THEN 0.25 ELSE 0 END AS area,

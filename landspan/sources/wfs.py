@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landspan.functions import geometry as geo
+from landspan.sources import gml
 from landspan.sources.features import fetch_pages, require_complete
 from landspan.sources.files import write_files
 from landspan.workspace import scratch_path
@@ -121,36 +123,90 @@ def _geometry(node: Column) -> Column:
     )
 
 
+# Elements that the struct above holds; any other needs the text of the geometry.
+_PLAIN = {"Point", "LineString", "Polygon", "MultiPoint", "MultiCurve", "MultiSurface", "pos", "posList", "exterior",
+          "interior", "LinearRing", "pointMember", "curveMember", "surfaceMember"}
+_SHAPES = {"Point"} | gml._LINES | gml._AREAS | gml._MULTI
+
+
+def _names(kind: T.DataType) -> set[str]:
+    """Elements of a type, all the way down, without prefixes; attributes and values left out."""
+    if isinstance(kind, T.ArrayType):
+        return _names(kind.elementType)
+    if not isinstance(kind, T.StructType):
+        return set()
+    out = set()
+    for f in kind.fields:
+        if not f.name.startswith("_"):
+            out |= {f.name.rpartition(":")[2]} | _names(f.dataType)
+    return out
+
+
+def _repeated(kind: T.DataType, name: str) -> bool:
+    """Whether an element stands more than once in the one above it."""
+    if isinstance(kind, T.ArrayType):
+        return _repeated(kind.elementType, name)
+    return isinstance(kind, T.StructType) and any(
+        (f.name.rpartition(":")[2] == name and isinstance(f.dataType, T.ArrayType)) or _repeated(f.dataType, name)
+        for f in kind.fields)
+
+
+def _from_text(arc_step: float):
+    """Geometry struct of the text of any GML geometry."""
+    arrow = pa.struct([
+        ("srid", pa.int32()), ("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct(
+            [(axis, pa.float64()) for axis in ("x", "y", "z")])))))])
+
+    @F.arrow_udf(geo.GEOMETRY)
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([gml.decode(t, NORTH_FIRST, arc_step) if t and t.strip() else None
+                         for t in texts.to_pylist()], arrow)
+
+    return read
+
+
 def read_wfs(
-    spark: SparkSession, path: str, layer: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, layer: str, schema: T.StructType | None = None, arc_step: float = gml.ARC_STEP,
 ) -> DataFrame:
     """Features of saved GetFeature responses; ``layer`` is the feature element's name.
 
     Attribute types are inferred from all features unless ``schema`` names them (with the
-    geometry element as a struct).  Columns lose their namespace prefix.
+    geometry element as a struct).  Columns lose their namespace prefix.  Points, lines and polygons
+    and their collections are read by columns; a geometry column with anything else (curves of
+    segments, composite curves, surfaces of patches) is read from its text, arcs as chords that
+    turn by at most ``arc_step`` degrees.  An element that is not known raises.
     """
     reader = spark.read.format("xml").option("rowTag", layer)
     if schema is None:
         schema = reader.load(path).schema
     shapes = [
         f.name for f in schema.fields
-        if isinstance(f.dataType, T.StructType)
-        and any(name.startswith("gml:") for name in f.dataType.names)
-        and f.name != "gml:boundedBy"
+        if isinstance(f.dataType, T.StructType) and f.name != "gml:boundedBy" and any(
+            name.rpartition(":")[2] in _SHAPES and isinstance(_element(kind), T.StructType)
+            for name, kind in ((x.name, x.dataType) for x in f.dataType.fields))
     ]
-    gml = T.DataType.fromDDL(GML)
+    plain = {f.name for f in schema.fields if f.name in shapes and _names(f.dataType) <= _PLAIN
+             and all(x.name.startswith(("gml:", "_")) for x in f.dataType.fields)
+             and not _repeated(f.dataType, "pos") and not _repeated(f.dataType, "posList")}
+    simple = T.DataType.fromDDL(GML)
     fields = [
-        T.StructField(f.name, gml if f.name in shapes else f.dataType)
+        T.StructField(f.name, f.dataType if f.name not in shapes else simple if f.name in plain else T.StringType())
         for f in schema.fields if f.name != "gml:boundedBy"
     ]
     rows = reader.schema(T.StructType(fields)).load(path)
-    columns = []
+    columns, from_text = [], _from_text(arc_step)
     for field in fields:
         short = re.sub(r"^_|^[^:]*:", "", field.name)
         short = "gml_id" if field.name == "_gml:id" else short
-        if field.name in shapes:
+        if field.name in plain:
             shape = F.transform(F.array(F.col(f"`{field.name}`")), _geometry)[0]
             columns.append(shape.alias(short))
+        elif field.name in shapes:
+            columns.append(from_text(F.col(f"`{field.name}`")).alias(short))
         else:
             columns.append(F.col(f"`{field.name}`").alias(short))
     return rows.select(columns)
+
+
+def _element(kind: T.DataType) -> T.DataType:
+    return kind.elementType if isinstance(kind, T.ArrayType) else kind
