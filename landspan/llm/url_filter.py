@@ -2,9 +2,12 @@
 
 Rules judge the pages they fit. Their verdicts are the labelled outcomes of hosts: a host of n
 judged pages, k of them allowed, is a beta-binomial draw around its registered domain, a domain
-around its suffix, a suffix around the whole table. The strength of each prior is fitted by the
-method of moments. A page no rule fits is blocked when the upper bound of its host's posterior
-allow rate is below ``THRESHOLD``: only when the evidence is clear.
+around its suffix, a suffix around the whole table. The strength c of each level is fitted by the
+method of moments. A parent is known only as well as its own posterior says, a beta of strength T:
+the prior of a child has the parent's mean and, by moments, the strength T c / (T + c + 1), less than
+either. So a host without judged pages is at least as uncertain as its parent, and without judged
+pages all the way up it is wide open. A page no rule fits is blocked when the upper bound of its
+host's posterior allow rate is below ``THRESHOLD``: only when the evidence is clear.
 
 Null urls, and those without ``://``, have empty host and path and no rule; the empty host is a
 host. Repeated rows count each. Rates of an empty table are never needed. Extra columns are
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspan.llm.tables import ascii_lower
+from landspan.workspace import materialize
 
 RULES = (
     ("com/", "allow"),
@@ -27,7 +31,7 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-# Suffixes of two labels under which names are registered.
+# Suffixes of several labels under which names are registered; a full list is a parameter.
 WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz")
 THRESHOLD = 0.5
 # Standard deviations between the posterior mean and its upper bound.
@@ -56,59 +60,76 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 def _moments(units: DataFrame, center: str) -> float:
     """Strength of the beta prior of units (n, k) around their centers.
 
-    Of the variance between units, the part that binomial draws alone don't explain.
+    Of the variance between units, the part that binomial draws alone don't explain. A spread seen in a
+    few units is not known well, so the strength is at most the number of units with outcomes.
     """
     m = F.col(center)
     sums = units.agg(
         F.sum(F.pow(F.col("k") - F.col("n") * m, 2)), F.sum(F.col("n") * m * (1 - m)),
-        F.sum(F.col("n") * (F.col("n") - 1) * m * (1 - m))).first()
-    spread, plain, room = (float(x or 0.0) for x in sums)
+        F.sum(F.col("n") * (F.col("n") - 1) * m * (1 - m)), F.count_if(F.col("n") > 0)).first()
+    spread, plain, room, seen = (float(x or 0.0) for x in sums)
     excess = (spread - plain) / room if room > 0 else 0.5
-    return 1 / min(max(excess, 0.001), 0.999) - 1
+    return max(min(1 / min(max(excess, 0.001), 0.999) - 1, seen), 0.001)
 
 
-def reputation(pages: DataFrame) -> DataFrame:
-    """host, bound (upper bound of the allow rate), rate: one row a host.
+def registered(host: Column, suffixes: Sequence[str] = WIDE_SUFFIXES) -> tuple[Column, Column]:
+    """The name under which a host is registered, and its suffix.
 
-    pages: host, rule_verdict (null where no rule fits).
+    The suffix is the longest of the list that ends the host, else its last label; the name has one
+    label more. A host that is a suffix itself is its own name.
+    """
+    labels = F.split(host, r"\.")
+
+    def tail(n: int) -> Column:
+        return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+    domain, suffix = tail(2), tail(1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        fits = (F.size(labels) >= n) & tail(n).isin(*[s for s in suffixes if s.count(".") + 1 == n])
+        domain, suffix = F.when(fits, tail(n + 1)).otherwise(domain), F.when(fits, tail(n)).otherwise(suffix)
+    return domain, suffix
+
+
+def reputation(pages: DataFrame, suffixes: Sequence[str] = WIDE_SUFFIXES) -> DataFrame:
+    """host, bound (upper bound of the allow rate), rate: one row a host, written.
+
+    pages: host, rule_verdict (null where no rule fits). They are read once.
     """
     good = F.col("rule_verdict") == "allow"
-    labels = F.split("host", r"\.")
-    last_two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    last_three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    wide = last_two.isin(*WIDE_SUFFIXES)
-    hosts = pages.groupBy("host").agg(
-        F.count("rule_verdict").alias("n"), F.count_if(good).alias("k")).select(
-        "host", "n", "k", F.when(wide, last_three).otherwise(last_two).alias("domain"),
-        F.when(wide, last_two).otherwise(F.element_at(labels, -1)).alias("suffix"))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    n, k = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-    overall = (k + 1) / (n + 2)
-
-    def shrunk(units: DataFrame, name: str) -> DataFrame:
-        strength = _moments(units, "prior")
-        return units.withColumn(f"{name}_a", F.col("k") + F.lit(strength) * F.col("prior")).withColumn(
-            f"{name}_b", F.col("n") - F.col("k") + F.lit(strength) * (1 - F.col("prior")))
-
-    rate = lambda name: F.col(f"{name}_a") / (F.col(f"{name}_a") + F.col(f"{name}_b"))
-    suffixes = shrunk(suffixes.withColumn("prior", F.lit(overall)), "s").select(
-        "suffix", rate("s").alias("prior"))
-    domains = shrunk(domains.join(suffixes, "suffix"), "d").select("domain", "suffix", rate("d").alias("prior"))
-    hosts = shrunk(hosts.join(domains, ["domain", "suffix"]), "h")
-    a, b = F.col("h_a"), F.col("h_b")
-    spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", (rate("h") + F.lit(BOUND) * spread).alias("bound"), rate("h").alias("rate"))
+    domain, suffix = registered(F.col("host"), suffixes)
+    hosts = materialize(pages.groupBy("host").agg(F.count("rule_verdict").alias("n"), F.count_if(good).alias("k")).select(
+        "host", "n", "k", domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    domains = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    n, k = tops.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+
+    def posterior(units: DataFrame, *names: str) -> DataFrame:
+        """mean and strength of the posterior of units (n, k, prior, known)."""
+        c = F.lit(_moments(units, "prior"))
+        c = F.col("known") * c / (F.col("known") + c + 1)
+        return units.withColumn("c", c).select(
+            *names, ((F.col("k") + F.col("c") * F.col("prior")) / (F.col("n") + F.col("c"))).alias("mean"),
+            (F.col("n") + F.col("c")).alias("strength"))
+
+    def below(parents: DataFrame) -> DataFrame:
+        return parents.withColumnsRenamed({"mean": "prior", "strength": "known"})
+
+    tops = posterior(tops.withColumns({"prior": F.lit((k + 1) / (n + 2)), "known": F.lit(float(n + 2))}), "suffix")
+    domains = posterior(domains.join(below(tops), "suffix"), "domain", "suffix")
+    rates = posterior(hosts.join(below(domains), ["domain", "suffix"]), "host")
+    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
+    return materialize(rates.select("host", (F.col("mean") + F.lit(BOUND) * spread).alias("bound"),
+                                    F.col("mean").alias("rate")), "reputation")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
-               threshold: float = THRESHOLD) -> DataFrame:
+               threshold: float = THRESHOLD, suffixes: Sequence[str] = WIDE_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for each page row."""
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn(
         "rule_verdict", F.element_at(F.create_map(*[F.lit(x) for r in rules for x in r]), F.col("rule")))
-    known = reputation(ruled.select("host", "rule_verdict"))
+    known = reputation(ruled.select("host", "rule_verdict"), suffixes)
     return ruled.join(known, "host").select(
         "page_id", "host", "path", "rule",
         F.coalesce("rule_verdict", F.when(F.col("bound") < threshold, "block").otherwise("allow")
@@ -154,30 +175,36 @@ WITH cut AS (
 ), domains AS (
   SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL
 ), suffixes AS (
-  SELECT suffix, sum(n) AS n, sum(k) AS k,
+  SELECT suffix, sum(n) AS n, sum(k) AS k, sum(sum(n)) OVER () + 2 AS t,
     (sum(sum(k)) OVER () + 1) / (sum(sum(n)) OVER () + 2) AS m FROM domains GROUP BY suffix
 ), s_prior AS (
-  SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
-      / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1 AS c FROM suffixes
+  SELECT greatest(least(1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
+      / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1, count(*) FILTER (n > 0)), 0.001) AS c
+  FROM suffixes
 ), s_rate AS (
-  SELECT suffix, (k + c * m) / (n + c) AS m FROM suffixes, s_prior
+  SELECT suffix, (k + t * c / (t + c + 1) * m) / (n + t * c / (t + c + 1)) AS m, n + t * c / (t + c + 1) AS t
+  FROM suffixes, s_prior
 ), d_units AS (
-  SELECT domain, domains.suffix, n, k, m FROM domains JOIN s_rate USING (suffix)
+  SELECT domain, domains.suffix, n, k, m, t FROM domains JOIN s_rate USING (suffix)
 ), d_prior AS (
-  SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
-      / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1 AS c FROM d_units
+  SELECT greatest(least(1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
+      / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1, count(*) FILTER (n > 0)), 0.001) AS c
+  FROM d_units
 ), d_rate AS (
-  SELECT domain, suffix, (k + c * m) / (n + c) AS m FROM d_units, d_prior
+  SELECT domain, suffix, (k + t * c / (t + c + 1) * m) / (n + t * c / (t + c + 1)) AS m,
+    n + t * c / (t + c + 1) AS t FROM d_units, d_prior
 ), h_units AS (
-  SELECT host, n, k, m FROM named JOIN d_rate USING (domain, suffix)
+  SELECT host, n, k, m, t FROM named JOIN d_rate USING (domain, suffix)
 ), h_prior AS (
-  SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
-      / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1 AS c FROM h_units
+  SELECT greatest(least(1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
+      / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1, count(*) FILTER (n > 0)), 0.001) AS c
+  FROM h_units
 ), posterior AS (
-  SELECT host, k + c * m AS a, n - k + c * (1 - m) AS b FROM h_units, h_prior
+  SELECT host, (k + t * c / (t + c + 1) * m) / (n + t * c / (t + c + 1)) AS m, n + t * c / (t + c + 1) AS t
+  FROM h_units, h_prior
 )
 SELECT page_id, host, path, rule, coalesce(rule_verdict,
-  CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5
+  CASE WHEN m + 1.645 * sqrt(m * (1 - m) / (t + 1)) < 0.5
        THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged JOIN posterior USING (host)
 """

@@ -138,6 +138,26 @@ def test_url_reputation_shrinks_to_its_parents(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_hosts_without_evidence_are_allowed_and_evidence_blocks(spark, sf):
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    found = url_filter.judge_urls(pages).where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r.verdict for r in found} == {"allow", "block"}
+    # Neither host nor domain nor suffix has a judged page.
+    bad = [(i, f"x://h{i % 9}.net/fr/{i}") for i in range(90)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(
+        [*bad, (900, "x://a.b.org/"), (901, "x://b.org/"), (902, "x://new.net/x")], "page_id long, url string")).collect()}
+    assert (got[900], got[901], got[902]) == ("allow", "allow", "block")
+
+
+@pytest.mark.parametrize("host, domain, suffix", [
+    ("a.b.example.co.uk", "example.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("uk", "uk", "uk"), ("", "", ""),
+    ("x.y.city.kobe.jp", "y.city.kobe.jp", "city.kobe.jp"), ("x.kobe.jp", "x.kobe.jp", "kobe.jp"),
+    ("example.com", "example.com", "com"), ("a.example.com", "example.com", "com")])
+def test_registered_names(spark, host, domain, suffix):
+    columns = url_filter.registered(F.lit(host), ["co.uk", "kobe.jp", "city.kobe.jp"])
+    assert tuple(spark.range(1).select(*columns).first()) == (domain, suffix)
+
+
 def test_every_two_substitutions_in_a_window_are_hit():
     words = decontaminate.word_hashes(" ".join(f"w{i}" for i in range(decontaminate.WINDOW)))
     for places in itertools.combinations(range(decontaminate.WINDOW), 2):
