@@ -281,18 +281,38 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _sort_out(width: int, zone: int, max_group: int):
     """Repeated windows of open phrases: the large cores' rows first, then whole cores together."""
-    def large(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # One row a window; they are counted by hash afterwards.
+    def large(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # Windows that repeat among these phrases are settled as runs, and one row with two copies goes on
+        # for all of them. The others are one row each, counted by hash afterwards.
         hashes: tuple[list, list] = ([], [])
         for text in batch.column(8):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             for seed, out in zip((2, 3), hashes):
                 out.append(_roller(seed).grams(_roller(seed).sums(data), width).view(np.int64))
         size = np.array([len(x) for x in hashes[0]])
-        key_id, key_tag, first, copies = (
-            np.repeat(batch.column(c).to_numpy(), size) for c in (1, 2, 4, 6))
-        start = first + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return _table(_SPANS, [key_id, key_tag, start, start, *map(np.concatenate, hashes), copies])
+        a, b = map(np.concatenate, hashes)
+        phrase = np.repeat(np.arange(len(size)), size)
+        key_id, key_tag, first, copies = (batch.column(c).to_numpy()[phrase] for c in (1, 2, 4, 6))
+        start = first + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, copies[order])[group] > 1
+        known = np.zeros(len(a), bool)
+        known[order] = many
+        known &= copies == 1  # phrases with more copies are settled already
+        begins = known.copy()
+        begins[1:] &= ~(known[:-1] & (phrase[1:] == phrase[:-1]))
+        ends = known.copy()
+        ends[:-1] &= ~(known[1:] & (phrase[1:] == phrase[:-1]))
+        null = pa.nulls(int(begins.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(key_id[begins]), pa.array(key_tag[begins]), pa.array(start[begins], pa.int32()),
+            pa.array(start[ends], pa.int32()), null, null, pa.nulls(len(null), pa.int32())], schema=_SPANS)
+        sent = order[new]
+        yield _table(_SPANS, [key_id[sent], key_tag[sent], start[sent], start[sent], a[sent], b[sent],
+                              np.where(many[new], 2, 1)])
 
     def small(batch: pa.RecordBatch) -> pa.RecordBatch:
         core, key_id, key_tag, at, first, last, copies = (
@@ -308,15 +328,18 @@ def _sort_out(width: int, zone: int, max_group: int):
             schema=_SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = []
+        rest, crowd = [], []
         for batch in batches:
             many = batch.column(7).to_numpy() > max_group
-            crowd = batch.filter(pa.array(many))
-            for begin in range(0, crowd.num_rows, BATCH_ROWS):
-                yield large(crowd.slice(begin, BATCH_ROWS))
+            crowd.append(batch.filter(pa.array(many)))
+            if sum(c.num_rows for c in crowd) >= CHUNK:
+                yield from large(pa.Table.from_batches(crowd).combine_chunks().to_batches()[0])
+                crowd = []
             if not many.all():
                 rest = [batch.filter(pa.array(~many))]
                 break
+        if any(c.num_rows for c in crowd):
+            yield from large(pa.Table.from_batches(crowd).combine_chunks().to_batches()[0])
         for batch in _whole_groups(itertools.chain(rest, batches), 0, CHUNK):
             yield small(batch)
 
