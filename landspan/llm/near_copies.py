@@ -3,12 +3,18 @@
 A text is the set of hashes of its runs of ``SHINGLE`` lower-case (A-Z) words. Two texts are near
 copies when their sets share ``SHARE`` of their union. The search loses no such pair: hashes are put in one
 order, those that many sets of a sample hold last, and two such sets of n hashes agree in one of
-their first n - ceil(SHARE * n) + 1 (prefix). Where prefixes meet, sizes and what can still follow
-(length, position) are looked at, then parities of the hashes by ``FOLDS`` x 64 places, which differ in no
+their first n - ceil(SHARE * n) + 1 (prefix). Where prefixes meet, sizes are looked at (length) and whether
+enough follows if this is the first hash they share (position), then parities of the hashes by ``FOLDS`` x 64 places, which differ in no
 more places than the sets in hashes, then the sets themselves.
 
 Where more than ``BUCKET`` sets meet, each is first compared with one of them only; afterwards the
-pairs that are not in one component yet are.
+pairs that are not in one component yet are. Hashes that a good part of the sample holds meet in ``SALTS``
+parts, each with such a set of its own, so no task gets all texts that hold a common line; rows of one hash
+pass through a task without being gathered.
+
+Texts are read once: prefixes, and the compressed text of each distinct set, are written with the rows. Sets are
+compared in cells, which get each text once: candidate pairs that hang together share a cell, a large
+cluster is dealt to the cells of pairs of blocks.
 
 Fingerprints that operator 8 links stay linked: they are the nodes of the components. Null texts
 count as empty; texts of fewer words are one run; texts without words are alike.
@@ -21,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +43,10 @@ BUCKET = 32
 # Texts of the sample that tells common hashes, and in how many of them a common one stands.
 SAMPLE, COMMON = 20_000, 20
 FOLDS = 8
-# Bits of the table that tells most sets that are not compared from the others.
-TABLE_BITS = 24
+# Parts of a hash that more than this share of the sample holds, and rows of one hash held at once.
+SALTS, HOT_SHARE, HELD = 64, 0.01, 20_000
+# Sets that are compared in one cell, about.
+CELL = 1024
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -82,17 +91,38 @@ def _mapped(frame: DataFrame, rows_of, schema: str, types: list[pa.DataType]) ->
 _FOLDED = [f"fold{k}" for k in range(FOLDS)]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, bits (operator 8's fingerprint), mark, size and folds (of the set) of each row."""
+def _rows(docs: DataFrame, common, hot: int) -> DataFrame:
+    """doc_id, bits (operator 8's fingerprint), mark, size and folds (of the set) of each row.
+
+    The first row of a set in a task also has its compressed text, its prefix, and the part of each
+    hash of it: 0, or one of ``SALTS`` for a hash that at least `hot` texts of the sample hold.
+    """
     def rows_of(part, seen):
+        known, press = common.value, zstandard.ZstdCompressor(level=3).compress
         texts = part.column(1).to_pylist()
         sets = [shingle_set(x) for x in texts]
         folds = np.array([_folded(x) for x in sets]).reshape(-1, FOLDS)
+        marks, packed, prefixes, salts = [_mark(x) for x in sets], [], [], []
+        for mark, held, text in zip(marks, sets, texts):
+            if mark in seen or len(held) == 0:
+                packed.append(None)
+                prefixes.append(None)
+                salts.append(None)
+                continue
+            seen.add(mark)
+            values = held.view(np.int64)
+            weight = np.array([known.get(v, 0) for v in values.tolist()]) if known else np.zeros(len(values), int)
+            order = np.argsort(weight, kind="stable")[:len(held) - -(-SHARE * len(held) // 10) + 1]
+            packed.append(press(text.encode()))
+            prefixes.append(values[order])
+            salts.append(np.where(weight[order] >= hot, 1 + mark % SALTS, 0))
         return (part.column(0), np.array([simhash.fingerprint(x) for x in texts], np.uint64).view(np.int64),
-                [_mark(x) for x in sets], [len(x) for x in sets], *np.ascontiguousarray(folds.T))
+                marks, [len(x) for x in sets], *np.ascontiguousarray(folds.T), packed, prefixes, salts)
 
     names = ["doc_id", "bits", "mark", "size", *_FOLDED]
-    return _mapped(_texts(docs), rows_of, ", ".join(f"{n} long" for n in names), [pa.int64()] * len(names))
+    return _mapped(
+        _texts(docs), rows_of, ", ".join(f"{n} long" for n in names) + ", packed binary, prefix array<long>, salts array<int>",
+        [pa.int64()] * len(names) + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())])
 
 
 def _common(docs: DataFrame, n_rows: int) -> dict[int, int]:
@@ -108,63 +138,42 @@ def _common(docs: DataFrame, n_rows: int) -> dict[int, int]:
     return {r["token"]: r["n"] for r in found}
 
 
-def _entries(docs: DataFrame, common) -> DataFrame:
-    """token, mark, size, place: prefixes of the distinct sets of a task."""
-    def rows_of(part, seen):
-        known = common.value
-        tokens, marks, sizes, places = [], [], [], []
-        for text in part.column(1).to_pylist():
-            held = shingle_set(text)
-            mark, n = _mark(held), len(held)
-            if mark in seen or n == 0:
-                continue
-            seen.add(mark)
-            values = held.view(np.int64)
-            if known:
-                weight = np.array([known.get(v, 0) for v in values.tolist()])
-                values = values[np.argsort(weight, kind="stable")]
-            prefix = n - -(-SHARE * n // 10) + 1
-            tokens.append(values[:prefix])
-            marks.append(np.full(prefix, mark))
-            sizes.append(np.full(prefix, n))
-            places.append(np.arange(prefix))
-        none = [np.empty(0, np.int64)]
-        return tuple(np.concatenate(c or none) for c in (tokens, marks, sizes, places))
-
-    return _mapped(_texts(docs), rows_of, "token long, mark long, size int, place int",
-                   [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
-
-
 _MET = "u long, v long, token long, size int, place int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) that meet under a token; of crowds also each member (u, no v).
 
-    Rows come by token and mark.
+    Rows (token, salt, mark, size, place) come by token, salt and mark. Tokens dealt to parts are
+    crowds. Of a crowd only the first member is held.
     """
-    def met(columns: list[np.ndarray]) -> pa.RecordBatch:
-        token, mark, size, place = columns
-        keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])
-        token, mark, size, place = (c[keep] for c in (token, mark, size, place))
+    def met(columns: list[np.ndarray], forced: bool = False) -> pa.RecordBatch:
+        """forced: the first group is part of a crowd, whatever its size here."""
+        token, salt, mark, size, place = columns
         new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
+        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        keep = new.copy()
+        keep[1:] |= mark[1:] != mark[:-1]
+        token, salt, mark, size, place, new = (c[keep] for c in (token, salt, mark, size, place, new))
         first = np.flatnonzero(new)
         bucket = np.cumsum(new) - 1
-        crowd = (np.diff(np.append(first, len(token))) > BUCKET)[bucket] if len(token) else new
+        many = (np.diff(np.append(first, len(token))) > BUCKET) | (salt[first] > 0)
+        if forced:
+            many[0] = True
+        crowd = many[bucket]
         members = np.flatnonzero(crowd)
         hubs = first[bucket[members]]
         lefts, rights = [hubs[hubs != members]], [members[hubs != members]]
         for k in range(1, BUCKET):
-            left = np.flatnonzero((token[:-k] == token[k:]) & ~crowd[k:]) if k < len(token) else members[:0]
+            left = np.flatnonzero((bucket[:-k] == bucket[k:]) & ~crowd[k:]) if k < len(token) else members[:0]
             if len(left) == 0:
                 break
             lefts.append(left)
             rights.append(left + k)
         a, b = np.concatenate(lefts), np.concatenate(rights)
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        shared = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
+        # Where near copies meet first, all they share is still to come. Later meetings may be missed.
+        shared = np.minimum(size[a] - place[a], size[b] - place[b])
         good = (10 * low >= SHARE * high) & ((10 + SHARE) * shared >= SHARE * (size[a] + size[b]))
         a, b = a[good], b[good]
         none = np.zeros(len(a), np.int64)
@@ -177,21 +186,41 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["u", "v", "token", "size", "place"])
 
     held: list[list[np.ndarray]] = []
+    hub = None  # the first row of the crowd that goes on
     for batch in batches:
         if batch.num_rows == 0:
             continue
         columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
-        start = int(np.searchsorted(columns[0], columns[0][-1]))
-        # The last token may go on in the next batch.
-        if start or (held and held[-1][0][-1] != columns[0][0]):
-            yield met([np.concatenate(c) for c in zip(*held, [c[:start] for c in columns], strict=True)])
-            held = []
+        last = [c[-1] for c in columns[:2]]
+        start = int(np.argmax((columns[0] == last[0]) & (columns[1] == last[1])))
+        # The last group may go on in the next batch.
+        if start or (held and [c[-1] for c in held[-1][:2]] != [c[0] for c in columns[:2]]):
+            done = [c for c in (hub, *held, [c[:start] for c in columns]) if c is not None]
+            yield met([np.concatenate(c) for c in zip(*done, strict=True)], hub is not None)
+            held, hub = [], None
         held.append([c[start:] for c in columns])
-    if held:
-        yield met([np.concatenate(c) for c in zip(*held, strict=True)])
-
-
-def _alike(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
+        if sum(len(c[0]) for c in held) > HELD:
+            done = [c for c in (hub, *held) if c is not None]
+            yield met([np.concatenate(c) for c in zip(*done, strict=True)], True)
+            held, hub = [], [c[:1] for c in done[0]]
+    if held or hub:
+        done = [c for c in (hub, *held) if c is not None]
+        yield met([np.concatenate(c) for c in zip(*done, strict=True)], hub is not None)
+
+
+def _compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """The pairs of a cell whose sets are near copies."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sets = {mark: shingle_set(unpack(packed).decode())
+            for mark, packed in zip(texts["mark"].to_pylist(), texts["packed"].to_pylist())}
+    found = []
+    for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist()):
+        shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+        found.append(10 * shared >= SHARE * (len(sets[u]) + len(sets[v]) - shared))
+    return pairs.select(["u", "v"]).filter(pa.array(found, pa.bool_()))
+
+
+def _alike(rows: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs u, v of marks whose sets are near copies."""
     def of(end: str) -> DataFrame:
         return marks.select(F.col("mark").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ["size", *_FOLDED]))
@@ -202,46 +231,39 @@ def _alike(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
         .join(of("u"), "u").join(of("v"), "v")
         .where((10 + SHARE) * differ <= (10 - SHARE) * (F.col("u_size") + F.col("v_size")))
         .select("u", "v"), "near-pairs")
-    wanted = pairs.select(F.col("u").alias("mark")).union(pairs.select("v")).distinct()
-    slots = wanted.select(F.shiftrightunsigned("mark", 64 - TABLE_BITS).cast("int").alias("slot")).distinct().toArrow()
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[slots.column(0).to_numpy()] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
-
-    def marks_of(part, seen):
-        held_in = packed.value
-        marks, kept = [], []
-        for text in part.column(1).to_pylist():
-            mark = _mark(held := shingle_set(text))
-            slot = mark % (1 << 64) >> 64 - TABLE_BITS
-            if held_in[slot >> 3] >> (7 - slot % 8) & 1 and mark not in seen:
-                seen.add(mark)
-                marks.append(mark)
-                kept.append(held.view(np.int64))
-        return marks, kept
-
-    sets = materialize(_mapped(_texts(docs), marks_of, "mark long, held array<long>",
-                               [pa.int64(), pa.list_(pa.int64())]).join(wanted, "mark", "left_semi")
-                       .dropDuplicates(["mark"]), "near-sets")
-    both = pairs.join(sets.select(F.col("mark").alias("u"), F.col("held").alias("a")), "u").join(
-        sets.select(F.col("mark").alias("v"), F.col("held").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(10 * shared >= SHARE * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    roots = materialize(components(pairs), "near-clusters")
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    cells = -(-roots.count() // CELL) or 1
+    blocks = F.ceil(F.col("n") / CELL)
+    a, b = (F.pmod(F.xxhash64(end), blocks) for end in ("u", "v"))
+    # Small clusters share cells; those of a large one are named by their blocks.
+    cell = F.when(F.col("n") <= CELL, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(
+        F.xxhash64("root", F.least(a, b), F.greatest(a, b)))
+    dealt = materialize(pairs.join(roots.withColumnRenamed("node", "u"), "u").join(sizes, "root").select(
+        cell.alias("cell"), "u", "v"), "near-cells")
+    wanted = dealt.select(F.col("u").alias("mark"), F.col("cell").alias("of")).union(dealt.select("v", "cell")).distinct()
+    texts = rows.where("packed IS NOT NULL").select("mark", "packed").join(
+        wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    return dealt.groupBy("cell").cogroup(wanted.join(texts, "mark").groupBy("of")).applyInArrow(
+        _compare, "u long, v long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, bits, root (a fingerprint of the component) per document row."""
-    rows = materialize(_rows(docs), "near-rows")
+    n_rows = docs.count()
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, n_rows))
+    rows = materialize(_rows(docs, common, max(COMMON, int(HOT_SHARE * min(n_rows, SAMPLE)))), "near-rows")
     marks = materialize(rows.groupBy("mark").agg(
         F.min("bits").alias("node"), *(F.min(c).alias(c) for c in ["size", *_FOLDED])), "near-marks")
     named = marks.select("mark", "node")
     same = rows.join(named, "mark").where("bits != node").select(F.col("bits").alias("u"), F.col("node").alias("v"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, rows.count()))
-    met = materialize(_entries(docs, common).repartition("token").sortWithinPartitions("token", "mark").mapInArrow(
+    entries = rows.where("prefix IS NOT NULL").select("mark", "size", F.posexplode(F.arrays_zip("prefix", "salts")).alias(
+        "place", "at")).select("at.prefix", "at.salts", "mark", F.col("size").cast("int").alias("size"), "place")
+    met = materialize(entries.repartition("prefix", "salts").sortWithinPartitions("prefix", "salts", "mark").mapInArrow(
         _meet, _MET), "near-met")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return _alike(docs, marks, pairs).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(
+        return _alike(rows, marks, pairs).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(
             F.col("a").alias("u"), F.col("b").alias("v"))
 
     edges = materialize(
@@ -256,8 +278,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         more = open_.alias("a").join(open_.alias("b"), F.expr(f"""
             a.token = b.token AND a.mark < b.mark AND a.root != b.root
             AND 10 * least(a.size, b.size) >= {SHARE} * greatest(a.size, b.size)
-            AND {10 + SHARE} * (least(a.place, b.place) + least(a.size - a.place, b.size - b.place))
-                >= {SHARE} * (a.size + b.size)""")).selectExpr("a.mark AS u", "b.mark AS v")
+            AND {10 + SHARE} * least(a.size - a.place, b.size - b.place) >= {SHARE} * (a.size + b.size)""")).selectExpr("a.mark AS u", "b.mark AS v")
         roots = components(edges.unionByName(links(more)))
     return rows.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select(
         "doc_id", "bits", F.coalesce("root", "bits").alias("root"))

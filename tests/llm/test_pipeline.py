@@ -51,11 +51,11 @@ def test_stages_on_odd_rows(spark, sf):
         assert docs.count() <= len(table)
 
 
-@pytest.mark.parametrize("bucket, common", [(2, 3), (32, 20)])
-def test_near_dedup_finds_all_near_copies(spark, sf, monkeypatch, bucket, common):
-    """Texts with substituted words against all pairs of them."""
-    monkeypatch.setattr(near_copies, "BUCKET", bucket)
-    monkeypatch.setattr(near_copies, "COMMON", common)
+@pytest.mark.parametrize("bucket, common, cell, held", [(2, 3, 4, 3), (32, 20, 1024, 20_000), (2, 20, 2, 1)])
+def test_near_dedup_finds_all_near_copies(spark, sf, monkeypatch, bucket, common, cell, held):
+    """Texts with substituted words against all pairs of them; a line stands in half of them."""
+    for name, value in (("BUCKET", bucket), ("COMMON", common), ("CELL", cell), ("HELD", held)):
+        monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(1)
     rows = []
     for i in range(12):
