@@ -4,13 +4,16 @@ Nodes that are on no cycle are trimmed from both sides. What is left is colored:
 least name among the nodes that reach it, and the nodes that reach back to the owner of their color
 without leaving it are one component. Components found are taken out, and the rest starts again.
 Before coloring, runs of nodes with one parent each are contracted, so rounds follow the
-contracted graph; a cycle of such nodes only is settled by pointer doubling.
+contracted graph; a cycle of such nodes only is settled by pointer doubling. As soon as no more than
+``FINISH`` edges are left, one task finds their components in one pass.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from landspan.workspace import Rounds, materialize
 NAMED = "node_id string, component string"
 # Nodes of a cycle that a message names.
 SHOWN = 20
+# Edges that one task finishes.
+FINISH = 100_000
 
 
 def on_cycles(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None = None) -> DataFrame:
@@ -36,7 +41,8 @@ def on_cycles(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None
     left, sides = _between(edges, stuck), (True,)
     while True:
         left, sides = _trimmed(left, sides), (False, True)
-        if left.isEmpty():
+        if left.limit(FINISH + 1).count() <= FINISH:
+            found.append(left.repartition(1).mapInArrow(_finish, NAMED))
             return found.all()
         counts = left.groupBy(F.col("child").alias("node_id")).agg(
             F.count("*").alias("parents"), F.min("parent").alias("parent"))
@@ -56,6 +62,44 @@ def on_cycles(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None
         left = _between(left, _ends(left).join(done, "node_id", "left_anti"))
 
 
+def _finish(batches):
+    """Components of a few edges: nodes in the order in which a walk leaves them, then walks against the
+    edges from the last one left.
+    """
+    above, below = defaultdict(list), defaultdict(list)
+    for batch in batches:
+        for child, parent in zip(*(column.to_pylist() for column in batch.columns)):
+            above[child].append(parent)
+            below[parent].append(child)
+    left, seen = [], set()
+    for start in [*below, *above]:
+        stack = [] if start in seen else [(start, iter(below[start]))]
+        seen.add(start)
+        while stack:
+            node, rest = stack[-1]
+            following = next((n for n in rest if n not in seen), None)
+            if following is None:
+                left.append(stack.pop()[0])
+            else:
+                seen.add(following)
+                stack.append((following, iter(below[following])))
+    placed, rows = set(), []
+    for start in reversed(left):
+        if start in placed:
+            continue
+        group, stack = [], [start]
+        placed.add(start)
+        while stack:
+            group.append(node := stack.pop())
+            more = [n for n in above[node] if n not in placed]
+            placed.update(more)
+            stack.extend(more)
+        if len(group) > 1 or start in above[start]:
+            rows.extend((node, min(group)) for node in group)
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)],
+                                     names=["node_id", "component"])
+
+
 def _ends(links: DataFrame) -> DataFrame:
     return links.select(F.col("child").alias("node_id")).union(links.select("parent")).distinct()
 

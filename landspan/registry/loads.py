@@ -124,7 +124,8 @@ def _tiles(spark, folder):
     return raster.read_raster(spark, path, TILE, pixels_per_piece=32)
 
 
-_RASTER = F.regexp_extract("path", r"raster-(\d+)\.tif$", 1).cast("long")
+def _number():
+    return F.regexp_extract("path", r"raster-(\d+)\.tif$", 1).cast("long")
 
 
 def a_raster_tiles(spark, folder):
@@ -135,7 +136,7 @@ def a_raster_tiles(spark, folder):
         F.transform(band, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v
     )
     return _tiles(spark, folder).select(
-        _RASTER.alias("raster"), "tile_col", "tile_row", "srid", "width", "height", "left", "top",
+        _number().alias("raster"), "tile_col", "tile_row", "srid", "width", "height", "left", "top",
         "xmin", "ymin", "xmax", "ymax", "skew_x", "skew_y", "pixel_type",
         total.alias("total"), weighted.alias("weighted"),
     )
@@ -146,7 +147,7 @@ def c_raster_constraints(spark, folder):
     # Only the number of bands matters.
     tiles = materialize(_tiles(spark, folder).withColumn(
         "bands", F.transform("bands", lambda b: F.array().cast("array<double>"))), "tiles")
-    straight = tiles.where(_RASTER % 5 != 3)
+    straight = tiles.where(_number() % 5 != 3)
     here = {name: F.expr(where) for name, where in (
         ("narrow", "tile_col = 1 AND tile_row = 0"), ("row", "tile_row = 1"),
         ("middle", "tile_col = 1 AND tile_row = 1"), ("later", "tile_col = 2 AND tile_row = 2"))}
@@ -155,7 +156,7 @@ def c_raster_constraints(spark, folder):
         return straight.withColumn(column, F.when(here[where], value).otherwise(F.col(column)))
 
     variants = {
-        "whole": straight, "turned": tiles.where(_RASTER % 5 == 3), "mixed": tiles,
+        "whole": straight, "turned": tiles.where(_number() % 5 == 3), "mixed": tiles,
         "narrow": changed("width", "narrow", F.lit(3)), "type": changed("pixel_type", "row", F.lit("16BSI")),
         "nodata": changed("nodata", "row", F.lit(0.0)), "moved": changed("left", "middle", F.col("left") + 5),
         "gap": straight.where(~here["middle"]), "twice": straight.unionByName(straight.where(here["later"])),
@@ -297,7 +298,7 @@ ORACLES = {
             bool_and(height = h OR py + height = y1) AS height_holds, max(h) AS height
             FROM placed JOIN hull USING (variant, raster) GROUP BY variant),
         summed AS (SELECT variant, count(*) FILTER (NOT regular) AS irregular,
-            sum(CASE WHEN regular THEN slots - spots ELSE 0 END) AS gaps, sum(copies - spots) AS overlaps
+            sum(CASE WHEN regular THEN slots - spots ELSE 0 END) AS gaps, sum(copies - spots) AS doubled
             FROM rasters GROUP BY variant),
         agreed AS (SELECT variant, min(skew_x) = max(skew_x) AS skew_x_holds, min(skew_x) AS skew_x,
             min(skew_y) = max(skew_y) AS skew_y_holds, min(skew_y) AS skew_y,
@@ -322,9 +323,9 @@ ORACLES = {
             {{'name': 'alignment_y', 'holds': y_holds, 'value': y::VARCHAR}},
             {{'name': 'width', 'holds': width_holds, 'value': width::DOUBLE::VARCHAR}},
             {{'name': 'height', 'holds': height_holds, 'value': height::DOUBLE::VARCHAR}},
-            {{'name': 'regular_blocking', 'holds': irregular = 0, 'value': irregular::DOUBLE::VARCHAR}},
-            {{'name': 'gaps', 'holds': gaps = 0, 'value': gaps::DOUBLE::VARCHAR}},
-            {{'name': 'overlaps', 'holds': overlaps = 0, 'value': overlaps::DOUBLE::VARCHAR}},
+            {{'name': 'regular_blocking', 'holds': (irregular = 0), 'value': irregular::DOUBLE::VARCHAR}},
+            {{'name': 'gaps', 'holds': (gaps = 0), 'value': gaps::DOUBLE::VARCHAR}},
+            {{'name': 'overlaps', 'holds': (doubled = 0), 'value': doubled::DOUBLE::VARCHAR}},
             {{'name': 'extent', 'holds': true, 'value': box}}]) AS f FROM facts)""",
     "c_raster_bounds": f"""WITH {_STRAIGHT} SELECT CAST(tile_col AS INTEGER) AS tile_col,
         CAST(tile_row AS INTEGER) AS tile_row, xmin, ymin, xmax, ymax,

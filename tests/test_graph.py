@@ -106,8 +106,11 @@ def edges_of(reach, node):
     return [(a, b) for a, b in reach if a == node]
 
 
-@pytest.mark.parametrize("seed, n, share", [(1, 30, 1.2), (2, 40, 1.0), (3, 25, 2.0), (4, 50, 0.9)])
-def test_components_of_random_graphs(spark, seed, n, share):
+@pytest.mark.parametrize("seed, n, share, finish", [
+    (1, 30, 1.2, -1), (2, 40, 1.0, 0), (3, 25, 2.0, 9999), (4, 50, 0.9, 9999), (5, 60, 1.3, 9999)])
+def test_components_of_random_graphs(spark, monkeypatch, seed, n, share, finish):
+    """-1 and 0: everything is colored; else one task finishes."""
+    monkeypatch.setattr(cycles, "FINISH", max(finish, 0))
     rng = random.Random(seed)
     ids = [f"n{i}" for i in range(n)]
     edges = [(rng.choice(ids), rng.choice([*ids, "missing"])) for _ in range(int(n * share))]
@@ -117,7 +120,8 @@ def test_components_of_random_graphs(spark, seed, n, share):
     assert len(found) == len({r.node_id for r in found})
 
 
-def test_a_long_cycle_with_tails_is_one_component(spark):
+def test_a_long_cycle_with_tails_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "FINISH", 0)
     ring = [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)]
     tail = [("t0", "r007"), ("t1", "t0"), ("r009", "u0"), ("u0", "u1")]
     ids = [c for c, _ in ring] + ["t0", "t1", "u0", "u1"]
