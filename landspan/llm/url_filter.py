@@ -2,7 +2,7 @@
 
 Rules judge the pages they fit. Their verdicts are the labelled outcomes of hosts: a host of n
 judged pages, k of them allowed, is a beta-binomial draw around its registered domain, a domain
-around its suffix, a suffix around the whole table. The strength c of each level is fitted by the
+around its suffix, a suffix around the mean of the suffixes, each of which is one draw. The strength c of each level is fitted by the
 method of moments. A parent is known only as well as its own posterior says, a beta of strength T:
 the prior of a child has the parent's mean and, by moments, the strength T c / (T + c + 1), less than
 either. So a host without judged pages is at least as uncertain as its parent, and without judged
@@ -101,7 +101,7 @@ def reputation(pages: DataFrame, suffixes: Sequence[str] = WIDE_SUFFIXES) -> Dat
         "host", "n", "k", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     domains = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    n, k = tops.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    seen, rates = tops.where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("k") / F.col("n")), F.lit(0.0))).first()
 
     def posterior(units: DataFrame, *names: str) -> DataFrame:
         """mean and strength of the posterior of units (n, k, prior, known)."""
@@ -114,7 +114,7 @@ def reputation(pages: DataFrame, suffixes: Sequence[str] = WIDE_SUFFIXES) -> Dat
     def below(parents: DataFrame) -> DataFrame:
         return parents.withColumnsRenamed({"mean": "prior", "strength": "known"})
 
-    tops = posterior(tops.withColumns({"prior": F.lit((k + 1) / (n + 2)), "known": F.lit(float(n + 2))}), "suffix")
+    tops = posterior(tops.withColumns({"prior": F.lit((rates + 1) / (seen + 2)), "known": F.lit(float(seen + 2))}), "suffix")
     domains = posterior(domains.join(below(tops), "suffix"), "domain", "suffix")
     rates = posterior(hosts.join(below(domains), ["domain", "suffix"]), "host")
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
@@ -175,8 +175,9 @@ WITH cut AS (
 ), domains AS (
   SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL
 ), suffixes AS (
-  SELECT suffix, sum(n) AS n, sum(k) AS k, sum(sum(n)) OVER () + 2 AS t,
-    (sum(sum(k)) OVER () + 1) / (sum(sum(n)) OVER () + 2) AS m FROM domains GROUP BY suffix
+  SELECT suffix, n, k, count(*) FILTER (n > 0) OVER () + 2 AS t,
+    (coalesce(sum(k / nullif(n, 0)) OVER (), 0) + 1) / (count(*) FILTER (n > 0) OVER () + 2) AS m
+  FROM (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix)
 ), s_prior AS (
   SELECT greatest(least(1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)))
       / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5), 0.001), 0.999) - 1, count(*) FILTER (n > 0)), 0.001) AS c
