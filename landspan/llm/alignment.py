@@ -106,9 +106,9 @@ class Tokenizers:
             a = self._a(" " + text)
             data = b" " + text.encode()
             spelled = self._a_text(a) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
             # A token without bytes (the unknown piece) has no place in the text.
-            whole = spelled and self.a_size[a].all() and self.b_size[b].all()
-            out.append((np.array(a, np.int64), np.array(b, np.int64)) if whole else None)
+            out.append((a, b) if spelled and self.a_size[a].all() and self.b_size[b].all() else None)
         return out
 
 
@@ -183,23 +183,34 @@ def ends_and_cuts(run: Run) -> tuple[np.ndarray, np.ndarray]:
 def group_text(run: Run, cuts: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3;`` of a run that the cuts (its last end among them) divide."""
     a_stop, b_stop = (np.searchsorted(end, cuts, "right") for end in (run.a_end, run.b_end))
-    names = _names()
-    said = np.empty(len(run.a) + len(run.b), object)
+    names = _names(max(run.a.max(initial=0), run.b.max(initial=0)))
+    said = np.empty((len(run.a) + len(run.b), names.shape[2]), np.uint8)
     # A token stands behind those of its side and those of the other side in the groups before.
     for ids, own, other, mark in ((run.a, a_stop, np.append(0, b_stop[:-1]), 1), (run.b, b_stop, a_stop, 2)):
         kind = np.zeros(len(ids), np.int64)
         kind[own - 1] = mark
         said[np.arange(len(ids)) + np.repeat(other, np.diff(own, prepend=0))] = names[kind, ids]
-    return b"".join(said.tolist())
+    flat = said.ravel()
+    return flat[flat != 0].tobytes()
 
 
 _NAMES: list[np.ndarray] = []
 
 
-def _names(n: int = 1 << 16) -> np.ndarray:
-    """Decimal ids followed by each separator."""
-    if not _NAMES:
-        _NAMES.append(np.array([[b"%d%s" % (i, sep) for i in range(n)] for sep in (b",", b"|", b";")], object))
+def _names(most: int) -> np.ndarray:
+    """Bytes of the decimal ids up to at least `most`, followed by each separator; 0 stands for none."""
+    if not _NAMES or _NAMES[0].shape[1] <= most:
+        size = 1 << max(16, int(most).bit_length())
+        digits = np.array([b"%d" % i for i in range(size)])
+        said = np.zeros((3, size, digits.itemsize + 1), np.uint8)
+        said[:, :, 1:] = digits.view(np.uint8).reshape(size, -1)
+        # The separator is put where the digits end.
+        ends = np.char.str_len(digits)
+        said[:, :, :-1] = said[:, :, 1:]
+        for k, mark in enumerate(b",|;"):
+            said[k, :, -1] = 0
+            said[k, np.arange(size), ends] = mark
+        _NAMES[:] = [said]
     return _NAMES[0]
 
 
