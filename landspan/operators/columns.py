@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from landspan.functions.geometry import geometry_columns
-from landspan.workspace import pinned
+from landspan.workspace import materialize
 
 
 def quoted(name: str) -> str:
@@ -61,8 +61,8 @@ def add_feature_id(df: DataFrame, name: str = "gid", order_by: list[str] | None
     Rows are counted per partition and each partition starts where the one before it
     ends, so no task sees more than its own rows.  ``order_by`` range-partitions and
     sorts first; a row number breaks ties there, so a group of equal keys spreads over
-    several partitions.  The rows are pinned before they are counted, hence counts and
-    ids always come from the same rows in the same partitions.
+    several partitions.  The rows are written once, by columns; a row's number is its place in its
+    file and the sizes of the files before it, hence counts and ids always come from the same rows.
     """
     if name in df.columns:
         raise ValueError(f"column {name} already exists")
@@ -72,15 +72,15 @@ def add_feature_id(df: DataFrame, name: str = "gid", order_by: list[str] | None
         rows = rows.withColumn("__tie", F.monotonically_increasing_id())
         rows = rows.repartitionByRange(*order_by, "__tie")
         rows = rows.sortWithinPartitions(*order_by, "__tie").drop("__tie")
-    # High bits of the generated id: partition; low 33 bits: row within it.
-    seen = pinned(rows).withColumn("__id", F.monotonically_increasing_id())
-    seen = seen.withColumn("__part", F.shiftright("__id", 33))
+    stored = materialize(rows, "ids")
+    # Files are named by the partition that wrote them.
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    seen = stored.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__row"))
     counts = seen.groupBy("__part").agg(F.count("*").alias("__n"))
     # One row per partition: a single-task window over it is bounded by their number.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
-    low = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    gid = (F.col("__at") + low + 1).cast("long").alias(name)
+    gid = (F.col("__at") + F.col("__row") + 1).cast("long").alias(name)
     # The offsets hold one row per partition, so broadcasting them is bounded.
     return seen.join(F.broadcast(offsets), "__part").select(gid, *[F.col(quoted(c)) for c in columns])
 

@@ -65,39 +65,44 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def chains(single: DataFrame) -> DataFrame:
-    """Nearest ancestor with no or several parents: ``(node_id, anchor, steps, open)``.
+    """Nearest ancestor with no or several parents: ``(node_id, anchor, steps, open, hit)``.
 
     ``single(node_id, parent)`` are the nodes with one parent.  Pointers double their reach
     in each round, so a chain costs the logarithm of its length.  When a round closes no
-    pointer, those still open run in a cycle.
+    pointer, those still open run in a cycle.  With a column ``hit`` on nodes, that of the result
+    says whether some node from here up to below the anchor has it.
     """
+    hit = F.col("hit") if "hit" in single.columns else F.lit(False)
     names = single.select(F.col("node_id").alias("anchor"), F.lit(True).alias("more"))
     runs = materialize(
         single.withColumnRenamed("parent", "anchor").join(names, "anchor", "left").select(
-            "node_id", "anchor", F.lit(1).alias("steps"), F.coalesce("more", F.lit(False)).alias("open")),
+            "node_id", "anchor", F.lit(1).alias("steps"), F.coalesce("more", F.lit(False)).alias("open"),
+            hit.alias("hit")),
         "chains")
     before, left = None, runs.where("open").count()
     while left and left != before:
         reach = runs.select(F.col("node_id").alias("anchor"), F.col("anchor").alias("far"),
-                              F.col("steps").alias("far_steps"), F.col("open").alias("far_open"))
+                              F.col("steps").alias("far_steps"), F.col("open").alias("far_open"),
+                              F.col("hit").alias("far_hit"))
         jumped = runs.where("open").join(reach, "anchor").select(
             "node_id", F.col("far").alias("anchor"), (F.col("steps") + F.col("far_steps")).alias("steps"),
-            F.col("far_open").alias("open"))
+            F.col("far_open").alias("open"), (F.col("hit") | F.col("far_hit")).alias("hit"))
         runs = materialize(runs.where("NOT open").unionByName(jumped), "chains")
         before, left = left, runs.where("open").count()
     return runs
 
 
 def _peel(start: DataFrame, links: DataFrame) -> DataFrame:
-    """Settled nodes ``(node_id, level)`` of a graph with weighted links.
+    """Settled nodes ``(node_id, level, hit)`` of a graph with weighted links.
 
-    ``start(node_id, closed, reach, level)``: minus the number of parents; the level where
-    there are none.  ``links(child, parent, weight)``.  A round adds a row for each node some
+    ``start(node_id, closed, reach, level, hit)``: minus the number of parents; the level where
+    there are none.  ``links(child, parent, weight, hot)``; a node is hit by itself, by a hot link, or by a
+    parent that is.  A round adds a row for each node some
     of whose parents it settles; the node settles in the round that brings its sum to zero.
     After ``COMPACT`` rounds only nodes that are still open are carried on, one row each.
     """
     spark = start.sparkSession
-    settled = Rounds(spark, "levels", start.select("node_id", "level").schema)
+    settled = Rounds(spark, "levels", start.select("node_id", "level", "hit").schema)
     frontier = None
     while True:
         seen = Rounds(spark, "open-nodes", start.schema)
@@ -108,54 +113,89 @@ def _peel(start: DataFrame, links: DataFrame) -> DataFrame:
             if done % LOOK == 0 and frontier.isEmpty():
                 settled.append(seen.all().where("level IS NOT NULL"))
                 return settled.all()
-            parents = frontier.select(F.col("node_id").alias("parent"), "level")
+            parents = frontier.select(F.col("node_id").alias("parent"), "level", "hit")
             touched = links.join(parents, "parent").groupBy(F.col("child").alias("node_id")).agg(
-                F.count("*").alias("now"), F.max(F.col("level") + F.col("weight")).alias("best"))
-            step = touched.join(seen.all().select("node_id", "closed", "reach"), "node_id").groupBy(
-                "node_id", "now", "best").agg(F.sum("closed").alias("before"), F.max("reach").alias("high"))
+                F.count("*").alias("now"), F.max(F.col("level") + F.col("weight")).alias("best"),
+                F.max(F.col("hot") | F.col("hit")).alias("got"))
+            step = touched.join(seen.all().select("node_id", "closed", "reach", "hit"), "node_id").groupBy(
+                "node_id", "now", "best", "got").agg(
+                F.sum("closed").alias("before"), F.max("reach").alias("high"), F.max("hit").alias("own"))
             reach = F.greatest("best", "high")
             frontier = seen.append(step.select(
                 "node_id", F.col("now").alias("closed"), reach.alias("reach"),
                 F.when(F.col("before") + F.col("now") == 0, reach).alias("level"),
+                (F.col("got") | F.col("own")).alias("hit"),
             )).where("level IS NOT NULL")
         settled.append(seen.all().where("level IS NOT NULL"))
         start = seen.all().groupBy("node_id").agg(
             F.sum("closed").alias("closed"), F.max("reach").alias("reach"),
-            F.max("level").alias("level")).where("level IS NULL")
+            F.max("level").alias("level"), F.max("hit").alias("hit")).where("level IS NULL")
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Topological level per node: ``(node_id, level)``; level is NULL on cycles.
+def sweep(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Topological level per node, and whether a seed reaches it: ``(node_id, level, hit)``.
 
     Level 0 has no parent, every other node is one above its highest parent; nodes that
-    never settle lie on or below a cycle, or a parent is no node.  Runs of nodes with one
-    parent each are contracted first; the rest is settled round by round.  Sorting by
-    (level, node_id) is a topological order.
+    never settle lie on or below a cycle, or a parent is no node, and their level is NULL.  Runs of
+    nodes with one parent each are contracted first; the rest is settled round by round, each node
+    once, with what its parents hand down.
     """
     ids = nodes.select("node_id").distinct()
     links = materialize(edges.select("child", "parent").distinct(), "links")
     need = ids.join(links.withColumnRenamed("child", "node_id"), "node_id", "left").groupBy("node_id").agg(
         F.count("parent").alias("parents"), F.min("parent").alias("parent"))
+    if seeds is None:
+        need = need.withColumn("hit", F.lit(False))
+    else:
+        need = need.join(seeds.select("node_id", F.lit(True).alias("seed")).distinct(), "node_id", "left").select(
+            "node_id", "parents", "parent", F.coalesce("seed", F.lit(False)).alias("hit"))
     need = materialize(need, "parents")
-    through_one = chains(need.where("parents = 1").select("node_id", "parent"))
-    through = through_one.select(F.col("node_id").alias("parent"), "anchor", "steps")
+    through_one = chains(need.where("parents = 1").select("node_id", "parent", "hit"))
+    through = through_one.select(F.col("node_id").alias("parent"), "anchor", "steps", F.col("hit").alias("hot"))
     # A parent within a chain stands for the anchor above it.
     short = materialize(
         need.where("parents > 1").select(F.col("node_id").alias("child")).join(links, "child")
         .join(through, "parent", "left")
         .groupBy("child", F.coalesce("anchor", "parent").alias("parent"))
-        .agg((F.max(F.coalesce("steps", F.lit(0))) + 1).alias("weight")),
+        .agg((F.max(F.coalesce("steps", F.lit(0))) + 1).alias("weight"),
+             F.max(F.coalesce("hot", F.lit(False))).alias("hot")),
         "short-links")
     several = short.groupBy(F.col("child").alias("node_id")).agg((-F.count("*")).alias("closed"))
     none = need.where("parents = 0").select(
-        "node_id", F.lit(0).cast("long").alias("closed"), F.lit(0).alias("reach"), F.lit(0).alias("level"))
-    start = none.unionByName(several.select(
-        "node_id", "closed", F.lit(0).alias("reach"), F.lit(None).cast("int").alias("level")))
+        "node_id", F.lit(0).cast("long").alias("closed"), F.lit(0).alias("reach"), F.lit(0).alias("level"), "hit")
+    start = none.unionByName(several.join(need.select("node_id", "hit"), "node_id").select(
+        "node_id", "closed", F.lit(0).alias("reach"), F.lit(None).cast("int").alias("level"), "hit"))
     top = _peel(start, short)
-    below = through_one.join(top.withColumnRenamed("node_id", "anchor"), "anchor").select(
-        "node_id", (F.col("level") + F.col("steps")).alias("level"))
-    done = top.unionByName(below)
-    return ids.join(done, "node_id", "left").select("node_id", "level")
+    below = through_one.join(top.select(F.col("node_id").alias("anchor"), "level", F.col("hit").alias("above")), "anchor")
+    done = top.unionByName(below.select(
+        "node_id", (F.col("level") + F.col("steps")).alias("level"), (F.col("hit") | F.col("above")).alias("hit")))
+    return ids.join(done, "node_id", "left").select("node_id", "level", "hit")
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Topological level per node: ``(node_id, level)``, NULL on and below cycles; see ``sweep``.
+
+    Sorting by (level, node_id) is a topological order.
+    """
+    return sweep(nodes, edges).select("node_id", "level")
+
+
+def reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node_id`` of the nodes that are seeds or below one.
+
+    Settled in one sweep over the graph, so the rounds follow its depth without runs of single-parent
+    nodes, and each node is written once. Only nodes on or below cycles are searched from the seeds.
+    """
+    seeds = materialize(seeds.select("node_id"), "seeds")
+    swept = materialize(sweep(nodes, edges, seeds), "swept")
+    hit = swept.where("hit").select("node_id")
+    stuck = swept.where("level IS NULL").select("node_id")
+    if stuck.isEmpty():
+        return hit
+    into = edges.join(stuck.withColumnRenamed("node_id", "child"), "child", "left_semi")
+    first = seeds.join(stuck, "node_id", "left_semi").union(
+        into.join(hit.withColumnRenamed("node_id", "parent"), "parent", "left_semi").select("child"))
+    return hit.union(reachable(into, first))
 
 
 def require_acyclic(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None = None) -> None:

@@ -90,6 +90,46 @@ def split_statements(sql: str) -> list[str]:
     return [piece for piece in pieces if piece]
 
 
+_SPOTS = "flatten(flatten(({g}).parts))"
+_POINTS = (f"CASE WHEN ({{g}}) IS NULL THEN NULL WHEN ({{g}}).kind IN ('Point', 'MultiPoint') THEN {_SPOTS}"
+           " ELSE raise_error('a union of points holds a ' || ({g}).kind) END")
+# Aggregates over geometries, as built-in ones with partial results. A union holds points only.
+AGGREGATES = {
+    "st_union": (
+        "CASE WHEN count({g}) = 0 THEN NULL WHEN min(({g}).srid) <> max(({g}).srid)"
+        " THEN raise_error('a union holds several SRIDs') ELSE named_struct('srid', min(({g}).srid), 'kind',"
+        f" 'MultiPoint', 'parts', transform(array_sort(array_distinct(flatten(collect_set({_POINTS})))),"
+        " v -> array(array(v)))) END"),
+    "st_extent": "named_struct(" + ", ".join(
+        f"'{axis}{end}', {end}(array_{end}(transform({_SPOTS}, v -> v.{axis})))"
+        for end in ("min", "max") for axis in "xy") + ")",
+}
+
+
+def expand_aggregates(statement: str) -> str:
+    """Write calls of ``AGGREGATES`` out; names in quotes and comments stay."""
+    tokens = re.compile(r"""(?is)'(?:[^'\\]|\\.|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|[()]|\b(st_union|st_extent)\s*\(""")
+    at, found = 0, None
+    while True:
+        depth, opened = 0, None
+        for token in tokens.finditer(statement, at):
+            if token.group(1) and opened is None:
+                opened, depth = token, 1
+            elif token.group() == "(" or token.group(1):
+                depth += opened is not None
+            elif token.group() == ")" and opened is not None:
+                depth -= 1
+                if depth == 0:
+                    found = opened.start(), opened.group(1).lower(), statement[opened.end():token.start()], token.end()
+                    break
+        else:
+            return statement
+        begin, name, argument, end = found
+        # The SRID of extents plays no part.
+        body = AGGREGATES[name].replace("{g}", expand_aggregates(argument).strip())
+        statement, at = statement[:begin] + body + statement[end:], begin + len(body)
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     """Temporary table: a temp view over a written copy, fixed at this moment."""
     copy = materialize(df, "temp-table")
@@ -103,12 +143,12 @@ def run_script(spark: SparkSession, sql: str) -> DataFrame | None:
     ``BEGIN ... END`` blocks run natively.  ``CREATE TEMP TABLE ... AS`` becomes a
     snapshot.  ``begin`` and ``commit`` have no effect, since Spark publishes each
     statement on its own; ``rollback`` raises.  ``UPDATE`` rewrites its table, see
-    ``update_table``.  Returns the result of the last statement.
+    ``update_table``.  ``st_union`` and ``st_extent`` aggregate geometries.  Returns the result of the last statement.
     """
     if _BLOCK.match(sql):
-        return spark.sql(sql)
+        return spark.sql(expand_aggregates(sql))
     result = None
-    for statement in split_statements(sql):
+    for statement in map(expand_aggregates, split_statements(sql)):
         temp = _TEMP_TABLE.match(statement)
         if temp:
             result = snapshot(spark.sql(temp.group(2)), temp.group(1).strip('"'))

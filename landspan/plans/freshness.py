@@ -28,7 +28,7 @@ def outdated(nodes: DataFrame, edges: DataFrame, journal: DataFrame) -> DataFram
     Journal rows of nodes that left the graph take no part.
     """
     done = manifest(journal).join(nodes.select("node_id").distinct(), "node_id", "left_semi")
-    return graph.reachable(edges, outdated_seeds(nodes, edges, done))
+    return graph.reached(nodes, edges, outdated_seeds(nodes, edges, done))
 
 
 def worklist(

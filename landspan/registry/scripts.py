@@ -1,5 +1,8 @@
 """Queries over SQL scripts and the statement forms they use."""
 
+from pyspark.sql import functions as F
+
+from landspan.functions import geometry as geo
 from landspan.functions.geometry import register_functions
 from landspan.operators import transforms
 from landspan.plans import derived
@@ -50,6 +53,23 @@ def e_cte(spark, folder):
         select n_name, customers from ranked join {nation} on n_nationkey = c_nationkey""")
 
 
+def e_union_script(spark, folder):
+    """The union and the box of the points of each nation, as a script asks for them."""
+    points = derived.customer_points(table(spark, folder, "customer"))
+    v = geo.first_vertex("geom")
+    points.withColumn("geom", geo.point(F.floor(v["x"] / 4), F.floor(v["y"] / 4), srid=4326)).createOrReplaceTempView(
+        "coarse_points")
+    rows = _run(spark, folder, "union", """
+        create temp table merged as
+            select c_nationkey, ST_Union(geom) as geom, count(*) as members, -- not st_union(this)
+                st_extent( geom ) as box, 'st_extent(x)' as note
+            from coarse_points group by c_nationkey;
+        select c_nationkey, geom, members, box, note from merged""")
+    spots = F.transform(geo.vertices("geom"), lambda p: F.concat_ws(" ", p["x"].cast("int"), p["y"].cast("int")))
+    return rows.select("c_nationkey", F.col("geom.kind").alias("kind"), F.col("geom.srid").alias("srid"), "members",
+                       F.array_join(spots, ",").alias("spots"), "box.xmin", "box.ymin", "box.xmax", "box.ymax", "note")
+
+
 def e_insert_select(spark, folder):
     return _run(spark, folder, "insert", """
         create table {s}.prices (id bigint, price double, note string) using parquet;
@@ -122,11 +142,19 @@ def e_drop_alter(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    e_script, e_block, e_ctas, e_cte, e_insert_select, e_counts, e_functions,
+    e_script, e_block, e_ctas, e_cte, e_insert_select, e_union_script, e_counts, e_functions,
     e_spatial_functions, e_update_from, e_update_script, e_drop_alter,
 )}
 
 ORACLES = {
+    "e_union_script": """WITH pts AS (SELECT c_nationkey,
+            CAST(floor((-180.0::DOUBLE + (c_custkey * 37 % 36000) / 100.0::DOUBLE) / 4) AS INTEGER) AS x,
+            CAST(floor((-80.0::DOUBLE + (c_custkey * 53 % 16000) / 100.0::DOUBLE) / 4) AS INTEGER) AS y FROM customer),
+        spots AS (SELECT DISTINCT c_nationkey, x, y FROM pts),
+        joined AS (SELECT c_nationkey, string_agg(x || ' ' || y, ',' ORDER BY x, y) AS spots FROM spots GROUP BY 1)
+        SELECT c_nationkey, 'MultiPoint' AS kind, 4326 AS srid, count(*) AS members, any_value(spots) AS spots,
+            min(x)::DOUBLE AS xmin, min(y)::DOUBLE AS ymin, max(x)::DOUBLE AS xmax, max(y)::DOUBLE AS ymax,
+            'st_extent(x)' AS note FROM pts JOIN joined USING (c_nationkey) GROUP BY 1""",
     "e_script": """SELECT c_nationkey, 'a;b' AS tag, count(*) AS orders FROM orders
         JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 200000 GROUP BY 1""",
     "e_block": "SELECT o_custkey, count(*) AS orders FROM orders WHERE o_totalprice > 300000 GROUP BY 1",

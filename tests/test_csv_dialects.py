@@ -24,8 +24,9 @@ def written(rows, separator=",", quote='"', end="\n", always=False):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("range_bytes", [2, 30, 500, 1 << 20])
-@pytest.mark.parametrize("separator, quote, end, always", [(",", '"', "\n", False), (";", "'", "\r\n", True)])
+@pytest.mark.parametrize("range_bytes, separator, quote, end, always", [
+    (2, ",", '"', "\n", False), (30, ";", "'", "\r\n", True), (500, ",", '"', "\n", False),
+    (1 << 20, ";", "'", "\r\n", True)])
 def test_records_do_not_depend_on_ranges(spark, tmp_path, monkeypatch, range_bytes, separator, quote, end, always):
     monkeypatch.setattr(csv_records, "AHEAD_BYTES", 5)
     monkeypatch.setattr(files, "MAX_TASKS", 4)

@@ -3,6 +3,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from landspan.operators import transforms
 
@@ -53,3 +54,32 @@ def test_update(spark, stock, clauses, want):
 def test_unknown_column(spark, stock, clauses):
     with pytest.raises(ValueError):
         transforms.run_script(spark, f"update {stock} {clauses}")
+
+
+def test_aggregates_are_written_out_only_where_they_are_called():
+    body = transforms.expand_aggregates("select ST_Extent( f(a, ')') ) from t -- st_extent(b)\nwhere x = 'st_union(c)'")
+    assert body.count("st_extent(") == 1 and "'st_union(c)'" in body and "(f(a, ')')).parts" in body
+    assert transforms.expand_aggregates("select my_st_union(a), st_union from t") == "select my_st_union(a), st_union from t"
+    twice = transforms.expand_aggregates("select st_union(a), st_extent(a) from t")
+    assert "st_union(" not in twice and "st_extent(" not in twice and twice.endswith("from t")
+
+
+def test_union_in_a_script(spark):
+    from landspan.functions import geometry as geo
+
+    rows = [(1, 1.0, 2.0, 4326), (1, 1.0, 2.0, 4326), (1, 0.0, 5.0, 4326), (2, None, None, 4326)]
+    spots = spark.createDataFrame(rows, "k int, x double, y double, srid int")
+    shape = F.when(F.col("x").isNotNull(), geo.point(F.col("x"), F.col("y"), srid=F.col("srid")))
+    spots.withColumn("g", shape).createOrReplaceTempView("spots")
+    got = {r.k: r for r in transforms.run_script(
+        spark, "select k, st_union(g) as u, st_extent(g) as box from spots group by k").collect()}
+    assert [tuple(p[0][0])[:2] for p in got[1].u.parts] == [(0.0, 5.0), (1.0, 2.0)]
+    assert got[1].u.kind == "MultiPoint" and tuple(got[1].box) == (0.0, 2.0, 1.0, 5.0)
+    assert got[2].u is None and got[2].box.xmin is None
+    spark.sql("select 1 as k, named_struct('srid', 0, 'kind', 'Polygon', 'parts', g.parts) as g from spots"
+              ).createOrReplaceTempView("areas")
+    with pytest.raises(Exception, match="a union of points holds a Polygon"):
+        transforms.run_script(spark, "select st_union(g) from areas").collect()
+    spots.withColumn("g", geo.point(F.col("k"), F.col("k"), srid=F.col("k"))).createOrReplaceTempView("mixed")
+    with pytest.raises(Exception, match="several SRIDs"):
+        transforms.run_script(spark, "select st_union(g) from mixed").collect()
