@@ -51,6 +51,8 @@ class EsriSource:
     epsg: int | str | None = None
     pk: str | None = None
     fetch: Callable[[str], str] | None = None
+    # Attribute with the service's object ids; pages are then ranges of it.
+    id_field: str | None = None
 
 
 @dataclass(frozen=True)
@@ -66,11 +68,12 @@ class WFSSource:
 
 @dataclass(frozen=True)
 class FileSource:
-    """Vector file, chosen by its suffix."""
+    """Shapefile, or a folder of them."""
 
     path: str
     epsg: int | str | None = None
     pk: str | None = None
+    encoding: str = "utf-8"
 
 
 @dataclass(frozen=True)
@@ -139,7 +142,7 @@ def read(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
             return columns.launder(columns.rename_geometry(df, dest.geom_column))
         case EsriSource():
             if source.fetch is not None:
-                df = features.fetch_features(spark, source.url, source.fetch, source.f)
+                df = features.fetch_features(spark, source.url, source.fetch, source.f, id_field=source.id_field)
             else:
                 df = features.parse_pages(features.saved_pages(spark, source.url), source.f)
             return _vector(df, source, dest, multi=True)
@@ -150,9 +153,9 @@ def read(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
                 df = wfs.read_wfs(spark, source.url, source.layer)
             return _vector(df, source, dest, multi=False)
         case FileSource():
-            if PurePosixPath(source.path).suffix.lower() != ".shp":
+            if PurePosixPath(source.path).suffix.lower() not in (".shp", ""):
                 raise NotImplementedError(f"no reader for {source.path}")
-            return _vector(shapefile.read_shapefile(spark, source.path), source, dest, multi=True)
+            return _vector(shapefile.read_shapefile(spark, source.path, source.encoding), source, dest, multi=True)
         case RasterSource():
             if dest.tile_size is None:
                 raise ValueError("a raster load needs a tile size")

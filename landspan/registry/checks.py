@@ -61,12 +61,15 @@ def d_replace(spark, folder):
 
 
 def d_index_geometry(spark, folder):
-    """Index a geometry column twice: the second time finds it done."""
+    """Index a geometry column twice, the second time finds it done; all rows, and whether they meet a box."""
     name = f"{scratch_schema(spark, 'index')}.parts"
     tables.replace_table(derived.part_rectangles(table(spark, folder, "part")), name)
     done = [tables.index_geometry(spark, name, "geom") for _ in range(2)]
-    rows = layout.in_box(published(spark, name), (0.0, 0.0, 5_000.0, 5_000.0))
-    return rows.select("p_partkey", *layout.BOX, F.lit(",".join(map(str, done))).alias("built"))
+    rows = published(spark, name)
+    found = layout.in_box(rows, (0.0, 0.0, 5_000.0, 5_000.0)).select("p_partkey", F.lit(True).alias("meets"))
+    return rows.join(found, "p_partkey", "left").select(
+        "p_partkey", *layout.BOX, F.coalesce("meets", F.lit(False)).alias("meets"),
+        F.lit(",".join(map(str, done))).alias("built"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -92,6 +95,7 @@ ORACLES = {
     "d_replace": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000",
     "d_index_geometry": """WITH rects AS (SELECT p_partkey, (p_partkey % 1000) * 100.0::DOUBLE AS xmin,
             (p_partkey // 1000) * 100.0::DOUBLE AS ymin, p_size AS w, p_partkey % 7 + 1 AS h FROM part)
-        SELECT p_partkey, xmin, ymin, xmin + w AS xmax, ymin + h AS ymax, 'True,False' AS built
-        FROM rects WHERE xmin <= 5000 AND ymin <= 5000""",
+        SELECT p_partkey, xmin, ymin, xmin + w AS xmax, ymin + h AS ymax,
+            xmin <= 5000 AND ymin <= 5000 AND xmin + w >= 0 AND ymin + h >= 0 AS meets, 'True,False' AS built
+        FROM rects""",
 }

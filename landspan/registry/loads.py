@@ -305,8 +305,8 @@ ORACLES = {
             min(pixel_type) = max(pixel_type) AS type_holds, min(pixel_type) AS pixel_type,
             CASE WHEN count(*) > count(nodata) THEN count(nodata) = 0 ELSE min(nodata) = max(nodata) END AS nodata_holds,
             min(nodata) AS nodata,
-            count(DISTINCT px - floor(px)) = 1 AS x_holds, min(px - floor(px)) * 1000 AS x,
-            count(DISTINCT py - floor(py)) = 1 AS y_holds, min(py - floor(py)) * 1000 AS y,
+            count(DISTINCT px - floor(px)) = 1 AS x_holds, round(min(px - floor(px)) * 1000) AS x,
+            count(DISTINCT py - floor(py)) = 1 AS y_holds, round(min(py - floor(py)) * 1000) AS y,
             min(xmin) || ' ' || min(ymin) || ' ' || max(xmax) || ' ' || max(ymax) AS box
             FROM placed GROUP BY variant),
         facts AS (FROM agreed JOIN summed USING (variant) JOIN small USING (variant))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,9 +61,15 @@ def saved_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def fetch_features(
     spark: SparkSession, url: str, fetch: Callable[[str], str], kind: str = GEOJSON,
-    page_size: int = 1000,
+    page_size: int = 1000, id_field: str | None = None,
 ) -> DataFrame:
-    """All rows and fields of a service layer, page by page."""
+    """All rows and fields of a service layer, page by page.
+
+    With ``id_field``, pages are ranges of object ids instead of offsets: rows that come or go while pages
+    are read move no other row to another page.
+    """
+    if id_field:
+        return parse_pages(_pages_by_id(spark, url, fetch, kind, page_size, id_field), kind)
     query = f"{url}/query?where=1=1"
     total = int(json.loads(fetch(f"{query}&returnCountOnly=true&f=json"))["count"])
 
@@ -78,6 +85,51 @@ def fetch_features(
     return parse_pages(pages, kind)
 
 
+def _pages_by_id(
+    spark: SparkSession, url: str, fetch: Callable[[str], str], kind: str, page_size: int, field: str
+) -> DataFrame:
+    """Landed pages of all rows that had an id when the reading began.
+
+    The ids from the least to the greatest are dealt in ranges, about a page of rows each. A task reads its
+    range from one id to the next until nothing follows, whatever the service gives at once and however
+    ids are spread. Rows that were there before and after must have been read.
+    """
+    def asked(where: str, rest: str) -> str:
+        return fetch(f"{url}/query?where={quote(where)}&{rest}")
+
+    def counted(where: str) -> int:
+        return int(json.loads(asked(where, "returnCountOnly=true&f=json"))["count"])
+
+    total = counted("1=1")
+    ends = json.dumps([{"statisticType": s, "onStatisticField": field, "outStatisticFieldName": s} for s in ("min", "max")])
+    found = json.loads(asked("1=1", f"outStatistics={quote(ends)}&f=json"))["features"] if total else []
+    if not found:
+        return spark.createDataFrame([], "text string")
+    low, high = (int(found[0]["attributes"][s]) for s in ("min", "max"))
+    ranges = min(-(-total // page_size), high - low + 1)
+    width = -(-(high - low + 1) // ranges)
+
+    def pull(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number in frame["id"]:
+                last, stop = low + int(number) * width - 1, min(low + (int(number) + 1) * width - 1, high)
+                while last < stop:
+                    text = asked(f"{field} > {last} AND {field} <= {stop}",
+                                 f"outFields=*&orderByFields={quote(field + ' ASC')}&resultRecordCount={page_size}&f={kind}")
+                    rows = json.loads(text)["features"]
+                    if not rows:
+                        break
+                    yield pd.DataFrame({"text": [text], "got": [len(rows)]})
+                    last = max(int((row.get("attributes") or row["properties"])[field]) for row in rows)
+
+    numbers = spark.range(0, ranges, 1, max(1, min(ranges, MAX_TASKS)))
+    pages = materialize(numbers.mapInPandas(pull, "text string, got long"), "pages")
+    got, after = pages.agg(F.sum("got")).first()[0] or 0, counted(f"{field} <= {high}")
+    if got < min(total, after):
+        raise ValueError(f"{url} counts {min(total, after)} features but its pages hold {got}")
+    return pages.select("text")
+
+
 def _spark_type(variant_type: str) -> str:
     """DDL of a schema found in variant values; decimals become doubles."""
     ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", variant_type)

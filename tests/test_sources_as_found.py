@@ -3,6 +3,8 @@
 import json
 import re
 
+from urllib.parse import parse_qs, urlparse
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,24 @@ def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
     rows = csv.read_csv(spark, str(tmp_path / "a.csv"), separator=";", multi_line=True,
                         encoding="iso-8859-1").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "x")]
+
+
+def test_pages_by_id_lose_nothing_when_the_layer_changes(spark, tmp_path):
+    """Each request sees the layer with other rows deleted and inserted; ids have gaps."""
+    ids = [3 * i + 5 for i in range(40)] + [100_000 + i for i in range(10)]
+
+    def fetch(url):
+        query = {k: v[0] for k, v in parse_qs(urlparse(url).query).items()}
+        late = [n for n in range(5, 20) if n not in ids]  # come while pages are read
+        if "returnCountOnly" in query:
+            return json.dumps({"count": len(ids)})
+        if "outStatistics" in query:
+            return json.dumps({"features": [{"attributes": {"min": ids[0], "max": ids[-1]}}]})
+        after, upto = map(int, re.findall(r"\d+", query["where"]))
+        rows = sorted(n for n in [*ids, *late] if after < n <= upto)[:min(int(query["resultRecordCount"]), 4)]
+        return json.dumps({"features": [{"type": "Feature", "properties": {"OID": n, "late": n in late},
+                                         "geometry": {"type": "Point", "coordinates": [n, 0]}} for n in rows]})
+
+    got = features.fetch_features(spark, "https://example.org/layer/0", fetch, page_size=6, id_field="OID").collect()
+    assert sorted(r["OID"] for r in got if not r["late"]) == ids
+    assert len(got) == len({r["OID"] for r in got})
