@@ -78,6 +78,54 @@ def cluster(
     )
 
 
+def interleaved(cells: list[Column], bits: int) -> Column:
+    """One key of the bits of several cells in turn, the lowest bits first."""
+    out = F.lit(0).cast("long")
+    for bit in range(bits):
+        for place, cell in enumerate(cells):
+            one = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long"))
+            out = out.bitwiseOR(F.shiftleft(one, bit * len(cells) + place))
+    return out
+
+
+def cluster_columns(df: DataFrame, frames: dict[str, tuple[float, float, float, float]], key: str) -> DataFrame:
+    """Range-partition and sort rows along one curve through the box centres of several geometries.
+
+    frames: extent by the prefix of the bounds. The bits of all sides take turns in the key, so a box of any
+    of the geometries skips data, the less the more there are. A NULL geometry counts as the corner.
+    """
+    bits = min(31, 62 // (2 * len(frames)))
+    cells = []
+    for prefix, (xmin, ymin, xmax, ymax) in frames.items():
+        for low, high, a, b in ((xmin, xmax, "xmin", "xmax"), (ymin, ymax, "ymin", "ymax")):
+            centre = (F.col(f"{prefix}{a}") + F.col(f"{prefix}{b}")) / 2
+            share = (centre - low) / (high - low) if high > low else F.lit(0.0)
+            share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0))))
+            cells.append(F.floor(share * ((1 << bits) - 1)).cast("long"))
+    keyed = df.withColumn(key, interleaved(cells, bits)).withColumn("__tie", F.monotonically_increasing_id())
+    return keyed.repartitionByRange(key, "__tie").sortWithinPartitions(key).drop("__tie")
+
+
+def lay_out(df: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """Rows with the bounds of some geometry columns, along a curve through them; the layout's marker."""
+    prefixes, boxed = [], df
+    for column in columns:
+        # Several columns always have their names in front.
+        prefix = prefix_for(boxed.columns, column) if len(columns) == 1 else f"{column}_"
+        while any(f"{prefix}{n}" in boxed.columns for n in (*BOX, "morton")):
+            prefix = f"{column}_{prefix}"
+        prefixes.append(prefix)
+        boxed = add_bounds(boxed, column, prefix)
+    if len(columns) == 1:
+        return cluster(boxed, frame_of(boxed, prefixes[0]), prefixes[0]), marker(columns[0], prefixes[0])
+    key = "curve"
+    while key in boxed.columns:
+        key = f"_{key}"
+    frames = {prefix: frame_of(boxed, prefix) for prefix in prefixes}
+    places = ",".join(f"{column}={prefix}" for column, prefix in zip(columns, prefixes))
+    return cluster_columns(boxed, frames, key), f"{places}:{key}"
+
+
 def layout_of(spark: SparkSession, table: str) -> str | None:
     """Value of the layout property of a table, None when it has no layout."""
     rows = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()

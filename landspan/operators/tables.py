@@ -90,6 +90,27 @@ def index_geometry(spark: SparkSession, table: str, column: str) -> bool:
     return True
 
 
+def index_geometries(spark: SparkSession, table: str, columns: list[str]) -> bool:
+    """Lay a table out along several geometry columns at once; False when that was already done.
+
+    Each gets its bounds, with its name in front, and a box of any of them skips data.
+    """
+    rows = spark.table(sql_name(table))
+    done = layout.layout_of(spark, sql_name(table)) or ""
+    places, _, key = done.rpartition(":")
+    if "=" in places:
+        known = dict(pair.split("=") for pair in places.split(","))
+        if set(known) == set(columns):
+            return False
+        rows = rows.drop(key, *[f"{prefix}{n}" for prefix in known.values() for n in layout.BOX])
+    elif done:
+        prefix = key.removesuffix("morton")
+        rows = rows.drop(*[f"{prefix}{n}" for n in (*layout.BOX, "morton")])
+    clustered, mark = layout.lay_out(rows, columns)
+    replace_table(clustered, table, {layout.LAYOUT_PROPERTY: mark})
+    return True
+
+
 def init_journal(spark: SparkSession, table: str) -> None:
     """Create the journal table if it is missing."""
     ensure_schemas(spark, [split_name(table)[0]])

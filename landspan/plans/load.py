@@ -184,8 +184,6 @@ def load(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
     spark.sql(f"DROP TABLE IF EXISTS {tables.sql_name(staged)}")
     is_raster = isinstance(source, RasterSource)
     indexed = geo.geometry_columns(df) if dest.geom_index else []
-    if len(indexed) > 1:
-        raise ValueError(f"a table has one spatial layout, not one for each of {indexed}")
     if indexed or (is_raster and dest.raster_index):
         rows = materialize(df, "load")
     else:
@@ -200,12 +198,12 @@ def load(spark: SparkSession, source: Source, dest: Destination) -> DataFrame:
         checks.require_raster_constraints(tiles)
     properties = {}
     if indexed or (is_raster and dest.raster_index):
-        column = dest.raster_column if is_raster else indexed[0]
-        prefix = "" if is_raster else layout.prefix_for(rows.columns, column)
-        boxed = rows if is_raster else layout.add_bounds(rows, column, prefix)
-        laid_out = layout.cluster(boxed, layout.frame_of(boxed, prefix), prefix)
+        if is_raster:
+            laid_out, mark = layout.cluster(rows, layout.frame_of(rows)), layout.marker(dest.raster_column)
+        else:
+            laid_out, mark = layout.lay_out(rows, indexed)
         _packed(laid_out, dest, is_raster).write.saveAsTable(tables.sql_name(staged))
-        properties = {layout.LAYOUT_PROPERTY: layout.marker(column, prefix)}
+        properties = {layout.LAYOUT_PROPERTY: mark}
     tables.publish(spark, staged, dest.table, properties)
     for column, value in duckdb.declared(df, duckdb.DEFAULT).items():
         columns.set_default(spark, dest.table, column, str(value))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from landspan.functions import geometry as geo
 from landspan.operators import checks, columns, layout, tables
 from landspan.plans import derived
 from landspan.plans.derived import table
@@ -72,9 +73,26 @@ def d_index_geometry(spark, folder):
         F.lit(",".join(map(str, done))).alias("built"))
 
 
+def d_index_geometries(spark, folder):
+    """Two geometry columns under one layout: all rows, and whether they meet a box of either."""
+    name = f"{scratch_schema(spark, 'index')}.labelled"
+    k = F.col("p_partkey")
+    parts = derived.part_rectangles(table(spark, folder, "part")).select(
+        "p_partkey", "geom", F.when(k % 10 > 0, geo.point((k * 7919 % 10007).cast("double"), -(k % 97))).alias("label"))
+    tables.replace_table(parts, name)
+    done = [tables.index_geometries(spark, name, ["geom", "label"]) for _ in range(2)]
+    rows = published(spark, name)
+    near = layout.in_box(rows, (0.0, 0.0, 5_000.0, 5_000.0), "geom_").select("p_partkey", F.lit(True).alias("in_geom"))
+    far = layout.in_box(rows, (0.0, -50.0, 3_000.0, -10.0), "label_").select("p_partkey", F.lit(True).alias("in_label"))
+    return rows.join(near, "p_partkey", "left").join(far, "p_partkey", "left").select(
+        "p_partkey", "geom_xmin", "geom_ymax", "label_xmin", "label_ymax",
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_geom", "in_label")],
+        F.lit(",".join(map(str, done))).alias("built"))
+
+
 QUERIES = {f.__name__: f for f in (
     b_gid, b_gid_file_order, b_default, c_not_null, c_primary_key, c_primary_key_composite,
-    d_replace, d_index_geometry,
+    d_replace, d_index_geometry, d_index_geometries,
 )}
 
 ORACLES = {
@@ -93,6 +111,13 @@ ORACLES = {
     "c_primary_key_composite": """SELECT l_orderkey, l_linenumber, count(*) AS copies
         FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
     "d_replace": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000",
+    "d_index_geometries": """WITH rects AS (SELECT p_partkey, (p_partkey % 1000) * 100.0::DOUBLE AS x,
+            (p_partkey // 1000) * 100.0::DOUBLE AS y, p_size AS w, p_partkey % 7 + 1 AS h,
+            CASE WHEN p_partkey % 10 > 0 THEN (p_partkey * 7919 % 10007)::DOUBLE END AS lx,
+            CASE WHEN p_partkey % 10 > 0 THEN -(p_partkey % 97)::DOUBLE END AS ly FROM part)
+        SELECT p_partkey, x AS geom_xmin, y + h AS geom_ymax, lx AS label_xmin, ly AS label_ymax,
+            x <= 5000 AND y <= 5000 AS in_geom, coalesce(lx BETWEEN 0 AND 3000 AND ly BETWEEN -50 AND -10, false) AS in_label,
+            'True,False' AS built FROM rects""",
     "d_index_geometry": """WITH rects AS (SELECT p_partkey, (p_partkey % 1000) * 100.0::DOUBLE AS xmin,
             (p_partkey // 1000) * 100.0::DOUBLE AS ymin, p_size AS w, p_partkey % 7 + 1 AS h FROM part)
         SELECT p_partkey, xmin, ymin, xmin + w AS xmax, ymin + h AS ymax,
