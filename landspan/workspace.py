@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -27,7 +28,30 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared root; never reused."""
-    return f"{shared_root(spark)}/landspan/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/landspan/{label}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+# Paths given out while `settled` waits for its frame.
+_OPEN: list[list[str]] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Write the frame that ``make`` returns, and delete what was written on the way to it."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        frame = make()
+    finally:
+        _OPEN.remove(paths)
+    out = materialize(frame, label)
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
