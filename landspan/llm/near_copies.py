@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from landspan.llm import simhash
 from landspan.llm.components import components
 from landspan.llm.tables import BATCH_ROWS
-from landspan.workspace import materialize
+from landspan.workspace import materialize, settled
 
 SHINGLE = 5
 # Part of the union, in tenths.
@@ -249,7 +249,14 @@ def _alike(rows: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, bits, root (a fingerprint of the component) per document row."""
+    """doc_id, bits, root (a fingerprint of the component) per document row, written.
+
+    What was written on the way is deleted, so the next stage has the disk for itself.
+    """
+    return settled(docs.sparkSession, lambda: _near_copies(docs), "near-roots")
+
+
+def _near_copies(docs: DataFrame) -> DataFrame:
     n_rows = docs.count()
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, n_rows))
     rows = materialize(_rows(docs, common, max(COMMON, int(HOT_SHARE * min(n_rows, SAMPLE)))), "near-rows")

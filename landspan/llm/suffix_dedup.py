@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from landspan.llm.hashing import Roller
 from landspan.llm.tables import BATCH_ROWS, row_key
-from landspan.workspace import materialize
+from landspan.workspace import materialize, settled
 
 WIDTH = 200
 ZONE = 128
@@ -455,9 +455,9 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH, zone: int = ZONE,
         return pa.array(["".join(p.decode("utf-8", "ignore") for p in _kept(t.as_py(), s, width)[0])
                          if t.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
 
-    spans = _spans_of_rows(docs, width, zone, max_group, hot_rows).select(
+    spans = settled(docs.sparkSession, lambda: _spans_of_rows(docs, width, zone, max_group, hot_rows).select(
         F.col("key_id").alias("_span_id"), F.col("key_tag").alias("_span_tag"),
-        F.col("found").alias("_span_found"))
+        F.col("found").alias("_span_found")), "repeat-spans")
     key_id, key_tag = row_key()
     joined = docs.join(spans, (key_id == spans["_span_id"]) & (key_tag == spans["_span_tag"]), "left")
     text = shorten(F.col("text").cast("binary"), "_span_found")
