@@ -368,6 +368,43 @@ def test_chat_events(spark):
     assert got == [(1, "user", "Hi"), (2, "assistant", "Right"), (3, "user", "")]
 
 
+def test_chat_events_delivered_twice(spark):
+    events = [(1, 1, "delta", 1, "user", "Hel"), (1, 2, "delta", 1, "user", "lo"), (1, 3, "delta", 1, "user", "lo")]
+    log = spark.createDataFrame(events + events[:2], "conv_id long, seq long, kind string, message_id long, role string,"
+                                " text string")
+    assert [r.text for r in chat.reconstruct(log).collect()] == ["Hellolo"]
+
+
+def test_chat_query_folds_events(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([*HOSTILE, None, "a", "héé"]))
+            for c in [1, 2, None] for t in [None, 0, 1, 2, 2, 70]]
+    rows += rows[:4]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    seen, fold = [], chat.reconstruct
+    monkeypatch.setattr(chat, "reconstruct", lambda events: seen.append(events) or fold(events))
+    got = {r.conv_id: r for r in chat.op9_chat_format(spark, str(tmp_path)).collect()}
+    kinds = {r["kind"]: r["count"] for r in seen[0].groupBy("kind").count().collect()}
+    assert set(kinds) == {"delta", "edit", "regenerate", "delete"} and kinds["delete"] == len(rows) + 2
+    own = {c: sorted((t if t is not None else -1, role or "", text or "") for i, t, role, text in rows if i == c)
+           for c in [1, 2, None]}
+    for conv, said in own.items():
+        trained = "".join(text for _, role, text in said if role == "assistant")
+        assert got[conv].n_turns == len(said)
+        assert got[conv].turns_sha256 == brute.sha("".join(f"{role}\n{text}\n" for _, role, text in said))
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(trained), brute.sha(trained))
+    assert got[-1].n_turns == 2
+
+
+def test_chat_roles_come_back(spark):
+    roles = ["a\0\1b", "\\n", "\\\\n", "\n\\\n", "\\\n\\n", "<\\|im_end|>", "\x00\x01n", "x\\"]
+    log = spark.createDataFrame([(i, 0, role, "t") for i, role in enumerate(roles)],
+                                "conv_id long, seq long, role string, text string")
+    got = chat.read_back(chat.render(log)).orderBy("conv_id").select("turns.role").collect()
+    assert [r.role for r in got] == [[role] for role in roles]
+
+
 def test_licenses(spark, rows):
     texts = [
         "Under the MIT license under the mit-license", "x\nLicensed under the Apache License, Version 2.0.",
