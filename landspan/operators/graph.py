@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.operators.recursion import recursive_union
-from landspan.workspace import Rounds, materialize
+from landspan.workspace import Rounds, by_rows, materialize
 
 OBJECT = ["schema", "name", "type"]
-# Rounds after which settled nodes are left behind, and after which the end is looked for.
-COMPACT, LOOK = 8, 4
+# Rounds after which settled nodes are left behind.
+COMPACT = 8
 
 
 def duplicate_nodes(nodes: DataFrame) -> DataFrame:
@@ -73,9 +73,11 @@ def chains(single: DataFrame) -> DataFrame:
     says whether some node from here up to below the anchor has it.
     """
     hit = F.col("hit") if "hit" in single.columns else F.lit(False)
+    single = materialize(single, "single-parents")
+    rows = single.count()
     names = single.select(F.col("node_id").alias("anchor"), F.lit(True).alias("more"))
     runs = materialize(
-        single.withColumnRenamed("parent", "anchor").join(names, "anchor", "left").select(
+        single.withColumnRenamed("parent", "anchor").join(by_rows(names, rows), "anchor", "left").select(
             "node_id", "anchor", F.lit(1).alias("steps"), F.coalesce("more", F.lit(False)).alias("open"),
             hit.alias("hit")),
         "chains")
@@ -84,7 +86,7 @@ def chains(single: DataFrame) -> DataFrame:
         reach = runs.select(F.col("node_id").alias("anchor"), F.col("anchor").alias("far"),
                               F.col("steps").alias("far_steps"), F.col("open").alias("far_open"),
                               F.col("hit").alias("far_hit"))
-        jumped = runs.where("open").join(reach, "anchor").select(
+        jumped = runs.where("open").join(by_rows(reach, rows), "anchor").select(
             "node_id", F.col("far").alias("anchor"), (F.col("steps") + F.col("far_steps")).alias("steps"),
             F.col("far_open").alias("open"), (F.col("hit") | F.col("far_hit")).alias("hit"))
         runs = materialize(runs.where("NOT open").unionByName(jumped), "chains")
@@ -108,18 +110,20 @@ def _peel(start: DataFrame, links: DataFrame) -> DataFrame:
         seen = Rounds(spark, "open-nodes", start.schema)
         opened = seen.append(start)
         frontier = opened.where("level IS NOT NULL") if frontier is None else frontier
-        for done in range(COMPACT):
-            # A round with nothing to settle is harmless and costs little more than the look.
-            if done % LOOK == 0 and frontier.isEmpty():
+        for _ in range(COMPACT):
+            if not (rows := frontier.count()):
                 settled.append(seen.all().where("level IS NOT NULL"))
                 return settled.all()
             parents = frontier.select(F.col("node_id").alias("parent"), "level", "hit")
-            touched = links.join(parents, "parent").groupBy(F.col("child").alias("node_id")).agg(
+            touched = links.join(by_rows(parents, rows), "parent").groupBy(F.col("child").alias("node_id")).agg(
                 F.count("*").alias("now"), F.max(F.col("level") + F.col("weight")).alias("best"),
                 F.max(F.col("hot") | F.col("hit")).alias("got"))
-            step = touched.join(seen.all().select("node_id", "closed", "reach", "hit"), "node_id").groupBy(
-                "node_id", "now", "best", "got").agg(
-                F.sum("closed").alias("before"), F.max("reach").alias("high"), F.max("hit").alias("own"))
+            # What is known of each node meets what it gets in an aggregation, so no table of nodes is broadcast.
+            step = seen.all().select("node_id", "closed", "reach", "hit").unionByName(
+                touched, allowMissingColumns=True).groupBy("node_id").agg(
+                F.max("now").alias("now"), F.max("best").alias("best"), F.max("got").alias("got"),
+                F.sum("closed").alias("before"), F.max("reach").alias("high"), F.max("hit").alias("own")).where(
+                "now IS NOT NULL AND before IS NOT NULL")
             reach = F.greatest("best", "high")
             frontier = seen.append(step.select(
                 "node_id", F.col("now").alias("closed"), reach.alias("reach"),
@@ -142,7 +146,8 @@ def sweep(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) ->
     """
     ids = nodes.select("node_id").distinct()
     links = materialize(edges.select("child", "parent").distinct(), "links")
-    need = ids.join(links.withColumnRenamed("child", "node_id"), "node_id", "left").groupBy("node_id").agg(
+    pairs = links.count()
+    need = ids.join(by_rows(links, pairs).withColumnRenamed("child", "node_id"), "node_id", "left").groupBy("node_id").agg(
         F.count("parent").alias("parents"), F.min("parent").alias("parent"))
     if seeds is None:
         need = need.withColumn("hit", F.lit(False))
@@ -150,12 +155,13 @@ def sweep(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) ->
         need = need.join(seeds.select("node_id", F.lit(True).alias("seed")).distinct(), "node_id", "left").select(
             "node_id", "parents", "parent", F.coalesce("seed", F.lit(False)).alias("hit"))
     need = materialize(need, "parents")
+    rows = max(need.count(), pairs)
     through_one = chains(need.where("parents = 1").select("node_id", "parent", "hit"))
     through = through_one.select(F.col("node_id").alias("parent"), "anchor", "steps", F.col("hit").alias("hot"))
     # A parent within a chain stands for the anchor above it.
     short = materialize(
-        need.where("parents > 1").select(F.col("node_id").alias("child")).join(links, "child")
-        .join(through, "parent", "left")
+        need.where("parents > 1").select(F.col("node_id").alias("child")).join(by_rows(links, pairs), "child")
+        .join(by_rows(through, rows), "parent", "left")
         .groupBy("child", F.coalesce("anchor", "parent").alias("parent"))
         .agg((F.max(F.coalesce("steps", F.lit(0))) + 1).alias("weight"),
              F.max(F.coalesce("hot", F.lit(False))).alias("hot")),
@@ -163,13 +169,14 @@ def sweep(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) ->
     several = short.groupBy(F.col("child").alias("node_id")).agg((-F.count("*")).alias("closed"))
     none = need.where("parents = 0").select(
         "node_id", F.lit(0).cast("long").alias("closed"), F.lit(0).alias("reach"), F.lit(0).alias("level"), "hit")
-    start = none.unionByName(several.join(need.select("node_id", "hit"), "node_id").select(
+    start = none.unionByName(several.join(by_rows(need.select("node_id", "hit"), rows), "node_id").select(
         "node_id", "closed", F.lit(0).alias("reach"), F.lit(None).cast("int").alias("level"), "hit"))
     top = _peel(start, short)
-    below = through_one.join(top.select(F.col("node_id").alias("anchor"), "level", F.col("hit").alias("above")), "anchor")
+    above = top.select(F.col("node_id").alias("anchor"), "level", F.col("hit").alias("above"))
+    below = through_one.join(by_rows(above, rows), "anchor")
     done = top.unionByName(below.select(
         "node_id", (F.col("level") + F.col("steps")).alias("level"), (F.col("hit") | F.col("above")).alias("hit")))
-    return ids.join(done, "node_id", "left").select("node_id", "level", "hit")
+    return ids.join(by_rows(done, rows), "node_id", "left").select("node_id", "level", "hit")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landspan.workspace import Rounds
+from landspan.workspace import Rounds, by_rows
 
 
 def recursive_union(base: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -19,9 +19,11 @@ def recursive_union(base: DataFrame, step: Callable[[DataFrame], DataFrame]) ->
     start = base.distinct()
     found = Rounds(base.sparkSession, "recursion", start.schema)
     frontier = found.append(start)
-    while not frontier.isEmpty():
-        known = found.all().alias("known")
-        fresh = step(frontier).select(start.columns).distinct().alias("fresh")
+    total = 0
+    while rows := frontier.count():
+        total += rows
+        known = by_rows(found.all(), total).alias("known")
+        fresh = step(by_rows(frontier, rows)).select(start.columns).distinct().alias("fresh")
         same = [F.col(f"fresh.`{c}`").eqNullSafe(F.col(f"known.`{c}`")) for c in start.columns]
         frontier = found.append(fresh.join(known, same, "left_anti"))
     return found.all()

@@ -73,6 +73,15 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a frame that may still be sent through the driver for a join.
+BROADCAST_ROWS = 20_000
+
+
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join in a loop, where broadcasts of each round add up: with many rows, both are shuffled."""
+    return df if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 class Rounds:
     """Rows produced by an iterative operator, one written batch per round.
 

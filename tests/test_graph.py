@@ -4,6 +4,7 @@ from graphlib import CycleError, TopologicalSorter
 import pytest
 from pyspark.sql import functions as F
 
+from landspan import workspace
 from landspan.operators import cycles, graph
 from landspan.operators.recursion import recursive_union
 from landspan.plans import freshness
@@ -72,6 +73,37 @@ def test_levels_with_chains_cycles_and_unknown_parents(spark, seed, parents, spa
     assert _levels(spark, ids + more, edges) == _brute_levels(ids + more, edges)
 
 
+def test_levels_broadcast_no_table_of_nodes(spark, monkeypatch, capsys):
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", 100)
+    joined = []
+    append = workspace.Rounds.append
+    monkeypatch.setattr(workspace.Rounds, "append", lambda self, df: joined.append(df) or append(self, df))
+    k = spark.range(1, 3001).withColumnRenamed("id", "k")
+    links = k.where("k > 3").selectExpr("cast(k as string) child", "explode(array(k div 2, k div 3)) p").selectExpr(
+        "child", "cast(p as string) parent")
+    found = graph.levels(k.selectExpr("cast(k as string) node_id"), links)
+    found.explain()
+    want = {}
+    for i in range(1, 3001):
+        want[i] = 0 if i <= 3 else 1 + max(want[i // 2], want[i // 3])
+    assert {int(r.node_id): r.level for r in found.collect()} == want
+    assert "Broadcast" not in capsys.readouterr().out
+    for df in joined:  # rounds of 100 nodes and more
+        if df.count() > 1000:
+            df.explain()
+            assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_components_with_shuffled_joins_only(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(cycles, "FINISH", 0)
+    rng = random.Random(11)
+    ids = [f"n{i}" for i in range(25)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(45)]
+    found = cycles.on_cycles(_nodes(spark, ids), spark.createDataFrame(edges, EDGES))
+    assert {r.node_id: r.component for r in found.collect()} == _brute_components(edges)
+
+
 def test_levels_of_a_long_chain(spark):
     nodes = spark.range(600).select(F.col("id").cast("string").alias("node_id"), F.lit("source").alias("kind"))
     edges = spark.range(1, 600).select(
