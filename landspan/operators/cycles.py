@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.operators import graph
-from landspan.workspace import Rounds, materialize
+from landspan.workspace import Rounds, by_rows, materialize
 
 NAMED = "node_id string, component string"
 # Nodes of a cycle that a message names.
@@ -47,9 +47,11 @@ def on_cycles(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None
         counts = left.groupBy(F.col("child").alias("node_id")).agg(
             F.count("*").alias("parents"), F.min("parent").alias("parent"))
         counts = materialize(counts, "cycle-parents")
+        rows = counts.count()
         chains = graph.chains(counts.where("parents = 1").select("node_id", "parent"))
         # Pointers that never close run in, or into, a cycle of nodes with one parent each.
-        loops = _loops(counts.join(chains.where("open"), "node_id", "left_semi").select("node_id", "parent"))
+        open_runs = by_rows(chains.where("open"), rows)
+        loops = _loops(counts.join(open_runs, "node_id", "left_semi").select("node_id", "parent"))
         several = counts.where("parents > 1")
         if several.isEmpty():
             found.append(loops)
@@ -59,7 +61,7 @@ def on_cycles(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame | None
         found.append(components)
         # A color whose owner's component is known is done with as far as it was examined.
         done = loops.select("node_id").unionByName(colored)
-        left = _between(left, _ends(left).join(done, "node_id", "left_anti"))
+        left = _between(left, _ends(left).join(by_rows(done, rows), "node_id", "left_anti"))
 
 
 def _finish(batches):
@@ -106,10 +108,12 @@ def _ends(links: DataFrame) -> DataFrame:
 
 def _between(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct edges between some nodes, written."""
+    ids = materialize(ids, "cycle-nodes")
+    some = by_rows(ids, ids.count())
     return materialize(
         edges.select("child", "parent").distinct()
-        .join(ids.withColumnRenamed("node_id", "child"), "child", "left_semi")
-        .join(ids.withColumnRenamed("node_id", "parent"), "parent", "left_semi").select("child", "parent"),
+        .join(some.withColumnRenamed("node_id", "child"), "child", "left_semi")
+        .join(some.withColumnRenamed("node_id", "parent"), "parent", "left_semi").select("child", "parent"),
         "cycle-links")
 
 
@@ -130,13 +134,14 @@ def _loops(single: DataFrame) -> DataFrame:
     """
     at = materialize(single.select("node_id", F.col("parent").alias("far"),
                                    F.least("node_id", "parent").alias("component")), "loops")
-    for _ in range(math.ceil(math.log2(max(2, at.count())))):
+    rows = at.count()
+    for _ in range(math.ceil(math.log2(max(2, rows)))):
         jump = at.select(F.col("node_id").alias("far"), F.col("far").alias("next"),
                          F.col("component").alias("beyond"))
-        at = materialize(at.join(jump, "far").select(
+        at = materialize(at.join(by_rows(jump, rows), "far").select(
             "node_id", F.col("next").alias("far"), F.least("component", "beyond").alias("component")), "loops")
     ends = at.select(F.col("far").alias("node_id")).distinct()
-    return at.join(ends, "node_id", "left_semi").select("node_id", "component")
+    return at.join(by_rows(ends, rows), "node_id", "left_semi").select("node_id", "component")
 
 
 def _by_color(links: DataFrame, anchors: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,46 +150,52 @@ def _by_color(links: DataFrame, anchors: DataFrame, chains: DataFrame) -> tuple[
     ``anchors(node_id)`` have several parents each; every other node hangs below one of them
     (``chains``), or below a cycle that is known already.
     """
+    # Every frame here is at most as large as the edges.
+    rows = links.count()
     above = chains.select(F.col("node_id").alias("parent"), "anchor")
-    short = anchors.withColumnRenamed("node_id", "child").join(links, "child").join(above, "parent", "left")
+    short = anchors.withColumnRenamed("node_id", "child").join(by_rows(links, rows), "child").join(
+        by_rows(above, rows), "parent", "left")
     short = materialize(short.select("child", F.coalesce("anchor", "parent").alias("parent")).join(
-        anchors.withColumnRenamed("node_id", "parent"), "parent", "left_semi").distinct(), "cycle-short")
+        by_rows(anchors, rows).withColumnRenamed("node_id", "parent"), "parent", "left_semi").distinct(), "cycle-short")
     color = _spread(anchors.select("node_id", F.col("node_id").alias("color")), short)
     named = color.withColumnRenamed("node_id", "child").withColumnRenamed("color", "child_color")
-    within = materialize(short.join(named, "child").join(color.withColumnRenamed("node_id", "parent"), "parent").where(
+    within = materialize(short.join(by_rows(named, rows), "child").join(
+        by_rows(color, rows).withColumnRenamed("node_id", "parent"), "parent").where(
         "color = child_color").select(F.col("parent").alias("child"), F.col("child").alias("parent"), "color"),
         "cycle-colors")
     owners = color.where("node_id = color").select("node_id")
     # Against the edges from the owner, within its color; a link to itself counts.
     reached = graph.reachable(within.select("child", "parent"), owners)
-    looped = reached.join(within.select(F.col("parent").alias("node_id")).distinct(), "node_id", "left_semi")
-    core = materialize(looped.join(color, "node_id").select("node_id", F.col("color").alias("component")), "cycle-core")
+    looped = reached.join(by_rows(within.select(F.col("parent").alias("node_id")), rows), "node_id", "left_semi")
+    core = materialize(looped.join(by_rows(color, rows), "node_id").select("node_id", F.col("color").alias("component")), "cycle-core")
     # An owner without a way back is on no cycle. Nodes that hang below a core may lie on it too: those
     # from which a way leads back into it.
-    hanging = chains.join(core.withColumnRenamed("node_id", "anchor"), "anchor").select("node_id", "component")
+    hanging = chains.join(by_rows(core, rows).withColumnRenamed("node_id", "anchor"), "anchor").select("node_id", "component")
     members = materialize(core.unionByName(hanging), "cycle-members")
     child = members.select(F.col("node_id").alias("child"), F.col("component").alias("child_component"))
     parent = members.select(F.col("node_id").alias("parent"), "component")
-    inner = links.join(child, "child").join(parent, "parent").where("component = child_component")
+    inner = links.join(by_rows(child, rows), "child").join(by_rows(parent, rows), "parent").where("component = child_component")
     back = graph.levels(members.select("node_id"), inner.select(
         F.col("parent").alias("child"), F.col("child").alias("parent"))).where("level IS NULL")
-    kept = members.join(back, "node_id", "left_semi").select("node_id", "component")
+    kept = members.join(by_rows(back, rows), "node_id", "left_semi").select("node_id", "component")
     least = kept.groupBy("component").agg(F.min("node_id").alias("least"))
-    components = materialize(kept.join(least, "component").select("node_id", F.col("least").alias("component")),
+    components = materialize(kept.join(by_rows(least, rows), "component").select("node_id", F.col("least").alias("component")),
                              "cycle-components")
     done = members.select("node_id").union(owners).distinct()
-    below = chains.join(owners.withColumnRenamed("node_id", "anchor"), "anchor", "left_semi").select("node_id")
+    below = chains.join(by_rows(owners, rows).withColumnRenamed("node_id", "anchor"), "anchor", "left_semi").select(
+        "node_id")
     return materialize(done.union(below).distinct(), "cycle-done"), components
 
 
 def _spread(color: DataFrame, links: DataFrame) -> DataFrame:
     """The least color among all nodes that reach a node; only what changed goes on."""
     color = materialize(color, "color")
-    changed = color
-    while not changed.isEmpty():
-        offered = links.join(changed.select(F.col("node_id").alias("parent"), F.col("color").alias("offer")),
-                             "parent").groupBy(F.col("child").alias("node_id")).agg(F.min("offer").alias("offer"))
-        after = materialize(color.join(offered, "node_id", "left").select(
+    changed, total = color, color.count()
+    while rows := changed.count():
+        offer = changed.select(F.col("node_id").alias("parent"), F.col("color").alias("offer"))
+        offered = links.join(by_rows(offer, rows), "parent").groupBy(F.col("child").alias("node_id")).agg(
+            F.min("offer").alias("offer"))
+        after = materialize(color.join(by_rows(offered, total), "node_id", "left").select(
             "node_id", F.least("color", "offer").alias("color"), (F.col("offer") < F.col("color")).alias("less")), "color")
         color, changed = after.select("node_id", "color"), after.where("less").select("node_id", "color")
     return color
