@@ -175,11 +175,12 @@ def split(spark: SparkSession, path: str, separator: str, quote: str, encoding:
     """
     if len("\n".encode(encoding)) != 1:
         raise ValueError(f"a file in {encoding} can't be split at bytes")
-    pieces = spread(ranges(listing(spark, path, *SUFFIXES), range_bytes), "path", "number")
+    together = RANGE_BYTES // range_bytes
+    pieces = spread(ranges(listing(spark, path, *SUFFIXES), range_bytes), "path", "number", together=together)
     scanned = materialize(pieces.mapInArrow(
         _scan(separator, quote, range_bytes), "path string, start long, stop long, length long, from_out boolean,"
         " from_in boolean"), "csv-ranges")
-    return spread(with_first_state(scanned), "path", "start").mapInArrow(
+    return spread(with_first_state(scanned), "path", "start", together=together).mapInArrow(
         _read(separator, quote, encoding), "path string, offset long, record string")
 
 

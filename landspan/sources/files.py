@@ -14,6 +14,8 @@ from landspan.workspace import pinned
 
 # Tasks one read is spread over at most; more pieces than that share tasks.
 MAX_TASKS = 50_000
+# Tasks a core gets before small pieces share them, and pieces of one such task at most.
+TASKS_PER_CORE, SHARED = 8, 256
 
 
 def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
@@ -54,15 +56,19 @@ def first_path(files: DataFrame, path: str) -> str:
     return name
 
 
-def spread(pieces: DataFrame, *order: str) -> DataFrame:
-    """Pieces of work, about one per task, whatever their size in bytes.
+def spread(pieces: DataFrame, *order: str, together: int = 1) -> DataFrame:
+    """Pieces of work, spread evenly over tasks, each piece whole.
 
-    The list is pinned and counted first: an explicit number of partitions keeps adaptive
-    execution from merging rows that are tiny here but stand for a lot of reading.
+    ``together``: how many pieces are worth a task of their own. As long as all cores have several tasks,
+    that many neighbours share one, ``SHARED`` at most, so the number of tasks follows the work and not the
+    number of small pieces. The list is pinned and counted first: an explicit number of partitions keeps
+    adaptive execution from merging rows that are tiny here but stand for a lot of reading.
     """
     listed = pinned(pieces)
-    tasks = max(1, min(listed.count(), MAX_TASKS))
-    return listed.repartitionByRange(tasks, *order)
+    count = listed.count()
+    cores = listed.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-count // max(1, min(together, SHARED))), min(count, TASKS_PER_CORE * cores))
+    return listed.repartitionByRange(max(1, min(tasks, MAX_TASKS)), *order)
 
 
 def write_files(rows: DataFrame, folder: str, content: Callable[[dict], dict[str, bytes]]) -> int:

@@ -58,6 +58,15 @@ def test_ranges_are_read_by_tasks_of_their_own(spark, tmp_path):
     assert found.rdd.getNumPartitions() >= 6
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,note\n" + '1,"two\nlines"\n' * 2000)
+    found = csv_records.split(spark, str(tmp_path), ",", '"', range_bytes=64)
+    # Several tasks a core, not one for each of some 400 ranges.
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < found.rdd.getNumPartitions() <= files.TASKS_PER_CORE * cores
+    assert found.count() == 2001
+
+
 @pytest.mark.parametrize("text, separator, quote, names", [
     ("id;note\n1;a,b\n2;c,d\n", ";", '"', ("id", "note")),
     ("id\tnote\n1\tx\n2\ty z\n", "\t", '"', ("id", "note")),
