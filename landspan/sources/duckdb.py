@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from landspan.functions import wkb
 from landspan.sources.files import first_path, listing, spread
 
+# Rows that are worth a task.
+ROWS_PER_TASK = 1_000_000
 # DuckDB types without an equal in Spark, and what they are read as.
 CASTS = {
     "HUGEINT": "DECIMAL(38,0)", "UHUGEINT": "DECIMAL(38,0)", "UBIGINT": "DECIMAL(20,0)",
@@ -105,7 +107,7 @@ def _rows(table: str, select: str, schema: pa.Schema):
 
 def read_duckdb(
     spark: SparkSession, path: str, table: str, columns: list[str] | None = None,
-    rows_per_task: int = 1_000_000, with_geometry: bool = True,
+    rows_per_task: int = ROWS_PER_TASK, with_geometry: bool = True,
 ) -> DataFrame:
     """All columns (or the wanted ones) of a table, from one file or a folder of files.
 
@@ -127,7 +129,7 @@ def read_duckdb(
     ranges = files.select("path").mapInArrow(
         _ranges(table, rows_per_task), "path string, low long, high long"
     )
-    rows = spread(ranges, "path", "low").mapInArrow(_rows(table, select, arrow), schema)
+    rows = spread(ranges, "path", "low", together=ROWS_PER_TASK // rows_per_task).mapInArrow(_rows(table, select, arrow), schema)
     for _, name, kind, *_ in wanted:
         if kind.startswith("GEOMETRY"):
             rows = wkb.decode(rows, name)

@@ -42,6 +42,8 @@ TILE_DDL = """rid long, path string, tile_col int, tile_row int, srid int, xmin
     skew_x double, skew_y double, pixel_type string"""
 
 
+# Pixels of a piece that is worth a task, and of a frame of tiles that is handed on.
+PIECE_PIXELS, FRAME_PIXELS = 8192, 1 << 18
 _TILE_COLUMNS = [column.split()[0] for column in TILE_DDL.split(",")]
 
 
@@ -159,18 +161,26 @@ def _tiles(tile: int):
     """Pandas function that cuts each ``(path, tile_row, cols)`` piece into tiles."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, pixels = [], 0
         for frame in frames:
             for path, pieces in frame.groupby("path", sort=False):
                 head = _header(path)
                 with open_file(path) as handle:
                     for piece in pieces.itertuples():
-                        yield from _piece(handle, head, piece, tile)
+                        for row in _piece(handle, head, piece, tile):
+                            found.append(row)
+                            pixels += row["width"] * row["height"] * head.bands
+                            if pixels >= FRAME_PIXELS:
+                                yield pd.DataFrame(found, columns=_TILE_COLUMNS)
+                                found, pixels = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=_TILE_COLUMNS)
 
     return cut
 
 
-def _piece(handle, head: SimpleNamespace, piece, tile: int) -> Iterator[pd.DataFrame]:
-    """Tiles of one piece, one frame per tile."""
+def _piece(handle, head: SimpleNamespace, piece, tile: int) -> Iterator[dict]:
+    """Tiles of one piece."""
     y0, y1 = piece.tile_row * tile, min((piece.tile_row + 1) * tile, head.height)
     x0, x1 = piece.first_col * tile, min((piece.last_col + 1) * tile, head.width)
     pixels = _window(handle, head, x0, x1, y0, y1)
@@ -180,7 +190,7 @@ def _piece(handle, head: SimpleNamespace, piece, tile: int) -> Iterator[pd.DataF
         corners = [(head.left + c * head.scale_x + r * head.skew_x, head.top + c * head.skew_y + r * head.scale_y)
                    for c in (left, right) for r in (y0, y1)]
         xs, ys = zip(*corners)
-        yield pd.DataFrame([{
+        yield {
             "rid": piece.rid + col - piece.first_col, "path": piece.path,
             "tile_col": col, "tile_row": piece.tile_row, "srid": head.srid,
             "xmin": min(xs), "xmax": max(xs), "ymin": min(ys), "ymax": max(ys),
@@ -188,12 +198,12 @@ def _piece(handle, head: SimpleNamespace, piece, tile: int) -> Iterator[pd.DataF
             "skew_x": head.skew_x, "skew_y": head.skew_y, "pixel_type": head.pixel_type,
             "width": right - left, "height": y1 - y0, "nodata": head.nodata,
             "bands": list(bands),
-        }], columns=_TILE_COLUMNS)
+        }
 
 
 def read_raster(
     spark: SparkSession, path: str, tile_size: int, epsg: int | None = None,
-    pixels_per_piece: int = 8192,
+    pixels_per_piece: int = PIECE_PIXELS,
 ) -> DataFrame:
     """Tiles of one GeoTIFF, or of all below a folder; edge tiles keep their partial size.
 
@@ -223,5 +233,6 @@ def read_raster(
     numbered = add_feature_id(slots.select("path", "tile_row", "tile_col", "first_col", "last_col"),
                               "rid", ["path", "tile_row", "tile_col"])
     starts = numbered.where("tile_col = first_col").drop("tile_col")
-    tiles = spread(starts, "path", "tile_row", "first_col").mapInPandas(_tiles(tile_size), TILE_DDL)
+    tiles = spread(starts, "path", "tile_row", "first_col", together=PIECE_PIXELS // max(pixels_per_piece, tile_size)
+                   ).mapInPandas(_tiles(tile_size), TILE_DDL)
     return tiles if epsg is None else tiles.withColumn("srid", F.lit(epsg))

@@ -20,6 +20,8 @@ SHAPES = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
 INDEX_HEADER, INDEX_ENTRY = 100, 8
 # Bytes of shapes and attributes that are decoded together.
 BATCH_BYTES = 32 << 20
+# Records that are worth a task.
+ROWS_PER_TASK = 250_000
 # Names by which a .prj file without a code calls the systems known here; UTM by rule.
 NAMED_SYSTEMS = {
     "GCS_WGS_1984": 4326,
@@ -172,7 +174,7 @@ def _declared_srid(index: str) -> int:
 
 
 def read_shapefile(
-    spark: SparkSession, path: str, encoding: str = "utf-8", rows_per_task: int = 250_000,
+    spark: SparkSession, path: str, encoding: str = "utf-8", rows_per_task: int = ROWS_PER_TASK,
     geometry_name: str = "geom",
 ) -> DataFrame:
     """Attributes and geometry of one shapefile, or of all below a folder.
@@ -192,7 +194,7 @@ def read_shapefile(
     ranges = ranges.select(
         "index", "low", F.least(F.col("low") + rows_per_task, F.col("records")) .alias("end")
     ).select("index", "low", (F.col("end") - 1).alias("high"))
-    raw = spread(ranges, "index", "low").mapInArrow(_reader(fields, encoding), RAW_DDL)
+    raw = spread(ranges, "index", "low", together=ROWS_PER_TASK // rows_per_task).mapInArrow(_reader(fields, encoding), RAW_DDL)
     lines = F.col("lines")
     parts = (
         F.when(F.col("kind") == "Polygon", geo.ring_parts(lines))

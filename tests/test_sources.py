@@ -283,6 +283,24 @@ def test_raster_layouts(spark, tmp_path, options, kind, bands):
         assert (r["srid"], r["nodata"], r["scale_y"]) == (2193, 0.0, -2.0)
 
 
+def test_small_pieces_of_rasters_share_tasks_and_frames(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    grids = {}
+    for name in range(30):
+        grids[name] = rng.integers(0, 200, (1, 9, 13)).astype("u1")
+        (tmp_path / f"{name}.tif").write_bytes(tiff(
+            grids[name], 0.0, 0.0, 1.0, 2193, deflate=bool(name % 2), nodata="7" if name % 3 else None))
+    tiles = raster.read_raster(spark, str(tmp_path), 4, pixels_per_piece=4)
+    # 12 pieces a raster.
+    assert tiles.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    rows = tiles.collect()
+    assert sorted(r.rid for r in rows) == list(range(min(r.rid for r in rows), min(r.rid for r in rows) + 360))
+    for r in rows:
+        name, y, x = int(r.path.split("/")[-1].removesuffix(".tif")), r.tile_row * 4, r.tile_col * 4
+        assert r.bands == [grids[name][0, y:y + 4, x:x + 4].ravel().astype("f8").tolist()]
+        assert r.nodata == (7.0 if name % 3 else None)
+
+
 def test_raster_exact_multiple_and_assigned_srid(spark, tmp_path):
     (tmp_path / "m.tif").write_bytes(tiff(np.ones((1, 32, 32), "u1"), 0, 0, 1, 4326))
     rows = raster.read_raster(spark, str(tmp_path), 16, epsg=2193).collect()
