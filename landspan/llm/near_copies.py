@@ -7,14 +7,20 @@ their first n - ceil(SHARE * n) + 1 (prefix). Where prefixes meet, sizes are loo
 enough follows if this is the first hash they share (position), then parities of the hashes by ``FOLDS`` x 64 places, which differ in no
 more places than the sets in hashes, then the sets themselves.
 
-Where more than ``BUCKET`` sets meet, each is first compared with one of them only; afterwards the
-pairs that are not in one component yet are. Hashes that a good part of the sample holds meet in ``SALTS``
-parts, each with such a set of its own, so no task gets all texts that hold a common line; rows of one hash
-pass through a task without being gathered.
-
-Texts are read once: prefixes, and the compressed text of each distinct set, are written with the rows. Sets are
+Where more than ``BUCKET`` sets meet, each is first compared with one of them only, the hub: the set in which the
+hash has the fewest rarer ones before it, so the one with the least text of its own. Copies of one original that
+differ from each other by their own changes all come near it. Hashes that a good part of the sample holds meet in
+``SALTS`` parts, each with a hub of its own, so no task gets all texts that hold a common line; rows of one hash
+pass through a task without being gathered. Sets of crowds that are not in one component then meet once more, in
+an order that holds the hashes of these crowds last, by their number of members: a sample doesn't know hashes that
+few texts in a thousand hold, but in a large table these few are many. What still makes crowds is compared with hubs
+of whole crowds in ``ROUNDS`` rounds, each outside the components of the ones before; afterwards the pairs that
+are not in one component yet are compared.
+
+Prefixes, and the compressed text of each distinct set, are written with the rows. Sets are
 compared in cells, which get each text once: candidate pairs that hang together share a cell, a large
-cluster is dealt to the cells of pairs of blocks.
+cluster is dealt to the cells of pairs of blocks. Texts that no pair wants are told by a table of bits before
+they are shuffled, and so are rows that stay for certain in the end.
 
 Fingerprints that operator 8 links stay linked: they are the nodes of the components. Null texts
 count as empty; texts of fewer words are one run; texts without words are alike.
@@ -28,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspan.llm import simhash
@@ -47,6 +53,10 @@ FOLDS = 8
 SALTS, HOT_SHARE, HELD = 64, 0.01, 20_000
 # Sets that are compared in one cell, about.
 CELL = 1024
+# Hubs of a whole crowd, and hashes that the second order knows.
+ROUNDS, KNOWN = 2, 200_000
+# Bits a key in a table of bits, and the most bits of one (8 MB). A full table lets all rows pass.
+SPACE, MOST_BITS = 16, 1 << 26
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -70,7 +80,29 @@ def _folded(held: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tag"))
+
+
+def _sieve(keys: DataFrame):
+    """A condition on columns named like those of keys: true for rows that agree with one of keys, and for few others.
+
+    Nulls are left out of a hash, so keys has none.
+    """
+    bits = 1 << min(max(SPACE * keys.count(), 64) - 1, MOST_BITS - 1).bit_length()
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
+    found = keys.select(place.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("held")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found["word"].to_numpy()] = found["held"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def held(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return held(place)
 
 
 def _mapped(frame: DataFrame, rows_of, schema: str, types: list[pa.DataType]) -> DataFrame:
@@ -92,7 +124,7 @@ _FOLDED = [f"fold{k}" for k in range(FOLDS)]
 
 
 def _rows(docs: DataFrame, common, hot: int) -> DataFrame:
-    """doc_id, bits (operator 8's fingerprint), mark, size and folds (of the set) of each row.
+    """doc_id, tag (of the text), bits (operator 8's fingerprint), mark, size and folds (of the set) of each row.
 
     The first row of a set in a task also has its compressed text, its prefix, and the part of each
     hash of it: 0, or one of ``SALTS`` for a hash that at least `hot` texts of the sample hold.
@@ -110,21 +142,49 @@ def _rows(docs: DataFrame, common, hot: int) -> DataFrame:
                 salts.append(None)
                 continue
             seen.add(mark)
-            values = held.view(np.int64)
-            weight = np.array([known.get(v, 0) for v in values.tolist()]) if known else np.zeros(len(values), int)
-            order = np.argsort(weight, kind="stable")[:len(held) - -(-SHARE * len(held) // 10) + 1]
             packed.append(press(text.encode()))
-            prefixes.append(values[order])
-            salts.append(np.where(weight[order] >= hot, 1 + mark % SALTS, 0))
-        return (part.column(0), np.array([simhash.fingerprint(x) for x in texts], np.uint64).view(np.int64),
+            for values, whole in zip(_prefix(held, mark, known, hot), (prefixes, salts)):
+                whole.append(values)
+        return (part.column(0), part.column(2), np.array([simhash.fingerprint(x) for x in texts], np.uint64).view(np.int64),
                 marks, [len(x) for x in sets], *np.ascontiguousarray(folds.T), packed, prefixes, salts)
 
-    names = ["doc_id", "bits", "mark", "size", *_FOLDED]
+    names = ["doc_id", "tag", "bits", "mark", "size", *_FOLDED]
     return _mapped(
         _texts(docs), rows_of, ", ".join(f"{n} long" for n in names) + ", packed binary, prefix array<long>, salts array<int>",
         [pa.int64()] * len(names) + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())])
 
 
+def _prefix(held: np.ndarray, mark: int, known: dict[int, int], hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first hashes of a set, those that `known` gives a weight last, and the part of each."""
+    values = held.view(np.int64)
+    weight = np.array([known.get(v, 0) for v in values.tolist()]) if known else np.zeros(len(values), int)
+    order = np.argsort(weight, kind="stable")[:len(held) - -(-SHARE * len(held) // 10) + 1]
+    return values[order], np.where(weight[order] >= hot, 1 + mark % SALTS, 0)
+
+
+def _reordered(rows: DataFrame, crowds: DataFrame, common: dict[int, int], hot: int) -> DataFrame:
+    """mark, size, prefix, salts of the sets of crowds, and of few others, by the second order.
+
+    common: the hashes of the sample, with about how many texts of all hold them.
+    """
+    most = crowds.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
+    weights = dict(common)
+    for token, n in zip(most["token"].to_pylist(), most["n"].to_pylist()):
+        weights[token] = max(n, weights.get(token, 0))
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def rows_of(part, seen):
+        known, unpack = shared.value, zstandard.ZstdDecompressor().decompress
+        sets = [shingle_set(unpack(x).decode()) for x in part.column(1).to_pylist()]
+        marks = part.column(0).to_pylist()
+        found = [_prefix(held, mark, known, hot) for held, mark in zip(sets, marks)]
+        return marks, [len(x) for x in sets], [x for x, _ in found], [x for _, x in found]
+
+    wanted = rows.where("packed IS NOT NULL").select("mark", "packed").where(_sieve(crowds.select("mark").distinct()))
+    return _mapped(wanted, rows_of, "mark long, size long, prefix array<long>, salts array<int>",
+                   [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())])
+
+
 def _common(docs: DataFrame, n_rows: int) -> dict[int, int]:
     """Hashes that many texts of a sample hold, with how many do."""
     def rows_of(part, seen):
@@ -144,8 +204,8 @@ _MET = "u long, v long, token long, size int, place int"
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) that meet under a token; of crowds also each member (u, no v).
 
-    Rows (token, salt, mark, size, place) come by token, salt and mark. Tokens dealt to parts are
-    crowds. Of a crowd only the first member is held.
+    Rows (token, salt, mark, size, place) come by token, salt, place and mark. Tokens dealt to parts are
+    crowds. Of a crowd only the first member, its hub, is held.
     """
     def met(columns: list[np.ndarray], forced: bool = False) -> pa.RecordBatch:
         """forced: the first group is part of a crowd, whatever its size here."""
@@ -242,32 +302,57 @@ def _alike(rows: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = materialize(pairs.join(roots.withColumnRenamed("node", "u"), "u").join(sizes, "root").select(
         cell.alias("cell"), "u", "v"), "near-cells")
     wanted = dealt.select(F.col("u").alias("mark"), F.col("cell").alias("of")).union(dealt.select("v", "cell")).distinct()
-    texts = rows.where("packed IS NOT NULL").select("mark", "packed").join(
-        wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    marks = wanted.select("mark").distinct()
+    texts = rows.where("packed IS NOT NULL").select("mark", "packed").where(_sieve(marks)).join(
+        marks, "mark", "left_semi").dropDuplicates(["mark"])
     return dealt.groupBy("cell").cogroup(wanted.join(texts, "mark").groupBy("of")).applyInArrow(
         _compare, "u long, v long")
 
 
+def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
+    """With the component of each node."""
+    return frame.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _open_crowds(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their components, of crowds that are not in one component."""
+    placed = _rooted(crowds, roots)
+    split = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s")
+    return materialize(placed.join(split.select("token"), "token", "left_semi"), "near-open")
+
+
+def _fit(a: str, b: str) -> Column:
+    """Whether members of different components can be near copies if they meet first here."""
+    return F.expr(f"""{a}.root != {b}.root
+        AND 10 * least({a}.size, {b}.size) >= {SHARE} * greatest({a}.size, {b}.size)
+        AND {10 + SHARE} * least({a}.size - {a}.place, {b}.size - {b}.place) >= {SHARE} * ({a}.size + {b}.size)""")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, bits, root (a fingerprint of the component) per document row, written.
+    """doc_id, tag, bits, root (a fingerprint of the component) per document row, written.
 
     What was written on the way is deleted, so the next stage has the disk for itself.
     """
     return settled(docs.sparkSession, lambda: _near_copies(docs), "near-roots")
 
 
+def _met(sets: DataFrame, label: str) -> DataFrame:
+    """Meetings of sets (mark, size, prefix, salts), written."""
+    entries = sets.select("mark", "size", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "at")).select(
+        "at.prefix", "at.salts", "mark", F.col("size").cast("int").alias("size"), "place")
+    return materialize(entries.repartition("prefix", "salts").sortWithinPartitions(
+        "prefix", "salts", "place", "mark").mapInArrow(_meet, _MET), label)
+
+
 def _near_copies(docs: DataFrame) -> DataFrame:
     n_rows = docs.count()
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, n_rows))
-    rows = materialize(_rows(docs, common, max(COMMON, int(HOT_SHARE * min(n_rows, SAMPLE)))), "near-rows")
+    known, hot = _common(docs, n_rows), max(COMMON, int(HOT_SHARE * min(n_rows, SAMPLE)))
+    rows = materialize(_rows(docs, docs.sparkSession.sparkContext.broadcast(known), hot), "near-rows")
     marks = materialize(rows.groupBy("mark").agg(
         F.min("bits").alias("node"), *(F.min(c).alias(c) for c in ["size", *_FOLDED])), "near-marks")
     named = marks.select("mark", "node")
     same = rows.join(named, "mark").where("bits != node").select(F.col("bits").alias("u"), F.col("node").alias("v"))
-    entries = rows.where("prefix IS NOT NULL").select("mark", "size", F.posexplode(F.arrays_zip("prefix", "salts")).alias(
-        "place", "at")).select("at.prefix", "at.salts", "mark", F.col("size").cast("int").alias("size"), "place")
-    met = materialize(entries.repartition("prefix", "salts").sortWithinPartitions("prefix", "salts", "mark").mapInArrow(
-        _meet, _MET), "near-met")
+    met = _met(rows.where("prefix IS NOT NULL"), "near-met")
 
     def links(pairs: DataFrame) -> DataFrame:
         return _alike(rows, marks, pairs).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(
@@ -276,21 +361,63 @@ def _near_copies(docs: DataFrame) -> DataFrame:
     edges = materialize(
         simhash.close_pairs(rows.select("bits").distinct()).unionByName(same).unionByName(
             links(met.where("v is not null"))).distinct(), "near-edges")
+
+    def crowded(met: DataFrame) -> DataFrame:
+        return materialize(met.where("v is null").select("token", F.col("u").alias("mark"), "size", "place").join(
+            named, "mark"), "near-crowds")
+
     roots = components(edges)
-    crowd = met.where("v is null").join(named, F.col("u") == F.col("mark")).join(
-        roots, "node", "left").select("token", "mark", "size", "place", F.coalesce("root", "node").alias("root"))
-    split = crowd.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s")
-    open_ = materialize(crowd.join(split.select("token"), "token", "left_semi"), "near-crowds")
-    if not open_.isEmpty():
-        more = open_.alias("a").join(open_.alias("b"), F.expr(f"""
-            a.token = b.token AND a.mark < b.mark AND a.root != b.root
-            AND 10 * least(a.size, b.size) >= {SHARE} * greatest(a.size, b.size)
-            AND {10 + SHARE} * least(a.size - a.place, b.size - b.place) >= {SHARE} * (a.size + b.size)""")).selectExpr("a.mark AS u", "b.mark AS v")
-        roots = components(edges.unionByName(links(more)))
+    crowds = _open_crowds(crowded(met), roots)
+    if not crowds.isEmpty():
+        scale = max(1, n_rows // SAMPLE)
+        met = _met(_reordered(rows, crowds, {k: n * scale for k, n in known.items()}, hot * scale), "near-met")
+        ends = met.where("v is not null").select("u", "v").distinct()
+        for end in ("u", "v"):
+            ends = ends.join(_rooted(named, roots).select(F.col("mark").alias(end), F.col("root").alias(f"{end}_root")), end)
+        edges = materialize(edges.unionByName(links(ends.where("u_root != v_root").select("u", "v"))), "near-edges")
+        crowds = crowded(met)
+    hubs = crowds.select("token", "node").limit(0)
+    for step in range(ROUNDS + 1):
+        roots = components(edges)
+        open_ = _open_crowds(crowds, roots)
+        if open_.isEmpty():
+            break
+        if step == ROUNDS:
+            pairs = open_.alias("a").join(open_.alias("b"), F.expr("a.token = b.token AND a.mark < b.mark") & _fit("a", "b"))
+        else:
+            spent = _rooted(hubs, roots).select("token", "root").distinct()
+            hub = materialize(open_.join(spent, ["token", "root"], "left_anti").groupBy("token").agg(
+                F.min(F.struct("place", "mark", "size", "node", "root")).alias("b")).select("token", "b.*"), "near-hubs")
+            hubs = hubs.unionByName(hub.select("token", "node"))
+            pairs = open_.alias("a").join(hub.alias("b"), F.expr("a.token = b.token") & _fit("a", "b"))
+        edges = materialize(edges.unionByName(links(pairs.selectExpr("a.mark AS u", "b.mark AS v"))), "near-edges")
+    else:
+        roots = components(edges)
     return rows.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select(
-        "doc_id", "bits", F.coalesce("root", "bits").alias("root"))
+        "doc_id", "tag", "bits", F.coalesce("root", "bits").alias("root"))
+
+
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the row of the least doc_id, with all its columns. found: of `near_copies`.
+
+    A row is named by its id and its text; of rows that share both one is kept, so each component keeps
+    one row, also if other components hold its id or all its ids are null. Rows that are kept and
+    have no copy stay where they are; only others, and few of these, are shuffled.
+    """
+    keys = ["_id", "_none", "_tag"]
+    key = {"_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_none": F.isnull("doc_id")}
+    row = F.struct("doc_id", "bits", "tag")
+    kept = found.groupBy("root").agg(F.coalesce(
+        F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row)).alias("kept")).select("kept.*").withColumns(
+        key).select("_id", "_none", F.col("tag").alias("_tag"), F.lit(True).alias("_kept"))
+    doubtful = materialize(found.withColumns(key).withColumnRenamed("tag", "_tag").groupBy(keys).agg(
+        F.count(F.lit(1)).alias("n")).join(kept, keys, "left").where("_kept IS NULL OR n > 1").select(keys), "near-doubtful")
+    named = docs.withColumns({**key, "_tag": F.xxhash64(F.coalesce("text", F.lit("")))}).withColumn(
+        "_doubt", _sieve(doubtful))
+    return named.where("NOT _doubt").select(*docs.columns).unionByName(
+        named.where("_doubt").join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near copies: of each component the row of the least doc_id."""
-    return simhash.keep_rows(docs, near_copies(docs))
+    return keep_rows(docs, near_copies(docs))

@@ -75,3 +75,25 @@ def test_near_dedup_finds_all_near_copies(spark, sf, monkeypatch, bucket, common
     out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf)
     assert {r.doc_id for r in out.collect()} == set(expected.values())
     assert len(set(expected.values())) < simhash.keep_one(docs).count()
+
+
+def test_copies_of_one_original_form_few_pairs(spark, monkeypatch):
+    """40 texts, each near an original by changes of its own, but not near each other."""
+    formed, alike = [], near_copies._alike
+
+    def counted(rows, marks, pairs):
+        formed.append(pairs.distinct().count())
+        return alike(rows, marks, pairs)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    rng = random.Random(2)
+    original = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 41):
+        own = list(original)
+        for k in rng.sample(range(10, 190, 10), 3):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert sum(formed) <= 5 * len(rows)
