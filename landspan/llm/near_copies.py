@@ -7,11 +7,15 @@ their first n - ceil(SHARE * n) + 1 (prefix). Where prefixes meet, sizes are loo
 enough follows if this is the first hash they share (position), then parities of the hashes by ``FOLDS`` x 64 places, which differ in no
 more places than the sets in hashes, then the sets themselves.
 
-Where more than ``BUCKET`` sets meet, each is first compared with one of them only, the hub: the set in which the
+Two sets that have the same hash just before a hash share that one, too, so they have met before and form no pair
+here; a bucket in which all do is left out. Where more than ``FEW`` sets meet, each is first compared with one of
+them only, the hub: the set in which the
 hash has the fewest rarer ones before it, so the one with the least text of its own. Copies of one original that
-differ from each other by their own changes all come near it. Hashes that a good part of the sample holds meet in
+differ from each other by their own changes all come near it. So an entry of a prefix makes two rows at most,
+however large its bucket. Hashes that a good part of the sample holds meet in
 ``SALTS`` parts, each with a hub of its own, so no task gets all texts that hold a common line; rows of one hash
-pass through a task without being gathered. Sets of crowds that are not in one component then meet once more, in
+pass through a task without being gathered. Buckets that are not in one component then form the pairs of different
+components, up to ``BUCKET`` sets. Sets of larger ones, crowds, meet once more, in
 an order that holds the hashes of these crowds last, by their number of members: a sample doesn't know hashes that
 few texts in a thousand hold, but in a large table these few are many. What still makes crowds is compared with hubs
 of whole crowds in ``ROUNDS`` rounds, each outside the components of the ones before; afterwards the pairs that
@@ -45,7 +49,8 @@ from landspan.workspace import materialize, settled
 SHINGLE = 5
 # Part of the union, in tenths.
 SHARE = 8
-BUCKET = 32
+# Sets that meet in all pairs: at first, and where they are not in one component.
+FEW, BUCKET = 4, 32
 # Texts of the sample that tells common hashes, and in how many of them a common one stands.
 SAMPLE, COMMON = 20_000, 20
 FOLDS = 8
@@ -198,33 +203,44 @@ def _common(docs: DataFrame, n_rows: int) -> dict[int, int]:
     return {r["token"]: r["n"] for r in found}
 
 
-_MET = "u long, v long, token long, size int, place int"
+_MET = "u long, v long, token long, salt int, size int, place int, before long"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) that meet under a token; of crowds also each member (u, no v).
+def _meet(bucket_size: int, with_hubs: bool = True):
+    """Pairs (u, v) that meet under a token; of buckets beyond bucket_size, crowds, also each member (u, no v).
 
-    Rows (token, salt, mark, size, place) come by token, salt, place and mark. Tokens dealt to parts are
-    crowds. Of a crowd only the first member, its hub, is held.
+    Rows (token, salt, mark, size, place, before, and root if it is known) come by token, salt, place and mark.
+    Tokens dealt to parts are crowds. Of a crowd only the first member, its hub, is held, and only pairs with it
+    are formed, or none. Sets of one root form no pair, and without a hub neither do sets that the token before has
+    brought together.
     """
     def met(columns: list[np.ndarray], forced: bool = False) -> pa.RecordBatch:
         """forced: the first group is part of a crowd, whatever its size here."""
-        token, salt, mark, size, place = columns
+        token, salt, mark = columns[:3]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
         keep = new.copy()
         keep[1:] |= mark[1:] != mark[:-1]
-        token, salt, mark, size, place, new = (c[keep] for c in (token, salt, mark, size, place, new))
+        new, (token, salt, mark, size, place, before, *more) = new[keep], [c[keep] for c in columns]
+        root = more[0] if more else mark
+
+        def needless(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return root[a] == root[b], (place[a] > 0) & (place[b] > 0) & (before[a] == before[b])
+
         first = np.flatnonzero(new)
         bucket = np.cumsum(new) - 1
-        many = (np.diff(np.append(first, len(token))) > BUCKET) | (salt[first] > 0)
+        # Parts of a crowd may differ from each other, so only whole buckets are left out.
+        whole = salt[first] == 0
+        many = (np.diff(np.append(first, len(token))) > bucket_size) | ~whole
         if forced:
-            many[0] = True
+            whole[0], many[0] = False, True
+        alike = [np.logical_and.reduceat(x, first) for x in needless(np.arange(len(token)), first[bucket])]
         crowd = many[bucket]
-        members = np.flatnonzero(crowd)
-        hubs = first[bucket[members]]
-        lefts, rights = [hubs[hubs != members]], [members[hubs != members]]
-        for k in range(1, BUCKET):
+        members = np.flatnonzero((many & ~(whole & (alike[0] | alike[1])))[bucket])
+        # The hub before may be another one, so pairs with a hub stay, whatever comes before.
+        starred = np.flatnonzero(crowd) if with_hubs else members[:0]
+        lefts, rights = [first[bucket[starred]]], [starred]
+        for k in range(1, bucket_size):
             left = np.flatnonzero((bucket[:-k] == bucket[k:]) & ~crowd[k:]) if k < len(token) else members[:0]
             if len(left) == 0:
                 break
@@ -235,37 +251,41 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Where near copies meet first, all they share is still to come. Later meetings may be missed.
         shared = np.minimum(size[a] - place[a], size[b] - place[b])
         good = (10 * low >= SHARE * high) & ((10 + SHARE) * shared >= SHARE * (size[a] + size[b]))
+        joined, met_before = needless(a, b)
+        good &= ~joined & (crowd[a] | ~met_before)
         a, b = a[good], b[good]
         none = np.zeros(len(a), np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([mark[a], mark[members]])),
             pa.concat_arrays([pa.array(mark[b]), pa.nulls(len(members), pa.int64())]),
-            pa.array(np.concatenate([none, token[members]])),
-            pa.array(np.concatenate([none, size[members]]), pa.int32()),
-            pa.array(np.concatenate([none, place[members]]), pa.int32())],
-            names=["u", "v", "token", "size", "place"])
-
-    held: list[list[np.ndarray]] = []
-    hub = None  # the first row of the crowd that goes on
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
-        last = [c[-1] for c in columns[:2]]
-        start = int(np.argmax((columns[0] == last[0]) & (columns[1] == last[1])))
-        # The last group may go on in the next batch.
-        if start or (held and [c[-1] for c in held[-1][:2]] != [c[0] for c in columns[:2]]):
-            done = [c for c in (hub, *held, [c[:start] for c in columns]) if c is not None]
-            yield met([np.concatenate(c) for c in zip(*done, strict=True)], hub is not None)
-            held, hub = [], None
-        held.append([c[start:] for c in columns])
-        if sum(len(c[0]) for c in held) > HELD:
+            *(pa.array(np.concatenate([none, c[members]]), kind) for c, kind in (
+                (token, pa.int64()), (salt, pa.int32()), (size, pa.int32()), (place, pa.int32()), (before, pa.int64())))],
+            names=["u", "v", "token", "salt", "size", "place", "before"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        hub = None  # the first row of the crowd that goes on
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            last = [c[-1] for c in columns[:2]]
+            start = int(np.argmax((columns[0] == last[0]) & (columns[1] == last[1])))
+            # The last group may go on in the next batch.
+            if start or (held and [c[-1] for c in held[-1][:2]] != [c[0] for c in columns[:2]]):
+                done = [c for c in (hub, *held, [c[:start] for c in columns]) if c is not None]
+                yield met([np.concatenate(c) for c in zip(*done, strict=True)], hub is not None)
+                held, hub = [], None
+            held.append([c[start:] for c in columns])
+            if sum(len(c[0]) for c in held) > HELD:
+                done = [c for c in (hub, *held) if c is not None]
+                yield met([np.concatenate(c) for c in zip(*done, strict=True)], True)
+                held, hub = [], [c[:1] for c in done[0]]
+        if held or hub:
             done = [c for c in (hub, *held) if c is not None]
-            yield met([np.concatenate(c) for c in zip(*done, strict=True)], True)
-            held, hub = [], [c[:1] for c in done[0]]
-    if held or hub:
-        done = [c for c in (hub, *held) if c is not None]
-        yield met([np.concatenate(c) for c in zip(*done, strict=True)], hub is not None)
+            yield met([np.concatenate(c) for c in zip(*done, strict=True)], hub is not None)
+
+    return run
 
 
 def _compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
@@ -314,6 +334,17 @@ def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
     return frame.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _widened(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only those that the links touch are contracted."""
+    ends = links
+    for end in ("u", "v"):
+        ends = ends.join(roots.toDF(end, "r"), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    more = components(ends)
+    return materialize(
+        roots.join(more.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        .unionByName(more.join(roots, "node", "left_anti")), "near-joined")
+
+
 def _open_crowds(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their components, of crowds that are not in one component."""
     placed = _rooted(crowds, roots)
@@ -325,7 +356,8 @@ def _fit(a: str, b: str) -> Column:
     """Whether members of different components can be near copies if they meet first here."""
     return F.expr(f"""{a}.root != {b}.root
         AND 10 * least({a}.size, {b}.size) >= {SHARE} * greatest({a}.size, {b}.size)
-        AND {10 + SHARE} * least({a}.size - {a}.place, {b}.size - {b}.place) >= {SHARE} * ({a}.size + {b}.size)""")
+        AND {10 + SHARE} * least({a}.size - {a}.place, {b}.size - {b}.place) >= {SHARE} * ({a}.size + {b}.size)
+        AND NOT ({a}.place > 0 AND {b}.place > 0 AND {a}.before = {b}.before)""")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -336,12 +368,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return settled(docs.sparkSession, lambda: _near_copies(docs), "near-roots")
 
 
-def _met(sets: DataFrame, label: str) -> DataFrame:
-    """Meetings of sets (mark, size, prefix, salts), written."""
-    entries = sets.select("mark", "size", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "at")).select(
-        "at.prefix", "at.salts", "mark", F.col("size").cast("int").alias("size"), "place")
-    return materialize(entries.repartition("prefix", "salts").sortWithinPartitions(
-        "prefix", "salts", "place", "mark").mapInArrow(_meet, _MET), label)
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row for each hash of a prefix of sets (mark, size, prefix, salts, and root if it is known)."""
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("before")
+    rest = [c for c in sets.columns if c not in ("prefix", "salts")]
+    return sets.select(*rest, F.posexplode(F.arrays_zip("prefix", "salts", before)).alias("place", "at")).select(
+        F.col("at.prefix").alias("token"), F.col("at.salts").alias("salt"), "mark", F.col("size").cast("int").alias("size"),
+        "place", "at.before", *(c for c in rest if c == "root"))
+
+
+def _met(entries: DataFrame, label: str, bucket_size: int, with_hubs: bool = True) -> DataFrame:
+    """Meetings of entries, written."""
+    return materialize(entries.repartition("token", "salt").sortWithinPartitions(
+        "token", "salt", "place", "mark").mapInArrow(_meet(bucket_size, with_hubs), _MET), label)
 
 
 def _near_copies(docs: DataFrame) -> DataFrame:
@@ -352,7 +391,7 @@ def _near_copies(docs: DataFrame) -> DataFrame:
         F.min("bits").alias("node"), *(F.min(c).alias(c) for c in ["size", *_FOLDED])), "near-marks")
     named = marks.select("mark", "node")
     same = rows.join(named, "mark").where("bits != node").select(F.col("bits").alias("u"), F.col("node").alias("v"))
-    met = _met(rows.where("prefix IS NOT NULL"), "near-met")
+    met = _met(_entries(rows.where("prefix IS NOT NULL")), "near-met", min(FEW, BUCKET))
 
     def links(pairs: DataFrame) -> DataFrame:
         return _alike(rows, marks, pairs).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(
@@ -363,22 +402,24 @@ def _near_copies(docs: DataFrame) -> DataFrame:
             links(met.where("v is not null"))).distinct(), "near-edges")
 
     def crowded(met: DataFrame) -> DataFrame:
-        return materialize(met.where("v is null").select("token", F.col("u").alias("mark"), "size", "place").join(
-            named, "mark"), "near-crowds")
+        return materialize(met.where("v is null").select(
+            "token", "salt", F.col("u").alias("mark"), "size", "place", "before").join(named, "mark"), "near-crowds")
 
     roots = components(edges)
     crowds = _open_crowds(crowded(met), roots)
     if not crowds.isEmpty():
-        scale = max(1, n_rows // SAMPLE)
-        met = _met(_reordered(rows, crowds, {k: n * scale for k, n in known.items()}, hot * scale), "near-met")
-        ends = met.where("v is not null").select("u", "v").distinct()
-        for end in ("u", "v"):
-            ends = ends.join(_rooted(named, roots).select(F.col("mark").alias(end), F.col("root").alias(f"{end}_root")), end)
-        edges = materialize(edges.unionByName(links(ends.where("u_root != v_root").select("u", "v"))), "near-edges")
+        met = _met(crowds.select("token", "salt", "mark", "size", "place", "before", "root"), "near-met", BUCKET, False)
+        pairs = met.where("v is not null").select("u", "v")
         crowds = crowded(met)
+        if not crowds.isEmpty():
+            scale = max(1, n_rows // SAMPLE)
+            again = _reordered(rows, crowds, {k: n * scale for k, n in known.items()}, hot * scale)
+            met = _met(_entries(again.join(_rooted(named, roots).select("mark", "root"), "mark")), "near-met", BUCKET)
+            pairs = pairs.unionByName(met.where("v is not null").select("u", "v"))
+            crowds = crowded(met)
+        roots = _widened(roots, links(pairs))
     hubs = crowds.select("token", "node").limit(0)
     for step in range(ROUNDS + 1):
-        roots = components(edges)
         open_ = _open_crowds(crowds, roots)
         if open_.isEmpty():
             break
@@ -387,12 +428,10 @@ def _near_copies(docs: DataFrame) -> DataFrame:
         else:
             spent = _rooted(hubs, roots).select("token", "root").distinct()
             hub = materialize(open_.join(spent, ["token", "root"], "left_anti").groupBy("token").agg(
-                F.min(F.struct("place", "mark", "size", "node", "root")).alias("b")).select("token", "b.*"), "near-hubs")
+                F.min(F.struct("place", "mark", "size", "before", "node", "root")).alias("b")).select("token", "b.*"), "near-hubs")
             hubs = hubs.unionByName(hub.select("token", "node"))
             pairs = open_.alias("a").join(hub.alias("b"), F.expr("a.token = b.token") & _fit("a", "b"))
-        edges = materialize(edges.unionByName(links(pairs.selectExpr("a.mark AS u", "b.mark AS v"))), "near-edges")
-    else:
-        roots = components(edges)
+        roots = _widened(roots, links(pairs.selectExpr("a.mark AS u", "b.mark AS v")))
     return rows.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select(
         "doc_id", "tag", "bits", F.coalesce("root", "bits").alias("root"))
 

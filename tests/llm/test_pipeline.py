@@ -97,3 +97,27 @@ def test_copies_of_one_original_form_few_pairs(spark, monkeypatch):
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [0]
     assert sum(formed) <= 5 * len(rows)
+
+
+def test_meetings_grow_with_the_entries_of_prefixes(spark, monkeypatch):
+    """31 near copies, which meet under most hashes: at most two rows for each, not a pair for any two texts."""
+    written, write = {}, near_copies.materialize
+
+    def counted(frame, label):
+        written.setdefault(label, []).append(out := write(frame, label))
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    monkeypatch.setattr(near_copies, "COMMON", 100)  # no hash is known to be common
+    monkeypatch.setattr(near_copies, "settled", lambda spark, make, label: write(make(), label))
+    rng = random.Random(3)
+    original = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 31):
+        own = list(original)
+        own[rng.randrange(10, 190)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    entries = written["near-rows"][0].selectExpr("sum(size(prefix))").first()[0]
+    assert sum(met.count() for met in written["near-met"]) <= 2 * entries
